@@ -11,11 +11,11 @@ def brute(rows, run=2, words=20):
     for i, text in sorted(rows):
         cut = sentences(text)
         gone = set()
-        for a, b, h in spans(cut, run, words):
-            if h in first:
+        for a, b, h in sorted(spans(cut, run, words)):
+            if h in first and first[h] != (i, a):
                 gone |= set(range(a, b + 1))
             else:
-                first[h] = (i, a)
+                first.setdefault(h, (i, a))
         found.append((i, len(cut), len(gone), sum(cut[k][2] for k in gone)))
     return found
 

@@ -3,8 +3,9 @@
 Texts are cut into sentences: at line ends, and behind ``.``, ``!`` or ``?`` before white
 space. A sentence of more than ``LONG`` words is cut further behind words whose hash is
 divisible by ``CUT``, so that the cuts depend on the words alone and fall alike wherever
-the passage stands. From every sentence starts one span: the shortest run of ``run``
-sentences or more that holds ``words`` words or more. Span hashes are joined over the
+the passage stands. From every sentence starts one span, and up to every sentence goes
+one: the shortest run of ``run`` sentences or more that holds ``words`` words or more.
+A passage that holds a span so has all its whole sentences covered. Span hashes are joined over the
 whole corpus, and sentences covered by a span that is not the first of its kind (least
 id, then position) go.
 """
@@ -49,16 +50,15 @@ def sentences(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def spans(found: list[tuple[int, int, int, int]], run: int, words: int) -> list[tuple[int, int, int]]:
-    """(first, last, hash) of the span from each sentence, as far as one fits."""
-    out = []
+    """(first, last, hash) of the shortest span from each sentence and of the shortest up to each, as far as they fit."""
+    n = len(found)
     hashes = np.array([s[3] for s in found], dtype=np.uint64).tobytes()
-    total = np.concatenate([[0], np.cumsum([s[2] for s in found])]) if found else np.zeros(1)
-    last = np.maximum(np.searchsorted(total, total[:-1] + words, side="left"), np.arange(len(found)) + run)
-    for i, end in enumerate(last.tolist()):
-        if end > len(found):
-            break
-        out.append((i, end - 1, xxhash.xxh3_64_intdigest(hashes[8 * i : 8 * end]) - (1 << 63)))
-    return out
+    total = np.concatenate([[0], np.cumsum([s[2] for s in found], dtype=np.int64)])
+    stop = np.maximum(np.searchsorted(total, total[:-1] + words, side="left"), np.arange(n) + run)
+    start = np.minimum(np.searchsorted(total, total[1:] - words, side="right") - 1, np.arange(n) + 1 - run)
+    ranges = [(i, e) for i, e in enumerate(stop.tolist()) if e <= n]
+    ranges += [(i, e) for e, i in enumerate(start.tolist(), 1) if i >= 0 and stop[i] != e]
+    return [(i, e - 1, xxhash.xxh3_64_intdigest(hashes[8 * i : 8 * e]) - (1 << 63)) for i, e in ranges]
 
 
 def _setup(run: int, words: int):
@@ -74,6 +74,7 @@ def _setup(run: int, words: int):
                 pa.array([[s[1] for s in c] for c in cut], ints),
                 pa.array([[s[2] for s in c] for c in cut], ints),
                 pa.array([[s[2] for s in o] for o in of], pa.list_(pa.int64())),
+                pa.array([[s[0] for s in o] for o in of], ints),
                 pa.array([[s[1] for s in o] for o in of], ints),
             ]
 
@@ -90,10 +91,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text counts as the same text, with the same result; null ids come after all others.
     """
     ints = T.ArrayType(T.IntegerType())
-    fields = [T.StructField("key", T.LongType()), *[T.StructField(n, ints) for n in ("starts", "ends", "sizes")], T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("lasts", ints)]
+    fields = [T.StructField("key", T.LongType()), *[T.StructField(n, ints) for n in ("starts", "ends", "sizes")], T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("firsts", ints), T.StructField("lasts", ints)]
     cut = staged(with_text_columns(df, text_col, [id_col], fields, _setup(run, words)).withColumnRenamed(id_col, "id"), "spans")
     place = F.struct(F.col("id").isNull().alias("n"), "id", "key", "at").alias("place")
-    each = cut.select("id", "key", F.posexplode(F.arrays_zip("hashes", "lasts")).alias("at", "span")).select(F.col("span.hashes").alias("hash"), place, F.col("span.lasts").alias("last"))
+    each = cut.select("id", "key", F.explode(F.arrays_zip("hashes", "firsts", "lasts")).alias("span"))
+    each = each.select("id", "key", F.col("span.hashes").alias("hash"), F.col("span.firsts").alias("at"), F.col("span.lasts").alias("last")).select("hash", place, "last")
     first = each.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("other")).where("first <> other").select("hash", "first")
     later = each.join(first, "hash").where("place <> first")
     # a row for each (text, sentence) covered
