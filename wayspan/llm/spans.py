@@ -92,17 +92,20 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ints = T.ArrayType(T.IntegerType())
     fields = [T.StructField("key", T.LongType()), *[T.StructField(n, ints) for n in ("starts", "ends", "sizes")], T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("firsts", ints), T.StructField("lasts", ints)]
-    cut = staged(with_text_columns(df, text_col, [id_col], fields, _setup(run, words)).withColumnRenamed(id_col, "id"), "spans")
-    place = F.struct(F.col("id").isNull().alias("n"), "id", "key", "at").alias("place")
-    each = cut.select("id", "key", F.explode(F.arrays_zip("hashes", "firsts", "lasts")).alias("span"))
-    each = each.select("id", "key", F.col("span.hashes").alias("hash"), F.col("span.firsts").alias("at"), F.col("span.lasts").alias("last")).select("hash", place, "last")
-    first = each.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("other")).where("first <> other").select("hash", "first")
+    cut = with_text_columns(df, text_col, [id_col], fields, _setup(run, words)).withColumnRenamed(id_col, "id")
+    mark = F.when(F.col("id").isNull(), F.col("key")).otherwise(F.pmod("key", F.lit(1 << 20)))
+    cut = staged(cut.withColumn("mark", mark).drop("key"), "spans")
+    # texts of one id are told apart by 20 bits of their key, texts without an id by all of it
+    place = F.struct(F.col("id").isNull().alias("n"), "id", "mark", "at").alias("place")
+    each = cut.select("id", "mark", F.explode(F.arrays_zip("hashes", "firsts", "lasts")).alias("span"))
+    each = each.select("id", "mark", F.col("span.hashes").alias("hash"), F.col("span.firsts").alias("at"), (F.col("span.lasts") - F.col("span.firsts")).alias("more"))
+    each = each.select("hash", place, "more")
+    first = each.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first")
     later = each.join(first, "hash").where("place <> first")
-    # a row for each (text, sentence) covered
-    gone = later.select("place.id", "place.key", F.explode(F.sequence("place.at", "last")).alias("at")).distinct()
-    gone = gone.groupBy("id", "key").agg(F.array_sort(F.collect_list("at")).alias("gone"))
-    out = cut.alias("c").join(gone.alias("g"), F.col("c.id").eqNullSafe(F.col("g.id")) & (F.col("c.key") == F.col("g.key")), "left")
-    out = out.select("c.*", F.coalesce("gone", F.expr("array()")).alias("gone"))
+    gone = later.groupBy("place.id", "place.mark").agg(F.collect_list(F.struct("place.at", "more")).alias("runs"))
+    out = cut.alias("c").join(gone.alias("g"), F.col("c.id").eqNullSafe(F.col("g.id")) & (F.col("c.mark") == F.col("g.mark")), "left")
+    covered = F.expr("array_sort(array_distinct(flatten(transform(runs, r -> sequence(r.at, r.at + r.more)))))")
+    out = out.select("c.*", F.coalesce(covered, F.expr("array()")).alias("gone"))
     return out.select(
         F.col("id").alias(id_col),
         F.size("starts").cast("long").alias("n_sentences"),
