@@ -25,6 +25,8 @@ from .common import staged, with_text_columns
 
 SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=[\x20\x09\x0B-\x0D])|[^\n]+")
 LONG, CUT = 16, 8
+#: Bits of a text's hash beside a sentence's place.
+MARK_BITS = 20
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -93,17 +95,19 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ints = T.ArrayType(T.IntegerType())
     fields = [T.StructField("key", T.LongType()), *[T.StructField(n, ints) for n in ("starts", "ends", "sizes")], T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("firsts", ints), T.StructField("lasts", ints)]
     cut = with_text_columns(df, text_col, [id_col], fields, _setup(run, words)).withColumnRenamed(id_col, "id")
-    mark = F.when(F.col("id").isNull(), F.col("key")).otherwise(F.pmod("key", F.lit(1 << 20)))
-    cut = staged(cut.withColumn("mark", mark).drop("key"), "spans")
-    # texts of one id are told apart by 20 bits of their key, texts without an id by all of it
-    place = F.struct(F.col("id").isNull().alias("n"), "id", "mark", "at").alias("place")
-    each = cut.select("id", "mark", F.explode(F.arrays_zip("hashes", "firsts", "lasts")).alias("span"))
-    each = each.select("id", "mark", F.col("span.hashes").alias("hash"), F.col("span.firsts").alias("at"), (F.col("span.lasts") - F.col("span.firsts")).alias("more"))
-    each = each.select("hash", place, "more")
+    mark = F.pmod("key", F.lit(1 << MARK_BITS))
+    own = F.when(F.col("id").isNull(), F.col("key"))  # null, and so least, for texts with an id
+    cut = staged(cut.withColumns({"mark": mark, "own": own}).drop("key"), "spans")
+    # texts of one id are told apart by 20 bits of their key beside the sentence, texts without an id by `own`
+    each = cut.select("own", "id", "mark", F.explode(F.arrays_zip("hashes", "firsts", "lasts")).alias("span"))
+    spot = F.shiftleft(F.col("span.firsts").cast("long"), MARK_BITS) + F.col("mark")
+    each = each.select(F.col("span.hashes").alias("hash"), F.struct("own", "id", spot.alias("spot")).alias("place"), (F.col("span.lasts") - F.col("span.firsts")).alias("more"))
     first = each.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first")
     later = each.join(first, "hash").where("place <> first")
-    gone = later.groupBy("place.id", "place.mark").agg(F.collect_list(F.struct("place.at", "more")).alias("runs"))
-    out = cut.alias("c").join(gone.alias("g"), F.col("c.id").eqNullSafe(F.col("g.id")) & (F.col("c.mark") == F.col("g.mark")), "left")
+    runs = F.struct(F.shiftright("place.spot", MARK_BITS).cast("int").alias("at"), "more")
+    gone = later.groupBy("place.own", "place.id", F.col("place.spot").bitwiseAND((1 << MARK_BITS) - 1).alias("mark")).agg(F.collect_list(runs).alias("runs"))
+    same = F.col("c.own").eqNullSafe(F.col("g.own")) & F.col("c.id").eqNullSafe(F.col("g.id")) & (F.col("c.mark") == F.col("g.mark"))
+    out = cut.alias("c").join(gone.alias("g"), same, "left")
     covered = F.expr("array_sort(array_distinct(flatten(transform(runs, r -> sequence(r.at, r.at + r.more)))))")
     out = out.select("c.*", F.coalesce(covered, F.expr("array()")).alias("gone"))
     return out.select(
