@@ -102,7 +102,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = cut.select("own", "id", "mark", F.explode(F.arrays_zip("hashes", "firsts", "lasts")).alias("span"))
     spot = F.shiftleft(F.col("span.firsts").cast("long"), MARK_BITS) + F.col("mark")
     each = each.select(F.col("span.hashes").alias("hash"), F.struct("own", "id", spot.alias("spot")).alias("place"), (F.col("span.lasts") - F.col("span.firsts")).alias("more"))
-    first = each.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first")
+    first = each.groupBy("hash").agg(F.min("place").alias("first"))
     later = each.join(first, "hash").where("place <> first")
     runs = F.struct(F.shiftright("place.spot", MARK_BITS).cast("int").alias("at"), "more")
     gone = later.groupBy("place.own", "place.id", F.col("place.spot").bitwiseAND((1 << MARK_BITS) - 1).alias("mark")).agg(F.collect_list(runs).alias("runs"))
