@@ -201,18 +201,22 @@ def trip_sequences(fx):
 
 
 STEPS = "SELECT *, dep_sec - lag(dep_sec) OVER (PARTITION BY trip_id ORDER BY pos) AS delta, lead(arr_sec) OVER (PARTITION BY trip_id ORDER BY pos) - dep_sec AS ride, lead(stop_id) OVER (PARTITION BY trip_id ORDER BY pos) AS next_stop, count(*) OVER (PARTITION BY trip_id) AS n FROM fx_ev"
-ALONG = W.partitionBy("trip_id").orderBy("pos")
+
+
+def along():
+    return W.partitionBy("trip_id").orderBy("pos")
+
 
 
 @query("SELECT trip_id, bool_and(delta IS NULL OR delta >= 0) AND count(*) >= 2 AS valid FROM steps GROUP BY trip_id", {"steps": STEPS})
 def trip_validity(fx):
-    delta = fx.fx_ev.withColumn("delta", F.col("dep_sec") - F.lag("dep_sec").over(ALONG))
+    delta = fx.fx_ev.withColumn("delta", F.col("dep_sec") - F.lag("dep_sec").over(along()))
     return delta.groupBy("trip_id").agg((F.bool_and(F.col("delta").isNull() | (F.col("delta") >= 0)) & (F.count("*") >= 2)).alias("valid"))
 
 
 @query("SELECT trip_id, pos, delta FROM steps", {"steps": STEPS})
 def departure_deltas(fx):
-    return fx.fx_ev.select("trip_id", "pos", (F.col("dep_sec") - F.lag("dep_sec").over(ALONG)).alias("delta"))
+    return fx.fx_ev.select("trip_id", "pos", (F.col("dep_sec") - F.lag("dep_sec").over(along())).alias("delta"))
 
 
 @query("SELECT trip_id, pos, CASE WHEN pos = 1 OR pos = n THEN 0 ELSE greatest(0, dep_sec - arr_sec) END AS dwell FROM steps", {"steps": STEPS})
@@ -223,14 +227,14 @@ def dwell_times(fx):
 
 @query("SELECT trip_id, pos, greatest(ride, 0) AS ride FROM steps WHERE ride IS NOT NULL", {"steps": STEPS})
 def hop_ride_time(fx):
-    hop = fx.fx_ev.select("trip_id", "pos", (F.lead("arr_sec").over(ALONG) - F.col("dep_sec")).alias("ride"))
+    hop = fx.fx_ev.select("trip_id", "pos", (F.lead("arr_sec").over(along()) - F.col("dep_sec")).alias("ride"))
     return hop.where("ride is not null").select("trip_id", "pos", F.greatest("ride", F.lit(0)).alias("ride"))
 
 
 @query("SELECT trip_id, pos, CAST(sum(coalesce(delta, 0)) OVER (PARTITION BY trip_id ORDER BY pos) AS BIGINT) AS cum FROM steps", {"steps": STEPS})
 def profile_cumsum(fx):
-    delta = fx.fx_ev.withColumn("delta", F.coalesce(F.col("dep_sec") - F.lag("dep_sec").over(ALONG), F.lit(0)))
-    return delta.select("trip_id", "pos", F.sum("delta").over(ALONG.rowsBetween(W.unboundedPreceding, 0)).cast("long").alias("cum"))
+    delta = fx.fx_ev.withColumn("delta", F.coalesce(F.col("dep_sec") - F.lag("dep_sec").over(along()), F.lit(0)))
+    return delta.select("trip_id", "pos", F.sum("delta").over(along().rowsBetween(W.unboundedPreceding, 0)).cast("long").alias("cum"))
 
 
 @query("SELECT stop_id AS u, next_stop AS v, min(greatest(ride, 0)) AS sec FROM steps WHERE ride IS NOT NULL GROUP BY ALL", {"steps": STEPS})
@@ -240,7 +244,7 @@ def min_ride_edges(fx):
 
 def ride_edges(fx) -> DataFrame:
     """(u, v, sec): the shortest ride between neighbouring stops of any run."""
-    hop = fx.fx_ev.select(F.col("stop_id").alias("u"), F.lead("stop_id").over(ALONG).alias("v"), (F.lead("arr_sec").over(ALONG) - F.col("dep_sec")).alias("ride"))
+    hop = fx.fx_ev.select(F.col("stop_id").alias("u"), F.lead("stop_id").over(along()).alias("v"), (F.lead("arr_sec").over(along()) - F.col("dep_sec")).alias("ride"))
     return hop.where("ride is not null").groupBy("u", "v").agg(F.min(F.greatest("ride", F.lit(0))).alias("sec"))
 
 
