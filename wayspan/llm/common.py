@@ -43,11 +43,11 @@ def n_words(text: str):
     return F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes the rows to the shared folder and reads them back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,8 +25,8 @@ from .common import staged, with_text_columns
 
 SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=[\x20\x09\x0B-\x0D])|[^\n]+")
 LONG, CUT = 16, 8
-#: Bits of a text's hash beside a sentence's place.
-MARK_BITS = 20
+#: Bits of a text's hash, and of the number of a span's further sentences, beside its first sentence's place.
+MARK_BITS, MORE_BITS = 20, 12
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -77,7 +77,7 @@ def _setup(run: int, words: int):
                 pa.array([[s[2] for s in c] for c in cut], ints),
                 pa.array([[s[2] for s in o] for o in of], pa.list_(pa.int64())),
                 pa.array([[s[0] for s in o] for o in of], ints),
-                pa.array([[s[1] for s in o] for o in of], ints),
+                pa.array([[s[1] - s[0] for s in o] for o in of], ints),
             ]
 
         return columns
@@ -91,20 +91,25 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A range covers removed sentences that follow each other; ``without`` cuts them out.
     Null, empty and short texts have nothing removed. A row that repeats another in id and
     text counts as the same text, with the same result; null ids come after all others.
+    A span has ``run`` or ``words`` sentences at most, and so ``2 ** MORE_BITS`` bounds both.
     """
+    if max(run, words) > 1 << MORE_BITS:
+        raise ValueError(f"run and words may be {1 << MORE_BITS} at most")
     ints = T.ArrayType(T.IntegerType())
-    fields = [T.StructField("key", T.LongType()), *[T.StructField(n, ints) for n in ("starts", "ends", "sizes")], T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("firsts", ints), T.StructField("lasts", ints)]
+    fields = [T.StructField("key", T.LongType()), *[T.StructField(n, ints) for n in ("starts", "ends", "sizes")], T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("firsts", ints), T.StructField("mores", ints)]
     cut = with_text_columns(df, text_col, [id_col], fields, _setup(run, words)).withColumnRenamed(id_col, "id")
     mark = F.pmod("key", F.lit(1 << MARK_BITS))
     own = F.when(F.col("id").isNull(), F.col("key"))  # null, and so least, for texts with an id
-    cut = staged(cut.withColumns({"mark": mark, "own": own}).drop("key"), "spans")
+    cut = staged(cut.withColumns({"mark": mark, "own": own}).drop("key"), "spans", "zstd")
     # texts of one id are told apart by 20 bits of their key beside the sentence, texts without an id by `own`
-    each = cut.select("own", "id", "mark", F.explode(F.arrays_zip("hashes", "firsts", "lasts")).alias("span"))
-    spot = F.shiftleft(F.col("span.firsts").cast("long"), MARK_BITS) + F.col("mark")
-    each = each.select(F.col("span.hashes").alias("hash"), F.struct("own", "id", spot.alias("spot")).alias("place"), (F.col("span.lasts") - F.col("span.firsts")).alias("more"))
+    each = cut.select("own", "id", "mark", F.explode(F.arrays_zip("hashes", "firsts", "mores")).alias("span"))
+    # spans of one hash that start at one place are one span, so a place may hold their length too
+    spot = F.shiftleft(F.shiftleft(F.col("span.firsts").cast("long"), MORE_BITS) + F.col("span.mores"), MARK_BITS) + F.col("mark")
+    each = each.select(F.col("span.hashes").alias("hash"), F.struct("own", "id", spot.alias("spot")).alias("place"))
     first = each.groupBy("hash").agg(F.min("place").alias("first"))
     later = each.join(first, "hash").where("place <> first")
-    runs = F.struct(F.shiftright("place.spot", MARK_BITS).cast("int").alias("at"), "more")
+    more = F.shiftright("place.spot", MARK_BITS).bitwiseAND((1 << MORE_BITS) - 1)
+    runs = F.struct(F.shiftright("place.spot", MARK_BITS + MORE_BITS).cast("int").alias("at"), more.cast("int").alias("more"))
     gone = later.groupBy("place.own", "place.id", F.col("place.spot").bitwiseAND((1 << MARK_BITS) - 1).alias("mark")).agg(F.collect_list(runs).alias("runs"))
     same = F.col("c.own").eqNullSafe(F.col("g.own")) & F.col("c.id").eqNullSafe(F.col("g.id")) & (F.col("c.mark") == F.col("g.mark"))
     out = cut.alias("c").join(gone.alias("g"), same, "left")
