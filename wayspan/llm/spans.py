@@ -106,7 +106,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # spans of one hash that start at one place are one span, so a place may hold their length too
     spot = F.shiftleft(F.shiftleft(F.col("span.firsts").cast("long"), MORE_BITS) + F.col("span.mores"), MARK_BITS) + F.col("mark")
     each = each.select(F.col("span.hashes").alias("hash"), F.struct("own", "id", spot.alias("spot")).alias("place"))
-    first = each.groupBy("hash").agg(F.min("place").alias("first"))
+    # only what repeats, and written: the join then has plain shuffles on both sides, so that
+    # Spark can split the rows of a very common passage over tasks
+    first = each.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = staged(first, "spans-first", "zstd")
     later = each.join(first, "hash").where("place <> first")
     more = F.shiftright("place.spot", MARK_BITS).bitwiseAND((1 << MORE_BITS) - 1)
     runs = F.struct(F.shiftright("place.spot", MARK_BITS + MORE_BITS).cast("int").alias("at"), more.cast("int").alias("more"))
