@@ -422,3 +422,74 @@ def walk_times(fx):
 
 
 ORACLES["walk_times"] = ORACLES["walk_times"].replace("\nSELECT node, t FROM wave", f", {WAVE}\nSELECT node, t FROM wave")
+
+
+# more aggregates and sets
+@query("SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM fx_walk_edges")
+def canonical_edges(fx):
+    return fx.fx_walk_edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+@query("SELECT count(*) AS edges, CAST(sum(len_m) AS BIGINT) AS metres FROM fx_walk_edges")
+def network_totals(fx):
+    return fx.fx_walk_edges.agg(F.count("*").alias("edges"), F.sum("len_m").cast("long").alias("metres"))
+
+
+@query(f"SELECT e.trip_id FROM fx_ev e JOIN fx_stops s ON s.stop_id = e.stop_id GROUP BY e.trip_id HAVING bool_or(s.lat BETWEEN {GRID[0]} AND {GRID[2]} AND s.lon BETWEEN {GRID[1]} AND {GRID[3]})")
+def trip_bbox_filter(fx):
+    """Runs with any stop in the box, its edges included."""
+    inside = F.col("lat").between(GRID[0], GRID[2]) & F.col("lon").between(GRID[1], GRID[3])
+    return fx.fx_ev.join(fx.fx_stops.where(inside), "stop_id", "left_semi").select("trip_id").distinct()
+
+
+@query("SELECT trip_id, bool_or(pos > 1 AND pos < n AND dep_sec > arr_sec) AS any_dwell, bool_or(flags <> 0) AS any_flag FROM (SELECT *, count(*) OVER (PARTITION BY trip_id) AS n FROM fx_ev) GROUP BY trip_id")
+def dwell_flags_any(fx):
+    # the first stop with a dwell behind the first stop lies before the last stop
+    dwells = F.min(F.when((F.col("pos") > 1) & (F.col("dep_sec") > F.col("arr_sec")), F.col("pos")))
+    return fx.fx_ev.groupBy("trip_id").agg(F.coalesce(dwells < F.max("pos"), F.lit(False)).alias("any_dwell"), F.bool_or(F.col("flags") != 0).alias("any_flag"))
+
+
+@query("SELECT route_name, trip_ref, arg_min(delay_sec, event_id) AS delay_sec FROM fx_delay_obs GROUP BY ALL")
+def obs_dedup_first(fx):
+    return fx.fx_delay_obs.groupBy("route_name", "trip_ref").agg(F.min_by("delay_sec", "event_id").alias("delay_sec"))
+
+
+@query("SELECT route_name, trip_ref, arg_max(delay_sec, event_id) AS delay_sec FROM fx_delay_obs GROUP BY ALL")
+def obs_dedup_last(fx):
+    return fx.fx_delay_obs.groupBy("route_name", "trip_ref").agg(F.max_by("delay_sec", "event_id").alias("delay_sec"))
+
+
+@query("SELECT coalesce(min(date) FILTER (WHERE dayofweek(date) BETWEEN 2 AND 4), min(date) FILTER (WHERE dayofweek(date) BETWEEN 1 AND 5)) AS workday, min(date) FILTER (WHERE dayofweek(date) = 6) AS saturday, min(date) FILTER (WHERE dayofweek(date) = 0) AS sunday FROM served", {"dates": DATES, "served": SERVED})
+def representative_days(fx):
+    first = lambda of: F.min(F.when(of, F.col("date")))
+    day = X.weekday(F.col("date"))
+    return served(fx).agg(F.coalesce(first(day.between(2, 4)), first(day.between(1, 5))).alias("workday"), first(day == 6).alias("saturday"), first(day == 0).alias("sunday"))
+
+
+ACCESS_B = ACCESS.replace(str(A[0]), str(B[0])).replace(str(A[1]), str(B[1]))
+
+
+@query("SELECT stop_id, greatest(a.sec, b.sec) AS sec FROM access a JOIN access_b b USING (stop_id)", {"access": ACCESS, "access_b": ACCESS_B})
+def compare_max(fx):
+    """The later of two arrivals; a stop that either origin doesn't reach is left out."""
+    a, b = (reach.access(fx.fx_stops, *at).select("stop_id", F.col("sec").alias(n)) for at, n in ((A, "sec_a"), (B, "sec_b")))
+    return a.join(b, "stop_id").select("stop_id", F.greatest("sec_a", "sec_b").alias("sec"))
+
+
+@query(f"SELECT count(*) FILTER (WHERE t - {T0} <= 5400) AS reachable FROM b2", round_sql(2))
+def reachable_count(fx):
+    return QUERIES["raptor_r2"](fx.spark, fx.sf_dir).agg(F.count_if(F.col("arr_sec") - T0 <= 5400).alias("reachable"))
+
+
+PARTS = """parts(node, label) USING KEY (node) AS (SELECT node_id, node_id FROM fx_walk_nodes UNION
+  SELECT e.v, min(r.label) FROM parts r JOIN adj e ON e.u = r.node JOIN recurring.parts b ON b.node = e.v WHERE r.label < b.label GROUP BY e.v)"""
+
+
+@query("SELECT label, nodes FROM (SELECT label, count(*) AS nodes FROM parts JOIN fx_walk_nodes ON node_id = node GROUP BY label) ORDER BY nodes DESC, label LIMIT 1", {"adj": ADJ})
+def main_component(fx):
+    """The walking network's largest component by its least node (the least one of equals)."""
+    found = reach.least_member(fx.fx_walk_nodes.select(F.col("node_id").alias("node")), fx.fx_walk_edges.select("u", "v"))
+    return found.groupBy("label").agg(F.count("*").alias("nodes")).orderBy(F.desc("nodes"), "label").limit(1)
+
+
+ORACLES["main_component"] = ORACLES["main_component"].replace("\nSELECT label, nodes", f", {PARTS}\nSELECT label, nodes")
