@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from wayspan.plans.catalog import ORACLES, QUERIES
+from wayspan.plans.registered import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

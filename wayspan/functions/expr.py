@@ -91,3 +91,10 @@ def band_minutes(sec: Column) -> Column:
     for m in BANDS_MIN:
         out = F.when(sec <= m * 60, m) if out is None else out.when(sec <= m * 60, m)
     return out
+
+
+def km_text(metres: Column) -> Column:
+    """Kilometres with one decimal, none from 9.95 on; a dash for null or 0."""
+    whole, tenths = js_round(metres / 1000).cast("string"), js_round(metres / 100)
+    short = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(metres >= 9950, whole).when(metres > 0, short).otherwise("—")

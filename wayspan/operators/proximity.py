@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -57,3 +57,31 @@ def access_walk(stops: DataFrame, lat: float, lon: float) -> DataFrame:
     """(stop_id, metres, sec) of stops that a walk within the horizon reaches."""
     m = X.distance_m(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))
     return stops.select("stop_id", m.alias("metres")).where(F.col("metres") <= X.HORIZON_S * X.WALK_MPS).withColumn("sec", X.walk_seconds(F.col("metres")))
+
+
+def group_adjacency(stops: DataFrame) -> DataFrame:
+    """(u, v, sec): stops of one ``group_id``, both ways."""
+    x, y = (stops.select(F.col("stop_id").alias(i), "group_id", F.col("lat").alias(f"lat_{i}"), F.col("lon").alias(f"lon_{i}")) for i in "ab")
+    m = X.distance_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    return both_ways(x.join(y, "group_id").where("a < b").select("a", "b", X.walk_seconds(m).alias("sec")))
+
+
+def access_nowalk(stops: DataFrame, lat: float, lon: float) -> DataFrame:
+    """(stop_id, sec 0): the stop nearest to a point (least id of equals), its group and stops at most 150 m from it."""
+    m = X.distance_m(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))
+    o = stops.agg(F.min_by(F.struct("lat", "lon", "group_id"), F.struct(m, "stop_id")).alias("o"))
+    near = X.distance_m(F.col("o.lat"), F.col("o.lon"), F.col("lat"), F.col("lon")) <= X.COMPLEX_MAX_M
+    return stops.join(F.broadcast(o)).where((F.col("group_id") == F.col("o.group_id")) | near).select("stop_id", F.lit(0).alias("sec"))
+
+
+def next_departure(asked: DataFrame, ev: DataFrame) -> DataFrame:
+    """(stop_id, at_sec, dep_sec): the first departure at or after each asked (stop_id, at_sec).
+
+    Both sides are laid in one order of stop and time and each question takes the next
+    departure behind it, so a busy stop costs a sort and not a row a pair; times are made
+    distinct first, so a stop has at most two rows a second.
+    """
+    rows = asked.select("stop_id", F.col("at_sec").cast("long").alias("t"), F.lit(0).alias("kind")).distinct().unionByName(ev.select("stop_id", F.col("dep_sec").cast("long").alias("t"), F.lit(1).alias("kind")).distinct())
+    ahead = Window.partitionBy("stop_id").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.select("stop_id", F.col("t").alias("at_sec"), "kind", F.min(F.when(F.col("kind") == 1, F.col("t"))).over(ahead).alias("dep_sec"))
+    return found.where("kind = 0 and dep_sec is not null").select("stop_id", "at_sec", "dep_sec")

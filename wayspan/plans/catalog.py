@@ -20,10 +20,11 @@ GRID = (52.199, 20.998, 52.212, 21.040)
 M = "111320.0"
 
 
-def query(sql: str, more: dict[str, str] | None = None):
+def query(sql: str | None = None, more: dict[str, str] | None = None):
     def register(f: Callable[[Fixtures], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
-        ORACLES[f.__name__] = with_tables(sql, more)
+        if sql:
+            ORACLES[f.__name__] = with_tables(sql, more)
         return f
 
     return register

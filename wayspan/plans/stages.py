@@ -5,15 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the folder in spark.checkpoint.dir (a temporary one where unset) and reads them back."""
-    spark = df.sparkSession
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder in spark.checkpoint.dir (a temporary one where unset)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayspan-"))
-    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes the rows to a new path of the shared folder and reads them back."""
+    spark = df.sparkSession
+    path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
