@@ -85,3 +85,16 @@ def next_departure(asked: DataFrame, ev: DataFrame) -> DataFrame:
     ahead = Window.partitionBy("stop_id").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     found = rows.select("stop_id", F.col("t").alias("at_sec"), "kind", F.min(F.when(F.col("kind") == 1, F.col("t"))).over(ahead).alias("dep_sec"))
     return found.where("kind = 0 and dep_sec is not null").select("stop_id", "at_sec", "dep_sec")
+
+
+def near_stops(places: DataFrame, key: str, stops: DataFrame, metres: float) -> DataFrame:
+    """(key, stop_id, m): stops at most ``metres`` from each place (key, lat, lon), joined on grid cells."""
+    far = places.select("lat").unionByName(stops.select("lat")).agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    step_lat = metres / X.M_PER_DEG
+    step_lon = step_lat / max(math.cos(math.radians(min(far + step_lat, 89.9))), 1e-6)
+    near = F.sequence(F.lit(-1), F.lit(1))
+    p = places.select(key, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near))
+    p = p.withColumn("cy", F.floor(F.col("p_lat") / step_lat) + F.col("dy")).withColumn("cx", F.floor(F.col("p_lon") / step_lon) + F.col("dx"))
+    s = stops.select("stop_id", "lat", "lon", F.floor(F.col("lat") / step_lat).alias("cy"), F.floor(F.col("lon") / step_lon).alias("cx"))
+    m = X.distance_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
+    return p.join(s, ["cy", "cx"]).select(key, "stop_id", m.alias("m")).where(F.col("m") <= metres)
