@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..plans.stages import staged
 
 #: Fixed values that results depend on.
 MAX_CELLS, MIN_RES_M, DIAGONAL = 4_000_000, 25, 1.4142135623730951
@@ -94,7 +95,7 @@ def stroke(lines: DataFrame, grid: Grid, least_px: float, width_m: float) -> Dat
 
 
 def moves(land: DataFrame, grid: Grid) -> DataFrame:
-    """(u, v, sec, sec10): walks from each land cell to its eight neighbours on land, in seconds and in units of 0.1 m."""
+    """(u, v, sec, step_m): walks from each land cell to its eight neighbours on land, in seconds and metres."""
     orth = max(1, int(grid.res / X.WALK_MPS + 0.5))
     diag = int(orth * DIAGONAL + 0.5)
     d = F.sequence(F.lit(-1), F.lit(1))
@@ -116,3 +117,29 @@ def paint(edges: DataFrame, nodes: DataFrame, times: DataFrame, grid: Grid) -> D
     sec = F.floor(F.least(to("t_u", F.col("f")), to("t_v", 1 - F.col("f")))).cast("long")
     mix = lambda c: F.col(f"{c}_u") + (F.col(f"{c}_v") - F.col(f"{c}_u")) * F.col("f")
     return e.select(grid.cell(mix("lat"), mix("lon")).alias("cell"), sec.alias("sec")).where("cell is not null").groupBy("cell").agg(F.min("sec").alias("sec"))
+
+
+def spread(times: DataFrame, walks: DataFrame, grid: Grid, metres: float = SPREAD_M) -> DataFrame:
+    """(cell, sec): times (cell, sec) carried on over ``walks`` for at most ``metres`` from where they stood.
+
+    Of equal times the one with the smaller spread stays. As a step is a cell wide at least,
+    the number of rounds is fixed.
+    """
+    label = times.select("cell", F.struct(F.col("sec"), F.lit(0.0).alias("m")).alias("best"))
+    for _ in range(int(metres / grid.res)):
+        gone = label.join(walks, label["cell"] == walks["u"]).where(F.col("best.m") + F.col("step_m") <= metres)
+        gone = gone.select(F.col("v").alias("cell"), F.struct((F.col("best.sec") + F.col("sec")).alias("sec"), (F.col("best.m") + F.col("step_m")).alias("m")).alias("best"))
+        label = staged(label.unionByName(gone).groupBy("cell").agg(F.min("best").alias("best")), "spread")
+    return label.select("cell", "best.sec")
+
+
+def near_cells(seeds: DataFrame, walks: DataFrame, grid: Grid, metres: float = NO_WALK_M) -> DataFrame:
+    """(cell, sec): the least seed time (node, t) among seeds at most ``metres`` over land away; walking takes no time.
+
+    Rows are by seed and cell, so that no wave stops another; a seed has few cells in reach.
+    """
+    label = seeds.select(F.col("node").alias("seed"), F.col("node").alias("cell"), F.lit(0.0).alias("m"))
+    for _ in range(int(metres / grid.res)):
+        gone = label.join(walks, label["cell"] == walks["u"]).where(F.col("m") + F.col("step_m") <= metres).select("seed", F.col("v").alias("cell"), (F.col("m") + F.col("step_m")).alias("m"))
+        label = staged(label.unionByName(gone).groupBy("seed", "cell").agg(F.min("m").alias("m")), "near")
+    return label.join(seeds.select(F.col("node").alias("seed"), "t"), "seed").groupBy("cell").agg(F.min("t").alias("sec"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import proximity, raster, reach
+from ..operators import search as searches
 from ..operators.raster import Grid
+from ..sources import streets
 from ..streaming import delays
 from .catalog import A, ACCESS, ADJ, FOOT, HIST, NEAR_M, PAIRS, RND, T0, WALK, adjacency, dist, query, round_sql
 from .stages import stage_path, staged
@@ -134,3 +136,123 @@ def max_band_distance(fx):
 def stream_delay_histogram(fx):
     """The histogram kept by a stream over the events, all of them taken in one run."""
     return delays.histogram_of_stream(fx.spark, f"{fx.sf_dir}/events.parquet", stage_path(fx.spark, "live"))
+
+
+# searches with more than times
+CAREFUL_PAT = "SELECT e.*, p.pattern FROM fx_ev e JOIN (SELECT trip_id, any_value(route_id) || ':' || string_agg(stop_id || '/' || flags, '-' ORDER BY pos) AS pattern FROM fx_ev GROUP BY trip_id) p USING (trip_id)"
+
+
+def careful_sql(rounds: int) -> dict[str, str]:
+    out = {"access": ACCESS, "pairs": PAIRS, "foot": FOOT, "named": CAREFUL_PAT, "b0": f"SELECT stop_id, {T0} + sec AS t, 0 AS k FROM access WHERE m <= {NEAR_M}"}
+    cap = T0 + X.HORIZON_S
+    factor = "CASE WHEN route_type IN (3, 11) THEN 1.15e0 WHEN route_type = 0 THEN 1.05e0 WHEN route_type = 2 THEN 1.02e0 ELSE 1.1e0 END"
+    for k in range(1, rounds + 1):
+        p, wait = f"b{k - 1}", 0 if k == 1 else 240
+        out[f"c{k}"] = f"SELECT e.trip_id, min(e.pos) AS on_pos, arg_min(e.dep_sec, e.pos) AS on_dep FROM named e JOIN {p} b ON b.stop_id = e.stop_id WHERE b.k = {k - 1} AND e.flags & 1 = 0 AND e.dep_sec >= b.t + {wait} AND e.dep_sec <= {cap} GROUP BY e.trip_id"
+        out[f"h{k}"] = f"SELECT e.stop_id, e.route_type, e.flags, e.arr_sec, c.on_dep FROM named e JOIN c{k} c ON c.trip_id = e.trip_id WHERE e.pos > c.on_pos QUALIFY row_number() OVER (PARTITION BY e.pattern, e.pos ORDER BY e.dep_sec, c.on_pos, e.trip_id) = 1"
+        out[f"r{k}"] = f"SELECT r.* FROM (SELECT stop_id, min(a) AS t FROM (SELECT stop_id, arr_sec + CAST(floor((arr_sec - on_dep) * ({factor} - 1.0e0) + 0.5) AS BIGINT) AS a FROM h{k} WHERE flags & 2 = 0) WHERE a <= {cap} GROUP BY stop_id) r LEFT JOIN {p} b ON b.stop_id = r.stop_id WHERE b.t IS NULL OR r.t < b.t"
+        out[f"n{k}"] = f"SELECT stop_id, min(t) AS t FROM (SELECT stop_id, t FROM r{k} UNION ALL SELECT f.v, r.t + greatest(f.sec, 240) FROM r{k} r JOIN foot f ON f.u = r.stop_id WHERE r.t + greatest(f.sec, 240) <= {cap}) GROUP BY stop_id"
+        out[f"b{k}"] = f"SELECT coalesce(b.stop_id, n.stop_id) AS stop_id, least(b.t, n.t) AS t, CASE WHEN b.t IS NULL OR n.t < b.t THEN {k} ELSE b.k END AS k FROM {p} b FULL JOIN n{k} n ON n.stop_id = b.stop_id"
+    return out
+
+
+@query("SELECT stop_id, t AS arr_sec FROM b2", careful_sql(2))
+def raptor_cautious(fx):
+    foot = proximity.both_ways(proximity.transfer_pairs(fx.fx_stops))
+    return searches.cautious(fx.fx_ev, reach.access(fx.fx_stops, *A, NEAR_M), foot, T0, 2)
+
+
+@query()
+def journey_legs(fx):
+    """The legs of the earliest journey to every stop within two rounds."""
+    foot = proximity.both_ways(proximity.transfer_pairs(fx.fx_stops))
+    return searches.journeys(fx.fx_ev, reach.access(fx.fx_stops, *A, NEAR_M), foot, T0, 2)
+
+
+HALF = "SELECT u, v, u || '-' || v AS e, 0 AS d, len_m FROM fx_walk_edges UNION ALL SELECT v, u, u || '-' || v, 1, len_m FROM fx_walk_edges"
+CHAIN = """chain(start, e0, d0, node, e, d, len_m) AS (SELECT h.u, h.e, h.d, h.v, h.e, h.d, h.len_m FROM half h WHERE h.u NOT IN (SELECT u FROM two)
+  UNION ALL SELECT c.start, c.e0, c.d0, h.v, h.e, h.d, c.len_m + h.len_m FROM chain c JOIN half h ON h.u = c.node AND h.e <> c.e WHERE c.node IN (SELECT u FROM two))"""
+
+
+@query("SELECT u, v, CAST(len_m AS BIGINT) AS len_m FROM (SELECT least(start, node) AS u, greatest(start, node) AS v, len_m, row_number() OVER (PARTITION BY least((e0, d0), (e, 1 - d)), greatest((e0, d0), (e, 1 - d)) ORDER BY start) AS k FROM chain WHERE node NOT IN (SELECT u FROM two)) WHERE k = 1", {"half": HALF, "two": "SELECT u FROM half GROUP BY u HAVING count(*) = 2"})
+def graph_contract(fx):
+    return searches.contract(fx.fx_walk_edges)
+
+
+recursive("graph_contract", CHAIN)
+
+
+# waves
+def wave(fx, seeds: DataFrame) -> DataFrame:
+    """Times along streets from seeds (node, t), painted on the grid and carried on for 75 m over land."""
+    grid = grid_of(fx)
+    land = staged(land_of(fx, grid), "land")
+    times = reach.shortest(seeds, adjacency(fx.fx_walk_edges), 900).where("t <= 900")
+    painted = raster.paint(fx.fx_walk_edges, fx.fx_walk_nodes, times, grid)
+    return raster.spread(painted, raster.moves(land, grid), grid)
+
+
+def snapped(fx, places: DataFrame) -> DataFrame:
+    """(node, t): the street node nearest to each place (place, lat, lon, sec), with the walk to it."""
+    nodes = fx.fx_walk_nodes.select(F.col("node_id").alias("stop_id"), "lat", "lon")
+    near = proximity.near_stops(places.select("place", "lat", "lon"), "place", nodes, 400)
+    near = near.groupBy("place").agg(F.min(F.struct("m", "stop_id")).alias("o")).join(places.select("place", "sec"), "place")
+    return near.select(F.col("o.stop_id").alias("node"), (F.col("sec") + X.js_round(F.col("o.m") / X.NET_WALK_MPS)).cast("long").alias("t"))
+
+
+@query()
+def walk_wave(fx):
+    """A quarter of an hour's walk on from the stops reached in ten minutes."""
+    at = reach.access(fx.fx_stops, *A).where("sec <= 600").join(fx.fx_stops, "stop_id")
+    return wave(fx, snapped(fx, at.select(F.col("stop_id").alias("place"), "lat", "lon", "sec")))
+
+
+@query()
+def walk_only(fx):
+    """A quarter of an hour's walk from the origin, no vehicle taken."""
+    origin = fx.fx_walk_nodes.agg(F.lit(0).alias("place"), F.lit(A[0]).alias("lat"), F.lit(A[1]).alias("lon"), F.lit(0).cast("long").alias("sec"))
+    return wave(fx, snapped(fx, origin))
+
+
+NEAR = ", ".join([f"w0 AS (SELECT cell AS seed, cell, 0.0e0 AS m FROM seeds)"] + [f"w{k} AS (SELECT seed, cell, min(m) AS m FROM (SELECT * FROM w{k - 1} UNION ALL SELECT w.seed, x.v, w.m + x.step FROM w{k - 1} w JOIN (SELECT u, v, CASE sec WHEN 26 THEN 25.0e0 ELSE 25 * 1.4142135623730951e0 END AS step FROM moves) x ON x.u = w.cell WHERE w.m + x.step <= 200) GROUP BY seed, cell)" for k in range(1, 9)])
+
+
+@query("SELECT w8.cell, min(s.sec) AS sec FROM w8 JOIN seeds s ON s.cell = w8.seed GROUP BY w8.cell", {"access": ACCESS, **GROUND, "moves": MOVES, "seeds": SEEDS})
+def grid_nowalk(fx):
+    """Arrivals at the stops near the origin, held 200 m round them over land."""
+    grid = grid_of(fx)
+    land = staged(land_of(fx, grid), "land")
+    return raster.near_cells(seeds_of(fx, grid, land), staged(raster.moves(land, grid), "moves"), grid)
+
+
+recursive("grid_nowalk", NEAR)
+
+
+# documents of streets and cities
+TAGS = "CASE p_size % 6 WHEN 0 THEN 'motorway' WHEN 1 THEN NULL ELSE 'footway' END AS highway, CASE WHEN p_size % 7 = 0 THEN 'no' END AS foot, CASE WHEN p_size % 11 = 0 THEN 'private' WHEN p_size % 11 = 1 THEN 'yes' END AS access, CASE WHEN p_size % 13 = 0 THEN 'driveway' END AS service"
+
+
+def street_docs(fx) -> DataFrame:
+    tag = fx.sql(f"SELECT p_partkey AS id, {TAGS} FROM part", part=fx.part)
+    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in ("highway", "foot", "access", "service")]), lambda p: p["value"].isNotNull())
+    way = F.struct(F.lit("way").alias("type"), "id", F.array("id", F.col("id") + 1).alias("nodes"), F.map_from_entries(pairs).alias("tags"))
+    return tag.select(F.to_json(F.struct(F.array(way).alias("elements"))).alias("doc"))
+
+
+@query("SELECT p_partkey AS id, 2 AS n_nodes FROM part")
+def osm_elements_explode(fx):
+    return streets.elements(street_docs(fx), "doc").select("id", F.size("nodes").alias("n_nodes"))
+
+
+@query(f"SELECT id FROM (SELECT p_partkey AS id, {TAGS} FROM part) WHERE highway = 'footway' AND foot IS NULL AND coalesce(access, '') <> 'private' AND service IS NULL")
+def walkable_filter(fx):
+    return streets.elements(street_docs(fx), "doc").where(streets.walkable(F.col("tags"))).select("id")
+
+
+@query("SELECT n_name AS city, i AS feed, CAST(s_suppkey AS VARCHAR) AS url FROM (SELECT n_name, s_suppkey, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) - 1 AS i FROM supplier JOIN nation ON n_nationkey = s_nationkey)")
+def city_config_explode(fx):
+    """A document a city with its feeds, taken apart to rows."""
+    feed = F.struct(F.col("s_suppkey").cast("string").alias("url"))
+    rows = fx.supplier.join(fx.nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", feed.alias("feed")))).alias("l"))
+    doc = rows.select(F.to_json(F.create_map("n_name", F.struct(F.transform("l", lambda x: x["feed"]).alias("feeds")))).alias("doc"))
+    return streets.city_feeds(doc, "doc")
