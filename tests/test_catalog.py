@@ -22,6 +22,8 @@ def test_query(spark, duck, name):
     cols = sorted(got.columns)
     cell = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
     rows = sorted(tuple(cell(r[c]) for c in cols) for r in got.collect())
+    if name not in ORACLES:  # tested in test_search.py and test_rings.py
+        return
     result = duck.execute(ORACLES[name])
     at = [x[0] for x in result.description]
     assert sorted(at) == cols
