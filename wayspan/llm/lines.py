@@ -52,12 +52,19 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the first place of a gram is looked for among all grams, selected in their text or not
     every = of.select(text.alias("text"), F.posexplode("gram").alias("pos", "gram")).select("gram", F.struct("text", "pos").alias("place"))
     first = every.groupBy("gram").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("gram", "first")
+    if run == window == 1:  # every line is its own fingerprint: nothing to extend; written, so that a very common line can be split
+        later = marks.join(staged(first, "lines-first"), "gram").where("place <> first")
+        return _with_gone(of, text, later.select("place.text", F.col("place.pos").alias("line")))
     later = marks.join(first, "gram").where("place <> first")
     match = later.select("place.text", F.col("first.text").alias("of"), (F.col("first.pos") - F.col("place.pos")).alias("shift")).distinct()
     own = of.select(text.alias("text"), "gram")
     match = match.join(own, "text").join(own.select(F.col("text").alias("of"), F.col("gram").alias("there")), "of")
     same = F.expr("filter(sequence(0, size(gram) - 1), i -> i + shift >= 0 and i + shift < size(there) and gram[i] = there[i + shift])")
     gone = match.select("text", F.explode(F.array_distinct(F.flatten(F.transform(same, lambda i: F.sequence(i, i + run - 1))))).alias("line")).distinct()
+    return _with_gone(of, text, gone)
+
+
+def _with_gone(of: DataFrame, text, gone: DataFrame) -> DataFrame:
     gone = gone.groupBy("text").agg(F.collect_list("line").alias("line"))
     out = of.join(gone, text == F.col("text"), "left")
     return out.select("id", "key", F.size("at").alias("n_lines"), F.expr("coalesce(transform(line, i -> at[i]), array())").alias("gone"))
@@ -68,7 +75,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Lines are equal only to the byte. Lines without a word are never counted or removed. A
     run of fewer than ``run`` lines never goes, one of ``run + window - 1`` or more always,
-    from all but its first text; within a text its later copies go. Null texts stay null
+    from all but its first text (with 1 and 1, each line that stands before); within a text its later copies go. Null texts stay null
     with 0 lines. Rows equal in id and text are one text and get one result; null ids come
     after all others. Columns of ``df`` may have any names but those two.
     """
