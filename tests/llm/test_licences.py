@@ -50,3 +50,10 @@ def test_rows(spark, odd, none):
     assert sorted((r.doc_id, r.licences, r.n_sentences) for r in got) == [(1, ["CC-BY-NC-4.0", "MIT"], 2), (2, [], 0), (3, [], 0)]
     assert all(HINT.search(x) for x in ("Licensed under", "copyright", "WARRANTY"))
     assert licences(odd).count() == odd.count() and licences(none).count() == 0
+
+
+def test_lost_wordings():
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+    assert scan(isc)[0] == ["ISC"]
+    assert scan("This project is licensed under the Apache License, Version 2.0.")[0] == ["Apache-2.0"]
+    assert scan("SPDX-License-Identifier: (MIT OR Apache-2.0)")[0] == ["(MIT-OR-APACHE-2.0)"]

@@ -18,8 +18,8 @@ from .common import with_text_columns
 
 #: Known sentences, as patterns over normalised text. Order matters: the first that matches names a sentence.
 SENTENCES = (
-    ("spdx", r"spdx license identifier (?P<name>[a-z0-9.+ -]+)"),
-    ("apache-2", r"licensed under the apache license,? version 2\.0.*"),
+    ("spdx", r"spdx license identifier (?P<name>[a-z0-9.+ ()-]+)"),
+    ("apache-2", r".*licensed under the apache license,? version 2\.0.*"),
     ("apache-compliance", r"you may not use this file except in compliance with the license"),
     ("apache-copy", r"you may obtain a copy of the license at.*"),
     ("apache-as-is", r"unless required by applicable law or agreed to in writing,? software distributed under the license is distributed on an as is basis.*"),
@@ -28,7 +28,7 @@ SENTENCES = (
     ("mit-grant", r"permission is hereby granted,? free of charge,? to any person obtaining a copy of this software.*"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies.*"),
     ("mit-as-is", r"the software is provided as is,? without warranty of any kind.*"),
-    ("isc-grant", r"permission to use,? copy,? modify,? and/or distribute this software for any purpose.*"),
+    ("isc-grant", r"permission to use,? copy,? modify,? and or distribute this software for any purpose.*"),
     ("bsd-grant", r"redistribution and use in source and binary forms,? with or without modification,? are permitted.*"),
     ("bsd-source", r"redistributions of source code must retain the above copyright notice.*"),
     ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice.*"),
