@@ -25,10 +25,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder; one of our own only on a single machine where none is set, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayspan-"))
     return context.getCheckpointDir()
 
@@ -70,19 +72,21 @@ def with_text_columns(df: DataFrame, text: str, keep: list[str], fields: list[T.
     ``setup()`` runs once a task and returns a function from an Arrow string array to
     one Arrow array a field. A mapInArrow over the scan: no shuffle, bounded memory.
     """
-    own = text if text in keep else "__text"
-    source = df.select(*[col(c) for c in keep], *([] if text in keep else [F.col(text).cast("string").alias(own)]))
-    schema = T.StructType([source.schema[c] for c in keep] + fields)
+    # columns go through Python by number: their own names may hold dots or clash
+    at = f"k{keep.index(text)}" if text in keep else "text"
+    source = df.select(*[col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if text in keep else [col(text).cast("string").alias(at)]))
+    held = [f"k{i}" for i in range(len(keep))]
+    schema = T.StructType([T.StructField(c, source.schema[c].dataType) for c in held] + fields)
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns_of = setup()
         for batch in batches:
-            for part in slices(batch, own):
-                new = columns_of(part.column(own))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *new], names=names)
+            for part in slices(batch, at):
+                new = columns_of(part.column(at))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in held], *new], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *[f.name for f in fields])
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
