@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder in spark.checkpoint.dir (a temporary one where unset)."""
+    """A new path in the folder in spark.checkpoint.dir (a temporary one where unset, on a single machine)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayspan-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayspan-"))
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
