@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from conftest_docs import words_text
 
-from wayspan.llm.quality import bucketed, measures, quality
+from wayspan.llm.common import read
+from wayspan.llm.quality import RATIOS, bucketed, fences, measured, measures, quality, sketches
 
 
 def brute_repeats(words):
@@ -33,7 +35,7 @@ def test_buckets_are_close(spark):
     rows = bucketed(spark.range(5000).withColumnRenamed("id", "value")).collect()
     by = {}
     for r in rows:
-        by.setdefault(r.bucket, set()).add((r.value, r.top))
+        by.setdefault(r.top, set()).add((r.value, r.top))
     for values in by.values():
         tops = {t for _, t in values}
         assert len(tops) == 1 and max(v for v, _ in values) <= (top := tops.pop()) <= min(v for v, _ in values) * 17 / 16 + 1
@@ -55,3 +57,16 @@ def test_odd_rows(odd, none):
     got = quality(odd).collect()
     assert len(got) == odd.count() and all(r.kept is not None for r in got)
     assert quality(none).count() == 0
+
+
+def test_fences_follow_their_groups(spark):
+    """Each ratio's fence differs between groups, and moves when its group's texts do."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents").selectExpr("lang", "source", "text")
+    found = fences(sketches(measured(docs, ["lang", "source"], "text"))).collect()
+    for name, *_, two_sided in RATIOS:
+        for side in ("high", "low")[: 1 + two_sided]:
+            assert len({r[f"{name}_{side}"] for r in found}) >= 3, (name, side)
+    moved = docs.withColumn("text", F.expr("case when source = 'src1' then concat(text, repeat(' #x', length(text) div 40)) else text end"))
+    of = lambda rows: {(r.g_lang, r.g_source): r.symbol_pm_high for r in rows}
+    before, after = of(found), of(fences(sketches(measured(moved, ["lang", "source"], "text"))).collect())
+    assert all(after[k] > before[k] for k in before if k[1] == "src1")

@@ -1,11 +1,16 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Each text gets a few ratios in whole thousandths. For each ratio, language and source a
-sketch counts texts by log-linear bucket (relative width 1/16): sketches are plain
-counts, so they merge by addition and are the same in any order. A ratio's fence is its
-third quartile plus ``REACH`` quartile distances plus a slack; for two-sided ratios also
-below. Groups of fewer than ``LEAST`` texts use the merged sketch of their language, and
-small languages that of all texts. Texts outside a fence aren't kept.
+Each text gets a few ratios in whole thousandths. For each language and source a sketch of
+each ratio counts texts by log-linear bucket (relative width 1/16): sketches are plain
+counts, so they merge by addition and are the same in any order. A ratio's fence lies
+``REACH`` times as far beyond its upper decile as that lies beyond the median, and below
+likewise for two-sided ratios. Where most texts show nothing at all (no symbol, no
+repeated line) both are 0; so a fence leaves room for ``ALLOWED`` occurrences in a text of
+the group's median length, which has a sketch as well. Nothing else sets a fence.
+
+A group's sketch is merged with that of its language, weighed as ``PRIOR`` texts, and with
+that of all texts, weighed as one: small groups lean on their language, large ones on
+themselves, without a switch between. Texts beyond a fence aren't kept.
 """
 
 from __future__ import annotations
@@ -26,11 +31,20 @@ WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED = 20, 30
-#: Quartile distances from the quartile to a fence; least texts of a sketch.
-REACH = 3
-LEAST = 30
-#: Ratios in thousandths: (name, slack above, slack below or None).
-RATIOS = (("symbol_pm", 30, None), ("shout_pm", 120, None), ("mark_pm", 60, None), ("length_pm", 1500, 1500), ("line_pm", 250, None), ("repeat_pm", 150, None))
+#: Reach of a fence in distances from median to decile; occurrences that are always allowed; texts that a language's sketch counts as.
+REACH, ALLOWED, PRIOR = 3, 2, 64
+#: Ratios in thousandths: (name, what it counts, what it is counted in, least size of an occurrence, whether it has a fence below).
+RATIOS = (
+    ("symbol_pm", "n_symbols", "word_chars", 1, False),
+    ("shout_pm", "n_upper", "n_words", 1, False),
+    ("mark_pm", "n_marks", "n_words", 1, False),
+    ("length_pm", "word_chars", "n_words", 0, True),
+    ("line_pm", "n_dup_lines", "n_lines", 1, False),
+    ("repeat_pm", "n_repeat_words", "n_words", 2 * WINDOW, False),
+)
+#: Lengths whose medians scale the occurrences allowed.
+LENGTHS = ("n_words", "word_chars", "n_lines")
+SKETCHED = (*[r[0] for r in RATIOS], *LENGTHS)
 #: A bucket has the values that agree in place and in this many bits behind the first.
 KEPT_BITS = 4
 
@@ -85,29 +99,59 @@ def _setup():
 def measured(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     base = with_text_columns(df, text_col, keep, [T.StructField(n, T.LongType()) for n in NAMES], _setup)
     pm = lambda a, b: F.floor(F.lit(1000) * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
-    ratios = {"symbol_pm": pm("n_symbols", "word_chars"), "shout_pm": pm("n_upper", "n_words"), "mark_pm": pm("n_marks", "n_words"), "length_pm": pm("word_chars", "n_words"), "line_pm": pm("n_dup_lines", "n_lines"), "repeat_pm": pm("n_repeat_words", "n_words")}
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return base.withColumns(ratios).withColumn("base_failed", failed)
+    return base.withColumns({name: pm(of, by) for name, of, by, _, _ in RATIOS}).withColumn("base_failed", failed)
 
 
 def bucketed(df: DataFrame) -> DataFrame:
-    """(..., value) -> bucket and top: the bucket's highest value."""
-    df = df.withColumn("shift", F.greatest(F.length(F.bin("value")) - (KEPT_BITS + 1), F.lit(0)).cast("int"))
-    coarse = F.expr("shiftright(value, shift)")
-    return df.withColumn("top", F.expr("shiftleft(shiftright(value, shift) + 1, shift) - 1")).withColumn("bucket", F.col("shift") * 2**KEPT_BITS + coarse)
+    """(..., value) -> top: the highest value of its bucket."""
+    shift = F.greatest(F.length(F.bin("value")) - (KEPT_BITS + 1), F.lit(0)).cast("int")
+    return df.withColumn("shift", shift).withColumn("top", F.expr("shiftleft(shiftright(value, shift) + 1, shift) - 1"))
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """(by, ratio, n, low, high) of sketches (by, ratio, bucket, top, n), merged to ``by``."""
-    merged = sketch.groupBy(*by, "ratio", "bucket").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
-    whole = W.partitionBy(*by, "ratio")  # a few hundred buckets at most
-    ranked = merged.withColumn("upto", F.sum("n").over(whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(whole))
-    quart = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("top")))
-    quarts = ranked.groupBy(*by, "ratio").agg(F.max("all").alias("n"), quart(1).alias("q1"), quart(3).alias("q3"))
-    above = F.coalesce(*[F.when(F.col("ratio") == name, F.lit(a)) for name, a, _ in RATIOS])
-    below = F.coalesce(*[F.when(F.col("ratio") == name, F.lit(b)) for name, _, b in RATIOS if b is not None])
-    reach = REACH * (F.col("q3") - F.col("q1"))
-    return quarts.select(*by, "ratio", "n", (F.col("q1") - reach - below).alias("low"), (F.col("q3") + reach + above).alias("high"))
+def blended(sketch: DataFrame) -> DataFrame:
+    """(g_lang, g_source, ratio, top, n): each group's sketch merged with its language's and that of all, weighed in whole numbers.
+
+    A row a group and bucket: some hundred buckets a ratio at most.
+    """
+    groups = sketch.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).distinct()
+    whole = lambda c: F.sum(c).cast("decimal(12,0)")
+    lang = sketch.groupBy("lang", "ratio", "top").agg(whole("n").alias("n"))
+    every = lang.groupBy("ratio", "top").agg(whole("n").alias("n"))
+    # texts of the group, of its language, of all: each ratio has one value a text
+    one = sketch.where(F.col("ratio") == RATIOS[0][0])
+    n_lang = one.groupBy("lang").agg(whole("n").alias("n_lang"))
+    sized = groups.join(n_lang, F.col("g_lang").eqNullSafe(F.col("lang"))).drop("lang").crossJoin(F.broadcast(one.agg(whole("n").alias("n_all"))))  # one row
+    sized = staged(sized, "quality-groups")
+    keys = sized.withColumn("r", F.explode(F.array(*map(F.lit, SKETCHED))))
+    own = sketch.join(sized, F.col("g_lang").eqNullSafe(F.col("lang")) & F.col("g_source").eqNullSafe(F.col("source")))
+    own = own.select("g_lang", "g_source", "ratio", "top", (F.col("n").cast("decimal(12,0)") * F.col("n_lang") * F.col("n_all")).cast("decimal(38,0)").alias("n"))
+    like = sized.join(lang, F.col("g_lang").eqNullSafe(F.col("lang"))).select("g_lang", "g_source", "ratio", "top", (F.lit(PRIOR).cast("decimal(12,0)") * F.col("n") * F.col("n_all")).cast("decimal(38,0)").alias("n"))
+    rest = keys.join(every, F.col("r") == F.col("ratio")).select("g_lang", "g_source", "ratio", "top", (F.col("n") * F.col("n_lang")).cast("decimal(38,0)").alias("n"))
+    return own.unionByName(like).unionByName(rest).groupBy("g_lang", "g_source", "ratio", "top").agg(F.sum("n").alias("n"))
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """(g_lang, g_source, <ratio>_high, <ratio>_low): the fences of each group of the sketch (lang, source, ratio, top, n)."""
+    whole = W.partitionBy("g_lang", "g_source", "ratio")
+    ranked = blended(sketch).withColumn("upto", F.sum("n").over(whole.orderBy("top").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(whole))
+    at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("all") * tenths, F.col("top")))
+    marks = ranked.groupBy("g_lang", "g_source", "ratio").agg(at(1).alias("q10"), at(5).alias("q50"), at(9).alias("q90"))
+    of = lambda name, q: F.max(F.when(F.col("ratio") == name, F.col(q)))
+    sides = []
+    for name, _, by, least, two_sided in RATIOS:
+        free = F.floor(F.lit(1000 * ALLOWED * least) / F.greatest(of(by, "q50"), F.lit(1))).cast("long")
+        sides.append((of(name, "q90") + REACH * (of(name, "q90") - of(name, "q50")) + free).alias(f"{name}_high"))
+        if two_sided:
+            sides.append((of(name, "q10") - REACH * (of(name, "q50") - of(name, "q10"))).alias(f"{name}_low"))
+    return marks.groupBy("g_lang", "g_source").agg(*sides)
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """(lang, source, ratio, top, n) of texts that pass the base."""
+    stack = ", ".join(f"'{name}', {name}" for name in SKETCHED)
+    values = bucketed(rows.where("not base_failed").select("lang", "source", F.expr(f"stack({len(SKETCHED)}, {stack}) as (ratio, value)")))
+    return values.groupBy("lang", "source", "ratio", "top").agg(F.count("*").alias("n"))
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -115,30 +159,13 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Null and empty texts have zeros and fail the base. Null languages and sources are
     groups of their own. Texts that fail the base take no part in the sketches. Repeated
-    rows count as often as they come and get equal verdicts.
+    rows count as often as they come and get equal verdicts. An empty table gives an empty result.
     """
     keyed = df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     rows = staged(measured(keyed, ["id", "lang", "source"], "text"), "quality")
-    stack = ", ".join(f"'{name}', {name}" for name, _, _ in RATIOS)
-    values = bucketed(rows.where("not base_failed").select("lang", "source", F.expr(f"stack({len(RATIOS)}, {stack}) as (ratio, value)")))
-    sketch = staged(values.groupBy("lang", "source", "ratio", "bucket").agg(F.max("top").alias("top"), F.count("*").alias("n")), "quality-sketch")
-    groups = sketch.select("lang", "source").distinct()
-    named = {}
-    for level, by in (("own", ["lang", "source"]), ("lang", ["lang"]), ("all", [])):
-        ratio_rows = fences(sketch, by).groupBy(*by).agg(
-            F.max("n").alias(f"{level}_n"),
-            *[F.max(F.when(F.col("ratio") == r, F.col(side))).alias(f"{level}_{r}_{side}") for r, _, b in RATIOS for side in (("low", "high") if b is not None else ("high",))],
-        )
-        named[level] = ratio_rows
-    own, lang, every = named["own"], named["lang"].withColumnRenamed("lang", "l"), named["all"]
-    fence = groups.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    fence = fence.join(own, F.col("g_lang").eqNullSafe(F.col("lang")) & F.col("g_source").eqNullSafe(F.col("source"))).drop("lang", "source")
-    fence = fence.join(lang, F.col("g_lang").eqNullSafe(F.col("l"))).drop("l").join(F.broadcast(every))  # one row
-    pick = lambda c: F.when(F.col("own_n") >= LEAST, F.col(f"own_{c}")).when(F.col("lang_n") >= LEAST, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
-    sides = [f"{r}_{side}" for r, _, b in RATIOS for side in (("low", "high") if b is not None else ("high",))]
-    fence = staged(fence.select("g_lang", "g_source", *[pick(c).alias(c) for c in sides]), "quality-fences")
+    fence = staged(fences(staged(sketches(rows), "quality-sketch")), "quality-fences")
     judged = rows.join(fence, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    out = [F.when((F.col(r) > F.col(f"{r}_high")) | (F.lit(False) if b is None else F.col(r) < F.col(f"{r}_low")), F.lit(r)) for r, _, b in RATIOS]
+    out = [F.when((F.col(r) > F.col(f"{r}_high")) | (F.col(r) < F.col(f"{r}_low") if two_sided else F.lit(False)), F.lit(r)) for r, _, _, _, two_sided in RATIOS]
     judged = judged.withColumn("failed", F.array_compact(F.array(*out)))
     return judged.select(F.col("id").alias(id_col), *NAMES[:5], "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")
 
@@ -172,45 +199,43 @@ base AS (
   FROM words w LEFT JOIN line_counts USING (doc_id) LEFT JOIN repeats USING (doc_id)),
 rated AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
-    {_pm("n_symbols", "word_chars")} AS symbol_pm, {_pm("n_upper", "n_words")} AS shout_pm, {_pm("n_marks", "n_words")} AS mark_pm,
-    {_pm("word_chars", "n_words")} AS length_pm, {_pm("n_dup_lines", "n_lines")} AS line_pm, {_pm("n_repeat_words", "n_words")} AS repeat_pm
+    {", ".join(f"{_pm(of, by)} AS {r}" for r, of, by, _, _ in RATIOS)}
   FROM base),
 long AS (
-  UNPIVOT (SELECT doc_id, lang, source, base_failed, {", ".join(f"CAST({r} AS BIGINT) AS {r}" for r, _, _ in RATIOS)} FROM rated)
-  ON {", ".join(r for r, _, _ in RATIOS)} INTO NAME ratio VALUE value),
-shifted AS (
-  SELECT *, greatest(length(bin(value)) - {KEPT_BITS + 1}, 0) AS shift FROM long),
+  UNPIVOT (SELECT doc_id, lang, source, base_failed, {", ".join(f"CAST({r} AS BIGINT) AS {r}" for r in SKETCHED)} FROM rated)
+  ON {", ".join(SKETCHED)} INTO NAME ratio VALUE value),
 placed AS (
-  SELECT *, ((value >> shift) + 1 << shift) - 1 AS top FROM shifted WHERE NOT base_failed),
-levels AS (
-  SELECT 1 AS level, lang, source, ratio, top FROM placed UNION ALL
-  SELECT 2, lang, NULL, ratio, top FROM placed UNION ALL
-  SELECT 3, NULL, NULL, ratio, top FROM placed),
+  SELECT lang, source, ratio, ((value >> shift) + 1 << shift) - 1 AS top
+  FROM (SELECT *, greatest(length(bin(value)) - {KEPT_BITS + 1}, 0) AS shift FROM long WHERE NOT base_failed)),
 tops AS (
-  SELECT level, lang, source, ratio, top, count(*) AS n FROM levels GROUP BY ALL),
+  SELECT lang, source, ratio, top, CAST(count(*) AS HUGEINT) AS n FROM placed GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, (SELECT CAST(count(*) AS HUGEINT) FROM rated r WHERE NOT r.base_failed AND r.lang IS NOT DISTINCT FROM g.lang) AS n_lang,
+    (SELECT CAST(count(*) AS HUGEINT) FROM rated r WHERE NOT r.base_failed) AS n_all
+  FROM (SELECT DISTINCT lang, source FROM tops) g),
+weighed AS (
+  SELECT g.lang, g.source, t.ratio, t.top,
+    CASE WHEN t.lang IS NOT DISTINCT FROM g.lang AND t.source IS NOT DISTINCT FROM g.source THEN t.n * n_lang * n_all ELSE 0 END
+    + CASE WHEN t.lang IS NOT DISTINCT FROM g.lang THEN {PRIOR} * t.n * n_all ELSE 0 END + t.n * n_lang AS n
+  FROM groups g, tops t),
+merged AS (
+  SELECT lang, source, ratio, top, CAST(sum(n) AS HUGEINT) AS n FROM weighed GROUP BY ALL),
 ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY top) AS upto,
-    sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM tops),
-quarts AS (
-  SELECT level, lang, source, ratio, max(total) AS n,
-    min(top) FILTER (WHERE 4 * upto >= total) AS q1, min(top) FILTER (WHERE 4 * upto >= 3 * total) AS q3
-  FROM ranked GROUP BY level, lang, source, ratio),
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY top) AS upto, sum(n) OVER (PARTITION BY lang, source, ratio) AS total FROM merged),
+marks AS (
+  SELECT lang, source, ratio, min(top) FILTER (WHERE upto * 10 >= total) AS q10, min(top) FILTER (WHERE upto * 10 >= total * 5) AS q50,
+    min(top) FILTER (WHERE upto * 10 >= total * 9) AS q90
+  FROM ranked GROUP BY lang, source, ratio),
 fences AS (
-  SELECT *, q3 + {REACH} * (q3 - q1) + CASE ratio {" ".join(f"WHEN '{r}' THEN {a}" for r, a, _ in RATIOS)} END AS high,
-    CASE ratio {" ".join(f"WHEN '{r}' THEN q1 - {REACH} * (q3 - q1) - {b}" for r, _, b in RATIOS if b is not None)} END AS low
-  FROM quarts),
-judged AS (
-  SELECT l.doc_id, l.ratio, CASE
-      WHEN o.n >= {LEAST} THEN l.value > o.high OR coalesce(l.value < o.low, false)
-      WHEN g.n >= {LEAST} THEN l.value > g.high OR coalesce(l.value < g.low, false)
-      WHEN o.n IS NULL THEN false
-      ELSE l.value > a.high OR coalesce(l.value < a.low, false) END AS outside
-  FROM long l
-  LEFT JOIN fences o ON o.level = 1 AND o.lang IS NOT DISTINCT FROM l.lang AND o.source IS NOT DISTINCT FROM l.source AND o.ratio = l.ratio
-  LEFT JOIN fences g ON g.level = 2 AND g.lang IS NOT DISTINCT FROM l.lang AND g.ratio = l.ratio
-  LEFT JOIN fences a ON a.level = 3 AND a.ratio = l.ratio),
+  SELECT m.lang, m.source, m.ratio,
+    m.q90 + {REACH} * (m.q90 - m.q50) + CASE m.ratio {" ".join(f"WHEN '{r}' THEN {1000 * ALLOWED * least}" for r, _, _, least, _ in RATIOS)} END // greatest(l.q50, 1) AS high,
+    CASE WHEN m.ratio IN ({", ".join(f"'{r}'" for r, _, _, _, two in RATIOS if two)}) THEN m.q10 - {REACH} * (m.q50 - m.q10) END AS low
+  FROM marks m JOIN marks l ON l.lang IS NOT DISTINCT FROM m.lang AND l.source IS NOT DISTINCT FROM m.source
+    AND l.ratio = CASE m.ratio {" ".join(f"WHEN '{r}' THEN '{by}'" for r, _, by, _, _ in RATIOS)} END),
 verdicts AS (
-  SELECT doc_id, bool_or(outside) AS outside FROM judged GROUP BY doc_id)
+  SELECT l.doc_id, coalesce(bool_or(l.value > f.high OR coalesce(l.value < f.low, false)), false) AS outside
+  FROM long l LEFT JOIN fences f ON f.lang IS NOT DISTINCT FROM l.lang AND f.source IS NOT DISTINCT FROM l.source AND f.ratio = l.ratio
+  GROUP BY l.doc_id)
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT outside AS kept
 FROM rated r JOIN verdicts v ON v.doc_id = r.doc_id
 """
