@@ -1,48 +1,54 @@
 import hashlib
 import random
+import time
 
-from wayspan.llm.lines import RUN, WINDOW, without_repeats
+from wayspan.llm.lines import LONG, RUN, WINDOW, without_repeats
 
 
 def h60(x):
     return int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
 
 
-def brute(rows, run=RUN, window=WINDOW):
-    """The definition by loops: first places of grams, fingerprints of windows, matches extended both ways."""
+def brute(rows, run=RUN, window=WINDOW, long=LONG):
+    """The definition by loops: first places of lines, fingerprints of windows, runs extended both ways from them."""
     texts, first = {}, {}
     for i, text in sorted(rows):
         lines = text.split("\n")
         at = [k for k, x in enumerate(lines) if x.strip(" \t\x0b\x0c\r")]
-        hashes = [hashlib.md5(lines[k].encode()).hexdigest()[:15] for k in at]
-        grams = [h60(" ".join(hashes[k : k + run])) for k in range(len(at) - run + 1)]
-        texts[i] = (lines, at, grams)
-        for k, g in enumerate(grams):
-            first.setdefault(g, (i, k))
+        texts[i] = (lines, at)
+        for k, place in enumerate(at):
+            first.setdefault(lines[place], (i, k))
     out = {}
-    for i, (lines, at, grams) in texts.items():
-        marks = set()
-        for w in range(max(1, len(grams) - window + 1)) if grams else ():
-            part = grams[w : w + window]
+    for i, (lines, at) in texts.items():
+        hashes = [h60(lines[k]) for k in at]
+        marks = {k for k in range(len(at)) if len(lines[at[k]]) >= long}
+        for w in range(max(1, len(at) - window + 1)) if at else ():
+            part = hashes[w : w + window]
             marks.add(w + max(k for k in range(len(part)) if part[k] == min(part)))
+        before = [first[lines[k]] != (i, n) for n, k in enumerate(at)]
         gone = set()
-        for k in marks:
-            j, m = first[grams[k]]
-            if (j, m) == (i, k):
+        for m in marks:
+            if not before[m]:
                 continue
-            there = texts[j][2]
-            for x in range(len(grams)):
-                y = x + m - k
-                if 0 <= y < len(there) and there[y] == grams[x]:
-                    gone |= set(range(x, x + run))
+            a = b = m
+            while a > 0 and before[a - 1]:
+                a -= 1
+            while b < len(at) - 1 and before[b + 1]:
+                b += 1
+            if b - a + 1 >= run or any(len(lines[at[k]]) >= long for k in range(a, b + 1)):
+                gone |= set(range(a, b + 1))
         places = {at[x] for x in gone}
         out[i] = (len(at), len(places), "\n".join(x for k, x in enumerate(lines) if k not in places))
     return out
 
 
+def results(df, **how):
+    return {r.doc_id: (r["__n_lines"], r["__n_removed"], r.text) for r in without_repeats(df, **how).collect()}
+
+
 def test_against_brute_force(spark):
     rng = random.Random(3)
-    pool = [f"line {k} of the pool" for k in range(60)]
+    pool = [f"line {k} of the pool" + " with many more words than the others have" * (k % 7 == 0) for k in range(60)]
     rows = []
     for i in range(200):
         lines = []
@@ -50,18 +56,39 @@ def test_against_brute_force(spark):
             a = rng.randrange(60)
             lines += pool[a : a + rng.randint(1, 6)] if rng.random() < 0.5 else [f"own {i} {len(lines)}", ""][: rng.randint(1, 2)]
         rows.append((i, "\n".join(lines)))
-    rows += [(300 + i, rows[7][1]) for i in range(20)] + [(400, "same\n" * 9)]
-    got = {r.doc_id: (r["__n_lines"], r["__n_removed"], r.text) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = brute(rows)
-    assert got == want
-    assert want[400][1] == 8 and sum(x[1] for x in want.values()) > 500
+    rows += [(300 + i, rows[7][1]) for i in range(20)] + [(400, "same\n" * 9), (401, "a\nb"), (402, "b\na"), (403, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({}, {"run": 1, "window": 1}, {"run": 3, "window": 4, "long": 1000}):
+        got, want = results(df, **how), brute(rows, **how)
+        assert got == want
+        assert sum(x[1] for x in want.values()) > 300
+    assert brute(rows)[400][1] == 8
 
 
 def test_guarantee(spark):
-    """A run of three lines or more goes from all but its first text; single lines stay."""
-    rows = [(i, f"before {i}\ncommon a\ncommon b\ncommon c\nafter {i}\nfooter") for i in range(50)]
-    got = {r.doc_id: r.text for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0] == rows[0][1] and all(got[i] == f"before {i}\nafter {i}\nfooter" for i in range(1, 50))
+    """A run of three lines goes from all but its first text; a single short line stays, a single long one goes."""
+    footer, passage = "the short footer", " ".join(f"word{k}" for k in range(51))
+    rows = [(i, f"before {i}\ncommon a\ncommon b\ncommon c\nafter {i}\n{footer}\nthen {i}\n{passage}") for i in range(50)]
+    got = results(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[0][2] == rows[0][1] and all(got[i][2] == f"before {i}\nafter {i}\n{footer}\nthen {i}" for i in range(1, 50))
+
+
+def test_ends_of_runs_with_earlier_owners(spark):
+    """Lines that an earlier, shorter variant owns don't break a run."""
+    rows = [(1, "line a\nline b"), (2, "line a\nline b\nline c"), (3, "x\nline a\nline b\nline c\ny")]
+    got = results(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[3][2] == "x\ny"
+
+
+def test_text_of_very_many_equal_lines(spark):
+    lines = [f"line {k}" for k in range(100_000)]
+    mixed = lines[:]
+    random.Random(1).shuffle(mixed)
+    rows = [(1, "equal\n" * 100_000), (2, "\n".join(lines)), (3, "\n".join(mixed))]
+    began = time.time()
+    got = results(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [got[i][1] for i in (1, 2, 3)] == [99_999, 0, 100_000]
+    assert time.time() - began < 60
 
 
 def test_odd_rows(odd, none):

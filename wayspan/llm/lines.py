@@ -1,85 +1,91 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-A text's lines with a word are hashed, and every ``run`` neighbours give a gram. Of each
-window of ``window`` neighbouring grams the least (of equal ones the last) is selected as
-a fingerprint, so any common run of ``run + window - 1`` lines has one on both sides. Each
-selected fingerprint is joined to the place where it first stands in the corpus, by id
-and position; a match is then extended both ways along its diagonal by comparing the
-grams of both texts, and all lines of the later text that lie in matched grams go.
+A text's lines with a word are hashed. Of each window of ``window`` neighbouring lines the
+one of least hash (of equal ones the last) is selected as a fingerprint, and so is every
+line of ``long`` characters or more, a passage by itself. Each line is joined to the place
+where it first stands in the corpus, by id and position; a second hash is compared. From
+every fingerprint that stands before, the match is extended both ways over the
+neighbours that stand before as well. A run so found goes if it has ``run`` lines or
+a long one: a common run of ``max(run, window)`` lines always holds a fingerprint.
+
+Matches are rows (a line, its text and place), and runs are islands of neighbouring
+places in a text, so the work grows with the lines and not with pairs of them, however
+often a text repeats a line.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import col, staged
 
-#: Lines of a gram, grams of a window.
-RUN, WINDOW = 2, 2
+#: Least lines of a run, lines of a window, characters of a line that is a passage by itself.
+RUN, WINDOW, LONG = 2, 3, 60
 
 
-def hash60(column):
-    return F.conv(F.substring(F.md5(column), 1, 15), 16, 10).cast("long")
-
-
-def grams(df: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
-    """(id, key, at, gram): by text, the places of its lines with a word and its grams."""
+def cut_lines(df: DataFrame, id_col: str, text_col: str, long: int) -> DataFrame:
+    """(id, key, at, hash, check, long): by text, its lines with a word: their places, hashes and whether they are long."""
     cut = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.split(F.col(text_col), "\n").alias("lines"))
     cut = cut.withColumn("at", F.expr(r"filter(sequence(0, size(lines) - 1), i -> lines[i] rlike '[^\\x20\\x09-\\x0D]')"))
-    cut = cut.withColumn("hash", F.transform("at", lambda i: F.substring(F.md5(F.element_at("lines", i + 1)), 1, 15))).drop("lines")
-    spots = F.expr(f"filter(sequence(0, size(at) - 1), i -> size(at) > 0 and i <= size(at) - {run})")
-    gram = F.transform(spots, lambda i: hash60(F.concat_ws(" ", *[F.element_at("hash", i + 1 + k) for k in range(run)])))
-    return cut.select("id", "key", "at", gram.alias("gram"))
+    line = lambda i: F.element_at("lines", i + 1)
+    hashed = F.transform("at", lambda i: F.conv(F.substring(F.md5(line(i)), 1, 15), 16, 10).cast("long"))
+    return cut.select("id", "key", "at", hashed.alias("hash"), F.transform("at", lambda i: F.hash(line(i))).alias("check"), F.transform("at", lambda i: F.length(line(i)) >= long).alias("long"))
 
 
 def selected(window: int):
-    """Positions of grams that are the least of a window, the last among equal ones."""
-    return F.expr(
-        f"""array_distinct(transform(
-              filter(sequence(0, size(gram) - 1), w -> w <= greatest(size(gram) - {window}, 0) and size(gram) > 0),
-              w -> w + (size(slice(gram, w + 1, {window})) - array_position(reverse(slice(gram, w + 1, {window})), array_min(slice(gram, w + 1, {window}))))))"""
-    )
+    """Whether the line at place ``i`` of ``hash`` is the least of a window that holds it, the last among equal ones.
 
-
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, window: int = WINDOW) -> DataFrame:
+    It is so if, going ``l`` lines back and ``r`` lines on, none before is less and none behind is less or equal,
+    with the window's lines in reach; a shorter text is one window.
+    """
+    spans = []
+    for back in range(window):
+        ahead = window - 1 - back
+        low = f"greatest(i - {back}, 0)"
+        high = f"least(i + {ahead}, size(hash) - 1)"
+        # windows lie within the text; one that is cut off counts only where the text is shorter
+        whole = f"((i >= {back} and i + {ahead} < size(hash)) or size(hash) < {window})"
+        before = f"coalesce(array_min(slice(hash, {low} + 1, i - {low})) >= hash[i], true)"
+        behind = f"coalesce(array_min(slice(hash, i + 2, {high} - i)) > hash[i], true)"
+        spans.append(f"({whole} and {before} and {behind})")
+    return " or ".join(spans)
+
+
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """(id, key, n_lines, gone array<int>: places of lines that go), one row for each distinct id and text."""
     rows = df.where(F.col(text_col).isNotNull())
-    of = staged(grams(rows, id_col, text_col, run).groupBy("id", "key").agg(F.first("at").alias("at"), F.first("gram").alias("gram")), "lines")
+    of = cut_lines(rows, id_col, text_col, long).groupBy("id", "key").agg(*[F.first(c).alias(c) for c in ("at", "hash", "check", "long")])
+    of = staged(of, "lines")
     text = F.struct(F.col("id").isNull().alias("n"), "id", "key")
-    marks = of.withColumn("mark", selected(window)).select(text.alias("text"), F.explode(F.expr("transform(mark, p -> named_struct('pos', p, 'gram', gram[p]))")).alias("mark"))
-    marks = marks.select("mark.gram", F.struct("text", F.col("mark.pos").alias("pos")).alias("place"))
-    # the first place of a gram is looked for among all grams, selected in their text or not
-    every = of.select(text.alias("text"), F.posexplode("gram").alias("pos", "gram")).select("gram", F.struct("text", "pos").alias("place"))
-    first = every.groupBy("gram").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("gram", "first")
-    if run == window == 1:  # every line is its own fingerprint: nothing to extend; written, so that a very common line can be split
-        later = marks.join(staged(first, "lines-first"), "gram").where("place <> first")
-        return _with_gone(of, text, later.select("place.text", F.col("place.pos").alias("line")))
-    later = marks.join(first, "gram").where("place <> first")
-    match = later.select("place.text", F.col("first.text").alias("of"), (F.col("first.pos") - F.col("place.pos")).alias("shift")).distinct()
-    own = of.select(text.alias("text"), "gram")
-    match = match.join(own, "text").join(own.select(F.col("text").alias("of"), F.col("gram").alias("there")), "of")
-    same = F.expr("filter(sequence(0, size(gram) - 1), i -> i + shift >= 0 and i + shift < size(there) and gram[i] = there[i + shift])")
-    gone = match.select("text", F.explode(F.array_distinct(F.flatten(F.transform(same, lambda i: F.sequence(i, i + run - 1))))).alias("line")).distinct()
-    return _with_gone(of, text, gone)
-
-
-def _with_gone(of: DataFrame, text, gone: DataFrame) -> DataFrame:
-    gone = gone.groupBy("text").agg(F.collect_list("line").alias("line"))
+    marked = f"transform(sequence(0, size(hash) - 1), i -> named_struct('pos', i, 'hash', hash[i], 'check', check[i], 'long', long[i], 'mark', long[i] or {selected(window)}))"
+    each = of.where(F.size("hash") > 0).select(text.alias("text"), F.explode(F.expr(marked)).alias("line")).select("line.hash", F.struct("text", "line.pos").alias("place"), "line.check", "line.long", "line.mark")
+    first = each.groupBy("hash").agg(F.min(F.struct("place", "check")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    first = staged(first, "lines-first")  # written, so that the rows of a very common line can be split
+    later = each.join(first, "hash").where((F.col("place") != F.col("first.place")) & (F.col("check") == F.col("first.check")))
+    later = later.select("place.text", "place.pos", "long", "mark")
+    # neighbours that stand before form an island: their place less their rank is one number
+    along = W.partitionBy("text").orderBy("pos")
+    islands = later.withColumn("island", F.col("pos") - F.row_number().over(along))
+    whole = W.partitionBy("text", "island")
+    islands = islands.withColumns({"n": F.count("*").over(whole), "any_long": F.max("long").over(whole), "any_mark": F.max("mark").over(whole)})
+    gone = islands.where((F.col("any_mark") & (F.col("n") >= run)) | F.col("any_long")).groupBy("text").agg(F.collect_list("pos").alias("line"))
     out = of.join(gone, text == F.col("text"), "left")
     return out.select("id", "key", F.size("at").alias("n_lines"), F.expr("coalesce(transform(line, i -> at[i]), array())").alias("gone"))
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, window: int = WINDOW) -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """The rows of ``df`` with the text less its repeated lines, and __n_lines, __n_removed (long).
 
-    Lines are equal only to the byte. Lines without a word are never counted or removed. A
-    run of fewer than ``run`` lines never goes, one of ``run + window - 1`` or more always,
-    from all but its first text (with 1 and 1, each line that stands before); within a text its later copies go. Null texts stay null
+    Lines are equal only to the byte. Lines without a word are never counted or removed, nor
+    do they part a run. A run of ``max(run, window)`` lines or more, or with a line of ``long``
+    characters, goes wherever each of its lines stands before, in an earlier text or earlier in
+    its own; other lines that stand before stay (with a run and window of 1, every line goes). Null texts stay null
     with 0 lines. Rows equal in id and text are one text and get one result; null ids come
-    after all others. Columns of ``df`` may have any names but those two.
+    after all others. Columns of ``df`` may have any names but those two. An empty table gives an empty result.
     """
-    found = repeated_lines(df, id_col, text_col, run, window)
+    found = repeated_lines(df, id_col, text_col, run, window, long)
     rows = df.toDF(*[f"d_{c}" for c in df.columns]).withColumns({"own": F.xxhash64(col(f"d_{text_col}")), "cut": F.split(col(f"d_{text_col}"), "\n")})  # no name clashes with ours
     joined = rows.join(found, col(f"d_{id_col}").eqNullSafe(F.col("id")) & (F.col("own") == F.col("key")), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("cut") - 1), F.col("gone"))
@@ -91,33 +97,30 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-ORACLE = r"""
+ORACLE = rf"""
 WITH cut AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place
   FROM documents WHERE text IS NOT NULL),
 lines AS (
-  SELECT doc_id, place, substr(md5(line), 1, 15) AS hash, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i
+  SELECT doc_id, place, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS hash, length(line) >= {LONG} AS long,
+    row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i
   FROM cut WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-grams AS (
-  SELECT a.doc_id, a.i, CAST('0x' || substr(md5(a.hash || ' ' || b.hash), 1, 15) AS BIGINT) AS gram
-  FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
-ranked AS (
-  SELECT *, lead(gram) OVER d AS next, lag(gram) OVER d AS prev FROM grams WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-marks AS (
-  SELECT doc_id, i, gram FROM ranked
-  WHERE (next IS NULL AND prev IS NULL) OR (next IS NOT NULL AND gram < next) OR (prev IS NOT NULL AND gram <= prev)),
+near AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, lag(hash) OVER d AS p1, lag(hash, 2) OVER d AS p2, lead(hash) OVER d AS s1, lead(hash, 2) OVER d AS s2
+  FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+marked AS (
+  SELECT doc_id, i, hash, long,
+    (n < 3 AND coalesce(hash <= p1, true) AND coalesce(hash < s1, true)) OR (n >= 3 AND (
+      coalesce(hash < s1 AND hash < s2, false) OR coalesce(hash <= p1 AND hash < s1, false) OR coalesce(hash <= p1 AND hash <= p2, false))) AS mark
+  FROM near),
 first AS (
-  SELECT gram, arg_min(doc_id, (doc_id, i)) AS doc_id, arg_min(i, (doc_id, i)) AS i FROM grams GROUP BY gram HAVING count(*) > 1),
-matches AS (
-  SELECT DISTINCT m.doc_id, f.doc_id AS other, f.i - m.i AS shift
-  FROM marks m JOIN first f ON m.gram = f.gram WHERE (m.doc_id, m.i) <> (f.doc_id, f.i)),
-same AS (
-  SELECT m.doc_id, g.i FROM matches m
-  JOIN grams g ON g.doc_id = m.doc_id
-  JOIN grams o ON o.doc_id = m.other AND o.i = g.i + m.shift AND o.gram = g.gram),
+  SELECT hash, min((doc_id, i)) AS f FROM marked GROUP BY hash),
+later AS (
+  SELECT m.*, m.i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM marked m JOIN first f ON f.hash = m.hash WHERE (m.doc_id, m.i) <> f.f),
+runs AS (
+  SELECT doc_id, island FROM later GROUP BY doc_id, island HAVING bool_or(long) OR (bool_or(mark) AND count(*) >= {RUN})),
 gone AS (
-  SELECT DISTINCT s.doc_id, l.place FROM (SELECT doc_id, i FROM same UNION SELECT doc_id, i + 1 FROM same) s
-  JOIN lines l ON l.doc_id = s.doc_id AND l.i = s.i),
+  SELECT l.doc_id, x.place FROM later l JOIN runs r ON r.doc_id = l.doc_id AND r.island = l.island JOIN lines x ON x.doc_id = l.doc_id AND x.i = l.i),
 kept AS (
   SELECT c.doc_id, string_agg(c.line, chr(10) ORDER BY c.place) FILTER (WHERE g.place IS NULL) AS text, count(g.place) AS n_removed
   FROM cut c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.place = c.place GROUP BY c.doc_id)
