@@ -1,4 +1,5 @@
 import random
+import time
 
 from conftest_docs import words_text
 
@@ -11,7 +12,7 @@ def brute(rows, run=2, words=20):
     for i, text in sorted(rows):
         cut = sentences(text)
         gone = set()
-        for a, b, h in sorted(spans(cut, run, words)):
+        for a, b, h, _ in sorted(spans(cut, run, words)):
             if h in first and first[h] != (i, a):
                 gone |= set(range(a, b + 1))
             else:
@@ -59,3 +60,31 @@ def test_odd_rows(odd, none):
     assert got[1, 3] == 0  # of 16 words: too short for a span
     assert max(n for (i, _), n in got.items() if i == 6) > 1000
     assert repeated_spans(odd).count() == odd.count() and repeated_spans(none).count() == 0
+
+
+def test_passages_within_sentences_go(spark):
+    """51 words, of many or of few distinct words, spliced into the middle of sentences: at most 16 words at each end stay."""
+    rng = random.Random(11)
+    passages = [words_text(rng, 51) for _ in range(20)] + [" ".join(f"unstopped{rng.randint(0, 10**6)}" for _ in range(51)) for _ in range(20)]
+    passages += [" ".join(rng.choice(["few", "words", "only"]) + str(k) for _ in range(51)) for k in range(20)] + [" ".join([f"one{k}"] * 51) for k in range(20)]
+    rows = []
+    for k, p in enumerate(passages):
+        for i in range(3):
+            rows.append((10 * k + i, f"{words_text(rng, 60)} then{k}x{i} {p} and{k}x{i} {words_text(rng, 60)}"))
+    got = {r.doc_id: r for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        k = i // 10
+        if i % 10:
+            assert 51 - 2 * 16 <= got[i].removed_words <= 51, (k, got[i].removed_words)
+        elif k < 40:
+            assert got[i].removed_words == 0
+    assert max(s[2] for _, t in rows for s in sentences(t)) <= 16
+
+
+def test_long_texts_are_cut_in_one_pass():
+    for text in ("!" * 1_000_000, "! " * 300_000, "word" * 300_000, "word " * 300_000, "." * 300_000 + " x" + "?" * 300_000):
+        began = time.time()
+        cut = sentences(text)
+        spans(cut, 2, 20)
+        assert time.time() - began < 15
+        assert sum(s[2] for s in cut) == len(text.split())

@@ -1,12 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
 Texts are cut into sentences: at line ends, and behind ``.``, ``!`` or ``?`` before white
-space. A sentence of more than ``LONG`` words is cut further behind words whose hash is
-divisible by ``CUT``, so that the cuts depend on the words alone and fall alike wherever
-the passage stands. From every sentence starts one span, and up to every sentence goes
+space. A sentence of more than ``LONG`` words is cut further, behind the word of least hash
+of each window of ``NEAR`` words (of equal ones the last): so the cuts depend on the words
+at hand alone and fall alike wherever a passage stands, whatever is before and behind it, and no
+piece has more than ``LONG`` words. From every sentence starts one span, and up to every sentence goes
 one: the shortest run of ``run`` sentences or more that holds ``words`` words or more.
-A passage that holds a span so has all its whole sentences covered. Span hashes are joined over the
-whole corpus, and sentences covered by a span that is not the first of its kind (least
+A passage that holds a span so has all its whole sentences covered, and at most ``LONG``
+words at each end lie outside them. Span hashes are joined over the
+whole corpus, a second hash is compared, and sentences covered by a span that is not the first of its kind (least
 id, then position) go.
 """
 
@@ -23,36 +25,45 @@ from pyspark.sql import types as T
 
 from .common import staged, with_text_columns
 
-SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=[\x20\x09\x0B-\x0D])|[^\n]+")
-LONG, CUT = 16, 8
-#: Bits of a text's hash, and of the number of a span's further sentences, beside its first sentence's place.
-MARK_BITS, MORE_BITS = 20, 12
+#: Where sentences end. One step a character: the mark is looked back for from the white space.
+END = re.compile(r"\n|(?<=[.!?])[\x20\x09\x0B-\x0D]")
+#: Words of a sentence that stays whole, words of a window of cuts.
+LONG, NEAR = 16, 15
+#: Bits of a text's hash beside a span's number.
+MARK_BITS = 20
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def cuts(words: list[str]) -> list[int]:
+    """The words behind which a long sentence is cut: the least of each window, and the last word."""
+    known: dict[str, int] = {}
+    hashes = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words), dtype=np.uint64, count=len(words))
+    windows = np.lib.stride_tricks.sliding_window_view(hashes[::-1], NEAR)  # backwards, so that the last of equal ones is found
+    at = np.arange(len(windows)) + windows.argmin(axis=1)
+    return np.union1d(len(words) - 1 - at, [len(words) - 1]).tolist()
+
+
 def sentences(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, words, hash) of each sentence with a word; hashes are of the words, joined by spaces."""
-    out = []
-    for m in SENTENCE.finditer(text):
-        words = m.group().split()
-        if not words:
-            continue
-        if len(words) <= LONG:
-            out.append((m.start(), m.end(), len(words), xxhash.xxh3_64_intdigest(" ".join(words))))
-            continue
-        start, held = m.start(), []
-        for w in WORDS.finditer(text, m.start(), m.end()):
-            held.append(w.group())
-            if xxhash.xxh3_64_intdigest(held[-1]) % CUT == 0 or w.end() == m.end():
-                out.append((start, w.end(), len(held), xxhash.xxh3_64_intdigest(" ".join(held))))
-                start, held = w.end(), []
-        if held:
-            out.append((start, m.end(), len(held), xxhash.xxh3_64_intdigest(" ".join(held))))
+    out, begin = [], 0
+    for end in [*(m.start() for m in END.finditer(text)), len(text)]:
+        words = text[begin:end].split()
+        if 0 < len(words) <= LONG:
+            out.append((begin, end, len(words), xxhash.xxh3_64_intdigest(" ".join(words))))
+        elif words:
+            start, first = begin, 0
+            ends = [m.end() for m in WORDS.finditer(text, begin, end)]
+            words = [text[x.start() : x.end()] for x in WORDS.finditer(text, begin, end)]
+            for last in cuts(words):
+                stop = ends[last] if last < len(words) - 1 else end
+                out.append((start, stop, last + 1 - first, xxhash.xxh3_64_intdigest(" ".join(words[first : last + 1]))))
+                start, first = stop, last + 1
+        begin = end
     return out
 
 
-def spans(found: list[tuple[int, int, int, int]], run: int, words: int) -> list[tuple[int, int, int]]:
-    """(first, last, hash) of the shortest span from each sentence and of the shortest up to each, as far as they fit."""
+def spans(found: list[tuple[int, int, int, int]], run: int, words: int) -> list[tuple[int, int, int, int]]:
+    """(first, last, hash, check) of the shortest span from each sentence and of the shortest up to each, as far as they fit."""
     n = len(found)
     hashes = np.array([s[3] for s in found], dtype=np.uint64).tobytes()
     total = np.concatenate([[0], np.cumsum([s[2] for s in found], dtype=np.int64)])
@@ -60,7 +71,7 @@ def spans(found: list[tuple[int, int, int, int]], run: int, words: int) -> list[
     start = np.minimum(np.searchsorted(total, total[1:] - words, side="right") - 1, np.arange(n) + 1 - run)
     ranges = [(i, e) for i, e in enumerate(stop.tolist()) if e <= n]
     ranges += [(i, e) for e, i in enumerate(start.tolist(), 1) if i >= 0 and stop[i] != e]
-    return [(i, e - 1, xxhash.xxh3_64_intdigest(hashes[8 * i : 8 * e]) - (1 << 63)) for i, e in ranges]
+    return [(i, e - 1, xxhash.xxh3_64_intdigest(hashes[8 * i : 8 * e]) - (1 << 63), xxhash.xxh32_intdigest(hashes[8 * i : 8 * e]) - (1 << 31)) for i, e in ranges]
 
 
 def _setup(run: int, words: int):
@@ -76,6 +87,7 @@ def _setup(run: int, words: int):
                 pa.array([[s[1] for s in c] for c in cut], ints),
                 pa.array([[s[2] for s in c] for c in cut], ints),
                 pa.array([[s[2] for s in o] for o in of], pa.list_(pa.int64())),
+                pa.array([[s[3] for s in o] for o in of], ints),
                 pa.array([[s[0] for s in o] for o in of], ints),
                 pa.array([[s[1] - s[0] for s in o] for o in of], ints),
             ]
@@ -91,32 +103,32 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A range covers removed sentences that follow each other; ``without`` cuts them out.
     Null, empty and short texts have nothing removed. A row that repeats another in id and
     text counts as the same text, with the same result; null ids come after all others.
-    A span has ``run`` or ``words`` sentences at most, and so ``2 ** MORE_BITS`` bounds both.
+    An empty table gives an empty result.
     """
-    if max(run, words) > 1 << MORE_BITS:
-        raise ValueError(f"run and words may be {1 << MORE_BITS} at most")
     ints = T.ArrayType(T.IntegerType())
-    fields = [T.StructField("key", T.LongType()), *[T.StructField(n, ints) for n in ("starts", "ends", "sizes")], T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("firsts", ints), T.StructField("mores", ints)]
+    fields = [T.StructField("key", T.LongType()), *[T.StructField(n, ints) for n in ("starts", "ends", "sizes")], T.StructField("hashes", T.ArrayType(T.LongType())), *[T.StructField(n, ints) for n in ("checks", "firsts", "mores")]]
     cut = with_text_columns(df, text_col, [id_col], fields, _setup(run, words)).withColumnRenamed(id_col, "id")
     mark = F.pmod("key", F.lit(1 << MARK_BITS))
     own = F.when(F.col("id").isNull(), F.col("key"))  # null, and so least, for texts with an id
     cut = staged(cut.withColumns({"mark": mark, "own": own}).drop("key"), "spans", "zstd")
-    # texts of one id are told apart by 20 bits of their key beside the sentence, texts without an id by `own`
-    each = cut.select("own", "id", "mark", F.explode(F.arrays_zip("hashes", "firsts", "mores")).alias("span"))
-    # spans of one hash that start at one place are one span, so a place may hold their length too
-    spot = F.shiftleft(F.shiftleft(F.col("span.firsts").cast("long"), MORE_BITS) + F.col("span.mores"), MARK_BITS) + F.col("mark")
-    each = each.select(F.col("span.hashes").alias("hash"), F.struct("own", "id", spot.alias("spot")).alias("place"))
+    # texts of one id are told apart by 20 bits of their key beside the span's number (and by
+    # the second hash below, which a strange text's spans don't have), texts without an id by `own`;
+    # a span's number in its text is in the order of the places that spans start from, then end at
+    each = cut.select("own", "id", "mark", F.posexplode(F.arrays_zip("hashes", "checks")).alias("number", "span"))
+    spot = F.shiftleft(F.col("number").cast("long"), MARK_BITS) + F.col("mark")
+    each = each.select(F.col("span.hashes").alias("hash"), F.col("span.checks").alias("check"), F.struct("own", "id", spot.alias("spot")).alias("place"))
     # only what repeats, and written: the join then has plain shuffles on both sides, so that
     # Spark can split the rows of a very common passage over tasks
-    first = each.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = each.groupBy("hash").agg(F.min(F.struct("place", "check")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = staged(first, "spans-first", "zstd")
-    later = each.join(first, "hash").where("place <> first")
-    more = F.shiftright("place.spot", MARK_BITS).bitwiseAND((1 << MORE_BITS) - 1)
-    runs = F.struct(F.shiftright("place.spot", MARK_BITS + MORE_BITS).cast("int").alias("at"), more.cast("int").alias("more"))
+    later = each.drop("check").join(first, "hash").where("place <> first.place")
+    # the first place's second hash goes with the number, and meets the text's own beside its row
+    runs = F.struct(F.shiftright("place.spot", MARK_BITS).cast("int").alias("number"), F.col("first.check").alias("check"))
     gone = later.groupBy("place.own", "place.id", F.col("place.spot").bitwiseAND((1 << MARK_BITS) - 1).alias("mark")).agg(F.collect_list(runs).alias("runs"))
     same = F.col("c.own").eqNullSafe(F.col("g.own")) & F.col("c.id").eqNullSafe(F.col("g.id")) & (F.col("c.mark") == F.col("g.mark"))
     out = cut.alias("c").join(gone.alias("g"), same, "left")
-    covered = F.expr("array_sort(array_distinct(flatten(transform(runs, r -> sequence(r.at, r.at + r.more)))))")
+    true = "filter(runs, r -> r.number < size(checks) and checks[r.number] = r.check)"
+    covered = F.expr(f"array_sort(array_distinct(flatten(transform({true}, r -> sequence(firsts[r.number], firsts[r.number] + mores[r.number])))))")
     out = out.select("c.*", F.coalesce(covered, F.expr("array()")).alias("gone"))
     return out.select(
         F.col("id").alias(id_col),
