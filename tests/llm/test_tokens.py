@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -43,3 +44,27 @@ def test_odd_rows(odd, none):
     want = sorted((r.doc_id or -1, len(w := (r.text or "").encode().split()), sum(plain_count(pieces, x) for x in w)) for r in odd.where("doc_id <> 7 or doc_id is null").collect())
     assert [g for g in got if g[0] != 7] == want
     assert token_counts(none).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
+def test_very_long_words():
+    pieces = set(read_pieces(VOCABULARY))
+    automaton = PieceAutomaton(pieces)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeionst\u00e9\u6771!") for _ in range(n)).encode() for n in (5, 400, 3000)]
+    assert automaton.counts(words).tolist() == [plain_count(pieces, w) for w in words]
+    assert automaton.counts(words * 20).tolist() == [plain_count(pieces, w) for w in words] * 20
+    began = time.time()
+    assert automaton.counts([b"x" * 1_000_000, b"short"])[0] > 1000
+    assert time.time() - began < 10
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
+def test_vocabulary_of_the_session(spark, tmp_path):
+    path = tmp_path / "pieces.txt"
+    path.write_text("un\n##aff\n##able\n##a\n")
+    spark.conf.set("spark.wayspan.vocabulary", str(path))
+    try:
+        assert token_counts(spark.createDataFrame([(1, "unaffable")], "doc_id long, text string")).first().n_tokens == 3
+    finally:
+        spark.conf.unset("spark.wayspan.vocabulary")

@@ -28,8 +28,12 @@ from .common import WHITE, with_text_columns
 
 #: The vocabulary of the registered query; any other path may be given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: A vocabulary is broadcast; more pieces than this are refused.
+#: The session's setting that names another one.
+SETTING = "spark.wayspan.vocabulary"
+#: A vocabulary is broadcast; more pieces than this are refused (public ones have up to some 250,000).
 MOST_PIECES = 2_000_000
+#: Words that are still stepped together; fewer are finished one by one.
+FEW = 24
 
 
 def read_pieces(path: str) -> list[bytes]:
@@ -127,6 +131,10 @@ class PieceAutomaton:
         for i in range(int(sizes[0])):
             while active and sizes[active - 1] <= i:
                 active -= 1
+            if active < FEW:  # a very long word's bytes cost a plain step each
+                for row in range(active):
+                    state[row], count[row] = self._run(int(state[row]), int(count[row]), text[starts[row] + i : starts[row] + sizes[row]].tobytes())
+                break
             self._step(state, count, np.arange(active), text[starts[:active] + i].astype(np.int64))
         while True:  # what is left of each word pops down to the root
             left = np.flatnonzero(state > 0)
@@ -139,6 +147,21 @@ class PieceAutomaton:
         out[order] = count
         return out
 
+    def _run(self, state: int, count: int, rest: bytes) -> tuple[int, int]:
+        """One word from its state over the rest of its bytes."""
+        base, check, fail, pops = (memoryview(x) for x in (self.base, self.check, self.fail, self.pops))
+        for byte in rest:
+            while state >= 0:
+                to = base[state] + byte
+                if to >= 0 and check[to] == state:
+                    state = to
+                    break
+                count += pops[state]
+                state = fail[state]
+            if state < 0:
+                break
+        return state, count
+
     def _step(self, state: np.ndarray, count: np.ndarray, rows: np.ndarray, byte: np.ndarray) -> None:
         alive = state[rows] >= 0
         rows, byte = rows[alive], byte[alive]
@@ -167,13 +190,14 @@ def count_texts(automaton: PieceAutomaton, texts: list[str | None]) -> tuple[np.
     return n_words, total[ends] - total[ends - n_words]
 
 
-def token_counts(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(df: DataFrame, keep: list[str] | None = None, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``keep`` columns, n_words and n_tokens. Null, empty and blank texts: 0 and 0; rows stay as they are.
 
+    ``vocabulary``: a path that the driver reads (else the one in the setting ``SETTING``, else ``VOCABULARY``).
     One mapInArrow over the scan, no shuffle. The automaton (a few MB, bounded by the
     vocabulary) is broadcast, so executors need no vocabulary file.
     """
-    shared = df.sparkSession.sparkContext.broadcast(PieceAutomaton(read_pieces(vocabulary)))
+    shared = df.sparkSession.sparkContext.broadcast(PieceAutomaton(read_pieces(vocabulary or df.sparkSession.conf.get(SETTING, VOCABULARY))))
 
     def setup():
         automaton = shared.value
