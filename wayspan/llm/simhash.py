@@ -1,14 +1,15 @@
 """SimHash near-dedup by Golay-code fuzzy hashing.
 
 The perfect [23, 12] Golay code decodes every 23-bit word to the one codeword within 3
-bits. A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits (the last padded
-with zeros). Two fingerprints that differ in at most 3 bits differ in at most one bit in
-two of the three segments at least (pigeonhole). For two words x, y one bit apart, the
-codeword of y lies within 4 bits of x. So for each pair of segments (A, B) a row of the
-left side carries (own codeword in A, each near codeword in B), a row of the right side
-(each near codeword in A, own codeword in B): a pair in reach shares a key for certain,
+bits. A 64-bit fingerprint is cut into four segments of 16 bits (padded with zeros to
+decode). Of two fingerprints that differ in at most 3 bits, one segment at least is equal, and two
+others at least differ in at most one bit each (pigeonhole). For two words x, y one bit apart, the
+codeword of y lies within 4 bits of x. So for each segment E and each pair (A, B) of the others a row of the
+left side carries (E, own codeword in A, each near codeword in B), a row of the right side
+(E, each near codeword in A, own codeword in B): a pair in reach shares a key for certain,
 and the join verifies the true distance. A word has 1 or 6 near codewords, so a
-fingerprint gets about 16 keys of 24 bits a side.
+fingerprint gets about 64 keys a side. A key has 40 bits: among 10^10 unlike fingerprints a
+fingerprint meets about 3 others by chance.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import components, staged, with_text_columns
 GENERATOR = 0b110001110101
 BITS = 23
 SEED = 42
+#: Bits of each of a fingerprint's four segments.
+SEGMENT = 16
 #: Shingle hashes whose bits are counted at a time.
 CHUNK = 65_536
 
@@ -102,16 +105,14 @@ def _keys(side: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False)
-            bits = fps.view(np.uint64)
-            near = [codewords((bits >> np.uint64(at) & np.uint64((1 << BITS) - 1)).astype(np.int64)) for at in (0, 23, 46)]
-            out_fp, out_key = [], []
-            for table, (a, b) in enumerate(combinations(range(3), 2)):
+            parts = [(fps.view(np.uint64) >> np.uint64(SEGMENT * i) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64) for i in range(4)]
+            near = [codewords(p) for p in parts]
+            for table, (equal, a, b) in enumerate((e, *pair) for e in range(4) for pair in combinations([i for i in range(4) if i != e], 2)):
                 one, many = (near[a][:, :1], near[b]) if side == "left" else (near[b][:, :1], near[a])
                 key = (one << 12 | many) if side == "left" else (many << 12 | one)
-                row, col = np.nonzero(many >= 0)
-                out_fp.append(fps[row])
-                out_key.append(table << 24 | key[row, col])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out_fp))], names=["key", side])
+                row, at = np.nonzero(many >= 0)
+                whole = table << 40 | parts[equal][row] << 24 | key[row, at]
+                yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(fps[row])], names=["key", side])
 
     return run
 
