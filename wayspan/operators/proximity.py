@@ -40,10 +40,9 @@ def both_ways(pairs: DataFrame, least: int = X.MIN_TRANSFER_S) -> DataFrame:
 
 
 def same_name_pairs(stops: DataFrame, metres: float = X.GROUP_MAX_M) -> DataFrame:
-    """(a, b): stops of one name at most ``metres`` apart, a < b; the name is the join key."""
-    x, y = (stops.select(F.col("stop_id").alias(i), "stop_name", F.col("lat").alias(f"lat_{i}"), F.col("lon").alias(f"lon_{i}")) for i in "ab")
-    m = X.distance_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return x.join(y, "stop_name").where((F.col("a") < F.col("b")) & (m <= metres)).select("a", "b")
+    """(a, b): stops of one name at most ``metres`` apart, a < b; joined on name and grid cell, so a frequent name is no hot key."""
+    near = near_stops(stops.select(F.col("stop_id").alias("a"), "lat", "lon", "stop_name"), "a", stops, metres, by=("stop_name",))
+    return near.where("a < stop_id").select("a", F.col("stop_id").alias("b"))
 
 
 def complex_pairs(stops: DataFrame) -> DataFrame:
@@ -87,14 +86,14 @@ def next_departure(asked: DataFrame, ev: DataFrame) -> DataFrame:
     return found.where("kind = 0 and dep_sec is not null").select("stop_id", "at_sec", "dep_sec")
 
 
-def near_stops(places: DataFrame, key: str, stops: DataFrame, metres: float) -> DataFrame:
-    """(key, stop_id, m): stops at most ``metres`` from each place (key, lat, lon), joined on grid cells."""
+def near_stops(places: DataFrame, key: str, stops: DataFrame, metres: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, stop_id, m): stops at most ``metres`` from each place (key, lat, lon) and equal in ``by``, joined on grid cells."""
     far = places.select("lat").unionByName(stops.select("lat")).agg(F.max(F.abs("lat"))).first()[0] or 0.0
     step_lat = metres / X.M_PER_DEG
     step_lon = step_lat / max(math.cos(math.radians(min(far + step_lat, 89.9))), 1e-6)
     near = F.sequence(F.lit(-1), F.lit(1))
-    p = places.select(key, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near))
+    p = places.select(key, *by, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near))
     p = p.withColumn("cy", F.floor(F.col("p_lat") / step_lat) + F.col("dy")).withColumn("cx", F.floor(F.col("p_lon") / step_lon) + F.col("dx"))
-    s = stops.select("stop_id", "lat", "lon", F.floor(F.col("lat") / step_lat).alias("cy"), F.floor(F.col("lon") / step_lon).alias("cx"))
+    s = stops.select("stop_id", *by, "lat", "lon", F.floor(F.col("lat") / step_lat).alias("cy"), F.floor(F.col("lon") / step_lon).alias("cx"))
     m = X.distance_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
-    return p.join(s, ["cy", "cx"]).select(key, "stop_id", m.alias("m")).where(F.col("m") <= metres)
+    return p.join(s, ["cy", "cx", *by]).select(key, "stop_id", m.alias("m")).where(F.col("m") <= metres)

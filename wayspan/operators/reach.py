@@ -10,46 +10,68 @@ from ..plans.stages import staged
 from .proximity import access_walk
 
 
-def raptor(ev: DataFrame, access: DataFrame, foot: DataFrame, t0: int, rounds: int, name: str = "raptor") -> DataFrame:
+def windowed(ev: DataFrame, t0: int, cap: int, name: str) -> DataFrame:
+    """The events that a search from ``t0`` to ``cap`` can use, written once: every round reads them twice."""
+    cols = ["trip_id", "stop_id", "pos", "arr_sec", "dep_sec", "flags"]
+    return staged(ev.where((F.col("dep_sec") >= t0) & (F.col("arr_sec") <= cap)).select(*cols), f"{name}-events")
+
+
+def raptor(ev: DataFrame, access: DataFrame, foot: DataFrame, t0: int, rounds: int, name: str = "raptor", by: tuple[str, ...] = ()) -> DataFrame:
     """(stop_id, arr_sec): best labels after ``rounds`` rounds; ``foot``: (u, v, sec), both directions.
 
     A round boards from stops whose label fell in the round before (buffer 60 s from the
     second on), rides each caught run past its first catch, then walks one hop from the
-    stops that riding improved. Joins on stop and run only; labels are staged each round.
+    stops that riding improved. Joins on stop and run only; events are cut to the time
+    window and written once, labels each round. With ``by`` (columns of ``access``, an origin's
+    number, say) the searches of all origins run side by side in the same rounds.
     """
-    cap = t0 + X.HORIZON_S
-    best = staged(access.select("stop_id", (F.lit(t0) + F.col("sec")).cast("long").alias("t"), F.lit(0).alias("round")), name)
+    cap, by = t0 + X.HORIZON_S, list(by)
+    ev = windowed(ev, t0, cap, name)
+    foot = staged(foot.select("u", "v", "sec"), f"{name}-foot")
+    best = staged(access.select(*by, "stop_id", (F.lit(t0) + F.col("sec")).cast("long").alias("t"), F.lit(0).alias("round")), name)
     for k in range(1, rounds + 1):
-        front = best.where(F.col("round") == k - 1).select("stop_id", "t")
+        front = best.where(F.col("round") == k - 1).select(*by, "stop_id", "t")
         ready = F.col("t") + (0 if k == 1 else X.MIN_TRANSFER_S)
         board = ev.join(front, "stop_id").where((F.col("flags").bitwiseAND(1) == 0) & (F.col("dep_sec") >= ready) & (F.col("dep_sec") <= cap))
-        board = board.groupBy("trip_id").agg(F.min("pos").alias("from_pos"))
+        board = board.groupBy(*by, "trip_id").agg(F.min("pos").alias("from_pos"))
         ride = ev.join(board, "trip_id").where((F.col("pos") > F.col("from_pos")) & (F.col("flags").bitwiseAND(2) == 0) & (F.col("arr_sec") <= cap))
-        ride = ride.groupBy("stop_id").agg(F.min("arr_sec").cast("long").alias("a"))
-        ride = ride.join(best.select("stop_id", "t"), "stop_id", "left").where("t is null or a < t").select("stop_id", F.col("a").alias("t"))
-        walk = ride.join(foot, ride["stop_id"] == foot["u"]).select(F.col("v").alias("stop_id"), (F.col("t") + F.col("sec")).alias("t")).where(F.col("t") <= cap)
-        new = ride.unionByName(walk).groupBy("stop_id").agg(F.min("t").alias("new"))
-        best = best.join(new, "stop_id", "full").select("stop_id", F.least("t", "new").alias("t"), F.when(F.col("t").isNull() | (F.col("new") < F.col("t")), k).otherwise(F.col("round")).alias("round"))
+        ride = ride.groupBy(*by, "stop_id").agg(F.min("arr_sec").cast("long").alias("a"))
+        ride = ride.join(best.select(*by, "stop_id", "t"), [*by, "stop_id"], "left").where("t is null or a < t").select(*by, "stop_id", F.col("a").alias("t"))
+        walk = ride.join(foot, ride["stop_id"] == foot["u"]).select(*by, F.col("v").alias("stop_id"), (F.col("t") + F.col("sec")).alias("t")).where(F.col("t") <= cap)
+        new = ride.unionByName(walk).groupBy(*by, "stop_id").agg(F.min("t").alias("new"))
+        best = best.join(new, [*by, "stop_id"], "full").select(*by, "stop_id", F.least("t", "new").alias("t"), F.when(F.col("t").isNull() | (F.col("new") < F.col("t")), k).otherwise(F.col("round")).alias("round"))
         best = staged(best, name)
-    return best.select("stop_id", F.col("t").alias("arr_sec"))
+    return best.select(*by, "stop_id", F.col("t").alias("arr_sec"))
+
+
+#: Rounds whose labels stand side by side before they are drawn together; edges that a round follows.
+LEVELS, HOPS = 16, 3
 
 
 def shortest(seeds: DataFrame, edges: DataFrame, cap: int, name: str = "shortest") -> DataFrame:
     """(node, t): least times from seeds (node, t) over edges (u, v, sec); labels past ``cap`` aren't carried on.
 
-    Frontier relaxation: each round joins the labels that fell with the edges and keeps
-    strict improvements; rounds end with an empty frontier.
+    Frontier relaxation: each round follows up to ``HOPS`` edges from the labels that fell and writes only
+    the strict improvements (of all hops: a farther one may be reached over more edges later); settled labels stay where they are and are looked up by the
+    few nodes at hand. Every ``LEVELS`` rounds they are drawn together. Rounds end with an empty frontier.
     """
-    labels = staged(seeds.groupBy("node").agg(F.min("t").alias("t")).withColumn("round", F.lit(0)), name)
-    k = 0
+    least = lambda rows: rows.groupBy("node").agg(F.min("t").alias("t"))
+    edges = staged(edges.select("u", "v", "sec"), f"{name}-edges")
+    front = staged(least(seeds.select("node", F.col("t").cast("long").alias("t"))), name)
+    labels, levels = front, 1
     while True:
-        front = labels.where((F.col("round") == k) & (F.col("t") <= cap))
-        new = front.join(edges, front["node"] == edges["u"]).groupBy(F.col("v").alias("node")).agg(F.min(F.col("t") + F.col("sec")).alias("new"))
-        k += 1
-        merged = labels.join(new, "node", "full").select("node", F.least("t", "new").alias("t"), F.when(F.col("t").isNull() | (F.col("new") < F.col("t")), k).otherwise(F.col("round")).alias("round"))
-        labels = staged(merged, name)
-        if labels.where(F.col("round") == k).isEmpty():
-            return labels.select("node", "t")
+        found = step = front
+        for _ in range(HOPS):
+            step = step.where(F.col("t") <= cap).join(edges, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min(F.col("t") + F.col("sec")).alias("t"))
+            found = found.unionByName(step)
+        found = least(found)
+        had = labels.join(found.select("node"), "node", "left_semi").groupBy("node").agg(F.min("t").alias("had"))
+        front = staged(found.join(had, "node", "left").where("had is null or t < had").select("node", "t"), name)
+        if front.isEmpty():
+            return least(labels)
+        labels, levels = labels.unionByName(front), levels + 1
+        if levels == LEVELS:
+            labels, levels = staged(least(labels), name), 1
 
 
 def least_member(nodes: DataFrame, edges: DataFrame, name: str = "members") -> DataFrame:

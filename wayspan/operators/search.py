@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..plans.stages import staged
+from .reach import windowed
 
 
 def patterns(ev: DataFrame) -> DataFrame:
@@ -54,6 +55,7 @@ def journeys(ev: DataFrame, access: DataFrame, foot: DataFrame, t0: int, rounds:
     most two a round.
     """
     cap = t0 + X.HORIZON_S
+    ev = windowed(ev, t0, cap, "journeys")
     none, long = F.lit(None).cast("long"), lambda c: c.cast("long")
     first = access.select("stop_id", long(F.lit(t0) + F.col("sec")).alias("t"), F.lit(0).alias("round"), F.lit("access").alias("kind"), none.alias("from_stop"), none.alias("trip_id"), long(F.lit(t0)).alias("dep_sec"), F.lit(-1).alias("from_round"), F.lit("").alias("from_kind"))
     best = labels = staged(first, "journeys")

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import proximity, reach
+from ..sources import gtfs
 from ..sources.fixtures import Fixtures, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Origins, departure, access radius of the transfer variant, the grid box.
-A, B, T0, NEAR_M = (52.201, 21.010), (52.208, 21.030), 36000, 150
+A, B, T0, NEAR_M = (52.201, 21.010), (52.208, 21.030), 36000, 200
 GRID = (52.199, 20.998, 52.212, 21.040)
 M = "111320.0"
 
@@ -46,9 +47,12 @@ FOOT = f"""SELECT u, v, greatest({RND.format('m / ' + WALK)}, 60) AS sec FROM (
 
 
 # scalars
-@query("SELECT trip_id, seq, arr_sec AS sec FROM fx_stop_times")
+@query("SELECT trip_id, seq, CASE trip_id % 11 WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN arr_sec // 60 * 60 ELSE arr_sec END AS sec FROM fx_stop_times")
 def time_to_sec(fx):
-    text = F.format_string("%d:%02d:%02d", F.floor(F.col("arr_sec") / 3600), F.floor(F.col("arr_sec") / 60) % 60, (F.col("arr_sec") % 60).cast("long"))
+    """Times with one or two digits of hours, past midnight, without seconds, with blanks, empty, and with a word in them."""
+    hour, minute, second = F.floor(F.col("arr_sec") / 3600), F.floor(F.col("arr_sec") / 60) % 60, (F.col("arr_sec") % 60).cast("long")
+    whole, odd = F.format_string("%d:%02d:%02d", hour, minute, second), F.col("trip_id") % 11
+    text = F.when(odd == 3, "").when(odd == 4, F.concat(F.lit("x"), whole)).when(odd == 5, F.format_string("%02d:%02d", hour, minute)).when(odd == 6, F.concat(F.lit(" "), whole, F.lit(" "))).otherwise(whole)
     return fx.fx_stop_times.select("trip_id", "seq", X.time_to_sec(text).alias("sec"))
 
 
@@ -72,15 +76,20 @@ def stop_name_normalize(fx):
     return fx.supplier.select("s_suppkey", X.stop_name(F.concat(F.lit(" "), "s_name", F.lit(" 03 "))).alias("name"))
 
 
-@query("SELECT route_id, CASE WHEN route_id % 3 = 0 THEN CAST(route_id AS VARCHAR) ELSE route_name END AS name FROM fx_routes")
+@query("SELECT o_orderkey AS route_id, CASE WHEN o_orderkey % 5 = 1 THEN o_orderpriority WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderstatus END AS name FROM orders")
 def route_display_name(fx):
-    long = F.when(F.col("route_id") % 3 == 0, "").otherwise(F.col("route_name"))
-    return fx.fx_routes.select("route_id", X.display_name(F.lit(""), long, F.col("route_id").cast("string")).alias("name"))
+    """A short name in one of five rows, none or null in the others; a long one in two of three."""
+    key = F.col("o_orderkey")
+    short = F.when(key % 5 == 1, F.col("o_orderpriority")).when(key % 5 == 2, F.lit(None)).otherwise("")
+    long = F.when(key % 3 == 0, "").otherwise(F.col("o_orderstatus"))
+    return fx.orders.select(key.alias("route_id"), X.display_name(short, long, key.cast("string")).alias("name"))
 
 
-@query("SELECT trip_id, seq, flags FROM fx_stop_times")
+@query("SELECT trip_id, seq, CASE WHEN (trip_id + seq) % 5 = 1 THEN 1 ELSE 0 END + CASE WHEN (trip_id + 3 * seq) % 7 = 1 THEN 2 ELSE 0 END AS flags FROM fx_stop_times")
 def pickup_drop_flags(fx):
-    pickup, drop = F.when(F.col("seq") == 7, "1").otherwise("2"), F.when(F.col("seq") == 1, "1").otherwise("3")
+    """All codes, missing ones and a strange one among them."""
+    code = lambda n: F.when(n < 4, n.cast("string")).when(n == 4, "").when(n == 5, "x")
+    pickup, drop = code((F.col("trip_id") + F.col("seq")) % 5), code((F.col("trip_id") + 3 * F.col("seq")) % 7)
     return fx.fx_stop_times.select("trip_id", "seq", X.flags(pickup, drop).alias("flags"))
 
 
@@ -109,10 +118,12 @@ def vehicle_type_filter(fx):
     return fx.fx_ev.where(F.col("route_type").isin(0, 2)).select("trip_id", "pos")
 
 
-@query("SELECT t.trip_id FROM fx_trips t JOIN fx_routes r ON r.route_id = t.route_id WHERE r.agency_id IN (1, 3)")
+@query("SELECT trip_id, trip_id % 3 AS feed FROM fx_trips t JOIN fx_routes r ON r.route_id = t.route_id WHERE trip_id % 3 = 2 OR (trip_id % 3 = 0 AND agency_id IN (1, 3)) OR (trip_id % 3 = 1 AND agency_id = 2)")
 def agency_filter(fx):
-    kept = fx.fx_routes.where(F.col("agency_id").isin(1, 3))
-    return fx.fx_trips.join(kept, "route_id", "left_semi").select("trip_id")
+    """Runs of the agencies that their feed keeps, by the feeds' configuration; a feed that names none keeps all."""
+    feeds = fx.spark.createDataFrame([(0, ["1", "3"]), (1, ["2"]), (2, None)], "feed long, keepAgency array<string>")
+    runs = fx.fx_trips.join(fx.fx_routes, "route_id").select("trip_id", (F.col("trip_id") % 3).cast("long").alias("feed"), F.col("agency_id").cast("string").alias("agency"))
+    return gtfs.kept_agencies(runs, feeds).select("trip_id", "feed")
 
 
 @query(f"SELECT 25 AS res, CAST(ceil(({GRID[3]} - {GRID[1]}) * {M} * cos(radians(({GRID[0]} + {GRID[2]}) / 2)) / 25) AS BIGINT) AS w, CAST(ceil(({GRID[2]} - {GRID[0]}) * {M} / 25) AS BIGINT) AS h, count(*) AS stops FROM fx_stops")
@@ -165,10 +176,50 @@ def services_by_date(fx):
     return served(fx).groupBy("date").agg(F.countDistinct("service_id").alias("services"))
 
 
-@query("SELECT max(first) AS first, min(last) AS last FROM (SELECT feed, min(date) AS first, max(date) AS last FROM served GROUP BY feed)", {"dates": DATES, "served": SERVED})
+#: The day from which timetables count (an argument, never the clock).
+AS_OF = "1996-01-15"
+COMMON = "SELECT max(first) AS first, min(last) AS last FROM (SELECT feed, min(date) AS first, max(date) AS last FROM added GROUP BY feed)"
+#: Ranges are bounded by what is added, so a date that is taken out still counts.
+ADDED = "SELECT feed, service_id, date FROM dates UNION SELECT feed, service_id, date FROM fx_calendar_dates WHERE exception_type = 1"
+USABLE = f"""SELECT date FROM (SELECT date, date >= DATE '{AS_OF}' AS ahead, max(date) OVER () >= DATE '{AS_OF}' AS any_ahead
+  FROM (SELECT DISTINCT s.date FROM served s, common c WHERE s.date BETWEEN c.first AND c.last)) WHERE ahead OR NOT any_ahead"""
+DAYS = {"dates": DATES, "served": SERVED, "added": ADDED, "common": COMMON, "usable": USABLE}
+
+
+def added(fx) -> DataFrame:
+    extra = fx.fx_calendar_dates.where("exception_type = 1").select("feed", "service_id", "date")
+    return calendar_dates(fx.fx_calendar).union(extra).distinct()
+
+
+def common_range(fx) -> DataFrame:
+    """(first, last) of the dates that all feeds cover; fails where they have none in common."""
+    ranges = added(fx).groupBy("feed").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    both = ranges.agg(F.max("first").alias("first"), F.min("last").alias("last"))
+    return both.select(F.when(F.col("first") > F.col("last"), F.raise_error(F.lit("the feeds have no dates in common")).cast("date")).otherwise(F.col("first")).alias("first"), "last")
+
+
+def usable_dates(fx, as_of: str = AS_OF) -> DataFrame:
+    """(date): served dates of the common range from ``as_of`` on; all of the range where none is left."""
+    inside = served(fx).select("date").distinct().join(F.broadcast(common_range(fx))).where("date between first and last").select("date")  # one row
+    day = F.lit(as_of).cast("date")
+    ahead = inside.agg((F.max("date") >= day).alias("any_ahead"))
+    return inside.join(F.broadcast(ahead)).where((F.col("date") >= day) | ~F.col("any_ahead")).select("date")
+
+
+@query("SELECT * FROM common", DAYS)
 def common_date_range(fx):
-    ranges = served(fx).groupBy("feed").agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    return ranges.agg(F.max("first").alias("first"), F.min("last").alias("last"))
+    return common_range(fx)
+
+
+@query("SELECT * FROM usable", DAYS)
+def service_dates(fx):
+    return usable_dates(fx)
+
+
+@query("SELECT date FROM (SELECT DISTINCT s.date FROM served s, common c WHERE s.date BETWEEN c.first AND c.last)", DAYS)
+def service_dates_past(fx):
+    """All dates lie before the day asked for: the whole common range counts."""
+    return usable_dates(fx, "2040-01-01")
 
 
 @query("SELECT trip_id, unnest(range(start_sec, end_sec, headway)) AS start FROM fx_frequencies")
@@ -177,6 +228,13 @@ def frequency_expand(fx):
     return fx.fx_frequencies.select("trip_id", F.explode(starts).alias("start")).select("trip_id", F.col("start").cast("long"))
 
 
+@query("SELECT trip_id, unnest(range(start_sec, end_sec, headway)) AS start FROM fx_frequencies UNION ALL SELECT trip_id, start_sec FROM fx_trips WHERE trip_id NOT IN (SELECT trip_id FROM fx_frequencies)")
+def trip_starts(fx):
+    """Starts of all runs: those of a run's frequency windows stand for its own."""
+    own = fx.fx_trips.join(fx.fx_frequencies, "trip_id", "left_anti").select("trip_id", F.col("start_sec").cast("long").alias("start"))
+    return frequency_expand(fx).unionByName(own)
+
+
 # timetable
 @query("SELECT t.trip_id, coalesce(r.route_name, '?') AS route_name, coalesce(r.route_type, 0) AS route_type FROM fx_trips t LEFT JOIN fx_routes r ON r.route_id = t.route_id AND r.route_id <> 7")
 def trip_route_join(fx):
@@ -283,13 +341,21 @@ def access_walk(fx):
     return reach.access(fx.fx_stops, *A).select("stop_id", "sec")
 
 
-@query("SELECT stop_id, min(stop_id) OVER (PARTITION BY stop_name) AS group_id FROM fx_stops")
+NAMESAKES = f"SELECT a.stop_id AS u, b.stop_id AS v FROM fx_stops a JOIN fx_stops b ON a.stop_name = b.stop_name AND a.stop_id <> b.stop_id WHERE CASE WHEN a.stop_id < b.stop_id THEN {dist('a.lat,a.lon', 'b.lat,b.lon')} ELSE {dist('b.lat,b.lon', 'a.lat,a.lon')} END <= 300"
+GROUPS = """grp(node, label) USING KEY (node) AS (SELECT stop_id, stop_id FROM fx_stops UNION
+  SELECT e.v, min(r.label) FROM grp r JOIN namesakes e ON e.u = r.node JOIN recurring.grp b ON b.node = e.v WHERE r.label < b.label GROUP BY e.v)"""
+
+
+@query("SELECT node AS stop_id, label AS group_id FROM grp", {"namesakes": NAMESAKES})
 def stop_groups(fx):
     edges = proximity.same_name_pairs(fx.fx_stops).toDF("u", "v")
     found = reach.least_member(fx.fx_stops.select(F.col("stop_id").alias("node")), edges)
     return found.select(F.col("node").alias("stop_id"), F.col("label").alias("group_id"))
 
 
+ORACLES["stop_groups"] = ORACLES["stop_groups"].replace("\nSELECT node AS stop_id", f", {GROUPS}\nSELECT node AS stop_id")
+
+
 # reach
 def round_sql(rounds: int) -> dict[str, str]:
     """Named queries b0, b1, ...: best labels after each round."""
@@ -460,21 +526,53 @@ def obs_dedup_last(fx):
     return fx.fx_delay_obs.groupBy("route_name", "trip_ref").agg(F.max_by("delay_sec", "event_id").alias("delay_sec"))
 
 
-@query("SELECT coalesce(min(date) FILTER (WHERE dayofweek(date) BETWEEN 2 AND 4), min(date) FILTER (WHERE dayofweek(date) BETWEEN 1 AND 5)) AS workday, min(date) FILTER (WHERE dayofweek(date) = 6) AS saturday, min(date) FILTER (WHERE dayofweek(date) = 0) AS sunday FROM served", {"dates": DATES, "served": SERVED})
-def representative_days(fx):
+CHOSEN = "SELECT coalesce(min(date) FILTER (WHERE dayofweek(date) BETWEEN 2 AND 4), min(date) FILTER (WHERE dayofweek(date) BETWEEN 1 AND 5)) AS workday, min(date) FILTER (WHERE dayofweek(date) = 6) AS saturday, min(date) FILTER (WHERE dayofweek(date) = 0) AS sunday FROM usable"
+
+
+def chosen_days(dates: DataFrame) -> DataFrame:
+    """(workday, saturday, sunday): the first date of each kind, a workday from Tuesday to Thursday if there is one; null where there is none."""
     first = lambda of: F.min(F.when(of, F.col("date")))
     day = X.weekday(F.col("date"))
-    return served(fx).agg(F.coalesce(first(day.between(2, 4)), first(day.between(1, 5))).alias("workday"), first(day == 6).alias("saturday"), first(day == 0).alias("sunday"))
+    return dates.agg(F.coalesce(first(day.between(2, 4)), first(day.between(1, 5))).alias("workday"), first(day == 6).alias("saturday"), first(day == 0).alias("sunday"))
+
+
+@query(CHOSEN, DAYS)
+def representative_days(fx):
+    return chosen_days(usable_dates(fx))
 
 
 ACCESS_B = ACCESS.replace(str(A[0]), str(B[0])).replace(str(A[1]), str(B[1]))
 
 
-@query("SELECT stop_id, greatest(a.sec, b.sec) AS sec FROM access a JOIN access_b b USING (stop_id)", {"access": ACCESS, "access_b": ACCESS_B})
+def tagged(rounds: dict[str, str], tag: str, swap: dict[str, str] | None = None) -> dict[str, str]:
+    """The round queries with ``tag`` before their names, and names in ``swap`` exchanged."""
+    import re
+
+    out = {}
+    for name, text in rounds.items():
+        if re.fullmatch(r"[bcrn]\d", name):
+            for old, new in (swap or {}).items():
+                text = re.sub(rf"\b{old}\b", new, text)
+            text = re.sub(r"\b([bcrn]\d)\b(?! AS)", rf"{tag}\1", text)
+            name = tag + name
+        out[name] = text
+    return out
+
+
+@query("SELECT stop_id, greatest(a.t, b.t) AS arr_sec FROM b2 a JOIN o_b2 b USING (stop_id)", {"access": ACCESS, "access_b": ACCESS_B, **round_sql(2), **tagged(round_sql(2), "o_", {"access": "access_b"})})
 def compare_max(fx):
-    """The later of two arrivals; a stop that either origin doesn't reach is left out."""
-    a, b = (reach.access(fx.fx_stops, *at).select("stop_id", F.col("sec").alias(n)) for at, n in ((A, "sec_a"), (B, "sec_b")))
-    return a.join(b, "stop_id").select("stop_id", F.greatest("sec_a", "sec_b").alias("sec"))
+    """The later of two searches' arrivals; a stop that either doesn't reach is left out."""
+    foot = proximity.both_ways(proximity.transfer_pairs(fx.fx_stops))
+    a, b = (reach.raptor(fx.fx_ev, reach.access(fx.fx_stops, *at, NEAR_M), foot, T0, 2).select("stop_id", F.col("arr_sec").alias(n)) for at, n in ((A, "a"), (B, "b")))
+    return a.join(b, "stop_id").select("stop_id", F.greatest("a", "b").alias("arr_sec"))
+
+
+@query("SELECT 0 AS origin, stop_id, t AS arr_sec FROM b2 UNION ALL SELECT 1, stop_id, t FROM o_b2", {"access": ACCESS, "access_b": ACCESS_B, **round_sql(2), **tagged(round_sql(2), "o_", {"access": "access_b"})})
+def raptor_origins(fx):
+    """Several origins searched side by side, in the same rounds."""
+    foot = proximity.both_ways(proximity.transfer_pairs(fx.fx_stops))
+    near = [reach.access(fx.fx_stops, *at, NEAR_M).withColumn("origin", F.lit(i)) for i, at in enumerate((A, B))]
+    return reach.raptor(fx.fx_ev, near[0].unionByName(near[1]), foot, T0, 2, "origins", by=("origin",))
 
 
 @query(f"SELECT count(*) FILTER (WHERE t - {T0} <= 5400) AS reachable FROM b2", round_sql(2))

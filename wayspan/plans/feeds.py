@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import proximity, reach
 from ..sources import gtfs
-from .catalog import A, DATES, FOOT, HIST, P80, PAIRS, RND, SERVED, STEPS, WALK, along, dist, histogram, percentile, query, served
+from .catalog import A, CHOSEN, DAYS, HIST, P80, RND, WALK, along, chosen_days, dist, histogram, percentile, query, served, usable_dates
 from .stages import stage_path
 
 
@@ -101,17 +101,28 @@ def stat_format(fx):
     return fx.fx_trips.select("trip_id", X.km_text(F.col("start_sec") % 20000).alias("text"))
 
 
-MASK = "SELECT feed, service_id, CAST(bit_or(b) AS BIGINT) AS mask FROM (SELECT s.feed, s.service_id, 1 << d.i AS b FROM served s JOIN (SELECT unnest([w, sa, su]) AS date, unnest([0, 1, 2]) AS i FROM (SELECT coalesce(min(date) FILTER (WHERE dayofweek(date) BETWEEN 2 AND 4), min(date) FILTER (WHERE dayofweek(date) BETWEEN 1 AND 5)) AS w, min(date) FILTER (WHERE dayofweek(date) = 6) AS sa, min(date) FILTER (WHERE dayofweek(date) = 0) AS su FROM served)) d ON d.date = s.date) GROUP BY ALL"
+MASK = "SELECT feed, service_id, CAST(bit_or(b) AS BIGINT) AS mask FROM (SELECT s.feed, s.service_id, 1 << d.i AS b FROM served s JOIN (SELECT unnest([workday, saturday, sunday]) AS date, unnest([0, 1, 2]) AS i FROM chosen) d ON d.date = s.date) GROUP BY ALL"
+MASKED = {**DAYS, "chosen": CHOSEN, "mask": MASK}
 
 
-@query("SELECT * FROM mask", {"dates": DATES, "served": SERVED, "mask": MASK})
+def day_masks(fx) -> DataFrame:
+    days = chosen_days(usable_dates(fx)).select(F.posexplode(F.array("workday", "saturday", "sunday")).alias("i", "date"))
+    return served(fx).join(days, "date").groupBy("feed", "service_id").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+
+
+@query("SELECT * FROM mask", MASKED)
 def trip_day_mask(fx):
     """Bits of the representative days that each service runs on; services of none are left out."""
-    runs = served(fx)
-    day, first = X.weekday(F.col("date")), lambda of: F.min(F.when(of, F.col("date")))
-    days = runs.agg(F.coalesce(first(day.between(2, 4)), first(day.between(1, 5))).alias("w"), first(day == 6).alias("sa"), first(day == 0).alias("su"))
-    days = days.select(F.posexplode(F.array("w", "sa", "su")).alias("i", "date"))
-    return runs.join(days, "date").groupBy("feed", "service_id").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    return day_masks(fx)
+
+
+@query("SELECT feed, CASE feed % 3 WHEN 0 THEN arg_max(id, (CASE WHEN o_orderstatus <> 'P' THEN d ELSE d - 30 END, id)) FILTER (WHERE zip) WHEN 1 THEN max(id) ELSE min(id) END AS resource_id FROM (SELECT o_custkey AS feed, o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderstatus, o_orderpriority <> '5-LOW' AS zip FROM orders) GROUP BY feed HAVING feed % 3 <> 0 OR bool_or(zip)")
+def feed_resolution(fx):
+    """Feeds of three kinds of address; of the first kind only archives count."""
+    day = F.col("o_orderdate").cast("date")
+    kind = F.element_at(F.array(F.lit("ckan-latest"), F.lit("max-id"), F.lit("literal")), (F.col("o_custkey") % 3 + 1).cast("int"))
+    made = fx.orders.select(F.col("o_custkey").alias("feed"), F.col("o_orderkey").alias("resource_id"), kind.alias("kind"), F.when(F.col("o_orderpriority") != "5-LOW", "ZIP").otherwise("csv").alias("format"), F.when(F.col("o_orderstatus") != "P", day).alias("last_modified"), F.date_sub(day, 30).alias("created"))
+    return gtfs.resolved(made)
 
 
 @query("SELECT route_name, route_type, dense_rank() OVER (ORDER BY route_name, route_type) - 1 AS route_idx FROM (SELECT DISTINCT route_name, route_type FROM fx_routes)")

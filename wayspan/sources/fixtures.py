@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: name -> (tables it reads, SQL); later entries may read earlier ones.
 TABLES = {
     "fx_stops": (("supplier",), """
-SELECT s_suppkey AS stop_id, concat('Stop ', CAST(CAST(floor(s_suppkey / 2) AS BIGINT) AS VARCHAR(20))) AS stop_name,
+SELECT s_suppkey AS stop_id, CASE WHEN s_suppkey % 7 = 0 THEN concat('Far ', CAST(s_suppkey % 21 AS VARCHAR(20)))
+         ELSE concat('Stop ', CAST(CAST(floor(s_suppkey / 2) AS BIGINT) AS VARCHAR(20))) END AS stop_name,
        52.2e0 + 0.0012e0 * floor(s_suppkey / 10) AS lat, 21.0e0 + 0.0040e0 * (s_suppkey % 10) AS lon
 FROM supplier"""),
     "fx_routes": (("nation",), """
@@ -42,9 +43,9 @@ SELECT CAST(o_custkey % 2 AS INT) AS feed, concat(o_orderstatus, '-', CAST(o_cus
        CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END AS exception_type
 FROM orders"""),
     "fx_frequencies": (("fx_trips",), """
-SELECT trip_id, w.start_sec, w.end_sec, w.headway
-FROM (SELECT route_id, min(trip_id) AS trip_id FROM fx_trips WHERE route_id < 3 GROUP BY route_id) t
-CROSS JOIN (VALUES (21600, 25200, 600), (25200, 28000, 300)) AS w(start_sec, end_sec, headway)"""),
+SELECT trip_id, t.start_sec + w.after AS start_sec, t.start_sec + w.till AS end_sec, w.headway
+FROM fx_trips t CROSS JOIN (VALUES (0, 3600, 600), (3600, 6400, 300), (9000, 9000, 300)) AS w(after, till, headway)
+WHERE trip_id % 5 = 0"""),
     "fx_delay_obs": (("events",), """
 SELECT event_id, event_type AS route_name, ts, CAST(floor(value * 6) AS INT) - 120 AS delay_sec, user_id AS trip_ref FROM events"""),
     "fx_walk_nodes": (("part",), """

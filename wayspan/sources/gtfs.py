@@ -60,3 +60,23 @@ def newest(resources: DataFrame, by: str) -> DataFrame:
     """The newest resource of each ``by``: last modified, else created; the larger id of equals."""
     stamp = F.struct(F.coalesce("last_modified", "created"), "resource_id")
     return resources.groupBy(by).agg(F.max_by("resource_id", stamp).alias("resource_id"))
+
+
+def kept_agencies(rows: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Rows (feed, agency, ...) of the agencies that their feed's configuration (feed, keepAgency) keeps; a feed without a list keeps all."""
+    kept = feeds.where("keepAgency is not null").select("feed", F.explode("keepAgency").alias("agency")).distinct()
+    every = feeds.where("keepAgency is null").select("feed").distinct()
+    return rows.join(kept, ["feed", "agency"], "left_semi").unionByName(rows.join(every, "feed", "left_semi"))
+
+
+def resolved(resources: DataFrame) -> DataFrame:
+    """(feed, resource_id): where each feed is to be had, by its kind.
+
+    `ckan-latest`: the newest ZIP (last modified, else created); `max-id`: the file of the
+    greatest number; else the address as it is written.
+    """
+    zips = resources.where((F.col("kind") == "ckan-latest") & F.lower("format").contains("zip"))
+    newest_zip = newest(zips, "feed")
+    greatest = resources.where(F.col("kind") == "max-id").groupBy("feed").agg(F.max("resource_id").alias("resource_id"))
+    written = resources.where(~F.col("kind").isin("ckan-latest", "max-id")).groupBy("feed").agg(F.min("resource_id").alias("resource_id"))
+    return newest_zip.unionByName(greatest).unionByName(written)
