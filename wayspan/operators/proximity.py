@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..plans.stages import staged
 
 
 def within_distance(stops: DataFrame, metres: float) -> DataFrame:
@@ -97,3 +98,26 @@ def near_stops(places: DataFrame, key: str, stops: DataFrame, metres: float, by:
     s = stops.select("stop_id", *by, "lat", "lon", F.floor(F.col("lat") / step_lat).alias("cy"), F.floor(F.col("lon") / step_lon).alias("cx"))
     m = X.distance_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
     return p.join(s, ["cy", "cx", *by]).select(key, "stop_id", m.alias("m")).where(F.col("m") <= metres)
+
+
+#: Cells of a first search ring in metres; each further ring is four times as wide.
+RING_M, RINGS = 500.0, 12
+
+
+def nearest_reached(places: DataFrame, stops: DataFrame) -> DataFrame:
+    """(node_id, total, stop_id): the nearest stop (stop_id, lat, lon, sec) with sec <= total + 1 of each place (node_id, lat, lon, total).
+
+    Rings of growing width are searched on grid cells; places that found a stop within a
+    ring's width leave the next ones. The last ring spans the globe's side.
+    """
+    left, out, metres = staged(places, "places"), None, RING_M
+    for _ in range(RINGS):
+        near = near_stops(left, "node_id", stops, metres).join(left.select("node_id", "total"), "node_id").join(stops.select("stop_id", "sec"), "stop_id").where("sec <= total + 1")
+        found = near.groupBy("node_id").agg(F.min(F.struct("m", "stop_id")).alias("o"), F.min("total").alias("total")).select("node_id", "total", "o.stop_id")
+        found = staged(found, "nearest")
+        out = found if out is None else out.unionByName(found)
+        left = staged(left.join(found, "node_id", "left_anti"), "places")
+        if left.isEmpty() or stops.isEmpty():
+            break
+        metres *= 4
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +39,14 @@ class Grid:
         res = F.greatest(F.lit(MIN_RES_M), F.ceil(F.sqrt(x * y / MAX_CELLS))).cast("int")
         return Grid(*box.select("s", "w", "n", "e", "deg_m", res, F.ceil(x / res).cast("int"), F.ceil(y / res).cast("int")).first())
 
+    @staticmethod
+    def of_box(south: float, west: float, north: float, east: float) -> Grid:
+        """The grid of a city's box."""
+        deg_m = X.M_PER_DEG * math.cos(math.radians((south + north) / 2))
+        x, y = (east - west) * deg_m, (north - south) * X.M_PER_DEG
+        res = max(MIN_RES_M, math.ceil(math.sqrt(x * y / MAX_CELLS)))
+        return Grid(south, west, north, east, deg_m, res, math.ceil(x / res), math.ceil(y / res))
+
     def px(self, lon: Column) -> Column:
         return (lon - F.lit(self.west)) * F.lit(self.deg_m) / F.lit(self.res)
 
@@ -94,6 +103,20 @@ def stroke(lines: DataFrame, grid: Grid, least_px: float, width_m: float) -> Dat
     return s.where(gap <= half * half).select((F.col("y").cast("long") * grid.w + F.col("x")).alias("cell")).distinct()
 
 
+#: Where a place on water is moved, in this order.
+SHIFTS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
+
+
+def on_land(seeds: DataFrame, land: DataFrame, grid: Grid) -> DataFrame:
+    """(node, t): seeds (node, t) by cell, those on water moved to the first land cell to the west, east, north or south; others go."""
+    seeds = seeds.where("node is not null").groupBy("node").agg(F.min("t").alias("t"))
+    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("order"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(SHIFTS)]))
+    x, y = F.col("node") % grid.w + F.col("s.dx"), F.floor(F.col("node") / grid.w) + F.col("s.dy")
+    tried = seeds.withColumn("s", shift).where((x >= 0) & (x < grid.w) & (y >= 0) & (y < grid.h)).select("node", "t", "s.order", (y * grid.w + x).alias("cell"))
+    found = tried.join(land.select("cell"), "cell", "left_semi").groupBy("node").agg(F.min("t").alias("t"), F.min_by("cell", "order").alias("cell"))
+    return found.groupBy(F.col("cell").alias("node")).agg(F.min("t").alias("t"))
+
+
 def moves(land: DataFrame, grid: Grid) -> DataFrame:
     """(u, v, sec, step_m): walks from each land cell to its eight neighbours on land, in seconds and metres."""
     orth = max(1, int(grid.res / X.WALK_MPS + 0.5))

@@ -11,9 +11,9 @@ from ..operators import search as searches
 from ..operators.raster import Grid
 from ..sources import streets
 from ..streaming import delays
-from .catalog import A, ACCESS, ADJ, FOOT, HIST, NEAR_M, PAIRS, RND, T0, WALK, adjacency, dist, query, round_sql
+from .catalog import A, ACCESS, ADJ, FOOT, HIST, NEAR_M, PAIRS, PARTS, RND, T0, WALK, adjacency, dist, query, round_sql
 from .stages import stage_path, staged
-from .surface import BOX, CELLS, GROUND, MOVES, SEEDS, cell_sql, grid_of, land_of, recursive, seeds_of
+from .surface import BOX, CITY, FILL, FILL_SIDES, FLOOD_CAP, GROUND, MOVES, RING, SEEDS, SIDES, cell_sql, city_cells, grid_flood, grid_of, land_of, recursive, relax, seeds_of
 
 REVERSED = "SELECT trip_id, stop_id, count(*) OVER (PARTITION BY trip_id) + 1 - pos AS pos, 172800 - dep_sec AS arr_sec, 172800 - arr_sec AS dep_sec, (flags >> 1) | ((flags & 1) << 1) AS flags FROM fx_ev"
 
@@ -47,8 +47,30 @@ def reach_to(fx):
 @query("SELECT stop_id, min(sec) AS sec FROM (SELECT stop_id, t - 14400 AS sec FROM b2 UNION ALL SELECT stop_id, t - 100800 FROM n_b2) GROUP BY stop_id", {**rounds_sql(2, 14400), **rounds_sql(2, 100800, tag="n_")})
 def raptor_night(fx):
     """A search at 4:00 and one a day later in the same timetable (runs past midnight); the faster time of each stop."""
-    both = [search(fx, t, 2).select("stop_id", (F.col("arr_sec") - t).alias("sec")) for t in (14400, 100800)]
-    return both[0].unionByName(both[1]).groupBy("stop_id").agg(F.min("sec").alias("sec"))
+    return night(fx, 14400, 100800)
+
+
+def night(fx, t0: int, second: int, ev: DataFrame | None = None) -> DataFrame:
+    both = [search(fx, t, 2, ev).select("stop_id", (F.col("arr_sec") - t).alias("sec"), F.lit(i).alias("pass")) for i, t in enumerate((t0, second))]
+    return faster(both[0], both[1]).select("stop_id", "sec")
+
+
+def faster(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(stop_id, sec, pass) of two searches: the second one's where it is strictly faster or alone."""
+    return first.unionByName(second).groupBy("stop_id").agg(F.min(F.struct("sec", "pass")).alias("o")).select("stop_id", "o.*")
+
+
+@query("SELECT stop_id, min(sec) AS sec FROM (SELECT stop_id, t - 158400 AS sec FROM b2 UNION ALL SELECT stop_id, t - 72000 FROM n_b2) GROUP BY stop_id", {"rev": REVERSED, **rounds_sql(2, 158400, "rev"), **rounds_sql(2, 72000, "rev", tag="n_")})
+def raptor_night_to(fx):
+    """Arrivals by 4:00, and by 28:00 in the same timetable: the reversed search and the one a day earlier on its axis."""
+    return night(fx, X.REVERSE_C - 14400, X.REVERSE_C - 14400 - 86400, reach.reversed_network(fx.fx_ev))
+
+
+@query("SELECT stop_id, arg_min(pass, (sec, pass)) AS pass, min(sec) AS sec FROM (SELECT stop_id, t - 14400 AS sec, 0 AS pass FROM b2 UNION ALL SELECT stop_id, t - 100800, 1 FROM n_b2) GROUP BY stop_id", {**rounds_sql(2, 14400), **rounds_sql(2, 100800, tag="n_")})
+def night_merge(fx):
+    """Which of the two passes serves each stop, and its time."""
+    both = [search(fx, t, 2).select("stop_id", (F.col("arr_sec") - t).alias("sec"), F.lit(i).alias("pass")) for i, t in enumerate((14400, 100800))]
+    return faster(*both).select("stop_id", "pass", "sec")
 
 
 BANDS = "(VALUES (10), (20), (30), (45), (60), (90)) AS bands(band)"
@@ -68,14 +90,45 @@ def zone_circles(fx):
     return circles(fx).select("stop_id", "band", F.floor(F.col("radius_m") * 1000).alias("radius_mm"))
 
 
-@query(f"SELECT band, CAST(floor(greatest(band * 60 * {WALK}, coalesce(max(m + (band * 60 - sec) * {WALK}), 0)) * 1000) AS BIGINT) AS reach_mm, count(sec) AS stops FROM {BANDS} LEFT JOIN access ON sec <= band * 60 GROUP BY band", {"access": ACCESS})
-def band_stats(fx):
-    """How far each band reaches from the origin: by foot alone, or by a walk on from a stop; the stops within it."""
-    at = reach.access(fx.fx_stops, *A)
-    per = [F.struct(F.lit(b).alias("band"), F.max(F.when(F.col("sec") <= b * 60, F.col("metres") + (F.lit(b * 60) - F.col("sec")) * X.WALK_MPS)).alias("m"), F.count_if(F.col("sec") <= b * 60).alias("stops")) for b in X.BANDS_MIN]
+def labels(fx) -> DataFrame:
+    """(stop_id, lat, lon, metres, sec) of the stops that a search of two rounds reaches: distance from the origin, time on the way."""
+    m = X.distance_m(F.lit(A[0]), F.lit(A[1]), F.col("lat"), F.col("lon"))
+    return search(fx, T0, 2).join(fx.fx_stops, "stop_id").select("stop_id", "lat", "lon", m.alias("metres"), (F.col("arr_sec") - T0).alias("sec"))
+
+
+LABELS = f"SELECT stop_id, lat, lon, {dist(f'{A[0]},{A[1]}', 'lat,lon')} AS m, t - {T0} AS sec FROM b2 JOIN fx_stops USING (stop_id)"
+
+
+def far_of_bands(fx, walk: bool) -> DataFrame:
+    """(band, reach_mm, stops): how far each band reaches: over stops within it, and with ``walk`` on foot from the origin and on from them."""
+    at = labels(fx)
+    on = (lambda b: (F.lit(b * 60) - F.col("sec")) * X.WALK_MPS) if walk else (lambda b: F.lit(0.0))
+    per = [F.struct(F.lit(b).alias("band"), F.max(F.when(F.col("sec") <= b * 60, F.col("metres") + on(b))).alias("m"), F.count_if(F.col("sec") <= b * 60).alias("stops")) for b in X.BANDS_MIN]
     row = at.agg(F.array(*per).alias("rows")).select(F.explode("rows").alias("r"))
-    far = F.greatest(F.col("r.band") * 60 * F.lit(X.WALK_MPS), F.coalesce("r.m", F.lit(0.0)))
-    return row.select("r.band", F.floor(far * 1000).alias("reach_mm"), "r.stops")
+    base = F.col("r.band") * 60 * F.lit(X.WALK_MPS) if walk else F.lit(0.0)
+    return row.select("r.band", F.floor(F.greatest(base, F.coalesce("r.m", F.lit(0.0))) * 1000).alias("reach_mm"), "r.stops")
+
+
+@query(f"SELECT band, CAST(floor(greatest(band * 60 * {WALK}, coalesce(max(m + (band * 60 - sec) * {WALK}), 0)) * 1000) AS BIGINT) AS reach_mm, count(sec) AS stops FROM {BANDS} LEFT JOIN labels ON sec <= band * 60 GROUP BY band", {**round_sql(2), "labels": LABELS})
+def band_stats(fx):
+    """With walking: by foot alone, or by a walk on from a stop that the search reaches."""
+    return far_of_bands(fx, True)
+
+
+@query(f"SELECT band, CAST(floor(coalesce(max(m), 0) * 1000) AS BIGINT) AS reach_mm, count(sec) AS stops FROM {BANDS} LEFT JOIN labels ON sec <= band * 60 GROUP BY band", {**round_sql(2), "labels": LABELS})
+def band_stats_nowalk(fx):
+    return far_of_bands(fx, False)
+
+
+INNER = (52.201, 21.002, 52.206, 21.020)
+INNER_BOX = f"SELECT {INNER[0]}e0 AS s, {INNER[1]}e0 AS w, {INNER[2]}e0 AS n, {INNER[3]}e0 AS e, 111320.0 * cos(radians(({INNER[0]}e0 + {INNER[2]}e0) / 2)) AS deg_m, 25 AS res, CAST(ceil(({INNER[3]}e0 - {INNER[1]}e0) * 111320.0 * cos(radians(({INNER[0]}e0 + {INNER[2]}e0) / 2)) / 25) AS BIGINT) AS gw, CAST(ceil(({INNER[2]}e0 - {INNER[0]}e0) * 111320.0 / 25) AS BIGINT) AS gh"
+
+
+@query(f"SELECT stop_id, sec FROM labels, box WHERE sec <= 5400 AND {cell_sql('lat', 'lon')} IS NULL", {**round_sql(2), "labels": LABELS, "box": INNER_BOX})
+def outside_stops(fx):
+    """Stops within 90 minutes that lie outside the map's grid."""
+    grid = Grid.of_box(*INNER)
+    return labels(fx).where((F.col("sec") <= 5400) & grid.cell(F.col("lat"), F.col("lon")).isNull()).select("stop_id", "sec")
 
 
 TARGET = f"SELECT node_id, arg_min(stop_id, (total, stop_id)) AS stop_id, min(total) AS total FROM (SELECT p.node_id, s.stop_id, a.sec + {RND.format(dist('p.lat,p.lon', 's.lat,s.lon') + ' / ' + WALK)} AS total FROM fx_walk_nodes p JOIN fx_stops s ON {dist('p.lat,p.lon', 's.lat,s.lon')} <= 300 JOIN access a ON a.stop_id = s.stop_id) GROUP BY node_id"
@@ -89,48 +142,101 @@ def target_stop(fx):
     return at.groupBy("node_id").agg(F.min(F.struct("total", "stop_id")).alias("o")).select("node_id", "o.stop_id", "o.total")
 
 
-SNAP = f"SELECT stop_id, arg_min(node_id, (m, node_id)) AS node_id FROM (SELECT s.stop_id, n.node_id, {dist('s.lat,s.lon', 'n.lat,n.lon')} AS m FROM fx_stops s JOIN fx_walk_nodes n ON {dist('s.lat,s.lon', 'n.lat,n.lon')} <= 400) GROUP BY stop_id"
+MAIN = "SELECT node FROM parts WHERE label = (SELECT label FROM parts GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)"
+SNAP = f"SELECT stop_id, arg_min(node_id, (m, node_id)) AS node_id FROM (SELECT s.stop_id, n.node_id, {dist('s.lat,s.lon', 'n.lat,n.lon')} AS m FROM fx_stops s JOIN fx_walk_nodes n ON {dist('s.lat,s.lon', 'n.lat,n.lon')} <= 400 WHERE n.node_id IN ({MAIN})) GROUP BY stop_id"
+
 
+def main_nodes(fx) -> DataFrame:
+    """(node_id, lat, lon) of the walking network's largest component: elsewhere a walk would lead nowhere."""
+    found = staged(reach.least_member(fx.fx_walk_nodes.select(F.col("node_id").alias("node")), fx.fx_walk_edges.select("u", "v")), "parts")
+    main = found.groupBy("label").agg(F.count("*").alias("nodes")).orderBy(F.desc("nodes"), "label").limit(1)
+    inside = found.join(F.broadcast(main), "label").select(F.col("node").alias("node_id"))  # one row
+    return fx.fx_walk_nodes.join(inside, "node_id", "left_semi").select("node_id", "lat", "lon")
 
-@query(SNAP)
+
+def nearest_nodes(fx, places: DataFrame) -> DataFrame:
+    """(place, node_id, m): the main component's node nearest to each place (place, lat, lon), at most 400 m away (least id of equals)."""
+    near = proximity.near_stops(places, "place", main_nodes(fx).withColumnRenamed("node_id", "stop_id"), 400)
+    return near.groupBy("place").agg(F.min(F.struct("m", "stop_id")).alias("o")).select("place", F.col("o.stop_id").alias("node_id"), "o.m")
+
+
+@query(SNAP, {"adj": ADJ})
 def snap_node(fx):
-    """The street node nearest to each stop, at most 400 m away (least id of equals)."""
-    nodes = fx.fx_walk_nodes.select(F.col("node_id").alias("stop_id"), "lat", "lon")
-    near = proximity.near_stops(fx.fx_stops.select(F.col("stop_id").alias("place"), "lat", "lon"), "place", nodes, 400)
-    return near.groupBy("place").agg(F.min(F.struct("m", "stop_id")).alias("o")).select(F.col("place").alias("stop_id"), F.col("o.stop_id").alias("node_id"))
+    found = nearest_nodes(fx, fx.fx_stops.select(F.col("stop_id").alias("place"), "lat", "lon"))
+    return found.select(F.col("place").alias("stop_id"), "node_id")
+
+
+recursive("snap_node", PARTS)
+
+
+@query(SNAP, {"adj": ADJ})
+def snap_table(fx):
+    """The nearest nodes of all stops, kept as a table that later searches read."""
+    path = stage_path(fx.spark, "snapped")
+    snap_node(fx).write.parquet(path)
+    return fx.spark.read.parquet(path)
+
+
+recursive("snap_table", PARTS)
 
 
 # rasters of times
-STRAIGHT = f"SELECT cell, CAST(floor(sqrt(power((x + 0.5) * res - ax, 2) + power((y + 0.5) * res - ay, 2)) / {WALK} + 0.5) AS BIGINT) AS sec, sqrt(power((x + 0.5) * res - ax, 2) + power((y + 0.5) * res - ay, 2)) AS m FROM (SELECT c.*, res, ({A[1]} - box.w) * deg_m AS ax, (box.n - {A[0]}) * 111320.0 AS ay FROM cells c, box)"
-BANDED = "SELECT cell, sec, m, CASE WHEN sec <= 600 THEN 10 WHEN sec <= 1200 THEN 20 WHEN sec <= 1800 THEN 30 WHEN sec <= 2700 THEN 45 WHEN sec <= 3600 THEN 60 WHEN sec <= 5400 THEN 90 END AS band FROM straight"
+FLOODED = {"access": ACCESS, **GROUND, "moves": MOVES, "seeds": SEEDS}
+BANDED = "SELECT node AS cell, t, CASE WHEN t <= 600 THEN 10 WHEN t <= 1200 THEN 20 WHEN t <= 1800 THEN 30 WHEN t <= 2700 THEN 45 WHEN t <= 3600 THEN 60 WHEN t <= 5400 THEN 90 END AS band FROM flood"
 
 
-def straight_times(fx, grid: Grid) -> DataFrame:
-    """(cell, m, sec, band): walking times in a straight line from the origin to each cell's centre."""
-    res = F.lit(grid.res)
-    dx = (F.col("x") + 0.5) * res - F.lit((A[1] - grid.west) * grid.deg_m)
-    dy = (F.col("y") + 0.5) * res - F.lit((grid.north - A[0]) * X.M_PER_DEG)
-    at = grid.cells(fx.spark).select("cell", F.sqrt(dx * dx + dy * dy).alias("m")).withColumn("sec", X.walk_seconds(F.col("m")))
-    return at.withColumn("band", X.band_minutes(F.col("sec")))
+def flooded(fx, grid: Grid) -> DataFrame:
+    """(cell, sec, band): the times of the flood from the stops near the origin."""
+    return staged(grid_flood(fx), "flooded").withColumn("band", X.band_minutes(F.col("sec")))
 
 
-@query(f"SELECT bands.band, CAST(count(l.cell) FILTER (WHERE b.band <= bands.band) AS BIGINT) AS cells, count(*) AS total FROM land l JOIN banded b ON b.cell = l.cell CROSS JOIN {BANDS} GROUP BY bands.band", {**GROUND, "straight": STRAIGHT, "banded": BANDED})
+@query(f"SELECT bands.band, count(b.cell) FILTER (WHERE b.band <= bands.band) AS cells, count(*) AS total, CAST(floor(1e6 * count(b.cell) FILTER (WHERE b.band <= bands.band) / count(*)) AS BIGINT) AS ppm FROM (SELECT l.cell FROM land l JOIN filled f ON f.cell = l.cell) c LEFT JOIN ({BANDED}) b ON b.cell = c.cell CROSS JOIN {BANDS} GROUP BY bands.band", {**FLOODED, "ring": RING, "city": CITY, "sides": SIDES.replace("FROM ring", "FROM city"), "fs": FILL_SIDES, "filled": FILL})
 def area_percents(fx):
-    """Land cells reached within each band (cumulative), and all land cells."""
+    """The city's land cells that the flood reaches within each band (cumulative), of all of its land cells, and in millionths."""
     grid = grid_of(fx)
-    on = straight_times(fx, grid).join(land_of(fx, grid), "cell", "left_semi")
-    counts = on.agg(F.array(*[F.struct(F.lit(b).alias("band"), F.count_if(F.col("band") <= b).alias("cells"), F.count("*").alias("total")) for b in X.BANDS_MIN]).alias("rows"))
-    return counts.select(F.explode("rows").alias("r")).select("r.band", "r.cells", "r.total")
+    city = land_of(fx, grid).join(city_cells(fx, grid), "cell", "left_semi").join(flooded(fx, grid), "cell", "left")
+    counts = city.agg(F.array(*[F.struct(F.lit(b).alias("band"), F.count_if(F.col("band") <= b).alias("cells"), F.count("*").alias("total")) for b in X.BANDS_MIN]).alias("rows"))
+    row = counts.select(F.explode("rows").alias("r")).where("r.total > 0")
+    return row.select("r.band", "r.cells", "r.total", F.floor(F.lit(1e6) * F.col("r.cells") / F.col("r.total")).alias("ppm"))
+
+
+recursive("area_percents", relax("flood", "SELECT cell, sec FROM seeds", "moves", FLOOD_CAP))
 
+FAR = f"SELECT b.band, sqrt(power(b.cell % gw - o.cell % gw, 2) + power(b.cell // gw - o.cell // gw, 2)) * res AS m FROM ({BANDED}) b, box, (SELECT {cell_sql(str(A[0]) + 'e0', str(A[1]) + 'e0')} AS cell FROM box) o WHERE o.cell IS NOT NULL"
 
-@query(f"SELECT bands.band, CAST(floor(max(m) * 1000) AS BIGINT) AS reach_mm FROM banded b JOIN {BANDS} ON b.band <= bands.band GROUP BY bands.band", {"box": BOX, "cells": CELLS, "straight": STRAIGHT, "banded": BANDED})
+
+@query(f"SELECT bands.band, CAST(floor(max(m) * 1000) AS BIGINT) AS reach_mm FROM ({FAR}) b JOIN {BANDS} ON b.band <= bands.band GROUP BY bands.band", FLOODED)
 def max_band_distance(fx):
-    """The farthest cell reached within each band (cumulative)."""
-    at = straight_times(fx, grid_of(fx))
+    """The farthest cell that the flood reaches within each band (cumulative), from the origin's cell; none where that lies off the grid."""
+    grid = grid_of(fx)
+    at = flooded(fx, grid).withColumn("o", grid.cell(F.lit(A[0]), F.lit(A[1]))).where("o is not null")
+    dx, dy = F.col("cell") % grid.w - F.col("o") % grid.w, F.floor(F.col("cell") / grid.w) - F.floor(F.col("o") / grid.w)
+    at = at.withColumn("m", F.sqrt(dx * dx + dy * dy) * grid.res)
     rows = at.agg(F.array(*[F.struct(F.lit(b).alias("band"), F.max(F.when(F.col("band") <= b, F.col("m"))).alias("m")) for b in X.BANDS_MIN]).alias("rows"))
     return rows.select(F.explode("rows").alias("r")).where("r.m is not null").select("r.band", F.floor(F.col("r.m") * 1000).alias("reach_mm"))
 
 
+recursive("max_band_distance", relax("flood", "SELECT cell, sec FROM seeds", "moves", FLOOD_CAP))
+
+
+# a place on the grid
+PLACES = f"SELECT node_id, lat, lon, {cell_sql('lat', 'lon')} AS cell FROM fx_walk_nodes, box"
+TARGET_GRID = f"SELECT node_id, arg_min(stop_id, (m, stop_id)) AS stop_id, any_value(total) AS total FROM (SELECT p.node_id, s.stop_id, f.t AS total, {dist('p.lat,p.lon', 's.lat,s.lon')} AS m FROM places p JOIN flood f ON f.node = p.cell JOIN access a ON a.sec <= f.t + 1 JOIN fx_stops s ON s.stop_id = a.stop_id) GROUP BY node_id"
+
+
+@query(TARGET_GRID, {**FLOODED, "places": PLACES})
+def target_stop_grid(fx):
+    """For every place that the flood reaches, the nearest of the stops from which it may have come (reached by then)."""
+    grid = grid_of(fx)
+    places = fx.fx_walk_nodes.select("node_id", "lat", "lon", grid.cell(F.col("lat"), F.col("lon")).alias("cell"))
+    at = places.join(flooded(fx, grid).select("cell", F.col("sec").alias("total")), "cell").select("node_id", "lat", "lon", "total")
+    stops = reach.access(fx.fx_stops, *A).select("stop_id", "sec").join(fx.fx_stops.select("stop_id", "lat", "lon"), "stop_id")
+    return proximity.nearest_reached(at, stops).select("node_id", "stop_id", "total")
+
+
+recursive("target_stop_grid", relax("flood", "SELECT cell, sec FROM seeds", "moves", FLOOD_CAP))
+
+
 # live counts
 @query(HIST)
 def stream_delay_histogram(fx):
@@ -194,10 +300,8 @@ def wave(fx, seeds: DataFrame) -> DataFrame:
 
 def snapped(fx, places: DataFrame) -> DataFrame:
     """(node, t): the street node nearest to each place (place, lat, lon, sec), with the walk to it."""
-    nodes = fx.fx_walk_nodes.select(F.col("node_id").alias("stop_id"), "lat", "lon")
-    near = proximity.near_stops(places.select("place", "lat", "lon"), "place", nodes, 400)
-    near = near.groupBy("place").agg(F.min(F.struct("m", "stop_id")).alias("o")).join(places.select("place", "sec"), "place")
-    return near.select(F.col("o.stop_id").alias("node"), (F.col("sec") + X.js_round(F.col("o.m") / X.NET_WALK_MPS)).cast("long").alias("t"))
+    near = nearest_nodes(fx, places.select("place", "lat", "lon")).join(places.select("place", "sec"), "place")
+    return near.select(F.col("node_id").alias("node"), (F.col("sec") + X.js_round(F.col("m") / X.NET_WALK_MPS)).cast("long").alias("t"))
 
 
 @query()

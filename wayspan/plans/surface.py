@@ -118,6 +118,14 @@ LAND = "SELECT cell FROM cells WHERE cell NOT IN (SELECT cell FROM struck WHERE
 GROUND = {"box": BOX, "cells": CELLS, "line": LINE, "seg": SEG, "struck": STRUCK, "land": LAND}
 
 
+#: The city: the rings beside every third stop.
+CITY = "SELECT * FROM ring WHERE ring_id % 3 = 0"
+
+
+def city_cells(fx, grid: Grid) -> DataFrame:
+    return raster.fill(ring_points(fx).where("ring_id % 3 = 0"), grid)
+
+
 def land_of(fx, grid: Grid) -> DataFrame:
     """Cells off the water, and those that a bridge opens again."""
     lines = fx.sql(LINE, fx_stops=fx.fx_stops)
@@ -146,13 +154,16 @@ def recursive(name: str, relation: str) -> None:
 MOVES = "SELECT a.cell AS u, b.cell AS v, CASE WHEN a.cell % gw = b.cell % gw OR a.cell // gw = b.cell // gw THEN 26 ELSE 37 END AS sec FROM land a JOIN box ON true CROSS JOIN (VALUES (-1), (0), (1)) AS i(dx) CROSS JOIN (VALUES (-1), (0), (1)) AS j(dy) JOIN land b ON b.cell = a.cell + dy * gw + dx AND a.cell % gw + dx BETWEEN 0 AND gw - 1 WHERE dx <> 0 OR dy <> 0"
 #: Stops within ten minutes of the origin start the flood, which goes on for two.
 FLOOD_CAP, FLOOD_FROM = 720, 600
-SEEDS = f"SELECT cell, min(sec) AS sec FROM (SELECT {cell_sql('lat', 'lon')} AS cell, sec FROM access JOIN fx_stops USING (stop_id), box WHERE sec <= {FLOOD_FROM}) WHERE cell IN (SELECT cell FROM land) GROUP BY cell"
+#: A place on water goes to the first land cell to its west, east, north or south.
+SEEDS = f"""SELECT cell, min(sec) AS sec FROM (SELECT spot, any_value(t) AS sec, arg_min(l.cell, o) AS cell FROM (
+    SELECT spot, t, o, CASE WHEN spot % gw + dx BETWEEN 0 AND gw - 1 AND spot // gw + dy BETWEEN 0 AND gh - 1 THEN spot + dy * gw + dx END AS cell
+    FROM (SELECT {cell_sql('lat', 'lon')} AS spot, min(sec) AS t FROM access JOIN fx_stops USING (stop_id), box WHERE sec <= {FLOOD_FROM} GROUP BY 1) s, box,
+      (VALUES (0, 0, 0), (1, -1, 0), (2, 1, 0), (3, 0, -1), (4, 0, 1)) AS k(o, dx, dy) WHERE spot IS NOT NULL) c JOIN land l ON l.cell = c.cell GROUP BY spot) GROUP BY cell"""
 
 
 def seeds_of(fx, grid: Grid, land: DataFrame) -> DataFrame:
     at = reach.access(fx.fx_stops, *A).where(F.col("sec") <= FLOOD_FROM).join(fx.fx_stops, "stop_id")
-    at = at.select(grid.cell(F.col("lat"), F.col("lon")).alias("node"), F.col("sec").alias("t")).where("node is not null")
-    return at.join(land.select(F.col("cell").alias("node")), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
+    return raster.on_land(at.select(grid.cell(F.col("lat"), F.col("lon")).alias("node"), F.col("sec").alias("t")), land, grid)
 
 
 @query("SELECT node AS cell, t AS sec FROM flood", {"access": ACCESS, **GROUND, "moves": MOVES, "seeds": SEEDS})
