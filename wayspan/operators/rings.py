@@ -101,3 +101,34 @@ def stitch(chains: DataFrame) -> DataFrame:
         return pd.DataFrame({"relation_id": g["relation_id"].iloc[0], "part": range(len(lines)), "ring": [[{"qlon": x, "qlat": y} for x, y in r] for r in lines]})
 
     return chains.groupBy("relation_id").applyInPandas(work, f"relation_id bigint, part bigint, ring {POINTS}")
+
+
+def minimum(ring: Column, km2: float) -> Column:
+    """Whether a ring's area is at least ``km2``."""
+    return area_m2(ring) >= F.lit(int(km2 * 1e6))
+
+
+def whole_rings(chains: DataFrame, tolerance_m: float, least_km2: float = 0.0) -> DataFrame:
+    """(relation_id, part, ring): closed rings, without their last point, of chains (relation_id, chain_id, ring), simplified; the rest is left out."""
+    found = stitch(chains).where(closed(F.col("ring")))
+    found = found.select("relation_id", "part", F.slice("ring", 1, F.size("ring") - 1).alias("ring")).where(minimum(F.col("ring"), least_km2))
+    return thinned(found, tolerance_m).where(F.size("ring") >= 4)
+
+
+def thinned(lines: DataFrame, tolerance_m: float) -> DataFrame:
+    """Lines (relation_id, part, ring) simplified."""
+
+    def work(batches):
+        for b in batches:
+            b["ring"] = [[{"qlon": x, "qlat": y} for x, y in simplified([(p["qlon"], p["qlat"]) for p in r], tolerance_m)] for r in b["ring"]]
+            yield b[["relation_id", "part", "ring"]]
+
+    return lines.select("relation_id", "part", "ring").mapInPandas(work, f"relation_id bigint, part bigint, ring {POINTS}")
+
+
+def towards_sea(ring: Column, sea: tuple[float, float]) -> Column:
+    """A ring of an open coast, closed over the sea's corner (north, east in degrees): water lies within, clockwise."""
+    north, east = F.lit(round(sea[0] * 1e5)).cast("long"), F.lit(round(sea[1] * 1e5)).cast("long")
+    point = lambda lon, lat: F.struct(lon.alias("qlon"), lat.alias("qlat"))
+    around = F.array(point(F.element_at(ring, -1)["qlon"], north), point(east, north), point(east, ring[0]["qlat"]))
+    return orient(F.concat(ring, around), True)

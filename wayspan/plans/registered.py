@@ -1,5 +1,5 @@
 """All registered timetable queries: importing the modules registers them."""
 
-from . import catalog, feeds, journeys, surface  # noqa: F401
+from . import catalog, documents, feeds, journeys, reaching, surface  # noqa: F401
 
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
