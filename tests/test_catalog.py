@@ -6,6 +6,8 @@ import pytest
 from wayspan.plans.registered import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: Ten stops and some 200 corners of streets: nothing there lies off the grid of its own box.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="session")
@@ -22,6 +24,7 @@ def test_query(spark, duck, name):
     cols = sorted(got.columns)
     cell = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
     rows = sorted(tuple(cell(r[c]) for c in cols) for r in got.collect())
+    assert rows or name in MAY_BE_EMPTY
     if name not in ORACLES:  # tested in test_search.py and test_rings.py
         return
     result = duck.execute(ORACLES[name])

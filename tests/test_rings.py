@@ -45,3 +45,22 @@ def test_orientation(spark):
     ring = F.col("ring")
     row = spark.createDataFrame([(clockwise,)], f"ring {rings.POINTS}").select(rings.twice_area(ring), rings.orient(ring, True), rings.orient(ring, False), rings.closed(ring)).first()
     assert row[0] == -2 and [tuple(p) for p in row[1]] == clockwise and [tuple(p) for p in row[2]] == clockwise[::-1] and not row[3]
+
+
+def test_open_coast_closes_over_the_sea(spark):
+    line = [(2100000, 5400000), (2110000, 5410000), (2120000, 5400000)]
+    df = spark.createDataFrame([(1, [{"qlon": x, "qlat": y} for x, y in line])], f"ring_id long, ring {rings.POINTS}")
+    ring = [(p.qlon, p.qlat) for p in df.select(rings.towards_sea(F.col("ring"), (54.9, 21.5)).alias("r")).first().r]
+    want = line + [(2120000, 5490000), (2150000, 5490000), (2150000, 5400000)]
+    assert ring == want or ring == want[::-1]
+    area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
+    assert area < 0  # clockwise
+
+
+def test_open_and_small_rings_are_left_out(spark):
+    square = lambda n: [(0, 0), (n, 0), (n, n), (0, n), (0, 0)]
+    chain = lambda r, c, pts: (r, c, [{"qlon": x, "qlat": y} for x, y in pts])
+    rows = [chain(1, 0, square(1000)[:3]), chain(1, 1, square(1000)[2:][::-1]), chain(2, 0, square(5)), chain(3, 0, square(1000)[:4])]
+    df = spark.createDataFrame(rows, f"relation_id long, chain_id long, ring {rings.POINTS}")
+    got = {r.relation_id: [(p.qlon, p.qlat) for p in r.ring] for r in rings.whole_rings(df, 20.0, 0.02).collect()}
+    assert got == {1: square(1000)[:4]}

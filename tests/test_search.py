@@ -67,3 +67,68 @@ def test_feed_tables(spark, tmp_path):
     assert gtfs.table(spark, str(tmp_path), "frequencies").count() == 0
     both = gtfs.feeds(spark, [str(tmp_path), str(tmp_path)], "stops")
     assert both.select("feed", "stop_id").distinct().count() == 4
+
+
+def test_legs_without_waiting(spark):
+    """Two rides of one line and two walks in a row are a leg each."""
+    rows = [(1, 7, 3, s, 100 * i, 100 * i, 0, i + 1) for i, s in enumerate((1, 2, 3))] + [(2, 8, 3, 3, 0, 0, 0, 1), (2, 8, 3, 4, 50, 50, 0, 2)]
+    foot = spark.createDataFrame([(4, 5, 70), (5, 6, 80), (1, 6, 900)], FOOT)
+    seeds = spark.createDataFrame([(1, 30)], "node long, t long")
+    got = {}
+    for r in search.general_journeys(spark.createDataFrame(rows, EV), seeds, foot).orderBy("target", "leg").collect():
+        got.setdefault(r.target, []).append((r.kind, r.from_stop, r.to_stop, r.route_id, r.sec))
+    start = ("access", None, 1, None, 30)
+    assert got[1] == [start] and got[2] == [start, ("ride", 1, 2, 7, 100)] and got[3] == [start, ("ride", 1, 3, 7, 200)]
+    assert got[4] == [start, ("ride", 1, 3, 7, 200), ("ride", 3, 4, 8, 50)]
+    assert got[6] == [start, ("ride", 1, 3, 7, 200), ("ride", 3, 4, 8, 50), ("walk", 4, 6, None, 150)]
+
+
+def test_legs_without_waiting_add_up(spark):
+    legs = registered.QUERIES["general_legs"](spark, SF).collect()
+    times = {r["stop_id"]: r["sec"] for r in registered.QUERIES["general_reach"](spark, SF).collect()}
+    by = {}
+    for leg in sorted(legs, key=lambda r: (r["target"], r["leg"])):
+        by.setdefault(leg["target"], []).append(leg)
+    assert set(by) == {s for s, t in times.items()}
+    for target, path in by.items():
+        assert path[0]["kind"] == "access" and path[-1]["to_stop"] == target and sum(x["sec"] for x in path) == times[target]
+        for a, b in zip(path, path[1:]):
+            assert a["to_stop"] == b["from_stop"] and (a["kind"], a["route_id"]) != (b["kind"], b["route_id"])
+
+
+def test_driver_agrees_with_the_searches(spark):
+    """The driver's night search from a point, and what no vehicle or no stop leaves."""
+    from wayspan.plans import reaching
+
+    fx = Fixtures(spark, SF)
+    net = reaching.network(fx)
+    got = {r.stop_id: (r.sec, r["pass"]) for r in reaching.reachable(net, reaching.asked("t=4:00"), horizon_rounds=2).collect()}
+    access = net.access(reaching.asked(""))
+    both = [{r.stop_id: r.arr_sec - t for r in reaching.reach.raptor(fx.fx_ev, access, net.foot(True), t, 2).collect()} for t in (14400, 100800)]
+    for stop, (sec, number) in got.items():
+        assert sec == min(b.get(stop, 10**9) for b in both) and number == (both[1].get(stop, 10**9) < both[0].get(stop, 10**9))
+    walk = {r.stop_id: r.sec for r in reaching.reachable(net, reaching.asked("veh="), horizon_rounds=1).collect()}
+    assert walk == {r.stop_id: r.sec for r in access.collect()}
+
+
+def test_feeds_without_common_dates_fail(spark):
+    from wayspan.plans import catalog
+
+    class Apart:
+        fx_calendar = spark.sql("select 0 feed, 'a' service_id, date'2020-01-01' start_date, date'2020-01-09' end_date, 1 sun, 1 mon, 1 tue, 1 wed, 1 thu, 1 fri, 1 sat union all select 1, 'b', date'2021-01-01', date'2021-01-09', 1, 1, 1, 1, 1, 1, 1")
+        fx_calendar_dates = spark.createDataFrame([], "feed int, service_id string, date date, exception_type int")
+
+    import pytest
+
+    with pytest.raises(Exception, match="no dates in common"):
+        catalog.common_range(Apart).collect()
+
+
+def test_seeds_leave_the_water(spark):
+    """A seed on water goes to the first of west, east, north, south that is land; at the grid's edge none wraps."""
+    grid = raster.Grid(0, 0, 0, 0, 1.0, 25, 5, 3)
+    land = spark.range(15).where("id in (5, 8, 2, 10)").select(F.col("id").alias("cell"))
+    at = lambda cell: [tuple(r) for r in raster.on_land(spark.createDataFrame([(cell, 9)], "node long, t long"), land, grid).collect()]
+    assert at(5) == [(5, 9)] and at(6) == [(5, 9)] and at(7) == [(8, 9)] and at(9) == [(8, 9)]
+    assert at(0) == [(5, 9)]  # south, as nothing lies west of it
+    assert at(4) == []  # 5 is the next cell, but of the next row

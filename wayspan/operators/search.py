@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..plans.stages import staged
-from .reach import windowed
+from .reach import shortest, windowed
 
 
 def patterns(ev: DataFrame) -> DataFrame:
@@ -89,6 +89,57 @@ def journeys(ev: DataFrame, access: DataFrame, foot: DataFrame, t0: int, rounds:
     return found.join(last, "target").select("target", (F.col("n") - F.col("back") + 1).alias("leg"), "kind", "from_stop", F.col("stop_id").alias("to_stop"), "trip_id", "dep_sec", F.col("t").alias("arr_sec"))
 
 
+#: Legs of a journey without waiting that are followed at most.
+MOST_LEGS = 100
+
+
+def general_edges(ev: DataFrame, foot: DataFrame) -> DataFrame:
+    """(u, v, sec, kind, route_id): the shortest ride between neighbouring stops (least route of equals) or walk; a ride before an equal walk."""
+    along = Window.partitionBy("trip_id").orderBy("pos")
+    hop = ev.select(F.col("stop_id").alias("u"), F.lead("stop_id").over(along).alias("v"), (F.lead("arr_sec").over(along) - F.col("dep_sec")).alias("ride"), "route_id").where("ride is not null")
+    ride = hop.select("u", "v", F.struct(F.greatest("ride", F.lit(0)).cast("long").alias("sec"), F.lit("ride").alias("kind"), F.col("route_id").cast("long").alias("route_id")).alias("e"))
+    walk = foot.select("u", "v", F.struct(F.col("sec").cast("long").alias("sec"), F.lit("walk").alias("kind"), F.lit(None).cast("long").alias("route_id")).alias("e"))
+    return ride.unionByName(walk).groupBy("u", "v").agg(F.min("e").alias("e")).select("u", "v", "e.*")
+
+
+def general_journeys(ev: DataFrame, seeds: DataFrame, foot: DataFrame) -> DataFrame:
+    """(target, leg, kind, from_stop, to_stop, route_id, sec): legs without waiting from the seeds (node, t) to every stop.
+
+    A stop's parent is the least one over which its least time comes; seeds that nothing
+    improves have the walk from the origin (`access`). Legs are followed back one join at a time; then
+    neighbouring rides of one route, and neighbouring walks, are drawn together as islands.
+    """
+    edges = staged(general_edges(ev, foot), "general-edges")
+    times = staged(shortest(seeds, edges, X.HORIZON_S, "general"), "general-times")
+    first = seeds.groupBy("node").agg(F.min("t").alias("seed"))
+    come = edges.join(times.select(F.col("node").alias("u"), F.col("t").alias("t_u")).where(F.col("t_u") <= X.HORIZON_S), "u").join(times.select(F.col("node").alias("v"), "t"), "v").where(F.col("t_u") + F.col("sec") == F.col("t"))
+    # rides that take no time may run in circles: a parent lies earlier, or as early and nearer to where the time came from
+    parent = come.where("sec > 0 or u < v").groupBy(F.col("v").alias("node")).agg(F.min(F.struct("kind", "u", "route_id", "sec")).alias("p"))
+    step = times.join(first, "node", "left").join(parent, "node", "left")
+    own = F.col("seed") == F.col("t")
+    step = step.where(own | F.col("p").isNotNull()).select(
+        "node", F.when(own, "access").otherwise(F.col("p.kind")).alias("kind"), F.when(~own | F.col("seed").isNull(), F.col("p.u")).alias("from_stop"), F.when(~own | F.col("seed").isNull(), F.col("p.route_id")).alias("route_id"), F.when(own, F.col("t")).otherwise(F.col("p.sec")).alias("sec"),
+    )
+    step = staged(step, "general-steps")
+    at, found = step.select(F.col("node").alias("target"), F.lit(0).alias("back"), *step.columns), None
+    for _ in range(MOST_LEGS):
+        at = staged(at, "general-legs")
+        if at.isEmpty():
+            break
+        found = at if found is None else found.unionByName(at)
+        go = at.where("from_stop is not null").select("target", (F.col("back") + 1).alias("back"), F.col("from_stop").alias("node"))
+        at = go.join(step, "node").select("target", "back", *step.columns)
+    # only whole journeys: those that come to a walk from the origin
+    whole = found.where("kind = 'access'").select("target")
+    legs = found.join(whole, "target", "left_semi")
+    on = Window.partitionBy("target").orderBy(F.desc("back"))
+    changed = (F.col("kind") != F.lag("kind").over(on)) | ~F.col("route_id").eqNullSafe(F.lag("route_id").over(on))
+    legs = legs.withColumn("new", F.coalesce(changed, F.lit(True)).cast("int")).withColumn("leg", F.sum("new").over(on.rowsBetween(Window.unboundedPreceding, 0)))
+    far = F.struct("back", F.col("from_stop").alias("from_stop"))
+    merged = legs.groupBy("target", "leg").agg(F.first("kind").alias("kind"), F.max(far).alias("a"), F.min(F.struct("back", "node")).alias("b"), F.first("route_id").alias("route_id"), F.sum("sec").alias("sec"))
+    return merged.select("target", F.col("leg").cast("int").alias("leg"), "kind", F.col("a.from_stop").alias("from_stop"), F.col("b.node").alias("to_stop"), "route_id", "sec")
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """(u, v, len_m): streets between junctions, chains of two-edge nodes between them drawn together.
 

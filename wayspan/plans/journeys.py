@@ -244,6 +244,15 @@ def stream_delay_histogram(fx):
     return delays.histogram_of_stream(fx.spark, f"{fx.sf_dir}/events.parquet", stage_path(fx.spark, "live"))
 
 
+POLLED = "SELECT event_type AS route_name, timezone('Europe/Warsaw', timezone('UTC', CAST(poll AS TIMESTAMP))) AS ts, arg_max(CAST(floor(value * 6) AS INT) - 120, event_id) AS delay_sec FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, CAST(ts AS TIMESTAMP)) AS poll FROM events) GROUP BY event_type, user_id, poll"
+
+
+@query(HIST.replace("fx_delay_obs", "polled"), {"polled": POLLED})
+def stream_poll_histogram(fx):
+    """The same by polls: within a poll a run counts once, and its slot is the poll's on the local clock."""
+    return delays.histogram_of_stream(fx.spark, f"{fx.sf_dir}/events.parquet", stage_path(fx.spark, "polls"), by_poll=True)
+
+
 # searches with more than times
 CAREFUL_PAT = "SELECT e.*, p.pattern FROM fx_ev e JOIN (SELECT trip_id, any_value(route_id) || ':' || string_agg(stop_id || '/' || flags, '-' ORDER BY pos) AS pattern FROM fx_ev GROUP BY trip_id) p USING (trip_id)"
 
@@ -275,6 +284,14 @@ def journey_legs(fx):
     return searches.journeys(fx.fx_ev, reach.access(fx.fx_stops, *A, NEAR_M), foot, T0, 2)
 
 
+@query()
+def general_legs(fx):
+    """The legs of the shortest journey without waiting to every stop; neighbouring rides of one route, and walks, are one leg."""
+    foot = proximity.both_ways(proximity.transfer_pairs(fx.fx_stops))
+    seeds = reach.access(fx.fx_stops, *A, NEAR_M).select(F.col("stop_id").alias("node"), F.col("sec").alias("t"))
+    return searches.general_journeys(fx.fx_ev, seeds, foot)
+
+
 HALF = "SELECT u, v, u || '-' || v AS e, 0 AS d, len_m FROM fx_walk_edges UNION ALL SELECT v, u, u || '-' || v, 1, len_m FROM fx_walk_edges"
 CHAIN = """chain(start, e0, d0, node, e, d, len_m) AS (SELECT h.u, h.e, h.d, h.v, h.e, h.d, h.len_m FROM half h WHERE h.u NOT IN (SELECT u FROM two)
   UNION ALL SELECT c.start, c.e0, c.d0, h.v, h.e, h.d, c.len_m + h.len_m FROM chain c JOIN half h ON h.u = c.node AND h.e <> c.e WHERE c.node IN (SELECT u FROM two))"""

@@ -18,8 +18,22 @@ def counts(obs: DataFrame) -> DataFrame:
     return obs.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("delay_sec").alias("total"), *[F.count_if(bucket == i).alias(f"b{i}") for i in range(6)])
 
 
-def histogram_of_stream(spark: SparkSession, source: str, folder: str) -> DataFrame:
-    """Counts of all observations under ``source`` so far.
+#: Minutes between polls, and the time zone whose clock names a poll's slot.
+POLL_MIN, ZONE = 15, "Europe/Warsaw"
+
+
+def polled(obs: DataFrame) -> DataFrame:
+    """One observation a run and poll, the last that came (by ``event_id``); its time is that of the poll, on the local clock.
+
+    A poll is the quarter of an hour in which an observation (route_name, trip_ref, ts, event_id, delay_sec) came in.
+    """
+    at = F.window("ts", f"{POLL_MIN} minutes").start
+    last = obs.groupBy(at.alias("poll"), "route_name", "trip_ref").agg(F.max_by("delay_sec", "event_id").alias("delay_sec"))
+    return last.select("route_name", F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.col("poll").cast("timestamp_ntz")).alias("ts"), "delay_sec")
+
+
+def histogram_of_stream(spark: SparkSession, source: str, folder: str, by_poll: bool = False) -> DataFrame:
+    """Counts of all observations under ``source`` so far, by their own time or (``by_poll``) by polls as in ``polled``.
 
     Each micro-batch is counted and written to its own folder, named by the batch's number
     and overwritten if the batch is run again after a failure, so that nothing counts twice;
@@ -28,10 +42,10 @@ def histogram_of_stream(spark: SparkSession, source: str, folder: str) -> DataFr
     schema = spark.read.parquet(source).schema
     # a stream's source is a folder or pattern: the pattern below names just this file
     live = spark.readStream.schema(schema).parquet(source[:-1] + "[" + source[-1] + "]")
-    obs = live.select(F.col("event_type").alias("route_name"), "ts", (F.floor(F.col("value") * 6).cast("int") - 120).alias("delay_sec"))
+    obs = live.select("event_id", F.col("event_type").alias("route_name"), F.col("user_id").alias("trip_ref"), "ts", (F.floor(F.col("value") * 6).cast("int") - 120).alias("delay_sec"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        counts(batch).write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+        counts(polled(batch) if by_poll else batch).write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
 
     run = obs.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
