@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from wayspan.llm.common import read
 from wayspan.llm.language import counts, languages
 
@@ -31,3 +33,55 @@ def test_odd_rows(odd, none):
     assert got[2].lang_pred == got[3].lang_pred == got[8].lang_pred == "und" and got[8].score == 0
     assert languages(odd).count() == odd.count() and languages(none).count() == 0
     assert {r.lang_pred for r in languages(odd.drop("lang").selectExpr("*", "cast(null as string) as lang")).collect()} == {"und"}
+
+
+def plain_ftrl(rows, classes):
+    """The definition, a coordinate at a time."""
+    import math
+
+    from wayspan.llm import language as L
+
+    z, n = {}, {}
+
+    def weight(i, k):
+        zi, ni = z.get((i, k), 0.0), n.get((i, k), 0.0)
+        if i == L.FEATURES:
+            return -zi / ((L.BETA + math.sqrt(ni)) / L.ALPHA)
+        if abs(zi) <= L.L1:
+            return 0.0
+        return -(zi - math.copysign(L.L1, zi)) / ((L.BETA + math.sqrt(ni)) / L.ALPHA + L.L2)
+
+    rng = np.random.default_rng(11)
+    for _ in range(L.EPOCHS):
+        for r in rng.permutation(len(rows)):
+            at, x, y = rows[r]
+            pairs = [*zip(at.tolist(), x.tolist(), strict=True), (L.FEATURES, 1.0)]
+            w = {(i, k): weight(i, k) for i, _ in pairs for k in range(classes)}
+            score = [sum(v * w[i, k] for i, v in pairs) for k in range(classes)]
+            e = [math.exp(s - max(score)) for s in score]
+            for i, v in pairs:
+                for k in range(classes):
+                    g = v * (e[k] / sum(e) - (k == y))
+                    old = n.get((i, k), 0.0)
+                    sigma = (math.sqrt(old + g * g) - math.sqrt(old)) / L.ALPHA
+                    z[i, k] = z.get((i, k), 0.0) + g - sigma * w[i, k]
+                    n[i, k] = old + g * g
+    return weight
+
+
+def test_training_against_a_plain_version():
+    from wayspan.llm.language import FEATURES, ftrl
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(40):
+        at = np.sort(rng.choice(30, 6, replace=False))
+        x = rng.random(6)
+        rows.append((at, x / np.linalg.norm(x), i % 3))
+    weights, bias = ftrl(rows, 3)
+    plain = plain_ftrl(rows, 3)
+    for k in range(3):
+        assert abs(bias[k] - plain(FEATURES, k)) < 1e-9
+        for i in range(30):
+            assert abs(weights[i, k] - plain(i, k)) < 1e-9
+    assert (weights == 0).any() and not weights[30:].any()  # the penalty leaves weights at zero

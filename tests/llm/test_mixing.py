@@ -19,9 +19,10 @@ def brute_targets(sizes):
         free -= over
 
 
-def test_targets():
+def test_targets(spark):
     for sizes in ([("a", 10), ("b", 1000), ("c", 5), (None, 70)], [("x", 0), ("y", 9)], [("a", 1)], [("a", 100), ("b", 1), ("c", 1), ("d", 1), ("é", 3000)]):
-        got, want = targets(sizes), brute_targets(sizes)
+        rows = targets(spark.createDataFrame(sizes, "s string, source_size long")).collect()
+        got, want = {r.s: r.target for r in rows}, brute_targets(sizes)
         assert got.keys() == want.keys()
         for s in want:
             assert abs(got[s] - want[s]) < 1e-9 * max(1, want[s])
@@ -55,3 +56,15 @@ def test_odd_rows(odd, none):
     assert len(got) == odd.count() and all(0 <= r.taken <= 3 * r.size for r in got)
     assert repeated(odd).columns == odd.columns
     assert mix(none).count() == repeated(none).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Texts of one word without ids, and of one id: sources still meet their targets to a word."""
+    rows = [(None, f"w{i}", "a") for i in range(10)] + [(7, f"v{i}", "b") for i in range(10)] + [(100 + i, f"u{i}", "c") for i in range(10)]
+    got = defaultdict(int)
+    want = {}
+    for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        name = "a" if r.doc_id is None else "b" if r.doc_id == 7 else "c"
+        got[name] += r.taken
+        want[name] = r.target
+    assert all(abs(got[s] - want[s]) <= 1 for s in want) and want["a"] < want["b"] < want["c"]

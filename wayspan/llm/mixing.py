@@ -5,7 +5,7 @@ holds its size, and the rest of the target is taken from those documents whose h
 under a threshold. Thresholds are found without sorting: words are summed by source and
 the top bits of the hash, the bucket where the running sum passes the budget is refined
 by the next bits, again for that bucket only, and last by single hashes. Documents under
-a lower budget are also under a higher one (nested), and hashes depend on the id alone,
+a lower budget are also under a higher one (nested), and hashes depend on id and text alone,
 so reruns agree. Documents at the very threshold hash share the last words in proportion.
 """
 
@@ -22,32 +22,31 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Bits of a hash, and bits by which each of two levels refines it.
 HASH_BITS, LEVEL_BITS = 60, 12
-#: Sources whose totals may be set on the driver (one small row a source).
-MOST_SOURCES = 1_000_000
 
 
-def hash60(col: str):
-    """The first 60 bits of the MD5 of the column as text (null: as the text 'null')."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(col).cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+def hash60(id_col: str, text_col: str):
+    """60 bits of an MD5 of id (null: as the text 'null') and text: unlike texts of one id, or without one, are apart."""
+    named = F.concat_ws(":", F.coalesce(col(id_col).cast("string"), F.lit("null")), F.coalesce(F.md5(col(text_col).cast("string")), F.lit("null")))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: int = MOST) -> dict[str | None, float]:
-    """Each source's target: its weight's share of all words, at most ``most`` times its size.
+def targets(totals: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """(s, source_size, target) of totals (s, source_size): each source's weight's share of all words, at most ``most`` times its size.
 
     What is cut off goes to the others by weight, until none is above. In the order of
     size by weight: when the level of a unit of weight passes a source's limit, that
-    source stops there and the level rises for the rest.
+    source stops there and the level rises for the rest; so the highest level is the last one. Windows over
+    a row a source, and no texts.
     """
-    named = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
-    rows = sorted(((most * size, weights[i % len(weights)], source) for i, (source, size) in enumerate(named)), key=lambda x: x[0] / x[1])
-    left, weight = sum(size for _, size in sizes), sum(w for _, w, _ in rows)
-    out = {}
-    for limit, w, source in rows:
-        out[source] = min(float(limit), left / weight * w)
-        if out[source] == limit:
-            left, weight = left - limit, weight - w
-        # once a source is under its limit so are all after it: left and weight stay
-    return out
+    every = W.partitionBy()
+    rank = F.row_number().over(every.orderBy(F.col("s").asc_nulls_last()))
+    rows = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int")))
+    rows = rows.withColumn("cap", F.col("source_size") * most)
+    order = every.orderBy(F.col("cap") / F.col("weight"), F.col("s").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    gone = lambda c: F.coalesce(F.sum(c).over(order), F.lit(0))
+    left, weight = F.sum("source_size").over(every) - gone("cap"), F.sum("weight").over(every) - gone("weight")
+    rows = rows.withColumn("level", left.cast("double") / weight.cast("double"))
+    return rows.select("s", "source_size", F.least(F.col("cap").cast("double"), F.max("level").over(every) * F.col("weight")).alias("target"))
 
 
 def thresholds(sized: DataFrame, budget: DataFrame) -> DataFrame:
@@ -73,19 +72,17 @@ def thresholds(sized: DataFrame, budget: DataFrame) -> DataFrame:
 
 def goals(sized: DataFrame, weights, most: int) -> DataFrame:
     """A row a source: (s, source_size, target, repeats, extra, edge, below, at)."""
-    totals = [(r["source"], r["words"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect()]
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    aim = targets(totals, weights, most)
+    totals = staged(sized.groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("source_size")), "mix-totals")
     # whole repeats, and the words of the rest, cut to whole words
-    rows = [(s, n, aim[s], int(aim[s]) // n if n else 0, int(aim[s]) % n if n else 0) for s, n in totals]
-    goal = sized.sparkSession.createDataFrame(rows, "s string, source_size long, target double, repeats long, extra long")
+    whole, some = F.floor("target").cast("long"), F.col("source_size") > 0
+    goal = targets(totals, weights, most).withColumns({"repeats": F.when(some, F.expr("floor(target) div source_size")).otherwise(0).cast("long"), "extra": F.when(some, whole % F.col("source_size")).otherwise(0).cast("long")})
+    goal = staged(goal, "mix-targets")
     edge = thresholds(sized, goal.select("s", "extra")).withColumnRenamed("s", "t")
     return staged(goal.join(edge, F.col("s").eqNullSafe(F.col("t")), "left").drop("t"), "mix-goal")
 
 
 def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), hash60(id_col).alias("hash"))
+    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), hash60(id_col, text_col).alias("hash"))
     return staged(sized, "mix-sized")
 
 
@@ -100,7 +97,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """(id, size, source_size, target, taken), one row a row.
 
     Null and empty texts have size 0 and are taken 0 words; rows of a null source form a
-    source of their own, last in order. Rows of equal id in a source have equal hashes.
+    source of their own, last in order. Rows equal in id and text have equal hashes, and so share
+    their part of the last words evenly, cut to whole words.
     An empty table gives an empty result.
     """
     sized = sizes(df, id_col, text_col, source_col)
@@ -115,7 +113,7 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     of their source beside them (a row a source), and never shuffled.
     """
     goal = goals(sizes(df, id_col, text_col, source_col), weights, most)
-    row = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), hash60(id_col).alias("hash"))
+    row = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), hash60(id_col, text_col).alias("hash"))
     times = F.when(F.col("size") > 0, F.floor(taken() / F.col("size") + 0.5)).otherwise(0).cast("int")
     dealt = row.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("row", times.alias("times")).where("times > 0")
     return dealt.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
@@ -125,7 +123,7 @@ ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS hash
+         CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', coalesce(md5(text), 'null'))), 1, 15) AS BIGINT) AS hash
   FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
