@@ -46,6 +46,8 @@ def raptor(ev: DataFrame, access: DataFrame, foot: DataFrame, t0: int, rounds: i
 
 #: Rounds whose labels stand side by side before they are drawn together; edges that a round follows.
 LEVELS, HOPS = 16, 3
+#: Rounds that the last search of each kind took, for the bench.
+rounds_run: dict[str, int] = {}
 
 
 def shortest(seeds: DataFrame, edges: DataFrame, cap: int, name: str = "shortest") -> DataFrame:
@@ -58,8 +60,9 @@ def shortest(seeds: DataFrame, edges: DataFrame, cap: int, name: str = "shortest
     least = lambda rows: rows.groupBy("node").agg(F.min("t").alias("t"))
     edges = staged(edges.select("u", "v", "sec"), f"{name}-edges")
     front = staged(least(seeds.select("node", F.col("t").cast("long").alias("t"))), name)
-    labels, levels = front, 1
+    labels, levels, rounds_run["shortest"] = front, 1, 0
     while True:
+        rounds_run["shortest"] += 1
         found = step = front
         for _ in range(HOPS):
             step = step.where(F.col("t") <= cap).join(edges, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min(F.col("t") + F.col("sec")).alias("t"))

@@ -13,7 +13,7 @@ from ..sources import streets
 from ..streaming import delays
 from .catalog import A, ACCESS, ADJ, FOOT, HIST, NEAR_M, PAIRS, PARTS, RND, T0, WALK, adjacency, dist, query, round_sql
 from .stages import stage_path, staged
-from .surface import BOX, CITY, FILL, FILL_SIDES, FLOOD_CAP, GROUND, MOVES, RING, SEEDS, SIDES, cell_sql, city_cells, grid_flood, grid_of, land_of, recursive, relax, seeds_of
+from .surface import BOX, CITY, PAINT, FILL, FILL_SIDES, FLOOD_CAP, GROUND, MOVES, RING, SEEDS, SIDES, cell_sql, city_cells, grid_flood, grid_of, land_of, recursive, relax, seeds_of
 
 REVERSED = "SELECT trip_id, stop_id, count(*) OVER (PARTITION BY trip_id) + 1 - pos AS pos, 172800 - dep_sec AS arr_sec, 172800 - arr_sec AS dep_sec, (flags >> 1) | ((flags & 1) << 1) AS flags FROM fx_ev"
 
@@ -306,12 +306,17 @@ recursive("graph_contract", CHAIN)
 
 
 # waves
-def wave(fx, seeds: DataFrame) -> DataFrame:
-    """Times along streets from seeds (node, t), painted on the grid and carried on for 75 m over land."""
+WAVE_CAP, WAVE_FROM = 900, 600
+
+
+def wave(fx, places: DataFrame) -> DataFrame:
+    """Times along streets from places (place, lat, lon, sec), painted on the grid and carried on for 75 m over land; the origin's own cell takes no time."""
     grid = grid_of(fx)
     land = staged(land_of(fx, grid), "land")
-    times = reach.shortest(seeds, adjacency(fx.fx_walk_edges), 900).where("t <= 900")
+    times = reach.shortest(snapped(fx, places), adjacency(fx.fx_walk_edges), WAVE_CAP).where(F.col("t") <= WAVE_CAP)
     painted = raster.paint(fx.fx_walk_edges, fx.fx_walk_nodes, times, grid)
+    own = origin_of(fx).select(grid.cell(F.col("lat"), F.col("lon")).alias("cell"), "sec").where("cell is not null")
+    painted = painted.unionByName(own).groupBy("cell").agg(F.min("sec").alias("sec"))
     return raster.spread(painted, raster.moves(land, grid), grid)
 
 
@@ -321,18 +326,35 @@ def snapped(fx, places: DataFrame) -> DataFrame:
     return near.select(F.col("node_id").alias("node"), (F.col("sec") + X.js_round(F.col("m") / X.NET_WALK_MPS)).cast("long").alias("t"))
 
 
-@query()
+def origin_of(fx) -> DataFrame:
+    return fx.spark.range(1).select(F.lit(-1).cast("long").alias("place"), F.lit(A[0]).alias("lat"), F.lit(A[1]).alias("lon"), F.lit(0).cast("long").alias("sec"))
+
+
+ORIGIN = f"SELECT CAST(-1 AS BIGINT) AS place, {A[0]}e0 AS lat, {A[1]}e0 AS lon, CAST(0 AS BIGINT) AS sec"
+LINKED = f"""SELECT arg_min(node_id, (m, node_id)) AS node, any_value(sec) + CAST(floor(min(m) / 1.25 + 0.5) AS BIGINT) AS t FROM (
+  SELECT p.place, p.sec, n.node_id, {dist('p.lat,p.lon', 'n.lat,n.lon')} AS m FROM places p JOIN fx_walk_nodes n ON {dist('p.lat,p.lon', 'n.lat,n.lon')} <= 400 WHERE n.node_id IN ({MAIN})) GROUP BY place"""
+PAINTED = f"SELECT cell, min(sec) AS sec FROM ({PAINT} UNION ALL SELECT {cell_sql('lat', 'lon')}, sec FROM origin, box) WHERE cell IS NOT NULL GROUP BY cell"
+SPREAD = ", ".join(["s0 AS (SELECT cell, sec, 0.0e0 AS m FROM painted)"] + [f"s{k} AS (SELECT cell, min(sec) AS sec, arg_min(m, (sec, m)) AS m FROM (SELECT * FROM s{k - 1} UNION ALL SELECT x.v, w.sec + x.sec, w.m + x.step FROM s{k - 1} w JOIN (SELECT u, v, sec, CASE sec WHEN 26 THEN 25.0e0 ELSE 25 * 1.4142135623730951e0 END AS step FROM moves) x ON x.u = w.cell WHERE w.m + x.step <= 75) GROUP BY cell)" for k in range(1, 4)])
+WAVED = {"access": ACCESS, "adj": ADJ, **GROUND, "moves": MOVES, "origin": ORIGIN}
+STOPS_NEAR = f"SELECT stop_id AS place, lat, lon, sec FROM access JOIN fx_stops USING (stop_id) WHERE sec <= {WAVE_FROM} UNION ALL SELECT * FROM origin"
+WAVE_PARTS = f"{PARTS}, linked AS ({LINKED}), {relax('wave', 'SELECT node, min(t) FROM linked GROUP BY node', 'adj', WAVE_CAP)}, painted AS ({PAINTED}), {SPREAD}"
+
+
+@query("SELECT cell, sec FROM s3", {**WAVED, "places": STOPS_NEAR})
 def walk_wave(fx):
-    """A quarter of an hour's walk on from the stops reached in ten minutes."""
-    at = reach.access(fx.fx_stops, *A).where("sec <= 600").join(fx.fx_stops, "stop_id")
-    return wave(fx, snapped(fx, at.select(F.col("stop_id").alias("place"), "lat", "lon", "sec")))
+    """A quarter of an hour's walk on from the origin and the stops reached in ten minutes."""
+    at = reach.access(fx.fx_stops, *A).where(F.col("sec") <= WAVE_FROM).join(fx.fx_stops, "stop_id")
+    return wave(fx, at.select(F.col("stop_id").alias("place"), "lat", "lon", "sec").unionByName(origin_of(fx)))
 
 
-@query()
+@query("SELECT cell, sec FROM s3", {**WAVED, "places": "SELECT * FROM origin"})
 def walk_only(fx):
     """A quarter of an hour's walk from the origin, no vehicle taken."""
-    origin = fx.fx_walk_nodes.agg(F.lit(0).alias("place"), F.lit(A[0]).alias("lat"), F.lit(A[1]).alias("lon"), F.lit(0).cast("long").alias("sec"))
-    return wave(fx, snapped(fx, origin))
+    return wave(fx, origin_of(fx))
+
+
+recursive("walk_wave", WAVE_PARTS)
+recursive("walk_only", WAVE_PARTS)
 
 
 NEAR = ", ".join([f"w0 AS (SELECT cell AS seed, cell, 0.0e0 AS m FROM seeds)"] + [f"w{k} AS (SELECT seed, cell, min(m) AS m FROM (SELECT * FROM w{k - 1} UNION ALL SELECT w.seed, x.v, w.m + x.step FROM w{k - 1} w JOIN (SELECT u, v, CASE sec WHEN 26 THEN 25.0e0 ELSE 25 * 1.4142135623730951e0 END AS step FROM moves) x ON x.u = w.cell WHERE w.m + x.step <= 200) GROUP BY seed, cell)" for k in range(1, 9)])
