@@ -100,15 +100,16 @@ def near_stops(places: DataFrame, key: str, stops: DataFrame, metres: float, by:
     return p.join(s, ["cy", "cx", *by]).select(key, "stop_id", m.alias("m")).where(F.col("m") <= metres)
 
 
-#: Cells of a first search ring in metres; each further ring is four times as wide.
-RING_M, RINGS = 500.0, 12
+#: The first search ring in metres; each further ring is four times as wide. The last one is
+#: wider than any walk of the raster's time (90 minutes) goes.
+RING_M, RINGS = 500.0, 3
 
 
 def nearest_reached(places: DataFrame, stops: DataFrame) -> DataFrame:
     """(node_id, total, stop_id): the nearest stop (stop_id, lat, lon, sec) with sec <= total + 1 of each place (node_id, lat, lon, total).
 
     Rings of growing width are searched on grid cells; places that found a stop within a
-    ring's width leave the next ones. The last ring spans the globe's side.
+    ring's width leave the next ones. A place that no stop within 8 km may have served has no row.
     """
     left, out, metres = staged(places, "places"), None, RING_M
     for _ in range(RINGS):
