@@ -88,3 +88,19 @@ def test_long_texts_are_cut_in_one_pass():
         spans(cut, 2, 20)
         assert time.time() - began < 15
         assert sum(s[2] for s in cut) == len(text.split())
+
+
+def test_spans_cover_any_passage():
+    """Whatever its sizes, all sentences of any run with enough words lie in spans within the run."""
+    rng = random.Random(3)
+    for _ in range(300):
+        sizes = [rng.randint(1, 16) for _ in range(rng.randint(1, 14))]
+        found = [(0, 0, n, rng.getrandbits(64)) for n in sizes]
+        for run, words in ((2, 20), (3, 5), (1, 30)):
+            of = [(a, b) for a, b, _, _ in spans(found, run, words)]
+            assert len(of) == len(set(of))
+            for i in range(len(sizes)):
+                for j in range(i, len(sizes)):
+                    if j - i + 1 >= run and sum(sizes[i : j + 1]) >= words:
+                        inside = {k for a, b in of if i <= a and b <= j for k in range(a, b + 1)}
+                        assert inside == set(range(i, j + 1))
