@@ -86,10 +86,12 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     after all others. Columns of ``df`` may have any names but those two. An empty table gives an empty result.
     """
     found = repeated_lines(df, id_col, text_col, run, window, long)
-    rows = df.toDF(*[f"d_{c}" for c in df.columns]).withColumns({"own": F.xxhash64(col(f"d_{text_col}")), "cut": F.split(col(f"d_{text_col}"), "\n")})  # no name clashes with ours
+    rows = df.toDF(*[f"d_{c}" for c in df.columns]).withColumn("own", F.xxhash64(col(f"d_{text_col}")))  # no name clashes with ours
     joined = rows.join(found, col(f"d_{id_col}").eqNullSafe(F.col("id")) & (F.col("own") == F.col("key")), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("cut") - 1), F.col("gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.element_at(F.col("cut"), i + 1)), "\n")
+    # texts are shuffled once, whole; the lines of one are cut here, and named once by the outer function
+    lines = F.array(F.split(col(f"d_{text_col}"), "\n"))
+    left = lambda cut: F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("gone"))
+    kept = F.transform(lines, lambda cut: F.array_join(F.transform(left(cut), lambda i: F.element_at(cut, i + 1)), "\n"))[0]
     return joined.select(
         *[(F.when(F.size("gone") > 0, kept).otherwise(col(f"d_{c}")) if c == text_col else col(f"d_{c}")).alias(c) for c in df.columns],
         F.coalesce(F.col("n_lines"), F.lit(0)).cast("long").alias("__n_lines"),
