@@ -296,9 +296,12 @@ def profile_cumsum(fx):
     return delta.select("trip_id", "pos", F.sum("delta").over(along().rowsBetween(W.unboundedPreceding, 0)).cast("long").alias("cum"))
 
 
-@query("SELECT stop_id AS u, next_stop AS v, min(greatest(ride, 0)) AS sec FROM steps WHERE ride IS NOT NULL GROUP BY ALL", {"steps": STEPS})
+@query("SELECT stop_id AS u, next_stop AS v, min(greatest(ride, 0)) AS sec, arg_min(route_id, (greatest(ride, 0), route_id)) AS route_id FROM steps WHERE ride IS NOT NULL GROUP BY ALL", {"steps": STEPS})
 def min_ride_edges(fx):
-    return ride_edges(fx)
+    """The shortest ride between neighbouring stops of any run, and the route that has it (the least of equals)."""
+    hop = fx.fx_ev.select(F.col("stop_id").alias("u"), F.lead("stop_id").over(along()).alias("v"), (F.lead("arr_sec").over(along()) - F.col("dep_sec")).alias("ride"), "route_id")
+    least = F.min(F.struct(F.greatest("ride", F.lit(0)).alias("sec"), "route_id"))
+    return hop.where("ride is not null").groupBy("u", "v").agg(least.alias("e")).select("u", "v", "e.sec", "e.route_id")
 
 
 def ride_edges(fx) -> DataFrame:
@@ -348,9 +351,7 @@ GROUPS = """grp(node, label) USING KEY (node) AS (SELECT stop_id, stop_id FROM f
 
 @query("SELECT node AS stop_id, label AS group_id FROM grp", {"namesakes": NAMESAKES})
 def stop_groups(fx):
-    edges = proximity.same_name_pairs(fx.fx_stops).toDF("u", "v")
-    found = reach.least_member(fx.fx_stops.select(F.col("stop_id").alias("node")), edges)
-    return found.select(F.col("node").alias("stop_id"), F.col("label").alias("group_id"))
+    return reach.grouped(fx.fx_stops).select("stop_id", "group_id")
 
 
 ORACLES["stop_groups"] = ORACLES["stop_groups"].replace("\nSELECT node AS stop_id", f", {GROUPS}\nSELECT node AS stop_id")
@@ -398,7 +399,7 @@ def general_reach(fx):
     foot = proximity.both_ways(proximity.transfer_pairs(fx.fx_stops))
     edges = ride_edges(fx).unionByName(foot).groupBy("u", "v").agg(F.min("sec").alias("sec"))
     seeds = reach.access(fx.fx_stops, *A, NEAR_M).select(F.col("stop_id").alias("node"), F.col("sec").alias("t"))
-    return reach.shortest(seeds, edges, X.HORIZON_S).select(F.col("node").alias("stop_id"), F.col("t").alias("sec"))
+    return reach.shortest(seeds, edges, X.HORIZON_S, blocks=reach.plane_blocks(fx.fx_stops, "stop_id")).select(F.col("node").alias("stop_id"), F.col("t").alias("sec"))
 
 
 ORACLES["general_reach"] = ORACLES["general_reach"].replace("\nSELECT node AS stop_id", f", {GENERAL}\nSELECT node AS stop_id")
@@ -485,7 +486,7 @@ WAVE = """wave(node, t) USING KEY (node) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS
 def walk_times(fx):
     """Walking times of at most half an hour from node 0."""
     seed = fx.fx_walk_nodes.where("node_id = 0").select(F.col("node_id").alias("node"), F.lit(0).cast("long").alias("t"))
-    return reach.shortest(seed, adjacency(fx.fx_walk_edges), 1800).where("t <= 1800")
+    return reach.shortest(seed, adjacency(fx.fx_walk_edges), 1800, blocks=reach.plane_blocks(fx.fx_walk_nodes, "node_id")).where("t <= 1800")
 
 
 ORACLES["walk_times"] = ORACLES["walk_times"].replace("\nSELECT node, t FROM wave", f", {WAVE}\nSELECT node, t FROM wave")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import raster, rings
+from ..operators.timetable import Coded, encoded
 from ..sources import streets
 from .catalog import query
 from .feeds import MASKED, day_masks
@@ -21,22 +22,22 @@ MIN_KM2, CITY_M, WATER_M, BRIDGE_M, COAST = 0.02, 40.0, 20.0, 8.0, 100
 RUNS = "SELECT trip_id, 'city' || (o_custkey % 2) AS city, unnest(['workday', 'saturday', 'sunday']) AS day, unnest([1, 2, 4]) AS bit, mask, route_id, stop_id, pos, dep_sec FROM fx_ev JOIN orders ON o_orderkey = trip_id JOIN mask m ON m.feed = o_custkey % 2 AND m.service_id = concat(o_orderstatus, '-', CAST(o_custkey AS VARCHAR))"
 
 
-def timetable(fx) -> DataFrame:
-    """(city, day, ...): the stops of each run under every day type that it runs on."""
+def run_days(fx) -> DataFrame:
+    """(trip_id, city, day): every day type that a run is on."""
     order = fx.orders.select(F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % 2).cast("int").alias("feed"), F.concat_ws("-", "o_orderstatus", "o_custkey").alias("service_id"))
-    runs = fx.fx_ev.join(order.join(day_masks(fx), ["feed", "service_id"]), "trip_id")
+    runs = order.join(day_masks(fx), ["feed", "service_id"])
     days = F.filter(F.array(*[F.struct(F.lit(d).alias("day"), F.lit(1 << i).alias("bit")) for i, d in enumerate(("workday", "saturday", "sunday"))]), lambda d: F.col("mask").bitwiseAND(d["bit"]) != 0)
-    return runs.select(F.concat(F.lit("city"), F.col("feed")).alias("city"), F.explode(days).alias("d"), "trip_id", "route_id", "stop_id", "pos", "dep_sec").select("city", "d.day", "trip_id", "route_id", "stop_id", "pos", "dep_sec")
+    return runs.select("trip_id", F.concat(F.lit("city"), F.col("feed")).alias("city"), F.explode(days).alias("d")).select("trip_id", "city", "d.day")
 
 
 def keep_timetable(fx, folder: str) -> None:
-    """The sink: a folder a city and day; rows of a folder lie by route and run."""
-    timetable(fx).repartition("city", "day", "route_id").sortWithinPartitions("city", "day", "route_id", "trip_id", "pos").write.partitionBy("city", "day").parquet(folder)
+    """The sink: patterns and profiles once for all days, runs in a folder a city and day."""
+    encoded(fx.fx_ev, run_days(fx)).write(folder, ["city", "day"])
 
 
 def load_day(spark, folder: str, city: str, day: str) -> DataFrame:
-    """One city's timetable of a day: only its folder is read."""
-    return spark.read.parquet(folder).where((F.col("city") == city) & (F.col("day") == day)).drop("city", "day")
+    """One city's timetable of a day, decoded: of the runs only its folder is read."""
+    return Coded.read(spark, folder).where((F.col("city") == city) & (F.col("day") == day)).events()
 
 
 @query(f"SELECT trip_id, pos, stop_id, dep_sec FROM ({RUNS}) WHERE city = 'city1' AND day = 'saturday' AND mask & bit <> 0", MASKED)
@@ -46,10 +47,30 @@ def timetable_day(fx):
     return load_day(fx.spark, folder, "city1", "saturday").select("trip_id", "pos", "stop_id", "dep_sec")
 
 
+@query("SELECT * FROM fx_ev")
+def timetable_round_trip(fx):
+    """The timetable written as patterns, profiles and starts, read and decoded: the rows that went in."""
+    folder = stage_path(fx.spark, "coded")
+    encoded(fx.fx_ev).write(folder, [])
+    return Coded.read(fx.spark, folder).events()
+
+
+SHAPED = "SELECT trip_id, any_value(route_id) AS route_id, list(stop_id ORDER BY pos) AS stops, list(flags ORDER BY pos) AS flagged, list(delta ORDER BY pos) AS deltas, list(dwell ORDER BY pos) AS dwells FROM (SELECT *, dep_sec - arr_sec AS dwell, coalesce(dep_sec - lag(dep_sec) OVER (PARTITION BY trip_id ORDER BY pos), 0) AS delta FROM fx_ev) GROUP BY trip_id"
+
+
+@query("""SELECT (SELECT count(*) FROM pat) AS patterns, (SELECT count(*) FROM prof) AS profiles, (SELECT count(*) FROM shaped) AS runs,
+  CAST((SELECT sum(2 + len(stops) + CASE WHEN list_sum(flagged) > 0 THEN len(flagged) ELSE 0 END) FROM pat) + (SELECT sum(len(deltas) + CASE WHEN list_sum(dwells) > 0 THEN len(dwells) ELSE 0 END) FROM prof) + 3 * (SELECT count(*) FROM shaped) AS BIGINT) AS coded,
+  6 * (SELECT count(*) FROM fx_ev) AS plain""", {"shaped": SHAPED, "pat": "SELECT DISTINCT route_id, stops, flagged FROM shaped", "prof": "SELECT DISTINCT route_id, stops, flagged, deltas, dwells FROM shaped"})
+def timetable_size(fx):
+    """How much smaller patterns and profiles are than a row a run and stop."""
+    return encoded(fx.fx_ev).size()
+
+
 @query(f"SELECT city, day, count(*) AS stops, count(DISTINCT trip_id) AS trips FROM ({RUNS}) WHERE mask & bit <> 0 GROUP BY city, day", MASKED)
 def timetable_totals(fx):
     """What the partitioned timetable holds for each city and day."""
-    return timetable(fx).groupBy("city", "day").agg(F.count("*").alias("stops"), F.countDistinct("trip_id").alias("trips"))
+    runs = fx.fx_ev.groupBy("trip_id").agg(F.count("*").alias("n"))
+    return runs.join(run_days(fx), "trip_id").groupBy("city", "day").agg(F.sum("n").alias("stops"), F.count("*").alias("trips"))
 
 
 # documents of a city

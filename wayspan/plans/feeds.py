@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import proximity, reach
+from ..operators.timetable import encoded, next_of
 from ..sources import gtfs
-from .catalog import A, CHOSEN, DAYS, HIST, P80, RND, WALK, along, chosen_days, dist, histogram, percentile, query, served, usable_dates
-from .stages import stage_path
+from .catalog import A, CHOSEN, DAYS, GROUPS, HIST, NAMESAKES, ORACLES, P80, RND, WALK, along, chosen_days, dist, histogram, percentile, query, served, usable_dates
+from .stages import stage_path, staged
 
 
 def as_time(sec) -> F.Column:
@@ -161,23 +162,64 @@ def trip_order(fx):
 
 
 # joins by stop
-@query(f"SELECT u, v, greatest({RND.format('m / ' + WALK)}, 60) AS sec FROM (SELECT a.stop_id AS u, b.stop_id AS v, {dist('a.lat,a.lon', 'b.lat,b.lon')} AS m FROM fx_stops a JOIN fx_stops b ON a.stop_name = b.stop_name AND a.stop_id < b.stop_id UNION ALL SELECT b.stop_id, a.stop_id, {dist('a.lat,a.lon', 'b.lat,b.lon')} FROM fx_stops a JOIN fx_stops b ON a.stop_name = b.stop_name AND a.stop_id < b.stop_id)")
+#: Rows by the clusters of stops of one name: grp (node, label).
+SAME_GROUP = f"SELECT u, v, greatest({RND.format('m / ' + WALK)}, 60) AS sec FROM (SELECT a, b, m FROM pairs) p JOIN grp x ON x.node = p.a JOIN grp y ON y.node = p.b AND y.label = x.label CROSS JOIN LATERAL (VALUES (p.a, p.b), (p.b, p.a)) AS d(u, v)"
+GROUP_PAIRS = f"SELECT a.stop_id AS a, b.stop_id AS b, {dist('a.lat,a.lon', 'b.lat,b.lon')} AS m FROM fx_stops a JOIN fx_stops b ON a.stop_name = b.stop_name AND a.stop_id < b.stop_id"
+NOWALK = f"SELECT s.stop_id, 0 AS sec FROM fx_stops s JOIN grp g ON g.node = s.stop_id, (SELECT x.*, g.label FROM (SELECT *, {dist(f'{A[0]},{A[1]}', 'lat,lon')} AS m FROM fx_stops) x JOIN grp g ON g.node = x.stop_id ORDER BY m, stop_id LIMIT 1) o WHERE g.label = o.label OR {dist('o.lat,o.lon', 's.lat,s.lon')} <= 150"
+
+
+def with_groups(name: str) -> None:
+    """Gives the SQL of ``name`` the clusters of stops, in front of what rests on them."""
+    text = ORACLES[name]
+    at = text.index("same_group AS (") if "same_group AS (" in text else text.index("nowalk AS (")
+    ORACLES[name] = f"{text[:at]}{GROUPS}, {text[at:]}"
+
+
+@query("SELECT * FROM same_group", {"namesakes": NAMESAKES, "pairs": GROUP_PAIRS, "same_group": SAME_GROUP})
 def same_group_adj(fx):
-    return proximity.group_adjacency(fx.fx_stops.withColumn("group_id", F.col("stop_name")))
+    """Walks within a cluster of stops: those of one name that a chain of at most 300 m a link joins."""
+    return proximity.group_adjacency(reach.grouped(fx.fx_stops))
+
 
+with_groups("same_group_adj")
 
-@query(f"SELECT s.stop_id, 0 AS sec FROM fx_stops s, (SELECT * FROM (SELECT *, {dist(f'{A[0]},{A[1]}', 'lat,lon')} AS m FROM fx_stops) ORDER BY m, stop_id LIMIT 1) o WHERE s.stop_name = o.stop_name OR {dist('o.lat,o.lon', 's.lat,s.lon')} <= 150")
+
+@query("SELECT * FROM nowalk", {"namesakes": NAMESAKES, "nowalk": NOWALK})
 def access_nowalk(fx):
-    """Without walking: the nearest stop, its group, and stops at most 150 m from it."""
-    return proximity.access_nowalk(fx.fx_stops.withColumn("group_id", F.col("stop_name")), *A)
+    """Without walking: the nearest stop, its cluster, and stops at most 150 m from it."""
+    return proximity.access_nowalk(reach.grouped(fx.fx_stops), *A)
 
 
-@query("SELECT r.user_id AS at_sec, r.stop_id, min(e.dep_sec) AS dep_sec FROM (SELECT DISTINCT 36000 + user_id AS user_id, event_id % (SELECT count(*) FROM supplier) AS stop_id FROM events) r JOIN fx_ev e ON e.stop_id = r.stop_id AND e.dep_sec >= r.user_id AND e.flags & 1 = 0 GROUP BY ALL")
-def earliest_trip(fx):
-    """The next departure from a stop at or after a time, for every asked (stop, time)."""
+with_groups("access_nowalk")
+
+
+def questions(fx) -> DataFrame:
+    """(stop_id, at_sec): a stop and a time of each event."""
     n = fx.supplier.agg(F.count("*").alias("n"))
-    asked = fx.events.join(n).select((F.col("event_id") % F.col("n")).alias("stop_id"), (F.col("user_id") + 36000).alias("at_sec")).distinct()
-    return proximity.next_departure(asked, fx.fx_ev.where(F.col("flags").bitwiseAND(1) == 0))
+    return fx.events.join(n).select((F.col("event_id") % F.col("n")).alias("stop_id"), (F.col("user_id") + 36000).alias("at_sec")).distinct()
+
+
+QUESTIONS = "SELECT DISTINCT 36000 + user_id AS at_sec, event_id % (SELECT count(*) FROM supplier) AS stop_id FROM events"
+
+
+@query("SELECT r.at_sec, r.stop_id, min(e.dep_sec) AS dep_sec FROM questions r JOIN fx_ev e ON e.stop_id = r.stop_id AND e.dep_sec >= r.at_sec AND e.flags & 1 = 0 GROUP BY ALL", {"questions": QUESTIONS})
+def next_departure(fx):
+    """The next departure from a stop at or after a time, for every asked (stop, time)."""
+    return proximity.next_departure(questions(fx), fx.fx_ev.where(F.col("flags").bitwiseAND(1) == 0))
+
+
+PATTERNED = "SELECT e.*, p.pattern FROM fx_ev e JOIN (SELECT trip_id, min(trip_id) OVER (PARTITION BY route_id, seq) AS pattern FROM (SELECT trip_id, any_value(route_id) AS route_id, string_agg(stop_id || '/' || flags, '-' ORDER BY pos) AS seq FROM fx_ev GROUP BY trip_id)) p USING (trip_id)"
+
+
+@query("SELECT q.pattern, q.pos, q.at_sec, arg_min(e.trip_id, (e.dep_sec, e.trip_id)) AS trip_id, min(e.dep_sec) AS dep_sec FROM (SELECT DISTINCT p.pattern, p.pos, r.at_sec FROM questions r JOIN (SELECT DISTINCT pattern, pos, stop_id FROM patterned WHERE flags & 1 = 0) p USING (stop_id)) q LEFT JOIN patterned e ON e.pattern = q.pattern AND e.pos = q.pos AND e.dep_sec >= q.at_sec GROUP BY ALL", {"questions": QUESTIONS, "patterned": PATTERNED})
+def earliest_trip(fx):
+    """The next run of a pattern at one of its positions, for every pattern that lets riders on at an asked stop; null where none follows."""
+    hops = staged(encoded(fx.fx_ev).hops(), "hops")
+    at = hops.where(F.col("flags").bitwiseAND(1) == 0).select("pattern", "pos", "stop_id").distinct()
+    asked = questions(fx).join(at, "stop_id").select("pattern", "pos", "at_sec").distinct()
+    there = hops.select("pattern", "pos", F.col("dep_sec").alias("at_sec"), "trip_id")
+    found = next_of(asked, there, ["pattern", "pos"], "at_sec", F.struct(F.col("at_sec").alias("dep_sec"), "trip_id"), "run")
+    return found.select("pattern", "pos", "at_sec", "run.trip_id", "run.dep_sec")
 
 
 @query("SELECT e.trip_id, e.pos, coalesce(p.p80, CAST(floor(600 * (f.factor - 1) + 0.5) AS BIGINT)) AS delay_sec FROM fx_ev e LEFT JOIN (SELECT dense_rank() OVER (ORDER BY route_name) - 1 AS rid, day_type, hour, p80 FROM p) p ON p.rid = e.route_id AND p.day_type = 0 AND p.hour = (e.dep_sec // 3600) % 24 JOIN (SELECT route_id, CASE WHEN route_type IN (3, 11) THEN 1.15e0 WHEN route_type = 0 THEN 1.05e0 WHEN route_type = 2 THEN 1.02e0 ELSE 1.1e0 END AS factor FROM fx_routes) f ON f.route_id = e.route_id", {"hist": HIST, "p": P80})

@@ -313,7 +313,7 @@ def wave(fx, places: DataFrame) -> DataFrame:
     """Times along streets from places (place, lat, lon, sec), painted on the grid and carried on for 75 m over land; the origin's own cell takes no time."""
     grid = grid_of(fx)
     land = staged(land_of(fx, grid), "land")
-    times = reach.shortest(snapped(fx, places), adjacency(fx.fx_walk_edges), WAVE_CAP).where(F.col("t") <= WAVE_CAP)
+    times = reach.shortest(snapped(fx, places), adjacency(fx.fx_walk_edges), WAVE_CAP, blocks=reach.plane_blocks(fx.fx_walk_nodes, "node_id")).where(F.col("t") <= WAVE_CAP)
     painted = raster.paint(fx.fx_walk_edges, fx.fx_walk_nodes, times, grid)
     own = origin_of(fx).select(grid.cell(F.col("lat"), F.col("lon")).alias("cell"), "sec").where("cell is not null")
     painted = painted.unionByName(own).groupBy("cell").agg(F.min("sec").alias("sec"))

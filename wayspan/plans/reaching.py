@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import proximity, reach
 from ..operators import search as searches
-from .catalog import A, ACCESS, B, FOOT, PAIRS, RND, STEPS, WALK, dist, query, ride_edges, round_sql
+from .catalog import A, B, NAMESAKES, PAIRS, RND, STEPS, WALK, query, ride_edges, round_sql
+from .feeds import GROUP_PAIRS, NOWALK, SAME_GROUP, with_groups
 from .journeys import faster
 from .options import City, ReachQuery, parsed, written
+from .stages import staged
 from .surface import recursive, relax
 
 #: Rides that a search may take; before this minute of the day the day before runs on.
@@ -52,7 +54,7 @@ def reachable(net: Network, q: ReachQuery, delays: DataFrame | None = None, hori
         ev = reach.reversed_network(ev) if q.direction == "to" else ev
         least = X.CAUTIOUS_TRANSFER_S if q.safe else 0
         edges = ride_edges_of(ev).unionByName(foot.select("u", "v", F.greatest("sec", F.lit(least)).alias("sec"))).groupBy("u", "v").agg(F.min("sec").alias("sec"))
-        found = reach.shortest(access.select(F.col("stop_id").alias("node"), F.col("sec").alias("t")), edges, X.HORIZON_S)
+        found = reach.shortest(access.select(F.col("stop_id").alias("node"), F.col("sec").alias("t")), edges, X.HORIZON_S, blocks=reach.plane_blocks(net.stops, "stop_id"))
         return found.select(F.col("node").alias("stop_id"), F.col("t").alias("sec"), F.lit(0).alias("pass"))
     ev = reach.reversed_network(ev) if q.direction == "to" else ev
 
@@ -78,7 +80,7 @@ def ride_edges_of(ev: DataFrame) -> DataFrame:
 
 
 def network(fx) -> Network:
-    return Network(fx.fx_stops.withColumn("group_id", F.col("stop_name")), fx.fx_ev)
+    return Network(staged(reach.grouped(fx.fx_stops), "stops"), fx.fx_ev)
 
 
 def asked(text: str) -> ReachQuery:
@@ -106,20 +108,17 @@ def reach_driver_to(fx):
     return reachable(network(fx), asked("?dir=to&t=12:30&veh=bus,tram")).select("stop_id", "sec")
 
 
-NOWALK = f"SELECT s.stop_id, 0 AS sec FROM fx_stops s, (SELECT * FROM (SELECT *, {dist(f'{A[0]},{A[1]}', 'lat,lon')} AS m FROM fx_stops) ORDER BY m, stop_id LIMIT 1) o WHERE s.stop_name = o.stop_name OR {dist('o.lat,o.lon', 's.lat,s.lon')} <= 150"
-GROUP_FOOT = f"""SELECT u, v, min(sec) AS sec FROM (SELECT u, v, greatest({RND.format('m / ' + WALK)}, 60) AS sec FROM (
-    SELECT a.stop_id AS u, b.stop_id AS v, {dist('a.lat,a.lon', 'b.lat,b.lon')} AS m FROM fx_stops a JOIN fx_stops b ON a.stop_name = b.stop_name AND a.stop_id < b.stop_id
-    UNION ALL SELECT b.stop_id, a.stop_id, {dist('a.lat,a.lon', 'b.lat,b.lon')} FROM fx_stops a JOIN fx_stops b ON a.stop_name = b.stop_name AND a.stop_id < b.stop_id)
-  UNION ALL SELECT u, v, greatest({RND.format('m / ' + WALK)}, 60) FROM (SELECT a AS u, b AS v, m FROM pairs UNION ALL SELECT b, a, m FROM pairs) e
-    JOIN fx_stops x ON x.stop_id = u JOIN fx_stops y ON y.stop_id = v WHERE m <= 150 AND x.stop_name <> y.stop_name) GROUP BY u, v"""
+COMPLEX = f"SELECT u, v, greatest({RND.format('m / ' + WALK)}, 60) AS sec FROM (SELECT a AS u, b AS v, m FROM near UNION ALL SELECT b, a, m FROM near) e JOIN fx_stops x ON x.stop_id = u JOIN fx_stops y ON y.stop_id = v WHERE m <= 150 AND x.stop_name <> y.stop_name"
+GROUP_FOOT = "SELECT u, v, min(sec) AS sec FROM (SELECT u, v, sec FROM same_group UNION ALL SELECT u, v, sec FROM complex) GROUP BY u, v"
 
 
-@query("SELECT node AS stop_id, t AS sec FROM reach", {"access": NOWALK, "steps": STEPS, "pairs": PAIRS, "gfoot": GROUP_FOOT, "edges": "SELECT u, v, min(sec) AS sec FROM (SELECT stop_id AS u, next_stop AS v, greatest(ride, 0) AS sec FROM steps WHERE ride IS NOT NULL UNION ALL SELECT u, v, sec FROM gfoot) GROUP BY u, v"})
+@query("SELECT node AS stop_id, t AS sec FROM reach", {"steps": STEPS, "namesakes": NAMESAKES, "pairs": GROUP_PAIRS, "same_group": SAME_GROUP, "near": PAIRS, "complex": COMPLEX, "gfoot": GROUP_FOOT, "access": NOWALK, "edges": "SELECT u, v, min(sec) AS sec FROM (SELECT stop_id AS u, next_stop AS v, greatest(ride, 0) AS sec FROM steps WHERE ride IS NOT NULL UNION ALL SELECT u, v, sec FROM gfoot) GROUP BY u, v"})
 def reach_driver_general(fx):
     """Times without waiting from the nearest group of stops, changing only within groups and close by."""
     return reachable(network(fx), asked("mode=general&walk=0")).select("stop_id", "sec")
 
 
+with_groups("reach_driver_general")
 recursive("reach_driver_general", relax("reach", "SELECT stop_id, CAST(sec AS BIGINT) FROM access", "edges", "1e9").replace("WHERE r.t + e.sec <= 1e9", "WHERE r.t <= 10800"))
 
 

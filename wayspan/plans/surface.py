@@ -172,7 +172,7 @@ def grid_flood(fx):
     grid = grid_of(fx)
     land = staged(land_of(fx, grid), "land")
     moves = staged(raster.moves(land, grid).select("u", "v", "sec"), "moves")
-    return reach.shortest(seeds_of(fx, grid, land), moves, FLOOD_CAP).where(F.col("t") <= FLOOD_CAP).select(F.col("node").alias("cell"), F.col("t").alias("sec"))
+    return reach.shortest(seeds_of(fx, grid, land), moves, FLOOD_CAP, blocks=reach.raster_blocks(land, grid)).where(F.col("t") <= FLOOD_CAP).select(F.col("node").alias("cell"), F.col("t").alias("sec"))
 
 
 recursive("grid_flood", relax("flood", "SELECT cell, sec FROM seeds", "moves", FLOOD_CAP))
