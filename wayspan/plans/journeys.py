@@ -9,8 +9,9 @@ from ..functions import expr as X
 from ..operators import proximity, raster, reach
 from ..operators import search as searches
 from ..operators.raster import Grid
-from ..sources import streets
+from ..sources import gtfs, streets
 from ..streaming import delays
+from ..streaming.kept import Kept
 from .catalog import A, ACCESS, ADJ, FOOT, HIST, NEAR_M, PAIRS, PARTS, RND, T0, WALK, adjacency, dist, query, round_sql
 from .stages import stage_path, staged
 from .surface import BOX, CITY, PAINT, FILL, FILL_SIDES, FLOOD_CAP, GROUND, MOVES, RING, SEEDS, SIDES, cell_sql, city_cells, grid_flood, grid_of, land_of, recursive, relax, seeds_of
@@ -250,7 +251,52 @@ POLLED = "SELECT event_type AS route_name, timezone('Europe/Warsaw', timezone('U
 @query(HIST.replace("fx_delay_obs", "polled"), {"polled": POLLED})
 def stream_poll_histogram(fx):
     """The same by polls: within a poll a run counts once, and its slot is the poll's on the local clock."""
-    return delays.histogram_of_stream(fx.spark, f"{fx.sf_dir}/events.parquet", stage_path(fx.spark, "polls"), by_poll=True)
+    polls = delays.Polls(fx.spark, stage_path(fx.spark, "polls"))
+    polls.run(delays.live(fx.spark, f"{fx.sf_dir}/events.parquet").withColumn("ts", delays.at_utc(F.col("ts"))))
+    return polls.histogram()
+
+
+def sent(fx) -> str:
+    """Observations as files of JSON lines from three addresses, every tenth line cut short; some name no line, some no trip or delay. Their folder."""
+    obs, folder, i = fx.fx_delay_obs, stage_path(fx.spark, "updates"), F.col("event_id")
+    stop = F.array(F.struct(F.lit(None).cast("int").alias("arrival"), F.col("delay_sec").cast("int").alias("departure")))
+    line = F.to_json(F.struct(F.when(i % 7 != 0, F.col("route_name")).alias("routeId"), F.when(i % 6 != 0, F.col("trip_ref").cast("string")).alias("tripId"), F.concat(F.lit("e"), i % 50).alias("id"), F.when(i % 4 == 0, F.col("delay_sec")).alias("delay"), F.when(i % 4 == 1, stop).alias("stops"), "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts")))
+    rows = obs.select(F.when(i % 10 == 0, line.substr(F.lit(1), F.length(line) - 5)).otherwise(line).alias("value"), F.concat(F.lit("a"), i % 3).alias("address"))
+    rows.write.partitionBy("address").text(folder)
+    files(fx.spark, folder)
+    return folder
+
+
+def files(spark, folder: str) -> None:
+    """Gives the text files of each address the names of JSON files."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for sub in fs.listStatus(at):
+        if sub.isDirectory():
+            for f in fs.listStatus(sub.getPath()):
+                fs.rename(f.getPath(), hadoop.Path(sub.getPath(), f.getPath().getName().replace(".txt", ".json")))
+
+
+SENT = "SELECT event_id, event_type AS route_name, 'a' || (event_id % 3) || '|' || CASE WHEN event_id % 6 <> 0 THEN CAST(user_id AS VARCHAR) ELSE 'e' || (event_id % 50) END AS trip, time_bucket(INTERVAL 15 MINUTE, CAST(ts AS TIMESTAMP)) AS poll, CAST(floor(value * 6) AS INT) - 120 AS delay_sec FROM events WHERE event_id % 10 <> 0 AND event_id % 7 <> 0 AND event_id % 4 < 2"
+
+
+@query(HIST.replace("fx_delay_obs", "polled"), {"sent": SENT, "polled": "SELECT route_name, timezone('Europe/Warsaw', timezone('UTC', poll)) AS ts, arg_max(delay_sec, event_id) AS delay_sec FROM sent GROUP BY route_name, trip, poll"})
+def stream_json_histogram(fx):
+    """Counts by polls from a stream of JSON files, broken lines and updates without line or delay among them."""
+    polls = delays.Polls(fx.spark, stage_path(fx.spark, "polls"))
+    polls.run(gtfs.observations(gtfs.live_updates(fx.spark, sent(fx))))
+    return polls.histogram()
+
+
+@query("SELECT 'a' || (event_id % 3) AS address, count(*) AS lines, count(*) FILTER (WHERE event_id % 10 = 0) AS broken FROM events GROUP BY 1")
+def stream_json_faults(fx):
+    """How many lines of each address were broken, counted by the stream."""
+    folder = stage_path(fx.spark, "faults")
+    kept = Kept(fx.spark, folder, lambda rows: rows.groupBy("address").agg(F.sum("lines").alias("lines"), F.sum("broken").alias("broken")))
+    run = gtfs.live_updates(fx.spark, sent(fx)).writeStream.foreachBatch(lambda batch, number: kept.commit(gtfs.faults(batch), number))
+    run.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return kept.rows()
 
 
 # searches with more than times

@@ -80,3 +80,29 @@ def resolved(resources: DataFrame) -> DataFrame:
     greatest = resources.where(F.col("kind") == "max-id").groupBy("feed").agg(F.max("resource_id").alias("resource_id"))
     written = resources.where(~F.col("kind").isin("ckan-latest", "max-id")).groupBy("feed").agg(F.min("resource_id").alias("resource_id"))
     return newest_zip.unionByName(greatest).unionByName(written)
+
+
+#: A live update as a line of JSON; a line that is none stands in the last column.
+LIVE = f"{UPDATE}, id string, event_id long, ts timestamp, broken string"
+
+
+def live_updates(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the updates under ``folder``, a folder ``address=...`` an address, a file a poll or part of one.
+
+    A line that is no update has its text in ``broken`` and nothing else; a file that can't be read is left out.
+    Neither stops the address's other files or the other addresses; an address without files gives no rows.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "ignoreCorruptFiles": "true", "ignoreMissingFiles": "true", "pathGlobFilter": "*.json*", "basePath": folder}
+    return spark.readStream.schema(f"{LIVE}, address string").options(**options).json(folder)
+
+
+def observations(updates: DataFrame) -> DataFrame:
+    """(event_id, route_name, trip_ref, ts, delay_sec) of updates that name a line, a time and a delay; a run is known by its address and trip, else by the update's id."""
+    delay = update_delay(F.struct("delay", "stops"))
+    rows = updates.select("event_id", F.col("routeId").alias("route_name"), F.concat_ws("|", "address", F.coalesce("tripId", "id")).alias("trip_ref"), "ts", delay.alias("delay_sec"), "broken")
+    return rows.where("broken is null and route_name is not null and ts is not null and delay_sec is not null").drop("broken")
+
+
+def faults(updates: DataFrame) -> DataFrame:
+    """(address, lines, broken): how many lines each address sent and how many were none."""
+    return updates.groupBy("address").agg(F.count("*").alias("lines"), F.count("broken").alias("broken"))
