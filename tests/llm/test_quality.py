@@ -70,3 +70,31 @@ def test_fences_follow_their_groups(spark):
     of = lambda rows: {(r.g_lang, r.g_source): r.symbol_pm_high for r in rows}
     before, after = of(found), of(fences(sketches(measured(moved, ["lang", "source"], "text"))).collect())
     assert all(after[k] > before[k] for k in before if k[1] == "src1")
+
+
+def test_a_quarter_of_junk_in_a_source_goes(spark):
+    """Texts of which a third is symbols don't lift the fence of a source that they make a quarter of, and its other texts stay."""
+    rng = random.Random(4)
+    rows = [(i, words_text(rng, rng.randint(30, 200)), "en", f"s{i % 8}") for i in range(480)]
+    junk = [(1000 + i, " ".join(w + "###"[: rng.randint(2, 3)] for w in words_text(rng, 80).split()), "en", "s3") for i in range(20)]
+    few = [(2000 + i, words_text(rng, 90), "en", "few") for i in range(2)]
+    alike = [(3000 + i, words_text(rng, 90), None, None) for i in range(12)]
+    got = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows + junk + few + alike, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[r[0]] for r in junk)
+    assert np.mean([got[r[0]] for r in rows + few + alike]) > 0.99
+
+
+def test_no_english_text_of_symbols_stays(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    kept = quality(docs).where("kept and n_symbols * 10 >= 3 * word_chars").join(docs.select("doc_id", "lang"), "doc_id")
+    assert kept.where("lang = 'en'").isEmpty()
+
+
+def test_nulls_are_groups_by_value(spark):
+    """Null languages and sources have fences of their own: symbols that are usual there stay there and go elsewhere."""
+    rng = random.Random(6)
+    marked = lambda: words_text(rng, 60).replace(" ", " # ")
+    rows = [(i, words_text(rng, 60), "en", "a") for i in range(200)] + [(500 + i, marked(), None, None) for i in range(40)] + [(900, marked(), "en", "a"), (901, None, None, None)]
+    got = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[500 + i] for i in range(40)) and not got[900] and not got[901]
+    assert np.mean([got[i] for i in range(200)]) > 0.99

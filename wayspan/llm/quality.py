@@ -6,11 +6,14 @@ counts, so they merge by addition and are the same in any order. A ratio's fence
 ``REACH`` times as far beyond its upper decile as that lies beyond the median, and below
 likewise for two-sided ratios. Where most texts show nothing at all (no symbol, no
 repeated line) both are 0; so a fence leaves room for ``ALLOWED`` occurrences in a text of
-the group's median length, which has a sketch as well. Nothing else sets a fence.
-
-A group's sketch is merged with that of its language, weighed as ``PRIOR`` texts, and with
-that of all texts, weighed as one: small groups lean on their language, large ones on
-themselves, without a switch between. Texts beyond a fence aren't kept.
+the group's median length, which has a sketch as well.
+
+A group's sketch is merged with that of its language and that of all texts by fixed shares, ``OWN`` to
+``LANG`` to ``ALL``, whatever the sizes: a small group leans on few texts of its own, but follows them when they all
+change. Its decile counts only up to the fence of its language (or the group's own median, if that lies
+beyond): in a group of which up to half is junk, junk doesn't lift the fence, as long as it is less than a tenth
+of the language. Nor is a decile nearer to the group's median than the language's to its own, so that few alike texts
+don't narrow their fences. Texts beyond a fence aren't kept.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED = 20, 30
-#: Reach of a fence in distances from median to decile; occurrences that are always allowed; texts that a language's sketch counts as.
-REACH, ALLOWED, PRIOR = 3, 2, 64
+#: Reach of a fence in distances from median to decile; occurrences that are always allowed; shares of the group's sketch, its language's and that of all.
+REACH, ALLOWED, OWN, LANG, ALL = 3, 2, 8, 4, 1
 #: Ratios in thousandths: (name, what it counts, what it is counted in, least size of an occurrence, whether it has a fence below).
 RATIOS = (
     ("symbol_pm", "n_symbols", "word_chars", 1, False),
@@ -114,37 +117,54 @@ def blended(sketch: DataFrame) -> DataFrame:
 
     A row a group and bucket: some hundred buckets a ratio at most.
     """
-    groups = sketch.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).distinct()
     whole = lambda c: F.sum(c).cast("decimal(12,0)")
     lang = sketch.groupBy("lang", "ratio", "top").agg(whole("n").alias("n"))
     every = lang.groupBy("ratio", "top").agg(whole("n").alias("n"))
     # texts of the group, of its language, of all: each ratio has one value a text
     one = sketch.where(F.col("ratio") == RATIOS[0][0])
     n_lang = one.groupBy("lang").agg(whole("n").alias("n_lang"))
-    sized = groups.join(n_lang, F.col("g_lang").eqNullSafe(F.col("lang"))).drop("lang").crossJoin(F.broadcast(one.agg(whole("n").alias("n_all"))))  # one row
+    sized = one.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(whole("n").alias("n_own"))
+    sized = sized.join(n_lang, F.col("g_lang").eqNullSafe(F.col("lang"))).drop("lang").crossJoin(F.broadcast(one.agg(whole("n").alias("n_all"))))  # one row
     sized = staged(sized, "quality-groups")
     keys = sized.withColumn("r", F.explode(F.array(*map(F.lit, SKETCHED))))
-    own = sketch.join(sized, F.col("g_lang").eqNullSafe(F.col("lang")) & F.col("g_source").eqNullSafe(F.col("source")))
-    own = own.select("g_lang", "g_source", "ratio", "top", (F.col("n").cast("decimal(12,0)") * F.col("n_lang") * F.col("n_all")).cast("decimal(38,0)").alias("n"))
-    like = sized.join(lang, F.col("g_lang").eqNullSafe(F.col("lang"))).select("g_lang", "g_source", "ratio", "top", (F.lit(PRIOR).cast("decimal(12,0)") * F.col("n") * F.col("n_all")).cast("decimal(38,0)").alias("n"))
-    rest = keys.join(every, F.col("r") == F.col("ratio")).select("g_lang", "g_source", "ratio", "top", (F.col("n") * F.col("n_lang")).cast("decimal(38,0)").alias("n"))
+    mass = lambda share, *by: (F.lit(share).cast("decimal(2,0)") * F.col("n") * F.col(by[0]) * F.col(by[1])).cast("decimal(38,0)").alias("n")
+    own = sketch.withColumn("n", F.col("n").cast("decimal(12,0)")).join(sized, F.col("g_lang").eqNullSafe(F.col("lang")) & F.col("g_source").eqNullSafe(F.col("source")))
+    own = own.select("g_lang", "g_source", "ratio", "top", mass(OWN, "n_lang", "n_all"))
+    like = sized.join(lang, F.col("g_lang").eqNullSafe(F.col("lang"))).select("g_lang", "g_source", "ratio", "top", mass(LANG, "n_own", "n_all"))
+    rest = keys.join(every, F.col("r") == F.col("ratio")).select("g_lang", "g_source", "ratio", "top", mass(ALL, "n_own", "n_lang"))
     return own.unionByName(like).unionByName(rest).groupBy("g_lang", "g_source", "ratio", "top").agg(F.sum("n").alias("n"))
 
 
+def marks(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, <ratio>_<tenths>): the first and ninth decile and the median of each group's ratios."""
+    whole = W.partitionBy(*keys, "ratio")
+    ranked = counted.withColumn("upto", F.sum("n").over(whole.orderBy("top").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(whole))
+    at = lambda name, tenths: F.min(F.when((F.col("ratio") == name) & (F.col("upto") * 10 >= F.col("all") * tenths), F.col("top"))).alias(f"{name}_{tenths}")
+    return ranked.groupBy(*keys).agg(*[at(name, tenths) for name in SKETCHED for tenths in (1, 5, 9)])
+
+
+def beyond(name: str, by: str, least: int, high, low) -> tuple:
+    """The fences of a ratio whose deciles count as ``high`` and ``low``."""
+    free = F.floor(F.lit(1000 * ALLOWED * least) / F.greatest(F.col(f"{by}_5"), F.lit(1))).cast("long")
+    half = F.col(f"{name}_5")
+    return high + REACH * (high - half) + free, low - REACH * (half - low)
+
+
 def fences(sketch: DataFrame) -> DataFrame:
     """(g_lang, g_source, <ratio>_high, <ratio>_low): the fences of each group of the sketch (lang, source, ratio, top, n)."""
-    whole = W.partitionBy("g_lang", "g_source", "ratio")
-    ranked = blended(sketch).withColumn("upto", F.sum("n").over(whole.orderBy("top").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(whole))
-    at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("all") * tenths, F.col("top")))
-    marks = ranked.groupBy("g_lang", "g_source", "ratio").agg(at(1).alias("q10"), at(5).alias("q50"), at(9).alias("q90"))
-    of = lambda name, q: F.max(F.when(F.col("ratio") == name, F.col(q)))
+    lang = marks(sketch.groupBy("lang", "ratio", "top").agg(F.sum("n").alias("n")), ["lang"])
+    ends = {name: beyond(name, by, least, F.col(f"{name}_9"), F.col(f"{name}_1")) for name, _, by, least, _ in RATIOS}
+    spread = lambda name: (F.col(f"{name}_9") - F.col(f"{name}_5"), F.col(f"{name}_5") - F.col(f"{name}_1"))
+    lang = lang.select("lang", *[c.alias(f"lang_{name}_{what}") for name, both in ends.items() for what, c in zip(("high", "low", "up", "down"), (*both, *spread(name)), strict=True)])
+    own = marks(blended(sketch), ["g_lang", "g_source"]).join(lang, F.col("g_lang").eqNullSafe(F.col("lang")))
     sides = []
     for name, _, by, least, two_sided in RATIOS:
-        free = F.floor(F.lit(1000 * ALLOWED * least) / F.greatest(of(by, "q50"), F.lit(1))).cast("long")
-        sides.append((of(name, "q90") + REACH * (of(name, "q90") - of(name, "q50")) + free).alias(f"{name}_high"))
-        if two_sided:
-            sides.append((of(name, "q10") - REACH * (of(name, "q50") - of(name, "q10"))).alias(f"{name}_low"))
-    return marks.groupBy("g_lang", "g_source").agg(*sides)
+        half = F.col(f"{name}_5")
+        up = F.greatest(F.least(f"{name}_9", F.greatest(half, F.col(f"lang_{name}_high"))), half + F.col(f"lang_{name}_up"))
+        down = F.least(F.greatest(f"{name}_1", F.least(half, F.col(f"lang_{name}_low"))), half - F.col(f"lang_{name}_down"))
+        high, low = beyond(name, by, least, up, down)
+        sides += [high.alias(f"{name}_high"), *([low.alias(f"{name}_low")] if two_sided else [])]
+    return own.select("g_lang", "g_source", *sides)
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -211,27 +231,35 @@ tops AS (
   SELECT lang, source, ratio, top, CAST(count(*) AS HUGEINT) AS n FROM placed GROUP BY ALL),
 groups AS (
   SELECT g.lang, g.source, (SELECT CAST(count(*) AS HUGEINT) FROM rated r WHERE NOT r.base_failed AND r.lang IS NOT DISTINCT FROM g.lang) AS n_lang,
+    (SELECT CAST(count(*) AS HUGEINT) FROM rated r WHERE NOT r.base_failed AND r.lang IS NOT DISTINCT FROM g.lang AND r.source IS NOT DISTINCT FROM g.source) AS n_own,
     (SELECT CAST(count(*) AS HUGEINT) FROM rated r WHERE NOT r.base_failed) AS n_all
   FROM (SELECT DISTINCT lang, source FROM tops) g),
 weighed AS (
-  SELECT g.lang, g.source, t.ratio, t.top,
-    CASE WHEN t.lang IS NOT DISTINCT FROM g.lang AND t.source IS NOT DISTINCT FROM g.source THEN t.n * n_lang * n_all ELSE 0 END
-    + CASE WHEN t.lang IS NOT DISTINCT FROM g.lang THEN {PRIOR} * t.n * n_all ELSE 0 END + t.n * n_lang AS n
-  FROM groups g, tops t),
+  SELECT g.lang, g.source, false AS whole, t.ratio, t.top,
+    CASE WHEN t.lang IS NOT DISTINCT FROM g.lang AND t.source IS NOT DISTINCT FROM g.source THEN {OWN} * t.n * n_lang * n_all ELSE 0 END
+    + CASE WHEN t.lang IS NOT DISTINCT FROM g.lang THEN {LANG} * t.n * n_own * n_all ELSE 0 END + {ALL} * t.n * n_own * n_lang AS n
+  FROM groups g, tops t
+  UNION ALL SELECT lang, NULL, true, ratio, top, n FROM tops),
 merged AS (
-  SELECT lang, source, ratio, top, CAST(sum(n) AS HUGEINT) AS n FROM weighed GROUP BY ALL),
+  SELECT lang, source, whole, ratio, top, CAST(sum(n) AS HUGEINT) AS n FROM weighed GROUP BY ALL),
 ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY top) AS upto, sum(n) OVER (PARTITION BY lang, source, ratio) AS total FROM merged),
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, whole, ratio ORDER BY top) AS upto, sum(n) OVER (PARTITION BY lang, source, whole, ratio) AS total FROM merged),
 marks AS (
-  SELECT lang, source, ratio, min(top) FILTER (WHERE upto * 10 >= total) AS q10, min(top) FILTER (WHERE upto * 10 >= total * 5) AS q50,
+  SELECT lang, source, whole, ratio, min(top) FILTER (WHERE upto * 10 >= total) AS q10, min(top) FILTER (WHERE upto * 10 >= total * 5) AS q50,
     min(top) FILTER (WHERE upto * 10 >= total * 9) AS q90
-  FROM ranked GROUP BY lang, source, ratio),
-fences AS (
-  SELECT m.lang, m.source, m.ratio,
-    m.q90 + {REACH} * (m.q90 - m.q50) + CASE m.ratio {" ".join(f"WHEN '{r}' THEN {1000 * ALLOWED * least}" for r, _, _, least, _ in RATIOS)} END // greatest(l.q50, 1) AS high,
-    CASE WHEN m.ratio IN ({", ".join(f"'{r}'" for r, _, _, _, two in RATIOS if two)}) THEN m.q10 - {REACH} * (m.q50 - m.q10) END AS low
-  FROM marks m JOIN marks l ON l.lang IS NOT DISTINCT FROM m.lang AND l.source IS NOT DISTINCT FROM m.source
+  FROM ranked GROUP BY lang, source, whole, ratio),
+scaled AS (
+  SELECT m.*, CASE m.ratio {" ".join(f"WHEN '{r}' THEN {1000 * ALLOWED * least}" for r, _, _, least, _ in RATIOS)} END // greatest(l.q50, 1) AS free
+  FROM marks m JOIN marks l ON l.lang IS NOT DISTINCT FROM m.lang AND l.source IS NOT DISTINCT FROM m.source AND l.whole = m.whole
     AND l.ratio = CASE m.ratio {" ".join(f"WHEN '{r}' THEN '{by}'" for r, _, by, _, _ in RATIOS)} END),
+bounded AS (
+  SELECT s.*, greatest(least(s.q90, greatest(s.q50, l.q90 + {REACH} * (l.q90 - l.q50) + l.free)), s.q50 + l.q90 - l.q50) AS up,
+    least(greatest(s.q10, least(s.q50, l.q10 - {REACH} * (l.q50 - l.q10))), s.q50 - (l.q50 - l.q10)) AS down
+  FROM scaled s JOIN scaled l ON l.whole AND l.lang IS NOT DISTINCT FROM s.lang AND l.ratio = s.ratio WHERE NOT s.whole),
+fences AS (
+  SELECT lang, source, ratio, up + {REACH} * (up - q50) + free AS high,
+    CASE WHEN ratio IN ({", ".join(f"'{r}'" for r, _, _, _, two in RATIOS if two)}) THEN down - {REACH} * (q50 - down) END AS low
+  FROM bounded),
 verdicts AS (
   SELECT l.doc_id, coalesce(bool_or(l.value > f.high OR coalesce(l.value < f.low, false)), false) AS outside
   FROM long l LEFT JOIN fences f ON f.lang IS NOT DISTINCT FROM l.lang AND f.source IS NOT DISTINCT FROM l.source AND f.ratio = l.ratio
