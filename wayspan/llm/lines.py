@@ -1,14 +1,15 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-A text's lines with a word are hashed. Of each window of ``window`` neighbouring lines the
-one of least hash (of equal ones the last) is selected as a fingerprint, and so is every
-line of ``long`` characters or more, a passage by itself. Each line is joined to the place
-where it first stands in the corpus, by id and position; a second hash is compared. From
-every fingerprint that stands before, the match is extended both ways over the
-neighbours that stand before as well. A run so found goes if it has ``run`` lines or
-a long one: a common run of ``max(run, window)`` lines always holds a fingerprint.
-
-Matches are rows (a line, its text and place), and runs are islands of neighbouring
+A text's lines with a word are hashed as grams of ``run`` neighbouring lines. Of each ``window`` of
+lines the gram of least hash (of equal ones the last) is selected as a fingerprint, and so is every
+line of ``long`` characters or more, a passage by itself. Fingerprints alone are joined over the corpus: a
+common run of ``max(run, window)`` lines has one in common. Only the texts that share one are looked at further.
+
+From its fingerprint a match is extended both ways over the grams that stand earlier, in a text
+that shares fingerprints too: so each ``run`` neighbouring lines of what goes have stood together before, and lines
+that only happen to stand side by side stay. First places are by id and position; a second hash is compared.
+
+Matches are rows (a gram, its text and place), and runs are islands of neighbouring
 places in a text, so the work grows with the lines and not with pairs of them, however
 often a text repeats a line.
 """
@@ -25,20 +26,24 @@ from .common import col, staged
 RUN, WINDOW, LONG = 2, 3, 60
 
 
-def cut_lines(df: DataFrame, id_col: str, text_col: str, long: int) -> DataFrame:
-    """(id, key, at, hash, check, long): by text, its lines with a word: their places, hashes and whether they are long."""
+def cut_lines(df: DataFrame, id_col: str, text_col: str, run: int, long: int) -> DataFrame:
+    """(id, key, at, hash, check, passages): by text, the places of its lines with a word, hashes of its grams, and its long lines (pos, hash, check)."""
     cut = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.split(F.col(text_col), "\n").alias("lines"))
     cut = cut.withColumn("at", F.expr(r"filter(sequence(0, size(lines) - 1), i -> lines[i] rlike '[^\\x20\\x09-\\x0D]')"))
-    line = lambda i: F.element_at("lines", i + 1)
-    hashed = F.transform("at", lambda i: F.conv(F.substring(F.md5(line(i)), 1, 15), 16, 10).cast("long"))
-    return cut.select("id", "key", "at", hashed.alias("hash"), F.transform("at", lambda i: F.hash(line(i))).alias("check"), F.transform("at", lambda i: F.length(line(i)) >= long).alias("long"))
+    cut = cut.withColumn("own", F.transform("at", lambda i: F.element_at("lines", i + 1)))
+    starts = F.expr(f"if(size(own) < {run}, array(), sequence(1, size(own) - {run - 1}))")
+    gram = lambda i: F.array_join(F.slice("own", i, F.lit(run)), "\n")
+    h60 = lambda text: F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    passage = lambda x, i: F.when(F.length(x) >= long, F.struct(i.alias("pos"), h60(x).alias("hash"), F.hash(x).alias("check")))
+    passages = F.array_compact(F.transform("own", passage)) if run > 1 else F.expr("array()").cast("array<struct<pos:int,hash:bigint,check:int>>")
+    return cut.select("id", "key", "at", F.transform(starts, lambda i: h60(gram(i))).alias("hash"), F.transform(starts, lambda i: F.hash(gram(i))).alias("check"), passages.alias("passages"))
 
 
 def selected(window: int):
-    """Whether the line at place ``i`` of ``hash`` is the least of a window that holds it, the last among equal ones.
+    """Whether the gram at place ``i`` of ``hash`` is the least of a window that holds it, the last among equal ones.
 
     It is so if, going ``l`` lines back and ``r`` lines on, none before is less and none behind is less or equal,
-    with the window's lines in reach; a shorter text is one window.
+    with the window's grams in reach; a shorter text is one window.
     """
     spans = []
     for back in range(window):
@@ -53,24 +58,35 @@ def selected(window: int):
     return " or ".join(spans)
 
 
+def firsts(each: DataFrame) -> DataFrame:
+    """(hash, first): where each gram that comes more than once stands first."""
+    return each.groupBy("hash").agg(F.min(F.struct("place", "check")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+
+
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """(id, key, n_lines, gone array<int>: places of lines that go), one row for each distinct id and text."""
     rows = df.where(F.col(text_col).isNotNull())
-    of = cut_lines(rows, id_col, text_col, long).groupBy("id", "key").agg(*[F.first(c).alias(c) for c in ("at", "hash", "check", "long")])
+    of = cut_lines(rows, id_col, text_col, run, long).groupBy("id", "key").agg(*[F.first(c).alias(c) for c in ("at", "hash", "check", "passages")])
     of = staged(of, "lines")
     text = F.struct(F.col("id").isNull().alias("n"), "id", "key")
-    marked = f"transform(sequence(0, size(hash) - 1), i -> named_struct('pos', i, 'hash', hash[i], 'check', check[i], 'long', long[i], 'mark', long[i] or {selected(window)}))"
-    each = of.where(F.size("hash") > 0).select(text.alias("text"), F.explode(F.expr(marked)).alias("line")).select("line.hash", F.struct("text", "line.pos").alias("place"), "line.check", "line.long", "line.mark")
-    first = each.groupBy("hash").agg(F.min(F.struct("place", "check")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    first = staged(first, "lines-first")  # written, so that the rows of a very common line can be split
+    grams = f"if(size(hash) = 0, array(), transform(sequence(0, size(hash) - 1), i -> named_struct('pos', i, 'hash', hash[i], 'check', check[i], 'wide', {run}, 'mark', {selected(max(1, window - run + 1))})))"
+    singles = "transform(passages, p -> named_struct('pos', p.pos, 'hash', p.hash, 'check', p.check, 'wide', 0, 'mark', true))"
+    every = of.select(text.alias("text"), F.expr(f"concat({grams}, {singles})").alias("grams"))
+    as_rows = lambda of, what: of.select("text", F.explode(what).alias("g")).select("g.hash", F.struct("text", "g.pos").alias("place"), "g.check", "g.wide", "g.mark")
+
+    marked = as_rows(every, F.filter("grams", lambda g: g["mark"]))
+    shared = staged(firsts(marked).select("hash"), "lines-shared")
+    touched = staged(marked.join(shared, "hash", "left_semi").select("place.text").distinct(), "lines-touched")
+    each = as_rows(every.join(touched, "text", "left_semi"), F.col("grams"))
+    first = staged(firsts(each), "lines-first")  # written, so that the rows of a very common gram can be split
     later = each.join(first, "hash").where((F.col("place") != F.col("first.place")) & (F.col("check") == F.col("first.check")))
-    later = later.select("place.text", "place.pos", "long", "mark")
+    later = later.select("place.text", "place.pos", "wide", "mark")
     # neighbours that stand before form an island: their place less their rank is one number
-    along = W.partitionBy("text").orderBy("pos")
-    islands = later.withColumn("island", F.col("pos") - F.row_number().over(along))
-    whole = W.partitionBy("text", "island")
-    islands = islands.withColumns({"n": F.count("*").over(whole), "any_long": F.max("long").over(whole), "any_mark": F.max("mark").over(whole)})
-    gone = islands.where((F.col("any_mark") & (F.col("n") >= run)) | F.col("any_long")).groupBy("text").agg(F.collect_list("pos").alias("line"))
+    along = W.partitionBy("text", "wide").orderBy("pos")
+    islands = later.withColumn("island", F.when(F.col("wide") == 0, F.col("pos")).otherwise(F.col("pos") - F.row_number().over(along)))
+    islands = islands.withColumn("any_mark", F.max("mark").over(W.partitionBy("text", "wide", "island")))
+    lines = F.explode(F.sequence("pos", F.col("pos") + F.greatest(F.col("wide") - 1, F.lit(0)))).alias("line")
+    gone = islands.where("any_mark").select("text", lines).groupBy("text").agg(F.collect_set("line").alias("line"))
     out = of.join(gone, text == F.col("text"), "left")
     return out.select("id", "key", F.size("at").alias("n_lines"), F.expr("coalesce(transform(line, i -> at[i]), array())").alias("gone"))
 
@@ -79,11 +95,12 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``df`` with the text less its repeated lines, and __n_lines, __n_removed (long).
 
     Lines are equal only to the byte. Lines without a word are never counted or removed, nor
-    do they part a run. A run of ``max(run, window)`` lines or more, or with a line of ``long``
-    characters, goes wherever each of its lines stands before, in an earlier text or earlier in
-    its own; other lines that stand before stay (with a run and window of 1, every line goes). Null texts stay null
-    with 0 lines. Rows equal in id and text are one text and get one result; null ids come
-    after all others. Columns of ``df`` may have any names but those two. An empty table gives an empty result.
+    do they part a run. A run of ``max(run, window)`` lines or more that stands before, in an earlier text or earlier in
+    its own, goes, with the neighbours whose ``run`` lines stood together before as well; so does a line of ``long``
+    characters that stands before. Other lines stay, also if each of them stands before elsewhere (with a run and window
+    of 1, every line that stands before goes). Null texts stay null with 0 lines. Rows equal in id and text are one
+    text and get one result; null ids come after all others. Columns of ``df`` may have any names but those two. An
+    empty table gives an empty result.
     """
     found = repeated_lines(df, id_col, text_col, run, window, long)
     rows = df.toDF(*[f"d_{c}" for c in df.columns]).withColumn("own", F.xxhash64(col(f"d_{text_col}")))  # no name clashes with ours
@@ -104,25 +121,28 @@ WITH cut AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place
   FROM documents WHERE text IS NOT NULL),
 lines AS (
-  SELECT doc_id, place, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS hash, length(line) >= {LONG} AS long,
-    row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i
+  SELECT doc_id, place, line, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i
   FROM cut WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-near AS (
-  SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, lag(hash) OVER d AS p1, lag(hash, 2) OVER d AS p2, lead(hash) OVER d AS s1, lead(hash, 2) OVER d AS s2
-  FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+grams AS (
+  SELECT doc_id, i, 1 AS wide, '0x' || substr(md5(line || chr(10) || next), 1, 15) AS hash
+  FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM lines) WHERE next IS NOT NULL
+  UNION ALL SELECT doc_id, i, 0, '0x' || substr(md5(line), 1, 15) FROM lines WHERE length(line) >= {LONG}),
 marked AS (
-  SELECT doc_id, i, hash, long,
-    (n < 3 AND coalesce(hash <= p1, true) AND coalesce(hash < s1, true)) OR (n >= 3 AND (
-      coalesce(hash < s1 AND hash < s2, false) OR coalesce(hash <= p1 AND hash < s1, false) OR coalesce(hash <= p1 AND hash <= p2, false))) AS mark
-  FROM near),
+  SELECT doc_id, i, wide, CAST(hash AS BIGINT) AS hash,
+    wide = 0 OR count(*) OVER d = 1 OR coalesce(hash <= lag(hash) OVER o, false) OR coalesce(hash < lead(hash) OVER o, false) AS mark
+  FROM grams WINDOW d AS (PARTITION BY doc_id, wide), o AS (PARTITION BY doc_id, wide ORDER BY i)),
+touched AS (
+  SELECT DISTINCT doc_id FROM marked WHERE mark AND hash IN (SELECT hash FROM marked WHERE mark GROUP BY hash HAVING count(*) > 1)),
+near AS (
+  SELECT * FROM marked WHERE doc_id IN (SELECT doc_id FROM touched)),
 first AS (
-  SELECT hash, min((doc_id, i)) AS f FROM marked GROUP BY hash),
+  SELECT hash, min((doc_id, i)) AS f FROM near GROUP BY hash),
 later AS (
-  SELECT m.*, m.i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM marked m JOIN first f ON f.hash = m.hash WHERE (m.doc_id, m.i) <> f.f),
+  SELECT m.*, CASE WHEN wide = 0 THEN i ELSE i - row_number() OVER (PARTITION BY doc_id, wide ORDER BY i) END AS island FROM near m JOIN first f ON f.hash = m.hash WHERE (m.doc_id, m.i) <> f.f),
 runs AS (
-  SELECT doc_id, island FROM later GROUP BY doc_id, island HAVING bool_or(long) OR (bool_or(mark) AND count(*) >= {RUN})),
+  SELECT doc_id, wide, island FROM later GROUP BY doc_id, wide, island HAVING bool_or(mark)),
 gone AS (
-  SELECT l.doc_id, x.place FROM later l JOIN runs r ON r.doc_id = l.doc_id AND r.island = l.island JOIN lines x ON x.doc_id = l.doc_id AND x.i = l.i),
+  SELECT DISTINCT l.doc_id, x.place FROM later l JOIN runs r ON r.doc_id = l.doc_id AND r.wide = l.wide AND r.island = l.island JOIN lines x ON x.doc_id = l.doc_id AND x.i BETWEEN l.i AND l.i + l.wide),
 kept AS (
   SELECT c.doc_id, string_agg(c.line, chr(10) ORDER BY c.place) FILTER (WHERE g.place IS NULL) AS text, count(g.place) AS n_removed
   FROM cut c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.place = c.place GROUP BY c.doc_id)
