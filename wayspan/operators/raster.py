@@ -1,11 +1,11 @@
-"""Rasters as rows of cells (x, y): grids, polygon fill, line strokes, spreading times."""
+"""Grids, and times on them as rows of cells: painting, spreading, moves. Masks and floods are tiles (see ``tiles``)."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -62,47 +62,6 @@ class Grid:
         return spark.range(self.w * self.h).select(F.col("id").alias("cell"), (F.col("id") % self.w).alias("x"), F.floor(F.col("id") / self.w).alias("y"))
 
 
-def fill(points: DataFrame, grid: Grid) -> DataFrame:
-    """Cells whose centre has a nonzero winding number in the rings (ring_id, idx, lat, lon).
-
-    Each side is dealt to the rows of cells whose centre line it crosses; along a row the
-    running sum of the crossings' directions is the winding number up to the next crossing.
-    """
-    along = Window.partitionBy("ring_id").orderBy("idx")
-    p = points.select("ring_id", "idx", grid.px(F.col("lon")).alias("ax"), grid.py(F.col("lat")).alias("ay"))
-    first = lambda c: F.first(c).over(along)
-    side = p.select("ax", "ay", F.coalesce(F.lead("ax").over(along), first("ax")).alias("bx"), F.coalesce(F.lead("ay").over(along), first("ay")).alias("by"))
-    low, high = F.least("ay", "by"), F.greatest("ay", "by")
-    top, end = F.greatest(F.ceil(low - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(high - 0.5) - 1, F.lit(grid.h - 1)).cast("int")
-    cross = side.where(top <= end).withColumn("y", F.explode(F.when(top <= end, F.sequence(top, end))))
-    at = F.col("ax") + (F.col("y") + 0.5 - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
-    cross = cross.select("y", at.alias("at"), F.when(F.col("by") > F.col("ay"), 1).otherwise(-1).alias("turn"))
-    row = Window.partitionBy("y").orderBy("at")
-    cross = cross.groupBy("y", "at").agg(F.sum("turn").alias("turn"))
-    span = cross.select("y", "at", F.sum("turn").over(row).alias("winding"), F.lead("at").over(row).alias("to")).where("winding <> 0 and to is not null")
-    x0, x1 = F.greatest(F.ceil(F.col("at") - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(F.col("to") - 0.5) - 1, F.lit(grid.w - 1)).cast("int")
-    cells = span.where(x0 <= x1).withColumn("x", F.explode(F.when(x0 <= x1, F.sequence(x0, x1))))
-    return cells.select((F.col("y").cast("long") * grid.w + F.col("x")).alias("cell")).distinct()
-
-
-def stroke(lines: DataFrame, grid: Grid, least_px: float, width_m: float) -> DataFrame:
-    """Cells whose centre lies at most half a stroke's width from a segment (lat_a, lon_a, lat_b, lon_b)."""
-    half = max(least_px, width_m / grid.res) / 2
-    s = lines.select(grid.px(F.col("lon_a")).alias("ax"), grid.py(F.col("lat_a")).alias("ay"), grid.px(F.col("lon_b")).alias("bx"), grid.py(F.col("lat_b")).alias("by"))
-
-    def reach(a, b, size):
-        lo = F.greatest(F.floor(F.least(a, b) - half - 0.5), F.lit(0)).cast("int")
-        hi = F.least(F.ceil(F.greatest(a, b) + half), F.lit(size - 1)).cast("int")
-        return F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
-
-    s = s.withColumn("y", reach("ay", "by", grid.h)).withColumn("x", reach("ax", "bx", grid.w))
-    dx, dy, qx, qy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("x") + 0.5 - F.col("ax"), F.col("y") + 0.5 - F.col("ay")
-    norm = dx * dx + dy * dy
-    f = F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (qx * dx + qy * dy) / norm))).otherwise(0.0)
-    gap = (qx - f * dx) * (qx - f * dx) + (qy - f * dy) * (qy - f * dy)
-    return s.where(gap <= half * half).select((F.col("y").cast("long") * grid.w + F.col("x")).alias("cell")).distinct()
-
-
 #: Where a place on water is moved, in this order.
 SHIFTS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
 

@@ -46,8 +46,8 @@ def raptor(ev: DataFrame, access: DataFrame, foot: DataFrame, t0: int, rounds: i
 
 #: Rounds whose labels stand side by side before they are drawn together; edges that a round follows where there are no blocks.
 LEVELS, HOPS = 16, 3
-#: Side of a block of the plane in metres, and of the raster in cells: some ten thousand nodes of a dense city.
-BLOCK_M, BLOCK_CELLS = 4000, 128
+#: Side of a block of the plane in metres: some ten thousand nodes of a dense city.
+BLOCK_M = 4000
 #: Rounds that the last search of each kind took, for the bench.
 rounds_run: dict[str, int] = {}
 
@@ -58,13 +58,6 @@ def plane_blocks(places: DataFrame, node: str) -> DataFrame:
     return places.select(F.col(node).cast("long").alias("node"), (F.shiftleft(south.cast("long"), 32) + east.cast("long")).alias("block"))
 
 
-def raster_blocks(cells: DataFrame, grid) -> DataFrame:
-    """(node, block): the square of the raster that each cell lies in."""
-    x, y = F.col("cell") % grid.w, F.floor(F.col("cell") / grid.w)
-    wide = grid.w // BLOCK_CELLS + 1
-    return cells.select(F.col("cell").cast("long").alias("node"), (F.floor(y / BLOCK_CELLS) * wide + F.floor(x / BLOCK_CELLS)).cast("long").alias("block"))
-
-
 def least(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.min("t").alias("t"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -78,17 +79,35 @@ def simplify(frame: DataFrame, tolerance_m: float) -> DataFrame:
 
 
 def stitched(chains: list[list]) -> list[list]:
-    """Joins open chains at equal ends, turning them where needed; takes chains in order, the least one that fits first."""
-    left, out = list(chains), []
-    while left:
-        line = left.pop(0)
-        while line[0] != line[-1]:
-            fits = next(((k, c if c[0] == line[-1] else c[::-1]) for k, c in enumerate(left) if line[-1] in (c[0], c[-1])), None)
-            if fits is None:
-                break
-            left.pop(fits[0])
-            line = line + fits[1][1:]
-        out.append(line)
+    """Joins open chains at equal ends, on both sides and turning them where needed; takes chains in order, of those that fit the least.
+
+    A line runs in the direction of its first chain. Chains are found by an index of their ends, so the
+    work grows with the points.
+    """
+    by_end: dict = {}
+    for k, c in enumerate(chains):
+        for end in {c[0], c[-1]}:
+            by_end.setdefault(end, deque()).append(k)
+    used, out = [False] * len(chains), []
+
+    def take(end) -> list | None:
+        there = by_end.get(end, ())
+        while there:
+            k = there.popleft()
+            if not used[k]:
+                used[k] = True
+                return chains[k]
+        return None
+
+    for k, c in enumerate(chains):
+        if used[k]:
+            continue
+        used[k], line = True, deque(c)
+        while line[0] != line[-1] and (more := take(line[-1])) is not None:
+            line.extend((more if more[0] == line[-1] else more[::-1])[1:])
+        while line[0] != line[-1] and (more := take(line[0])) is not None:
+            line.extendleft((more if more[0] == line[0] else more[::-1])[1:])
+        out.append(list(line))
     return out
 
 
@@ -132,3 +151,32 @@ def towards_sea(ring: Column, sea: tuple[float, float]) -> Column:
     point = lambda lon, lat: F.struct(lon.alias("qlon"), lat.alias("qlat"))
     around = F.array(point(F.element_at(ring, -1)["qlon"], north), point(east, north), point(east, ring[0]["qlat"]))
     return orient(F.concat(ring, around), True)
+
+
+def coasts(chains: DataFrame, sea: tuple[float, float] | None, tolerance_m: float, least_km2: float, least_points: int) -> DataFrame:
+    """(relation_id, part, ring) of coast lines (relation_id, chain_id, ring), which have the sea on their right.
+
+    Closed ones of a least area keep their turn: clockwise is water, the other way an island. Open ones of
+    more than ``least_points`` are closed over the sea's corner (north, east), where there is one; shorter ones are left out.
+    """
+    lines = stitch(chains)
+    whole = lines.where(closed(F.col("ring"))).select("relation_id", "part", F.slice("ring", 1, F.size("ring") - 1).alias("ring")).where(minimum(F.col("ring"), least_km2))
+    found = thinned(whole, tolerance_m).where(F.size("ring") >= 4)
+    if sea is None:
+        return found
+    main = lines.where(~closed(F.col("ring")) & (F.size("ring") > least_points))
+    thin = thinned(main, tolerance_m).select("relation_id", "part", towards_sea(F.col("ring"), sea).alias("ring"))
+    return found.unionByName(thin.where(F.size("ring") >= 4))
+
+
+def segments(lines: DataFrame) -> DataFrame:
+    """(lat_a, lon_a, lat_b, lon_b) in degrees: the sides of open lines (ring)."""
+    pair = F.explode(F.zip_with(F.expr("slice(ring, 1, size(ring) - 1)"), F.expr("slice(ring, 2, size(ring) - 1)"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("s")
+    side = lines.where(F.size("ring") > 1).select(pair)
+    return side.select(*[(F.col(f"s.{end}.q{c}") / 1e5).alias(f"{c}_{end}") for end in "ab" for c in ("lat", "lon")])
+
+
+def points(lines: DataFrame) -> DataFrame:
+    """(ring_id, idx, lat, lon) in degrees of rings (ring_id, ring)."""
+    p = lines.select("ring_id", F.posexplode("ring").alias("idx", "p"))
+    return p.select("ring_id", "idx", (F.col("p.qlat") / 1e5).alias("lat"), (F.col("p.qlon") / 1e5).alias("lon"))

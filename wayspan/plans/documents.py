@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import raster, rings
+from ..operators import raster, rings, tiles
 from ..operators.timetable import Coded, encoded
 from ..sources import streets
 from .catalog import query
 from .feeds import MASKED, day_masks
 from .stages import stage_path
-from .surface import AREA2, BOX, CELLS, FILL, FILL_SIDES, POINTS_TEXT, RING, RINGS, SIDES, as_text, grid_of, ring_points
+from .surface import AREA2, BOX, CELLS, FILL, FILL_SIDES, POINTS_TEXT, RING, RINGS, SEG, SIDES, STRUCK, as_text, grid_of, ring_points
 
 #: Least area of water, tolerances of city and water lines, points of a main coast.
 MIN_KM2, CITY_M, WATER_M, BRIDGE_M, COAST = 0.02, 40.0, 20.0, 8.0, 100
@@ -189,8 +189,75 @@ WATER_SIDES = f"SELECT s.ring_id, CASE WHEN turn THEN nlat ELSE qlat END AS qlat
 def water_mask(fx):
     """Cells of water: the relations' rings of a least area, filled where they wind round a cell."""
     whole = assembled(fx, WATER_M, RING_KM2)
-    point = whole.select("ring_id", F.posexplode("ring").alias("idx", "p")).select("ring_id", "idx", (F.col("p.qlat") / 1e5).alias("lat"), (F.col("p.qlon") / 1e5).alias("lon"))
-    return raster.fill(point, grid_of(fx))
+    grid = grid_of(fx)
+    return tiles.cells(tiles.fill(rings.points(whole), grid), grid)
+
+
+# a coast from north to south, islands off it, lakes and rivers behind it
+COAST_POINTS = "SELECT p_partkey AS i, 5220000 + p_partkey - CAST(floor(c.n / 2) AS BIGINT) AS qlat, 2101800 + (p_partkey * 37) % 50 AS qlon FROM part CROSS JOIN (SELECT count(*) AS n FROM part) c"
+#: The sea's corner, north and east of everything.
+SEA, PIECE = (90.0, 21.1), 40
+CORNERS = "(VALUES (0, 0, 0), (1, 0, 60), (2, 60, 60), (3, 60, 0), (4, 0, 0)) AS k(idx, up, aside)"
+SPOTS = "SELECT s_suppkey AS id, 5220000 + 120 * CAST(floor(s_suppkey / 10) AS BIGINT) AS qlat, 2100000 + 400 * (s_suppkey % 10) AS qlon FROM supplier"
+ISLANDS = f"SELECT id, idx, qlat + up AS qlat, qlon + aside AS qlon FROM ({SPOTS}) s CROSS JOIN {CORNERS} WHERE id % 10 = 6"
+LAKES = f"SELECT id, idx, qlat + up AS qlat, qlon + aside AS qlon FROM ({SPOTS}) s CROSS JOIN {CORNERS} WHERE id % 10 = 2"
+RIVERS = f"SELECT id, idx, qlat + 50 AS qlat, 2100000 + 900 * idx AS qlon FROM ({SPOTS}) s CROSS JOIN (VALUES (0), (1), (2)) AS k(idx) WHERE id % 20 = 0"
+
+
+def coast_ways(fx) -> DataFrame:
+    """(relation_id, chain_id, ring): the coast cut into pieces, the first of which lies in its middle, every third turned round; and its islands."""
+    point = fx.sql(COAST_POINTS, part=fx.part)
+    last = point.agg(F.max("i").alias("last"))
+    piece = point.join(F.broadcast(last)).withColumn("piece", F.explode(F.array_distinct(F.array(F.floor(F.col("i") / PIECE), F.floor((F.col("i") - 1) / PIECE)))))  # one row
+    n = F.floor(F.col("last") / PIECE) + 1
+    piece = piece.where(f"piece >= 0 and not (i = piece * {PIECE} and i = last)").select((n + F.col("piece") - F.floor(n / 2)).alias("k"), n.alias("n"), F.col("i").alias("idx"), "qlon", "qlat")
+    ring = rings.rings(piece.select((F.col("k") % F.col("n")).alias("ring_id"), "idx", "qlon", "qlat"))
+    chain = ring.select(F.lit(0).cast("long").alias("relation_id"), F.col("ring_id").alias("chain_id"), F.when(F.col("ring_id") % 3 == 1, F.reverse("ring")).otherwise(F.col("ring")).alias("ring"))
+    island = rings.rings(fx.sql(ISLANDS, supplier=fx.supplier).withColumnRenamed("id", "ring_id"))
+    return chain.unionByName(island.select((F.col("ring_id") + 1).cast("long").alias("relation_id"), F.lit(0).cast("long").alias("chain_id"), "ring"))
+
+
+@query("SELECT count(*) AS n, min(i) AS first, md5(string_agg(qlon || ',' || qlat, ' ' ORDER BY i)) AS points FROM coast", {"coast": COAST_POINTS})
+def coast_stitch(fx):
+    """Pieces of an open coast joined on both sides of the first one."""
+    line = rings.stitch(coast_ways(fx).where("relation_id = 0")).where(~rings.closed(F.col("ring")))
+    first = fx.sql(COAST_POINTS, part=fx.part).select("i", "qlat", "qlon")
+    named = line.select(F.size("ring").cast("long").alias("n"), F.col("ring")[0]["qlat"].alias("qlat"), F.md5(as_text(F.col("ring"))).alias("points"))
+    return named.join(first, "qlat").select("n", F.col("i").alias("first"), "points")
+
+
+SEA_RING = f"""SELECT 0 AS ring_id, i AS idx, qlat, qlon FROM coast
+  UNION ALL SELECT 0, last + k, CASE k WHEN 3 THEN lat0 ELSE {round(SEA[0] * 1e5)} END, CASE k WHEN 1 THEN lon1 ELSE {round(SEA[1] * 1e5)} END FROM (SELECT max(i) AS last, arg_min(qlat, i) AS lat0, arg_max(qlon, i) AS lon1 FROM coast) CROSS JOIN (VALUES (1), (2), (3)) AS c(k)
+  UNION ALL SELECT 1 + id, CASE WHEN id % 10 = 2 THEN -idx ELSE idx END, qlat, qlon FROM (SELECT * FROM islands UNION ALL SELECT * FROM lakes) WHERE idx < 4"""
+RIVER_LINE = "SELECT qlat / 1e5 AS lat_a, qlon / 1e5 AS lon_a, nlat / 1e5 AS lat_b, nlon / 1e5 AS lon_b, 0 AS bridge FROM (SELECT *, lead(qlat) OVER o AS nlat, lead(qlon) OVER o AS nlon FROM rivers WINDOW o AS (PARTITION BY id ORDER BY idx)) WHERE nlat IS NOT NULL"
+
+
+def water_tiles(fx, grid) -> DataFrame:
+    """Tiles of the sea without its islands, of lakes and of rivers."""
+    sea = rings.coasts(coast_ways(fx), SEA, 0.0, RING_KM2, COAST)
+    lakes = rings.rings(fx.sql(LAKES, supplier=fx.supplier).withColumnRenamed("id", "relation_id").withColumnRenamed("relation_id", "ring_id"))
+    lakes = rings.whole_rings(lakes.select(F.col("ring_id").alias("relation_id"), F.lit(0).alias("chain_id"), "ring"), 0.0, RING_KM2)
+    lakes = lakes.select((F.col("relation_id") + 1).alias("relation_id"), "part", rings.orient(F.col("ring"), True).alias("ring"))
+    whole = sea.unionByName(lakes).select(F.struct("relation_id", "part").alias("ring_id"), "ring")
+    ways = fx.sql(RIVERS, supplier=fx.supplier)
+    # a river of two ways that meet in its middle
+    ways = ways.withColumn("way", F.explode(F.when(F.col("idx") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.floor(F.col("idx") / 2).cast("int")))))
+    way = rings.rings(ways.select(F.struct("id", "way").alias("ring_id"), F.col("idx"), "qlon", "qlat"))
+    rivers = rings.stitch(way.select(F.col("ring_id.id").alias("relation_id"), F.col("ring_id.way").alias("chain_id"), "ring"))
+    return tiles.union(tiles.fill(rings.points(whole), grid), tiles.stroke(rings.segments(rivers), grid, raster.WATER_PX, raster.WATER_M))
+
+
+@query("SELECT cell FROM filled UNION SELECT cell FROM struck", {"box": BOX, "coast": COAST_POINTS, "islands": ISLANDS, "lakes": LAKES, "rivers": RIVERS, "ring": SEA_RING, "sides": SIDES, "cells": CELLS, "fs": FILL_SIDES, "filled": FILL, "line": RIVER_LINE, "seg": SEG, "struck": STRUCK})
+def coast_mask(fx):
+    """Cells of water on a coast: the sea closed over its corner, without islands, with lakes and rivers."""
+    grid = grid_of(fx)
+    return tiles.cells(water_tiles(fx, grid), grid)
+
+
+@query("SELECT count(*) AS cells FROM (SELECT cell FROM filled UNION SELECT cell FROM struck)", {"box": BOX, "coast": COAST_POINTS, "islands": ISLANDS, "lakes": LAKES, "rivers": RIVERS, "ring": SEA_RING, "sides": SIDES, "cells": CELLS, "fs": FILL_SIDES, "filled": FILL, "line": RIVER_LINE, "seg": SEG, "struck": STRUCK})
+def water_cells(fx):
+    """How many of them there are, counted on the tiles."""
+    return tiles.size(water_tiles(fx, grid_of(fx)))
 
 
 # city lists

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import proximity, raster, reach
+from ..operators import proximity, raster, reach, tiles
 from ..operators import search as searches
 from ..operators.raster import Grid
 from ..sources import gtfs, streets
@@ -14,7 +14,7 @@ from ..streaming import delays
 from ..streaming.kept import Kept
 from .catalog import A, ACCESS, ADJ, FOOT, HIST, NEAR_M, PAIRS, PARTS, RND, T0, WALK, adjacency, dist, query, round_sql
 from .stages import stage_path, staged
-from .surface import BOX, CITY, PAINT, FILL, FILL_SIDES, FLOOD_CAP, GROUND, MOVES, RING, SEEDS, SIDES, cell_sql, city_cells, grid_flood, grid_of, land_of, recursive, relax, seeds_of
+from .surface import BOX, CITY, PAINT, FILL, FILL_SIDES, FLOOD_CAP, GROUND, MOVES, RING, SEEDS, SIDES, cell_sql, city_mask, flood_of, grid_flood, grid_of, land_mask, land_of, recursive, relax, seeds_of
 
 REVERSED = "SELECT trip_id, stop_id, count(*) OVER (PARTITION BY trip_id) + 1 - pos AS pos, 172800 - dep_sec AS arr_sec, 172800 - arr_sec AS dep_sec, (flags >> 1) | ((flags & 1) << 1) AS flags FROM fx_ev"
 
@@ -195,10 +195,13 @@ def flooded(fx, grid: Grid) -> DataFrame:
 def area_percents(fx):
     """The city's land cells that the flood reaches within each band (cumulative), of all of its land cells, and in millionths."""
     grid = grid_of(fx)
-    city = land_of(fx, grid).join(city_cells(fx, grid), "cell", "left_semi").join(flooded(fx, grid), "cell", "left")
-    counts = city.agg(F.array(*[F.struct(F.lit(b).alias("band"), F.count_if(F.col("band") <= b).alias("cells"), F.count("*").alias("total")) for b in X.BANDS_MIN]).alias("rows"))
-    row = counts.select(F.explode("rows").alias("r")).where("r.total > 0")
-    return row.select("r.band", "r.cells", "r.total", F.floor(F.lit(1e6) * F.col("r.cells") / F.col("r.total")).alias("ppm"))
+    land = staged(land_mask(fx, grid), "land")
+    city = staged(tiles.common(land, city_mask(fx, grid)), "city")
+    found = tiles.by_band(flood_of(fx, grid, land), grid, FLOOD_CAP, [60 * b for b in X.BANDS_MIN], city)
+    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(b).alias("minutes")) for i, b in enumerate(X.BANDS_MIN)]))
+    row = tiles.size(city).select(F.col("cells").alias("total"), bands.alias("b")).where("total > 0").join(found, F.col("b.i") == F.col("band"), "left")
+    cells = F.coalesce("cells", F.lit(0))
+    return row.select(F.col("b.minutes").alias("band"), cells.alias("cells"), "total", F.floor(F.lit(1e6) * cells / F.col("total")).alias("ppm"))
 
 
 recursive("area_percents", relax("flood", "SELECT cell, sec FROM seeds", "moves", FLOOD_CAP))
@@ -210,11 +213,12 @@ FAR = f"SELECT b.band, sqrt(power(b.cell % gw - o.cell % gw, 2) + power(b.cell /
 def max_band_distance(fx):
     """The farthest cell that the flood reaches within each band (cumulative), from the origin's cell; none where that lies off the grid."""
     grid = grid_of(fx)
-    at = flooded(fx, grid).withColumn("o", grid.cell(F.lit(A[0]), F.lit(A[1]))).where("o is not null")
-    dx, dy = F.col("cell") % grid.w - F.col("o") % grid.w, F.floor(F.col("cell") / grid.w) - F.floor(F.col("o") / grid.w)
-    at = at.withColumn("m", F.sqrt(dx * dx + dy * dy) * grid.res)
-    rows = at.agg(F.array(*[F.struct(F.lit(b).alias("band"), F.max(F.when(F.col("band") <= b, F.col("m"))).alias("m")) for b in X.BANDS_MIN]).alias("rows"))
-    return rows.select(F.explode("rows").alias("r")).where("r.m is not null").select("r.band", F.floor(F.col("r.m") * 1000).alias("reach_mm"))
+    o = fx.spark.range(1).select(grid.cell(F.lit(A[0]), F.lit(A[1])).alias("o")).first().o  # one row
+    if o is None:
+        return fx.spark.createDataFrame([], "band int, reach_mm long")
+    times = flood_of(fx, grid, staged(land_mask(fx, grid), "land"))
+    found = tiles.by_band(times, grid, FLOOD_CAP, [60 * b for b in X.BANDS_MIN], origin=(o % grid.w, o // grid.w))
+    return found.select(F.element_at(F.array(*map(F.lit, X.BANDS_MIN)), F.col("band") + 1).alias("band"), F.floor(F.col("far") * grid.res * 1000).alias("reach_mm"))
 
 
 recursive("max_band_distance", relax("flood", "SELECT cell, sec FROM seeds", "moves", FLOOD_CAP))

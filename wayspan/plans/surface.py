@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import raster, reach, rings
+from ..operators import raster, reach, rings, tiles
 from ..operators.raster import Grid
 from .catalog import A, ACCESS, ADJ, M, WALK, WAVE, ORACLES, adjacency, query, walk_times
 from .stages import staged
@@ -105,7 +105,8 @@ FILL = "SELECT cell FROM cells c JOIN fs s ON (s.ay <= c.y + 0.5) <> (s.by <= c.
 
 @query("SELECT cell FROM filled", {"box": BOX, **RINGS, "cells": CELLS, "fs": FILL_SIDES, "filled": FILL})
 def raster_fill(fx):
-    return raster.fill(ring_points(fx), grid_of(fx))
+    grid = grid_of(fx)
+    return tiles.cells(tiles.fill(ring_points(fx), grid), grid)
 
 
 # a river past every tenth stop, a bridge over it at every thirtieth
@@ -122,16 +123,21 @@ GROUND = {"box": BOX, "cells": CELLS, "line": LINE, "seg": SEG, "struck": STRUCK
 CITY = "SELECT * FROM ring WHERE ring_id % 3 = 0"
 
 
-def city_cells(fx, grid: Grid) -> DataFrame:
-    return raster.fill(ring_points(fx).where("ring_id % 3 = 0"), grid)
+def city_mask(fx, grid: Grid) -> DataFrame:
+    return tiles.fill(ring_points(fx).where("ring_id % 3 = 0"), grid)
 
 
-def land_of(fx, grid: Grid) -> DataFrame:
-    """Cells off the water, and those that a bridge opens again."""
+def land_mask(fx, grid: Grid) -> DataFrame:
+    """Tiles of cells off the water, and of those that a bridge opens again."""
     lines = fx.sql(LINE, fx_stops=fx.fx_stops)
-    water = raster.stroke(lines.where("bridge = 0"), grid, raster.WATER_PX, raster.WATER_M)
-    bridge = raster.stroke(lines.where("bridge = 1"), grid, raster.BRIDGE_PX, raster.BRIDGE_M)
-    return grid.cells(fx.spark).join(water.join(bridge, "cell", "left_anti"), "cell", "left_anti").select("cell")
+    water = tiles.stroke(lines.where("bridge = 0"), grid, raster.WATER_PX, raster.WATER_M)
+    bridge = tiles.stroke(lines.where("bridge = 1"), grid, raster.BRIDGE_PX, raster.BRIDGE_M)
+    return tiles.without(tiles.every(fx.spark, grid), tiles.without(water, bridge))
+
+
+def land_of(fx, grid: Grid) -> DataFrame:
+    """The same as a row a cell."""
+    return tiles.cells(land_mask(fx, grid), grid)
 
 
 @query("SELECT cell FROM land", GROUND)
@@ -166,13 +172,16 @@ def seeds_of(fx, grid: Grid, land: DataFrame) -> DataFrame:
     return raster.on_land(at.select(grid.cell(F.col("lat"), F.col("lon")).alias("node"), F.col("sec").alias("t")), land, grid)
 
 
+def flood_of(fx, grid: Grid, land: DataFrame) -> DataFrame:
+    """Tiles of times over the mask ``land``, from the stops near the origin."""
+    return tiles.flood(seeds_of(fx, grid, tiles.cells(land, grid)), land, grid, FLOOD_CAP)
+
+
 @query("SELECT node AS cell, t AS sec FROM flood", {"access": ACCESS, **GROUND, "moves": MOVES, "seeds": SEEDS})
 def grid_flood(fx):
     """Walking times over land cells, from the stops near the origin."""
     grid = grid_of(fx)
-    land = staged(land_of(fx, grid), "land")
-    moves = staged(raster.moves(land, grid).select("u", "v", "sec"), "moves")
-    return reach.shortest(seeds_of(fx, grid, land), moves, FLOOD_CAP, blocks=reach.raster_blocks(land, grid)).where(F.col("t") <= FLOOD_CAP).select(F.col("node").alias("cell"), F.col("t").alias("sec"))
+    return tiles.timed_cells(flood_of(fx, grid, staged(land_mask(fx, grid), "land")), grid, FLOOD_CAP)
 
 
 recursive("grid_flood", relax("flood", "SELECT cell, sec FROM seeds", "moves", FLOOD_CAP))
