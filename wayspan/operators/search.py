@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..plans.stages import staged
-from .reach import shortest, windowed
+from .reach import reversed_network, shortest, windowed
 
 
 def patterns(ev: DataFrame) -> DataFrame:
@@ -89,6 +89,18 @@ def journeys(ev: DataFrame, access: DataFrame, foot: DataFrame, t0: int, rounds:
     return found.join(last, "target").select("target", (F.col("n") - F.col("back") + 1).alias("leg"), "kind", "from_stop", F.col("stop_id").alias("to_stop"), "trip_id", "dep_sec", F.col("t").alias("arr_sec"))
 
 
+def journeys_to(ev: DataFrame, access: DataFrame, foot: DataFrame, arrive: int, rounds: int) -> DataFrame:
+    """(source, leg, kind, from_stop, to_stop, trip_id, dep_sec, arr_sec): the legs from every stop to the place of ``access`` by ``arrive``, leaving as late as can be.
+
+    The search runs backwards; its legs are turned round, with times and order of the day. The last leg is
+    the walk to the place (``to_stop`` null).
+    """
+    back = journeys(reversed_network(ev), access, foot, X.REVERSE_C - arrive, rounds)
+    n = back.groupBy("target").agg(F.max("leg").alias("n"))
+    turned = lambda c: (F.lit(X.REVERSE_C) - F.col(c)).cast("long")
+    return back.join(n, "target").select(F.col("target").alias("source"), (F.col("n") - F.col("leg") + 1).alias("leg"), "kind", F.col("to_stop").alias("from_stop"), F.col("from_stop").alias("to_stop"), "trip_id", turned("arr_sec").alias("dep_sec"), turned("dep_sec").alias("arr_sec"))
+
+
 #: Legs of a journey without waiting that are followed at most.
 MOST_LEGS = 100
 

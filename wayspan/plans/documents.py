@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import raster, rings, tiles
+from ..operators.numbers import numbered
 from ..operators.timetable import Coded, encoded
 from ..sources import streets
-from .catalog import query
+from .catalog import GRID, query
 from .feeds import MASKED, day_masks
 from .stages import stage_path
 from .surface import AREA2, BOX, CELLS, FILL, FILL_SIDES, POINTS_TEXT, RING, RINGS, SEG, SIDES, STRUCK, as_text, grid_of, ring_points
@@ -73,6 +74,35 @@ def timetable_totals(fx):
     return runs.join(run_days(fx), "trip_id").groupBy("city", "day").agg(F.sum("n").alias("stops"), F.count("*").alias("trips"))
 
 
+#: Runs of the second feed count only if they touch its box.
+FEED_RUNS = f"SELECT o_custkey % 2 AS feed, e.trip_id, bool_or(o_custkey % 2 = 0 OR (s.lat BETWEEN {GRID[0]} AND {GRID[2]} AND s.lon BETWEEN {GRID[1]} AND {GRID[3]})) AS kept FROM fx_ev e JOIN orders ON o_orderkey = e.trip_id JOIN fx_stops s ON s.stop_id = e.stop_id GROUP BY 1, 2"
+
+
+def kept_runs(fx) -> DataFrame:
+    """(feed, trip_id, kept): whether a run touches the box that its feed's configuration names; a feed without one keeps all."""
+    boxes = fx.spark.createDataFrame([(0, None), (1, list(GRID))], "feed int, box array<double>")
+    at = fx.fx_ev.select("trip_id", "stop_id").join(fx.fx_stops.select("stop_id", "lat", "lon"), "stop_id")
+    of = at.join(fx.orders.select(F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % 2).cast("int").alias("feed")), "trip_id").join(boxes, "feed")
+    box = F.col("box")
+    inside = box.isNull() | (F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3]))
+    return of.groupBy("feed", "trip_id").agg(F.bool_or(inside).alias("kept"))
+
+
+@query("SELECT feed, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS dropped FROM runs GROUP BY feed", {"runs": FEED_RUNS})
+def feed_report(fx):
+    """How many runs of each feed its box keeps and drops."""
+    return kept_runs(fx).groupBy("feed").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
+
+
+@query(f"SELECT 'city' || (o_custkey % 2) AS city, d.day, count(DISTINCT (h.route_id, h.stops, h.flagged)) AS patterns, count(DISTINCT (h.route_id, h.stops, h.flagged, h.deltas, h.dwells)) AS profiles, count(*) AS runs FROM shaped h JOIN runs k ON k.trip_id = h.trip_id AND k.kept JOIN orders ON o_orderkey = h.trip_id JOIN mask m ON m.feed = o_custkey % 2 AND m.service_id = concat(o_orderstatus, '-', CAST(o_custkey AS VARCHAR)) JOIN (VALUES ('workday', 1), ('saturday', 2), ('sunday', 4)) AS d(day, bit) ON m.mask & d.bit <> 0 WHERE len(h.stops) >= 2 GROUP BY 1, 2", {**MASKED, "shaped": SHAPED, "runs": FEED_RUNS})
+def build_report(fx):
+    """What a build writes for each city and day: patterns, profiles and runs (of two stops or more, within the feed's box)."""
+    runs = run_days(fx).join(kept_runs(fx).where("kept").select("trip_id"), "trip_id", "left_semi")
+    coded = encoded(fx.fx_ev, runs)
+    named = coded.profiles.where(F.size("deltas") > 0).select("profile", "pattern")
+    return coded.runs.join(named, "profile").groupBy("city", "day").agg(F.countDistinct("pattern").alias("patterns"), F.countDistinct("profile").alias("profiles"), F.count("*").alias("runs"))
+
+
 # documents of a city
 def water_doc(fx, keys: str = "both") -> DataFrame:
     """The projected rings as a water document: every third ring is a line; ``lines`` may be missing."""
@@ -124,6 +154,16 @@ def meta_load(fx):
     return fx.spark.read.schema(streets.META).json(path).select("city", F.explode("dates").alias("day", "date"))
 
 
+@query("SELECT n_nationkey AS city, CASE WHEN n_nationkey % 5 = 2 THEN NULL WHEN n_nationkey % 5 = 3 THEN 0 ELSE 2 * (1 + n_nationkey % 3) END AS points, CASE WHEN n_nationkey % 5 NOT IN (2, 3) THEN 52.0e0 + n_nationkey / 1e2 END AS lat FROM nation")
+def bridges_load(fx):
+    """The bridges of each city's document: null where the document is broken, none where it has no lines."""
+    key = F.col("n_nationkey")
+    line = F.array(F.array((F.lit(5200000) + 1000 * key).cast("long"), F.lit(2100000).cast("long")), F.array((F.lit(5200000) + 1000 * key).cast("long"), F.lit(2100100).cast("long")))
+    text = F.to_json(F.struct(F.array_repeat(line, (key % 3 + 1).cast("int")).alias("lines")))
+    docs = fx.nation.select(key.alias("city"), F.when(key % 5 == 2, F.concat(F.lit("<html>"), text)).when(key % 5 == 3, "{\"lines\": []}").otherwise(text).alias("doc"))
+    return streets.bridge_lines(docs, "doc").select("city", F.size(F.flatten("lines")).alias("n"), F.get(F.flatten("lines"), F.lit(0))["lat"].alias("lat"), F.col("lines").isNull().alias("none")).select("city", F.when(~F.col("none"), F.col("n")).alias("points"), "lat")
+
+
 # elements
 KINDS = "SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN 'motorway' WHEN 1 THEN 'footway' WHEN 2 THEN 'trunk_link' END AS highway, CASE s_suppkey % 4 WHEN 0 THEN 'river' WHEN 1 THEN 'canal' WHEN 2 THEN 'riverbank' END AS waterway, CASE WHEN s_suppkey % 6 = 0 THEN 'node' ELSE 'way' END AS type, s_suppkey % 7 AS points FROM supplier"
 
@@ -266,9 +306,8 @@ NAMED = "SELECT n_nationkey AS city_id, replace(replace(n_name, 'L', 'Ł'), 'A',
 
 @query(f"SELECT city_id, name, row_number() OVER (ORDER BY name COLLATE pl, city_id) AS ord FROM ({NAMED})")
 def city_sort_collated(fx):
-    """Cities in the order of the Polish alphabet (a list of cities: one small window)."""
-    rows = fx.sql(NAMED, nation=fx.nation)
-    return rows.select("city_id", "name", F.row_number().over(W.orderBy(F.collate("name", "pl"), "city_id")).alias("ord"))
+    """Cities in the order of the Polish alphabet."""
+    return numbered(fx.sql(NAMED, nation=fx.nation), [F.collate("name", "pl"), F.col("city_id")], "ord", 1).select("city_id", "name", "ord")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS edges, CAST(sum(len_m) AS BIGINT) AS metres, (SELECT count(*) FROM fx_ev) AS stops, (SELECT count(DISTINCT trip_id) FROM fx_ev) AS trips, (SELECT count(*) FROM open_area) AS rings, (SELECT CAST(sum(m2) AS BIGINT) FROM (SELECT CAST({m2} AS BIGINT) AS m2 FROM open_area)) AS m2 FROM fx_walk_edges".replace("{m2}", M2), OPENED)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import proximity, reach
+from ..operators.numbers import numbered
 from ..operators.timetable import encoded, next_of
 from ..sources import gtfs
 from .catalog import A, CHOSEN, DAYS, GROUPS, HIST, NAMESAKES, ORACLES, P80, RND, WALK, along, chosen_days, dist, histogram, percentile, query, served, usable_dates
@@ -128,9 +129,8 @@ def feed_resolution(fx):
 
 @query("SELECT route_name, route_type, dense_rank() OVER (ORDER BY route_name, route_type) - 1 AS route_idx FROM (SELECT DISTINCT route_name, route_type FROM fx_routes)")
 def route_dictionary(fx):
-    """Route names numbered over all feeds (a dictionary: distinct names only reach the one window)."""
-    names = fx.fx_routes.select("route_name", "route_type").distinct()
-    return names.select("*", (F.dense_rank().over(W.orderBy("route_name", "route_type")) - 1).alias("route_idx"))
+    """Route names numbered over all feeds."""
+    return numbered(fx.fx_routes.select("route_name", "route_type").distinct(), ["route_name", "route_type"], "route_idx")
 
 
 PROFILES = "SELECT trip_id, any_value(route_id) AS route_id, string_agg(CAST(stop_id AS VARCHAR), '-' ORDER BY pos) AS stops, string_agg(CAST(dep_sec - first_dep AS VARCHAR) || '/' || CAST(dep_sec - arr_sec AS VARCHAR), '-' ORDER BY pos) AS profile FROM (SELECT *, first_value(dep_sec) OVER (PARTITION BY trip_id ORDER BY pos) AS first_dep FROM fx_ev) GROUP BY trip_id HAVING count(*) >= 2"
@@ -226,7 +226,7 @@ def earliest_trip(fx):
 def delay_lookup(fx):
     """A workday delay of each departure: its route's and hour's, else a share of ten minutes by vehicle."""
     prof = percentile(histogram(fx.fx_delay_obs))
-    names = prof.select("route_name").distinct().select("route_name", (F.dense_rank().over(W.orderBy("route_name")) - 1).alias("route_id"))
+    names = numbered(prof.select("route_name").distinct(), ["route_name"], "route_id")
     prof = prof.where("day_type = 0").join(names, "route_name").select("route_id", "hour", "p80")
     ev = fx.fx_ev.withColumn("hour", F.floor(F.col("dep_sec") / 3600) % 24)
     rest = X.js_round(F.lit(600) * (X.ride_factor(F.col("route_type")) - 1))

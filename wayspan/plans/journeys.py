@@ -327,13 +327,38 @@ def raptor_cautious(fx):
     return searches.cautious(fx.fx_ev, reach.access(fx.fx_stops, *A, NEAR_M), foot, T0, 2)
 
 
-@query()
+def legs_sql(rounds: int, t0: int, ev: str) -> dict[str, str]:
+    """Named queries of labels with their parents by round, the best of them, and the legs (`legs`: target, back, ...) by recursion."""
+    cap, fields = t0 + X.HORIZON_S, "t, round, kind, from_stop, trip_id, dep_sec, from_round, from_kind"
+    row = "{" + ", ".join(f"'{c}': {c}" for c in fields.split(", ")) + "}"
+    out = {"access": ACCESS, "pairs": PAIRS, "foot": FOOT, "l0": f"SELECT stop_id, {t0} + sec AS t, 0 AS round, 'access' AS kind, CAST(NULL AS BIGINT) AS from_stop, CAST(NULL AS BIGINT) AS trip_id, CAST({t0} AS BIGINT) AS dep_sec, -1 AS from_round, '' AS from_kind FROM access WHERE m <= {NEAR_M}", "best0": "SELECT * FROM l0"}
+    for k in range(1, rounds + 1):
+        b = f"best{k - 1}"
+        out[f"on{k}"] = f"SELECT e.trip_id, min({{'pos': e.pos, 'dep': e.dep_sec, 'stop': e.stop_id, 'kind': b.kind}}) AS o FROM {ev} e JOIN {b} b ON b.stop_id = e.stop_id WHERE b.round = {k - 1} AND e.flags & 1 = 0 AND e.dep_sec >= b.t + {0 if k == 1 else 60} AND e.dep_sec <= {cap} GROUP BY e.trip_id"
+        out[f"ride{k}"] = f"SELECT r.stop_id, r.o.t AS t, {k} AS round, 'ride' AS kind, r.o.o.stop AS from_stop, r.o.trip AS trip_id, r.o.o.dep AS dep_sec, {k - 1} AS from_round, r.o.o.kind AS from_kind FROM (SELECT e.stop_id, min({{'t': e.arr_sec, 'trip': e.trip_id, 'o': c.o}}) AS o FROM {ev} e JOIN on{k} c ON c.trip_id = e.trip_id WHERE e.pos > c.o.pos AND e.flags & 2 = 0 AND e.arr_sec <= {cap} GROUP BY e.stop_id) r LEFT JOIN {b} b ON b.stop_id = r.stop_id WHERE b.t IS NULL OR r.o.t < b.t"
+        out[f"walk{k}"] = f"SELECT stop_id, o.t AS t, {k} AS round, 'walk' AS kind, o.u AS from_stop, CAST(NULL AS BIGINT) AS trip_id, o.dep AS dep_sec, {k} AS from_round, 'ride' AS from_kind FROM (SELECT f.v AS stop_id, min({{'t': r.t + f.sec, 'u': f.u, 'dep': r.t}}) AS o FROM ride{k} r JOIN foot f ON f.u = r.stop_id WHERE r.t + f.sec <= {cap} GROUP BY f.v)"
+        out[f"best{k}"] = f"SELECT stop_id, o.* FROM (SELECT stop_id, arg_min({row}, (t, round, kind)) AS o FROM (SELECT * FROM {b} UNION ALL SELECT * FROM ride{k} UNION ALL SELECT * FROM walk{k}) GROUP BY stop_id)"
+    every = " UNION ALL ".join(["SELECT * FROM l0", *(f"SELECT * FROM {kind}{k}" for k in range(1, rounds + 1) for kind in ("ride", "walk"))])
+    out["labels"] = every
+    # a recursive query names its own columns: the first part's
+    out["legs"] = f"SELECT stop_id AS target, 0 AS back, stop_id, {fields} FROM best{rounds} UNION ALL SELECT l.target, l.back + 1, p.stop_id, {', '.join(f'p.{c}' for c in fields.split(', '))} FROM legs l JOIN labels p ON p.stop_id = l.from_stop AND p.round = l.from_round AND p.kind = l.from_kind WHERE l.from_round >= 0"
+    return out
+
+
+@query("SELECT target, max(back) OVER (PARTITION BY target) - back + 1 AS leg, kind, from_stop, stop_id AS to_stop, trip_id, dep_sec, t AS arr_sec FROM legs", legs_sql(2, T0, "fx_ev"))
 def journey_legs(fx):
     """The legs of the earliest journey to every stop within two rounds."""
     foot = proximity.both_ways(proximity.transfer_pairs(fx.fx_stops))
     return searches.journeys(fx.fx_ev, reach.access(fx.fx_stops, *A, NEAR_M), foot, T0, 2)
 
 
+@query(f"SELECT target AS source, back + 1 AS leg, kind, stop_id AS from_stop, from_stop AS to_stop, trip_id, {X.REVERSE_C} - t AS dep_sec, {X.REVERSE_C} - dep_sec AS arr_sec FROM legs", {"rev": REVERSED, **legs_sql(2, X.REVERSE_C - 43200, "rev")})
+def journey_legs_to(fx):
+    """The legs of the latest journey from every stop that is at the place by noon, within two rounds."""
+    foot = proximity.both_ways(proximity.transfer_pairs(fx.fx_stops))
+    return searches.journeys_to(fx.fx_ev, reach.access(fx.fx_stops, *A, NEAR_M), foot, 43200, 2)
+
+
 @query()
 def general_legs(fx):
     """The legs of the shortest journey without waiting to every stop; neighbouring rides of one route, and walks, are one leg."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import proximity, reach
 from ..operators import search as searches
-from .catalog import A, B, NAMESAKES, PAIRS, RND, STEPS, WALK, query, ride_edges, round_sql
+from .catalog import A, ACCESS_B, B, NAMESAKES, PAIRS, RND, STEPS, WALK, query, ride_edges, round_sql, tagged
 from .feeds import GROUP_PAIRS, NOWALK, SAME_GROUP, with_groups
 from .journeys import faster
 from .options import City, ReachQuery, parsed, written
@@ -46,8 +46,13 @@ def reachable(net: Network, q: ReachQuery, delays: DataFrame | None = None, hori
 
     ``pass`` is 1 where the run of the day before (searched in the first hours of a day) is
     faster. ``delays`` (route_id, hour, delay_sec) count in cautious searches from a point only.
-    Without access or vehicles nothing is reached but by the walk alone.
+    Without access or vehicles nothing is reached but by the walk alone. A comparison gives each
+    place that both points reach, with the time of the slower one (and of equals the first one's pass).
     """
+    if q.compare:
+        one, two = (reachable(net, replace(q, compare=False, point=at), delays, horizon_rounds) for at in (q.point, q.point2))
+        both = one.join(two.toDF("stop_id", "sec2", "pass2"), "stop_id")
+        return both.select("stop_id", F.greatest("sec", "sec2").alias("sec"), F.when(F.col("sec2") > F.col("sec"), F.col("pass2")).otherwise(F.col("pass")).alias("pass"))
     ev = net.ev if q.route_types is None else net.ev.where(F.col("route_type").isin(*q.route_types))
     access, foot = net.access(q), net.foot(q.walk)
     if q.mode == "general":
@@ -108,6 +113,13 @@ def reach_driver_to(fx):
     return reachable(network(fx), asked("?dir=to&t=12:30&veh=bus,tram")).select("stop_id", "sec")
 
 
+@query("SELECT stop_id, greatest(a.t, b.t) - 36000 AS sec FROM b5 a JOIN o_b5 b USING (stop_id)", {"access_b": ACCESS_B, **driver_sql(36000, "fx_ev"), **tagged(driver_sql(36000, "fx_ev"), "o_", {"access": "access_b"})})
+def reach_driver_compare(fx):
+    """Two points compared as a page's address asks for it: the slower one's time to every stop that both reach."""
+    q = asked(f"t=10:00&cmp=1&p={A[0]},{A[1]}&p2={B[0]},{B[1]}")
+    return reachable(network(fx), q).select("stop_id", "sec")
+
+
 COMPLEX = f"SELECT u, v, greatest({RND.format('m / ' + WALK)}, 60) AS sec FROM (SELECT a AS u, b AS v, m FROM near UNION ALL SELECT b, a, m FROM near) e JOIN fx_stops x ON x.stop_id = u JOIN fx_stops y ON y.stop_id = v WHERE m <= 150 AND x.stop_name <> y.stop_name"
 GROUP_FOOT = "SELECT u, v, min(sec) AS sec FROM (SELECT u, v, sec FROM same_group UNION ALL SELECT u, v, sec FROM complex) GROUP BY u, v"
 

@@ -62,3 +62,10 @@ def lines_of(doc: DataFrame, key: str) -> DataFrame:
 #: Schemas of the documents of a city.
 WATER = "polys array<array<array<bigint>>>, lines array<array<array<bigint>>>"
 META = "city string, feedEndDate string, dates map<string,string>, sources array<string>"
+
+
+def bridge_lines(docs: DataFrame, column: str) -> DataFrame:
+    """The documents with ``lines``, their bridges as arrays of points in degrees; null where a document is missing, broken or has none such key."""
+    lines = F.from_json(column, "lines array<array<array<bigint>>>")["lines"]
+    point = lambda p: F.struct((F.get(p, F.lit(0)) / 1e5).alias("lat"), (F.get(p, F.lit(1)) / 1e5).alias("lon"))
+    return docs.select(*[c for c in docs.columns if c != column], F.transform(lines, lambda line: F.transform(line, point)).alias("lines"))
