@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -34,10 +34,7 @@ def cautious(ev: DataFrame, access: DataFrame, foot: DataFrame, t0: int, rounds:
         ride = named.join(board, "trip_id").where("pos > on_pos")
         held = F.min_by(F.struct("stop_id", "route_id", "route_type", "flags", "arr_sec", "on_dep"), F.struct("dep_sec", "on_pos", "trip_id"))
         ride = ride.groupBy("pattern", "pos").agg(held.alias("h")).select("h.*").where(F.col("flags").bitwiseAND(2) == 0)
-        late = X.js_round((F.col("arr_sec") - F.col("on_dep")) * (X.ride_factor(F.col("route_type")).cast("double") - F.lit(1.0)))
-        if delay is not None:
-            ride = ride.withColumn("hour", F.floor(F.col("on_dep") / 3600) % 24).join(delay, ["route_id", "hour"], "left")
-            late = F.coalesce(F.col("delay_sec").cast("long"), late)
+        ride, late = late_of(ride, F.col("on_dep"), delay)
         ride = ride.select("stop_id", (F.col("arr_sec") + late).cast("long").alias("a")).where(F.col("a") <= cap).groupBy("stop_id").agg(F.min("a").alias("a"))
         ride = ride.join(best.select("stop_id", "t"), "stop_id", "left").where("t is null or a < t").select("stop_id", F.col("a").alias("t"))
         walk = ride.join(foot, ride["stop_id"] == foot["u"]).select(F.col("v").alias("stop_id"), (F.col("t") + F.col("sec")).alias("t")).where(F.col("t") <= cap)
@@ -47,25 +44,43 @@ def cautious(ev: DataFrame, access: DataFrame, foot: DataFrame, t0: int, rounds:
     return best.select("stop_id", F.col("t").alias("arr_sec"))
 
 
-def journeys(ev: DataFrame, access: DataFrame, foot: DataFrame, t0: int, rounds: int) -> DataFrame:
+def late_of(rows: DataFrame, on_dep: Column, delay: DataFrame | None) -> tuple[DataFrame, Column]:
+    """Rows (route_id, route_type, arr_sec, ...) and by how much they come late: the known delay of their route and hour, else a share of the time on board by vehicle."""
+    late = X.js_round((F.col("arr_sec") - on_dep) * (X.ride_factor(F.col("route_type")).cast("double") - F.lit(1.0)))
+    if delay is None:
+        return rows, late
+    rows = rows.withColumn("hour", F.floor(on_dep / 3600) % 24).join(delay, ["route_id", "hour"], "left")
+    return rows, F.coalesce(F.col("delay_sec").cast("long"), late)
+
+
+def journeys(ev: DataFrame, access: DataFrame, foot: DataFrame, t0: int, rounds: int, safe: bool = False, delay: DataFrame | None = None) -> DataFrame:
     """(target, leg, kind, from_stop, to_stop, trip_id, dep_sec, arr_sec): the legs to every stop reached.
 
     Labels carry their round and parent, so that a journey never mixes rounds. The first leg
     is the walk from the origin (``from_stop`` null). Legs are followed back by joins, at
-    most two a round.
+    most two a round. With ``safe`` they are those of the cautious search: a ride's ``arr_sec`` has its delay.
     """
     cap = t0 + X.HORIZON_S
-    ev = windowed(ev, t0, cap, "journeys")
+    wait = X.CAUTIOUS_TRANSFER_S if safe else X.MIN_TRANSFER_S
+    if safe:
+        ev = staged(ev.join(patterns(ev), "trip_id").withColumn("pattern", F.sha2(F.to_json("pattern"), 256)), "patterns")
+        foot = foot.withColumn("sec", F.greatest("sec", F.lit(wait)).cast("long"))
+    else:
+        ev = windowed(ev, t0, cap, "journeys")
     none, long = F.lit(None).cast("long"), lambda c: c.cast("long")
     first = access.select("stop_id", long(F.lit(t0) + F.col("sec")).alias("t"), F.lit(0).alias("round"), F.lit("access").alias("kind"), none.alias("from_stop"), none.alias("trip_id"), long(F.lit(t0)).alias("dep_sec"), F.lit(-1).alias("from_round"), F.lit("").alias("from_kind"))
     best = labels = staged(first, "journeys")
     cols = first.columns
     for k in range(1, rounds + 1):
         front = best.where(F.col("round") == k - 1).select("stop_id", "t", "kind")
-        board = ev.join(front, "stop_id").where((F.col("flags").bitwiseAND(1) == 0) & (F.col("dep_sec") >= F.col("t") + (0 if k == 1 else X.MIN_TRANSFER_S)) & (F.col("dep_sec") <= cap))
+        board = ev.join(front, "stop_id").where((F.col("flags").bitwiseAND(1) == 0) & (F.col("dep_sec") >= F.col("t") + (0 if k == 1 else wait)) & (F.col("dep_sec") <= cap))
         board = board.groupBy("trip_id").agg(F.min(F.struct("pos", "dep_sec", "stop_id", "kind")).alias("on"))
-        ride = ev.join(board, "trip_id").where((F.col("pos") > F.col("on.pos")) & (F.col("flags").bitwiseAND(2) == 0) & (F.col("arr_sec") <= cap))
-        ride = ride.groupBy("stop_id").agg(F.min(F.struct(long(F.col("arr_sec")).alias("t"), "trip_id", "on")).alias("o"))
+        ride, late = ev.join(board, "trip_id").where(F.col("pos") > F.col("on.pos")), F.lit(0)
+        if safe:  # of a pattern only the run that is held comes through
+            held = F.min_by(F.struct("stop_id", "route_id", "route_type", "flags", "arr_sec", "trip_id", "on"), F.struct("dep_sec", "on.pos", "trip_id"))
+            ride, late = late_of(ride.groupBy("pattern", "pos").agg(held.alias("h")).select("h.*"), F.col("on.dep_sec"), delay)
+        ride = ride.select("stop_id", "flags", long(F.col("arr_sec") + late).alias("t"), "trip_id", "on").where((F.col("flags").bitwiseAND(2) == 0) & (F.col("t") <= cap))
+        ride = ride.groupBy("stop_id").agg(F.min(F.struct("t", "trip_id", "on")).alias("o"))
         ride = ride.join(best.select("stop_id", F.col("t").alias("had")), "stop_id", "left").where("had is null or o.t < had")
         ride = staged(ride.select("stop_id", "o.t", F.lit(k).alias("round"), F.lit("ride").alias("kind"), long(F.col("o.on.stop_id")).alias("from_stop"), long(F.col("o.trip_id")).alias("trip_id"), long(F.col("o.on.dep_sec")).alias("dep_sec"), F.lit(k - 1).alias("from_round"), F.col("o.on.kind").alias("from_kind")), "rides")
         walk = ride.select(F.col("stop_id").alias("u"), F.col("t").alias("dep_sec")).join(foot, "u").withColumn("t", F.col("dep_sec") + F.col("sec")).where(F.col("t") <= cap)

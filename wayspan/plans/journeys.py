@@ -12,7 +12,7 @@ from ..operators.raster import Grid
 from ..sources import gtfs, streets
 from ..streaming import delays
 from ..streaming.kept import Kept
-from .catalog import A, ACCESS, ADJ, FOOT, HIST, NEAR_M, PAIRS, PARTS, RND, T0, WALK, adjacency, dist, query, round_sql
+from .catalog import A, ACCESS, ADJ, FOOT, GENERAL, HIST, NEAR_M, ORACLES, PAIRS, PARTS, RND, STEPS, T0, WALK, adjacency, dist, query, round_sql
 from .stages import stage_path, staged
 from .surface import BOX, CITY, PAINT, FILL, FILL_SIDES, FLOOD_CAP, GROUND, MOVES, RING, SEEDS, SIDES, cell_sql, city_mask, flood_of, grid_flood, grid_of, land_mask, land_of, recursive, relax, seeds_of
 
@@ -327,16 +327,23 @@ def raptor_cautious(fx):
     return searches.cautious(fx.fx_ev, reach.access(fx.fx_stops, *A, NEAR_M), foot, T0, 2)
 
 
-def legs_sql(rounds: int, t0: int, ev: str) -> dict[str, str]:
+FACTOR = "CASE WHEN route_type IN (3, 11) THEN 1.15e0 WHEN route_type = 0 THEN 1.05e0 WHEN route_type = 2 THEN 1.02e0 ELSE 1.1e0 END"
+
+
+def legs_sql(rounds: int, t0: int, ev: str, safe: bool = False) -> dict[str, str]:
     """Named queries of labels with their parents by round, the best of them, and the legs (`legs`: target, back, ...) by recursion."""
+    wait, foot = (240, "greatest(f.sec, 240)") if safe else (60, "f.sec")
     cap, fields = t0 + X.HORIZON_S, "t, round, kind, from_stop, trip_id, dep_sec, from_round, from_kind"
     row = "{" + ", ".join(f"'{c}': {c}" for c in fields.split(", ")) + "}"
-    out = {"access": ACCESS, "pairs": PAIRS, "foot": FOOT, "l0": f"SELECT stop_id, {t0} + sec AS t, 0 AS round, 'access' AS kind, CAST(NULL AS BIGINT) AS from_stop, CAST(NULL AS BIGINT) AS trip_id, CAST({t0} AS BIGINT) AS dep_sec, -1 AS from_round, '' AS from_kind FROM access WHERE m <= {NEAR_M}", "best0": "SELECT * FROM l0"}
+    out = {"access": ACCESS, "pairs": PAIRS, "foot": FOOT, **({"named": CAREFUL_PAT} if safe else {}), "l0": f"SELECT stop_id, {t0} + sec AS t, 0 AS round, 'access' AS kind, CAST(NULL AS BIGINT) AS from_stop, CAST(NULL AS BIGINT) AS trip_id, CAST({t0} AS BIGINT) AS dep_sec, -1 AS from_round, '' AS from_kind FROM access WHERE m <= {NEAR_M}", "best0": "SELECT * FROM l0"}
     for k in range(1, rounds + 1):
         b = f"best{k - 1}"
-        out[f"on{k}"] = f"SELECT e.trip_id, min({{'pos': e.pos, 'dep': e.dep_sec, 'stop': e.stop_id, 'kind': b.kind}}) AS o FROM {ev} e JOIN {b} b ON b.stop_id = e.stop_id WHERE b.round = {k - 1} AND e.flags & 1 = 0 AND e.dep_sec >= b.t + {0 if k == 1 else 60} AND e.dep_sec <= {cap} GROUP BY e.trip_id"
-        out[f"ride{k}"] = f"SELECT r.stop_id, r.o.t AS t, {k} AS round, 'ride' AS kind, r.o.o.stop AS from_stop, r.o.trip AS trip_id, r.o.o.dep AS dep_sec, {k - 1} AS from_round, r.o.o.kind AS from_kind FROM (SELECT e.stop_id, min({{'t': e.arr_sec, 'trip': e.trip_id, 'o': c.o}}) AS o FROM {ev} e JOIN on{k} c ON c.trip_id = e.trip_id WHERE e.pos > c.o.pos AND e.flags & 2 = 0 AND e.arr_sec <= {cap} GROUP BY e.stop_id) r LEFT JOIN {b} b ON b.stop_id = r.stop_id WHERE b.t IS NULL OR r.o.t < b.t"
-        out[f"walk{k}"] = f"SELECT stop_id, o.t AS t, {k} AS round, 'walk' AS kind, o.u AS from_stop, CAST(NULL AS BIGINT) AS trip_id, o.dep AS dep_sec, {k} AS from_round, 'ride' AS from_kind FROM (SELECT f.v AS stop_id, min({{'t': r.t + f.sec, 'u': f.u, 'dep': r.t}}) AS o FROM ride{k} r JOIN foot f ON f.u = r.stop_id WHERE r.t + f.sec <= {cap} GROUP BY f.v)"
+        out[f"on{k}"] = f"SELECT e.trip_id, min({{'pos': e.pos, 'dep': e.dep_sec, 'stop': e.stop_id, 'kind': b.kind}}) AS o FROM {ev} e JOIN {b} b ON b.stop_id = e.stop_id WHERE b.round = {k - 1} AND e.flags & 1 = 0 AND e.dep_sec >= b.t + {0 if k == 1 else wait} AND e.dep_sec <= {cap} GROUP BY e.trip_id"
+        held = f"QUALIFY row_number() OVER (PARTITION BY e.pattern, e.pos ORDER BY e.dep_sec, c.o.pos, e.trip_id) = 1" if safe else ""
+        late = f"CAST(floor((arr_sec - o.dep) * ({FACTOR} - 1.0e0) + 0.5) AS BIGINT)" if safe else "0"
+        out[f"by{k}"] = f"SELECT stop_id, arr_sec + {late} AS t, trip_id, o FROM (SELECT e.stop_id, {'e.route_type,' if safe else ''} e.flags, e.arr_sec, e.trip_id, c.o FROM {ev} e JOIN on{k} c ON c.trip_id = e.trip_id WHERE e.pos > c.o.pos {held}) WHERE flags & 2 = 0"
+        out[f"ride{k}"] = f"SELECT r.stop_id, r.o.t AS t, {k} AS round, 'ride' AS kind, r.o.o.stop AS from_stop, r.o.trip AS trip_id, r.o.o.dep AS dep_sec, {k - 1} AS from_round, r.o.o.kind AS from_kind FROM (SELECT stop_id, min({{'t': t, 'trip': trip_id, 'o': o}}) AS o FROM by{k} WHERE t <= {cap} GROUP BY stop_id) r LEFT JOIN {b} b ON b.stop_id = r.stop_id WHERE b.t IS NULL OR r.o.t < b.t"
+        out[f"walk{k}"] = f"SELECT stop_id, o.t AS t, {k} AS round, 'walk' AS kind, o.u AS from_stop, CAST(NULL AS BIGINT) AS trip_id, o.dep AS dep_sec, {k} AS from_round, 'ride' AS from_kind FROM (SELECT f.v AS stop_id, min({{'t': r.t + {foot}, 'u': f.u, 'dep': r.t}}) AS o FROM ride{k} r JOIN foot f ON f.u = r.stop_id WHERE r.t + {foot} <= {cap} GROUP BY f.v)"
         out[f"best{k}"] = f"SELECT stop_id, o.* FROM (SELECT stop_id, arg_min({row}, (t, round, kind)) AS o FROM (SELECT * FROM {b} UNION ALL SELECT * FROM ride{k} UNION ALL SELECT * FROM walk{k}) GROUP BY stop_id)"
     every = " UNION ALL ".join(["SELECT * FROM l0", *(f"SELECT * FROM {kind}{k}" for k in range(1, rounds + 1) for kind in ("ride", "walk"))])
     out["labels"] = every
@@ -352,6 +359,13 @@ def journey_legs(fx):
     return searches.journeys(fx.fx_ev, reach.access(fx.fx_stops, *A, NEAR_M), foot, T0, 2)
 
 
+@query("SELECT target, max(back) OVER (PARTITION BY target) - back + 1 AS leg, kind, from_stop, stop_id AS to_stop, trip_id, dep_sec, t AS arr_sec FROM legs", legs_sql(2, T0, "named", safe=True))
+def journey_legs_safe(fx):
+    """The legs of the cautious journey to every stop within two rounds, with the delays that it allows for."""
+    foot = proximity.both_ways(proximity.transfer_pairs(fx.fx_stops))
+    return searches.journeys(fx.fx_ev, reach.access(fx.fx_stops, *A, NEAR_M), foot, T0, 2, safe=True)
+
+
 @query(f"SELECT target AS source, back + 1 AS leg, kind, stop_id AS from_stop, from_stop AS to_stop, trip_id, {X.REVERSE_C} - t AS dep_sec, {X.REVERSE_C} - dep_sec AS arr_sec FROM legs", {"rev": REVERSED, **legs_sql(2, X.REVERSE_C - 43200, "rev")})
 def journey_legs_to(fx):
     """The legs of the latest journey from every stop that is at the place by noon, within two rounds."""
@@ -359,7 +373,18 @@ def journey_legs_to(fx):
     return searches.journeys_to(fx.fx_ev, reach.access(fx.fx_stops, *A, NEAR_M), foot, 43200, 2)
 
 
-@query()
+GENERAL_EDGES = "SELECT u, v, e.sec AS sec, e.kind AS kind, e.route_id AS route_id FROM (SELECT u, v, min({'sec': sec, 'kind': kind, 'route_id': route_id}) AS e FROM (SELECT stop_id AS u, next_stop AS v, CAST(greatest(ride, 0) AS BIGINT) AS sec, 'ride' AS kind, CAST(route_id AS BIGINT) AS route_id FROM steps WHERE ride IS NOT NULL UNION ALL SELECT u, v, sec, 'walk', NULL FROM foot) GROUP BY u, v)"
+GENERAL_LEGS = {
+    "steps": STEPS, "access": f"SELECT stop_id, sec FROM ({ACCESS}) WHERE m <= {NEAR_M}", "pairs": PAIRS, "foot": FOOT, "edges": GENERAL_EDGES,
+    "parents": f"SELECT e.v AS node, min({{'kind': e.kind, 'u': e.u, 'route_id': e.route_id, 'sec': e.sec}}) AS p FROM edges e JOIN reach a ON a.node = e.u JOIN reach b ON b.node = e.v WHERE a.t <= {X.HORIZON_S} AND a.t + e.sec = b.t AND (e.sec > 0 OR e.u < e.v) GROUP BY e.v",
+    "step": "SELECT t.node, s.sec IS NOT DISTINCT FROM t.t AS own, CASE WHEN own THEN 'access' ELSE p.p.kind END AS kind, CASE WHEN NOT own THEN p.p.u END AS from_stop, CASE WHEN NOT own THEN p.p.route_id END AS route_id, CASE WHEN own THEN t.t ELSE p.p.sec END AS sec FROM reach t LEFT JOIN access s ON s.stop_id = t.node LEFT JOIN parents p ON p.node = t.node WHERE own OR p.p IS NOT NULL",
+    "path": f"SELECT node AS target, 0 AS back, node, kind, from_stop, route_id, sec FROM step UNION ALL SELECT h.target, h.back + 1, s.node, s.kind, s.from_stop, s.route_id, s.sec FROM path h JOIN step s ON s.node = h.from_stop WHERE h.back < {searches.MOST_LEGS - 1}",
+    "turns": "SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER o OR route_id IS DISTINCT FROM lag(route_id) OVER o THEN 1 ELSE 0 END AS new FROM path WHERE target IN (SELECT target FROM path WHERE kind = 'access') WINDOW o AS (PARTITION BY target ORDER BY back DESC)",
+    "numbered": "SELECT *, CAST(sum(new) OVER (PARTITION BY target ORDER BY back DESC) AS INTEGER) AS leg FROM turns",
+}
+
+
+@query("SELECT target, leg, any_value(kind) AS kind, CAST(arg_max(from_stop, back) AS BIGINT) AS from_stop, arg_min(node, back) AS to_stop, any_value(route_id) AS route_id, CAST(sum(sec) AS BIGINT) AS sec FROM numbered GROUP BY target, leg", GENERAL_LEGS)
 def general_legs(fx):
     """The legs of the shortest journey without waiting to every stop; neighbouring rides of one route, and walks, are one leg."""
     foot = proximity.both_ways(proximity.transfer_pairs(fx.fx_stops))
@@ -367,6 +392,9 @@ def general_legs(fx):
     return searches.general_journeys(fx.fx_ev, seeds, foot)
 
 
+ORACLES["general_legs"] = ORACLES["general_legs"].replace("parents AS (", f"{GENERAL}, parents AS (", 1)
+
+
 HALF = "SELECT u, v, u || '-' || v AS e, 0 AS d, len_m FROM fx_walk_edges UNION ALL SELECT v, u, u || '-' || v, 1, len_m FROM fx_walk_edges"
 CHAIN = """chain(start, e0, d0, node, e, d, len_m) AS (SELECT h.u, h.e, h.d, h.v, h.e, h.d, h.len_m FROM half h WHERE h.u NOT IN (SELECT u FROM two)
   UNION ALL SELECT c.start, c.e0, c.d0, h.v, h.e, h.d, c.len_m + h.len_m FROM chain c JOIN half h ON h.u = c.node AND h.e <> c.e WHERE c.node IN (SELECT u FROM two))"""

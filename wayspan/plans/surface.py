@@ -83,7 +83,18 @@ def ring_orient(fx):
     return rings.rings(ring_points(fx)).select("ring_id", as_text(rings.orient(F.col("ring"), True)).alias("points"))
 
 
-@query()
+THIN = {
+    **RINGS,
+    "spot": f"SELECT ring_id, idx, m, qlon * scale AS x, qlat * {M} / 1e5 AS y FROM (SELECT *, {M} / 1e5 * cos(radians(lat0 / 1e5)) AS scale FROM sides)",
+    "stretch": """SELECT ring_id, 0 AS i, CAST(max(idx) AS INTEGER) AS j FROM spot GROUP BY ring_id HAVING count(*) >= 8
+  UNION ALL SELECT ring_id, unnest([i, w]), unnest([w, j]) FROM (SELECT ring_id, i, j, arg_min(idx, (-gap, idx)) AS w, max(gap) AS far FROM (
+    SELECT s.*, p.idx, sqrt(power(px - f * dx, 2) + power(py - f * dy, 2)) AS gap FROM stretch s JOIN spot a ON a.ring_id = s.ring_id AND a.idx = s.i JOIN spot b ON b.ring_id = s.ring_id AND b.idx = s.j
+      JOIN spot p ON p.ring_id = s.ring_id AND p.idx > s.i AND p.idx < s.j, LATERAL (SELECT b.x - a.x AS dx, b.y - a.y AS dy, p.x - a.x AS px, p.y - a.y AS py),
+      LATERAL (SELECT CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0.0e0, least(1.0e0, (px * dx + py * dy) / (dx * dx + dy * dy))) ELSE 0 END AS f)) GROUP BY ring_id, i, j) WHERE far > 15""",
+}
+
+
+@query(f"SELECT ring_id, {POINTS_TEXT.format('idx')} AS points FROM sides s WHERE m < 8 OR EXISTS (SELECT 1 FROM stretch t WHERE t.ring_id = s.ring_id AND s.idx IN (t.i, t.j)) GROUP BY ring_id", THIN)
 def ring_simplify(fx):
     """Rings within 15 m; those of fewer than eight points stay as they are."""
     return rings.simplify(rings.rings(ring_points(fx)), 15.0).select("ring_id", as_text(F.col("ring")).alias("points"))
