@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from wayspan.llm.simhash import codewords, fingerprint, near_duplicates, near_pairs
+from wayspan.llm.simhash import codewords, fingerprint, linked, near_duplicates, near_pairs, stars
 
 
 def brute_fingerprint(text):
@@ -89,3 +89,25 @@ def test_odd_rows(odd, none):
     assert by[2, "0" * 16] == by[3, "0" * 16] == by[4, "0" * 16] == by[None, "0" * 16] == 2
     assert {r.component_id for r in got if r.doc_id == 1} == {1}
     assert near_duplicates(none).count() == 0
+
+
+def test_a_template_of_very_many_variants_is_linear(spark):
+    """20,000 variants of one fingerprint, any two of which may link: pairs written grow with the variants; chains of single steps stay whole."""
+    rng = random.Random(9)
+    base, far = rng.getrandbits(64), rng.getrandbits(64)
+    variants = {base}
+    while len(variants) < 20_000:
+        g = base
+        for b in rng.sample(range(64), rng.randint(1, 3)):
+            g ^= 1 << b
+        variants.add(g)
+    chain = [far]
+    for b in rng.sample(range(64), 30):
+        chain.append(chain[-1] ^ (1 << b))
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    frame = spark.createDataFrame([(signed(f),) for f in [*variants, *chain, rng.getrandbits(64)]], "fp long")
+    assert stars(frame).count() <= 150 * len(variants)
+    roots = {}
+    for r in linked(frame).collect():
+        roots.setdefault(r.root, set()).add(r.node)
+    assert roots == {min(map(signed, x)): set(map(signed, x)) for x in (variants, chain)}

@@ -102,9 +102,11 @@ def codewords(words: np.ndarray) -> np.ndarray:
 
 
 def _keys(side: str):
+    """(key, side, root) of fingerprints (fp, root)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False)
+            fps, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "root"))
             parts = [(fps.view(np.uint64) >> np.uint64(SEGMENT * i) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64) for i in range(4)]
             near = [codewords(p) for p in parts]
             for table, (equal, a, b) in enumerate((e, *pair) for e in range(4) for pair in combinations([i for i in range(4) if i != e], 2)):
@@ -112,21 +114,49 @@ def _keys(side: str):
                 key = (one << 12 | many) if side == "left" else (many << 12 | one)
                 row, at = np.nonzero(many >= 0)
                 whole = table << 40 | parts[equal][row] << 24 | key[row, at]
-                yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(fps[row])], names=["key", side])
+                yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(fps[row]), pa.array(root[row])], names=["key", side, f"{side}_root"])
 
     return run
 
 
+def _sides(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    fps = fps if "root" in fps.columns else fps.withColumn("root", F.col("fp"))
+    return tuple(fps.select("fp", "root").mapInArrow(_keys(side), f"key long, {side} long, {side}_root long") for side in ("left", "right"))
+
+
 def near_pairs(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """Distinct fingerprints (fp) -> all pairs (src, dst) at most ``distance`` <= 3 bits apart."""
+    """Distinct fingerprints (fp, and root, else each its own) -> all pairs (src, dst) of unlike roots at most ``distance`` <= 3 bits apart."""
     if not 0 <= distance <= 3:
         raise ValueError("the keys guarantee distances of 3 bits at most")
-    left = fps.mapInArrow(_keys("left"), "key long, left long")
-    right = fps.mapInArrow(_keys("right"), "key long, right long")
-    near = left.join(right, (left["key"] == right["key"]) & (F.col("left") < F.col("right")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance))
+    left, right = _sides(fps)
+    near = left.join(right, (left["key"] == right["key"]) & (F.col("left") < F.col("right")) & (F.col("left_root") != F.col("right_root")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance))
     return near.select(F.col("left").alias("src"), F.col("right").alias("dst")).distinct()
 
 
+def stars(fps: DataFrame, distance: int = 3) -> DataFrame:
+    """(src, dst): each fingerprint with the least one of each of its keys, where they are at most ``distance`` bits apart: a bounded number a fingerprint."""
+    left, right = _sides(fps)
+    members = left.select("key", F.col("left").alias("fp")).unionByName(right.select("key", F.col("right").alias("fp")))
+    leaders = members.groupBy("key").agg(F.min("fp").alias("leader"), F.max("fp").alias("last")).where("leader <> last").select("key", "leader")
+    leaders = staged(leaders, "simhash-leaders")  # written, so that the rows of a very common key can be split
+    near = members.join(leaders, "key").where((F.col("fp") != F.col("leader")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= distance))
+    return near.select(F.col("leader").alias("src"), F.col("fp").alias("dst")).distinct()
+
+
+def linked(fps: DataFrame, distance: int = 3) -> DataFrame:
+    """Distinct fingerprints (fp) -> (node, root): those with links, and the least fingerprint that they reach.
+
+    Stars come first. Where a key's members are of one component already, no pair of them is written; all pairs of
+    unlike components are, so no link is lost, and of a template with very many variants only
+    what its stars leave apart is compared to the end.
+    """
+    star = staged(stars(fps, distance), "simhash-stars")
+    first = components(star, "simhash-stars")
+    named = fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    rest = staged(near_pairs(staged(named, "simhash-roots"), distance), "simhash-rest")
+    return components(star.unionByName(rest), "simhash")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
     """(id, fingerprint hex, component_id: the least id reachable by links, kept).
 
@@ -138,7 +168,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of = staged(fingerprints(df, id_col, text_col), "simhash")
     nodes = of.groupBy("fp").agg(F.min(id_col).alias("least"))
     nodes = staged(nodes, "simhash-nodes")
-    roots = components(near_pairs(nodes.select("fp"), distance), "simhash")
+    roots = linked(nodes.select("fp"), distance)
     # `root` is the least fingerprint; a component's name is its least id
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = staged(named, "simhash-named")
