@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import raster, rings, tiles
@@ -16,7 +15,7 @@ from .stages import stage_path
 from .surface import AREA2, BOX, CELLS, FILL, FILL_SIDES, POINTS_TEXT, RING, RINGS, SEG, SIDES, STRUCK, as_text, grid_of, ring_points
 
 #: Least area of water, tolerances of city and water lines, points of a main coast.
-MIN_KM2, CITY_M, WATER_M, BRIDGE_M, COAST = 0.02, 40.0, 20.0, 8.0, 100
+MIN_KM2, CITY_M, WATER_M, COAST = 0.02, 40.0, 20.0, 100
 
 
 # the timetable by city and day

@@ -14,7 +14,7 @@ from ..streaming import delays
 from ..streaming.kept import Kept
 from .catalog import A, ACCESS, ADJ, FOOT, GENERAL, HIST, NEAR_M, ORACLES, PAIRS, PARTS, RND, STEPS, T0, WALK, adjacency, dist, query, round_sql
 from .stages import stage_path, staged
-from .surface import BOX, CITY, PAINT, FILL, FILL_SIDES, FLOOD_CAP, GROUND, MOVES, RING, SEEDS, SIDES, cell_sql, city_mask, flood_of, grid_flood, grid_of, land_mask, land_of, recursive, relax, seeds_of
+from .surface import CITY, PAINT, FILL, FILL_SIDES, FLOOD_CAP, GROUND, MOVES, RING, SEEDS, SIDES, cell_sql, city_mask, flood_of, grid_flood, grid_of, land_mask, land_of, recursive, relax, seeds_of
 
 REVERSED = "SELECT trip_id, stop_id, count(*) OVER (PARTITION BY trip_id) + 1 - pos AS pos, 172800 - dep_sec AS arr_sec, 172800 - arr_sec AS dep_sec, (flags >> 1) | ((flags & 1) << 1) AS flags FROM fx_ev"
 

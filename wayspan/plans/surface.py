@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import expr as X
 from ..operators import raster, reach, rings, tiles
 from ..operators.raster import Grid
-from .catalog import A, ACCESS, ADJ, M, WALK, WAVE, ORACLES, adjacency, query, walk_times
+from .catalog import A, ACCESS, ADJ, M, WAVE, ORACLES, query, walk_times
 from .stages import staged
 
 BOX = f"""SELECT s, w, n, e, deg_m, 25 AS res, CAST(ceil((e - w) * deg_m / 25) AS BIGINT) AS gw, CAST(ceil((n - s) * {M} / 25) AS BIGINT) AS gh FROM (
