@@ -56,11 +56,12 @@ def test_next_of(spark):
     rng = random.Random(3)
     there = [(rng.randrange(4), rng.randrange(60), i) for i in range(80)]
     asked = [(k, t, f"{k}/{t}") for k in range(5) for t in range(0, 64, 3)]
-    got = next_of(spark.createDataFrame(asked, "k long, at long, what string"), spark.createDataFrame(there, "k long, at long, run long"), ["k"], "at", F.struct(F.col("at").alias("t"), "run"), "found").collect()
-    assert len(got) == len(asked)
-    for r in got:
-        late = sorted((t, i) for k, t, i in there if k == r.k and t >= r.at)
-        assert r.what == f"{r.k}/{r.at}" and (tuple(r.found) if r.found else None) == (late[0] if late else None)
+    for span in (None, 7, 1, 1000):
+        got = next_of(spark.createDataFrame(asked, "k long, at long, what string"), spark.createDataFrame(there, "k long, at long, run long"), ["k"], "at", F.struct(F.col("at").alias("t"), "run"), "found", span).collect()
+        assert len(got) == len(asked)
+        for r in got:
+            late = sorted((t, i) for k, t, i in there if k == r.k and t >= r.at)
+            assert r.what == f"{r.k}/{r.at}" and (tuple(r.found) if r.found else None) == (late[0] if late else None)
 
 
 def plain_rounds(rows, access, foot, t0, rounds, cap):

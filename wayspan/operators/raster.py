@@ -108,6 +108,7 @@ def spread(times: DataFrame, walks: DataFrame, grid: Grid, metres: float = SPREA
     the number of rounds is fixed.
     """
     label = times.select("cell", F.struct(F.col("sec"), F.lit(0.0).alias("m")).alias("best"))
+    walks = staged(walks, "spread-walks")
     for _ in range(int(metres / grid.res)):
         gone = label.join(walks, label["cell"] == walks["u"]).where(F.col("best.m") + F.col("step_m") <= metres)
         gone = gone.select(F.col("v").alias("cell"), F.struct((F.col("best.sec") + F.col("sec")).alias("sec"), (F.col("best.m") + F.col("step_m")).alias("m")).alias("best"))

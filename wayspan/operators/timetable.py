@@ -104,12 +104,24 @@ def encoded(ev: DataFrame, runs: DataFrame | None = None, name: str = "timetable
     return Coded(patterns.select("pattern", "route_id", "route_type", "stops", none("flags")), profiles.select("profile", "pattern", "deltas", none("dwells")), coded)
 
 
-def next_of(asked: DataFrame, there: DataFrame, on: list[str], at: str, value: Column, out: str) -> DataFrame:
+def next_of(asked: DataFrame, there: DataFrame, on: list[str], at: str, value: Column, out: str, span: int | None = None) -> DataFrame:
     """``asked`` with the ``value`` of the row of ``there`` that comes next at or after it (of equals the least); null where none does.
 
     A forward as-of join by one sorted merge: both sides go to their key once, lie there from
-    late to early, and each ask takes what was seen last.
+    late to early, and each ask takes what was seen last. With ``span`` a key is cut into stretches of ``at``, each
+    merged by itself, so that a key with very many rows is many tasks' work; an ask that finds nothing in its
+    stretch takes the first row of the next one that has any, by the same merge over stretches.
     """
+    if span is not None:
+        cut = lambda df: df.withColumn("__part", F.floor(F.col(at) / span))
+        asks, rows = cut(asked), cut(there)
+        own = next_of(asks, rows, [*on, "__part"], at, value, "__own")
+        first = rows.groupBy(*on, "__part").agg(F.min(F.struct(F.col(at).alias("at"), value.alias("v"))).alias("first"))
+        parts = asks.select(*on, (F.col("__part") + 1).alias("__next")).distinct()
+        later = next_of(parts, first.withColumnRenamed("__part", "__next"), on, "__next", F.col("first.v"), "__later")
+        later = later.withColumn("__part", F.col("__next") - 1).drop("__next")
+        found = own.join(later, [*on, "__part"])
+        return found.select(*on, *[c for c in asked.columns if c not in on], F.coalesce("__own", "__later").alias(out))
     kept = [c for c in asked.columns if c not in on]
     side = lambda df, ask, v: df.select(*on, F.col(at).alias("__at"), F.lit(ask).alias("__ask"), v.alias("__value"), F.struct(*kept).alias("__row") if ask else F.lit(None).alias("__row"))
     both = side(asked, True, F.lit(None)).unionByName(side(there, False, value))

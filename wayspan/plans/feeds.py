@@ -218,7 +218,7 @@ def earliest_trip(fx):
     at = hops.where(F.col("flags").bitwiseAND(1) == 0).select("pattern", "pos", "stop_id").distinct()
     asked = questions(fx).join(at, "stop_id").select("pattern", "pos", "at_sec").distinct()
     there = hops.select("pattern", "pos", F.col("dep_sec").alias("at_sec"), "trip_id")
-    found = next_of(asked, there, ["pattern", "pos"], "at_sec", F.struct(F.col("at_sec").alias("dep_sec"), "trip_id"), "run")
+    found = next_of(asked, there, ["pattern", "pos"], "at_sec", F.struct(F.col("at_sec").alias("dep_sec"), "trip_id"), "run", span=3600)
     return found.select("pattern", "pos", "at_sec", "run.trip_id", "run.dep_sec")
 
 
