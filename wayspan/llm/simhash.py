@@ -102,7 +102,7 @@ def codewords(words: np.ndarray) -> np.ndarray:
 
 
 def _keys(side: str):
-    """(key, side, root) of fingerprints (fp, root)."""
+    """(key, side, root) of fingerprints (fp, root): the left or right side's keys, or those of `own` codewords alone, 12 a fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,8 +110,8 @@ def _keys(side: str):
             parts = [(fps.view(np.uint64) >> np.uint64(SEGMENT * i) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64) for i in range(4)]
             near = [codewords(p) for p in parts]
             for table, (equal, a, b) in enumerate((e, *pair) for e in range(4) for pair in combinations([i for i in range(4) if i != e], 2)):
-                one, many = (near[a][:, :1], near[b]) if side == "left" else (near[b][:, :1], near[a])
-                key = (one << 12 | many) if side == "left" else (many << 12 | one)
+                one, many = (near[b][:, :1], near[a]) if side == "right" else (near[a][:, :1], near[b] if side == "left" else near[b][:, :1])
+                key = (many << 12 | one) if side == "right" else (one << 12 | many)
                 row, at = np.nonzero(many >= 0)
                 whole = table << 40 | parts[equal][row] << 24 | key[row, at]
                 yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(fps[row]), pa.array(root[row])], names=["key", side, f"{side}_root"])
@@ -119,24 +119,27 @@ def _keys(side: str):
     return run
 
 
-def _sides(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _side(fps: DataFrame, side: str) -> DataFrame:
     fps = fps if "root" in fps.columns else fps.withColumn("root", F.col("fp"))
-    return tuple(fps.select("fp", "root").mapInArrow(_keys(side), f"key long, {side} long, {side}_root long") for side in ("left", "right"))
+    return fps.select("fp", "root").mapInArrow(_keys(side), f"key long, {side} long, {side}_root long")
 
 
-def near_pairs(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """Distinct fingerprints (fp, and root, else each its own) -> all pairs (src, dst) of unlike roots at most ``distance`` <= 3 bits apart."""
+def _near(fps: DataFrame, distance: int) -> DataFrame:
+    """Distinct fingerprints (fp, and root, else each its own) -> (left, left_root, right, right_root) of unlike roots at most ``distance`` <= 3 bits apart, some more than once."""
     if not 0 <= distance <= 3:
         raise ValueError("the keys guarantee distances of 3 bits at most")
-    left, right = _sides(fps)
-    near = left.join(right, (left["key"] == right["key"]) & (F.col("left") < F.col("right")) & (F.col("left_root") != F.col("right_root")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance))
-    return near.select(F.col("left").alias("src"), F.col("right").alias("dst")).distinct()
+    left, right = _side(fps, "left"), _side(fps, "right")
+    return left.join(right, (left["key"] == right["key"]) & (F.col("left") < F.col("right")) & (F.col("left_root") != F.col("right_root")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance))
+
+
+def near_pairs(fps: DataFrame, distance: int = 3) -> DataFrame:
+    """All pairs (src, dst) of fingerprints (fp) at most ``distance`` <= 3 bits apart."""
+    return _near(fps, distance).select(F.col("left").alias("src"), F.col("right").alias("dst")).distinct()
 
 
 def stars(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """(src, dst): each fingerprint with the least one of each of its keys, where they are at most ``distance`` bits apart: a bounded number a fingerprint."""
-    left, right = _sides(fps)
-    members = left.select("key", F.col("left").alias("fp")).unionByName(right.select("key", F.col("right").alias("fp")))
+    """(src, dst): each fingerprint with the least one of each key of own codewords, where they are at most ``distance`` bits apart: 12 a fingerprint at most."""
+    members = _side(fps, "own").select("key", F.col("own").alias("fp"))
     leaders = members.groupBy("key").agg(F.min("fp").alias("leader"), F.max("fp").alias("last")).where("leader <> last").select("key", "leader")
     leaders = staged(leaders, "simhash-leaders")  # written, so that the rows of a very common key can be split
     near = members.join(leaders, "key").where((F.col("fp") != F.col("leader")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= distance))
@@ -146,14 +149,15 @@ def stars(fps: DataFrame, distance: int = 3) -> DataFrame:
 def linked(fps: DataFrame, distance: int = 3) -> DataFrame:
     """Distinct fingerprints (fp) -> (node, root): those with links, and the least fingerprint that they reach.
 
-    Stars come first. Where a key's members are of one component already, no pair of them is written; all pairs of
-    unlike components are, so no link is lost, and of a template with very many variants only
-    what its stars leave apart is compared to the end.
+    Stars come first. Then the full keys join fingerprints of unlike components, and of the pairs that each has with
+    another component one is kept (counted together before the shuffle): no link between components is lost, and a template
+    with very many variants costs a few rows each.
     """
     star = staged(stars(fps, distance), "simhash-stars")
     first = components(star, "simhash-stars")
     named = fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    rest = staged(near_pairs(staged(named, "simhash-roots"), distance), "simhash-rest")
+    rest = _near(staged(named, "simhash-roots"), distance).groupBy("left", "right_root").agg(F.min("right").alias("right"))
+    rest = staged(rest.select(F.col("left").alias("src"), F.col("right").alias("dst")), "simhash-rest")
     return components(star.unionByName(rest), "simhash")
 
 
