@@ -39,6 +39,19 @@ def test_masks(spark):
     assert cells(none) == set() and tiles.size(none).first().cells == 0 and cells(tiles.union(none, B)) == b and cells(tiles.without(none, B)) == set()
 
 
+def test_seeds_leave_the_water_by_tiles(spark):
+    """As by cells, also where the next land lies in the next tile."""
+    from wayspan.operators import raster
+
+    g, rng = grid_units(), random.Random(3)
+    land = [c for c in range(g.w * g.h) if rng.random() < 0.3 or c % g.w == 256]
+    seeds = spark.createDataFrame([(rng.randrange(g.w * g.h), rng.randrange(90)) for _ in range(800)] + [(255 + 7 * g.w, 5), (257 + 7 * g.w, 2), (None, 1)], "node long, t long")
+    frame = spark.createDataFrame([(c,) for c in land], "cell long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(raster.on_land(seeds, frame, g))
+    assert rows(tiles.on_land(seeds, tiles.of_cells(frame, g), g)) == want and len(want) > 300
+
+
 def test_fill_and_stroke(spark):
     """Rings across tiles, one beyond the grid, two that overlap, a hole and a side along a row; strokes of every direction."""
     g = grid_units()

@@ -66,14 +66,23 @@ class Grid:
 SHIFTS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
 
 
-def on_land(seeds: DataFrame, land: DataFrame, grid: Grid) -> DataFrame:
-    """(node, t): seeds (node, t) by cell, those on water moved to the first land cell to the west, east, north or south; others go."""
+def tried(seeds: DataFrame, grid: Grid) -> DataFrame:
+    """(node, t, order, cell): the cells that a seed (node, t) may be moved to, in order."""
     seeds = seeds.where("node is not null").groupBy("node").agg(F.min("t").alias("t"))
     shift = F.explode(F.array(*[F.struct(F.lit(i).alias("order"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(SHIFTS)]))
     x, y = F.col("node") % grid.w + F.col("s.dx"), F.floor(F.col("node") / grid.w) + F.col("s.dy")
-    tried = seeds.withColumn("s", shift).where((x >= 0) & (x < grid.w) & (y >= 0) & (y < grid.h)).select("node", "t", "s.order", (y * grid.w + x).alias("cell"))
-    found = tried.join(land.select("cell"), "cell", "left_semi").groupBy("node").agg(F.min("t").alias("t"), F.min_by("cell", "order").alias("cell"))
-    return found.groupBy(F.col("cell").alias("node")).agg(F.min("t").alias("t"))
+    return seeds.withColumn("s", shift).where((x >= 0) & (x < grid.w) & (y >= 0) & (y < grid.h)).select("node", "t", "s.order", (y * grid.w + x).alias("cell"))
+
+
+def moved(found: DataFrame) -> DataFrame:
+    """(node, t): of the cells on land (node, t, order, cell) the first of each seed, with the least time of the seeds that come to it."""
+    first = found.groupBy("node").agg(F.min("t").alias("t"), F.min_by("cell", "order").alias("cell"))
+    return first.groupBy(F.col("cell").alias("node")).agg(F.min("t").alias("t"))
+
+
+def on_land(seeds: DataFrame, land: DataFrame, grid: Grid) -> DataFrame:
+    """(node, t): seeds (node, t) by cell, those on water moved to the first land cell to the west, east, north or south; others go."""
+    return moved(tried(seeds, grid).join(land.select("cell"), "cell", "left_semi"))
 
 
 def moves(land: DataFrame, grid: Grid) -> DataFrame:

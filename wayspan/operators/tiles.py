@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..plans.stages import staged
-from .raster import DIAGONAL, Grid
+from .raster import DIAGONAL, Grid, moved, tried
 
 SIDE = 256
 WORDS = SIDE * SIDE // 64
@@ -113,6 +113,13 @@ def of_cells(rows: DataFrame, grid: Grid) -> DataFrame:
     return one.select("tile", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words"))
 
 
+def within(rows: DataFrame, mask: DataFrame, grid: Grid) -> DataFrame:
+    """The rows (cell, ...) whose cell the mask has: a join on tiles."""
+    x, y, place = F.col("cell") % grid.w, F.floor(F.col("cell") / grid.w), place_of(F.col("cell"), grid)
+    at = rows.withColumn("tile", tile_of(x, y, grid)).withColumn("__word", F.floor(place / 64).cast("int")).withColumn("__bit", (place % 64).cast("int"))
+    return at.join(mask, "tile").where(F.expr("shiftright(words[__word], __bit) & 1 = 1")).select(rows.columns)
+
+
 def fill(points: DataFrame, grid: Grid) -> DataFrame:
     """The cells whose centre has a nonzero winding number in the rings (ring_id, idx, lat, lon).
 
@@ -176,6 +183,11 @@ def stroke(lines: DataFrame, grid: Grid, least_px: float, width_m: float) -> Dat
     return s.select("tile", "ax", "ay", "bx", "by", "x0", "x1", "y0", "y1").groupBy("tile").applyInArrow(work, MASK)
 
 
+def on_land(seeds: DataFrame, land: DataFrame, grid: Grid) -> DataFrame:
+    """(node, t): seeds (node, t) by cell, those off the mask moved to the first cell of it to the west, east, north or south; others go."""
+    return moved(within(tried(seeds, grid), land, grid))
+
+
 def flood(seeds: DataFrame, land: DataFrame, grid: Grid, cap: int) -> DataFrame:
     """(tile, times): least walking times from seeds (node: a cell, t) over the mask ``land`` to the eight neighbours; times past ``cap`` aren't carried on.
 

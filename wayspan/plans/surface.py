@@ -177,14 +177,19 @@ SEEDS = f"""SELECT cell, min(sec) AS sec FROM (SELECT spot, any_value(t) AS sec,
       (VALUES (0, 0, 0), (1, -1, 0), (2, 1, 0), (3, 0, -1), (4, 0, 1)) AS k(o, dx, dy) WHERE spot IS NOT NULL) c JOIN land l ON l.cell = c.cell GROUP BY spot) GROUP BY cell"""
 
 
-def seeds_of(fx, grid: Grid, land: DataFrame) -> DataFrame:
+def near_cells_of(fx, grid: Grid) -> DataFrame:
+    """(node, t): the cells of the stops near the origin, with their times."""
     at = reach.access(fx.fx_stops, *A).where(F.col("sec") <= FLOOD_FROM).join(fx.fx_stops, "stop_id")
-    return raster.on_land(at.select(grid.cell(F.col("lat"), F.col("lon")).alias("node"), F.col("sec").alias("t")), land, grid)
+    return at.select(grid.cell(F.col("lat"), F.col("lon")).alias("node"), F.col("sec").alias("t"))
+
+
+def seeds_of(fx, grid: Grid, land: DataFrame) -> DataFrame:
+    return raster.on_land(near_cells_of(fx, grid), land, grid)
 
 
 def flood_of(fx, grid: Grid, land: DataFrame) -> DataFrame:
     """Tiles of times over the mask ``land``, from the stops near the origin."""
-    return tiles.flood(seeds_of(fx, grid, tiles.cells(land, grid)), land, grid, FLOOD_CAP)
+    return tiles.flood(tiles.on_land(near_cells_of(fx, grid), land, grid), land, grid, FLOOD_CAP)
 
 
 @query("SELECT node AS cell, t AS sec FROM flood", {"access": ACCESS, **GROUND, "moves": MOVES, "seeds": SEEDS})
