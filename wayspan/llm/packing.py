@@ -3,7 +3,7 @@
 Documents longer than the longest permitted length are cut into full sequences and a
 rest. Pieces are dealt by hash to shards of about ``shard`` pieces, so that shards pack on
 their own, in parallel, with little lost at their ends. A shard packs its pieces from
-the longest down: each goes to the open bin that it fills best. Where none has room, all
+the longest down: each goes to the open bin that it fills best, of equal ones to that opened last. Where none has room, all
 permitted lengths are tried: each is filled, on paper, with the piece and the longest of the pieces still to
 come that fit, and the length opens whose cost a word is then least. At the end every
 bin is downsized to the least permitted length that holds its contents.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int =
     lengths = sorted(lengths)
     price = {x: cost(x, overhead, attention) for x in lengths}
     waiting = Waiting(sizes)
-    room: list[list[int]] = [[] for _ in range(lengths[-1] + 1)]  # open bins by what they have left
+    room: list[list[int]] = [[] for _ in range(lengths[-1] + 1)]  # open bins by what they have left, as heaps with the last opened in front
     some = 0  # bit r: room[r] isn't empty
     bins, offsets, filled, opened = [], [], [], []
 
@@ -75,7 +76,7 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int =
         fit = some >> size
         if fit:
             left = size + (fit & -fit).bit_length() - 1
-            b = room[left].pop()
+            b = -heappop(room[left])
             if not room[left]:
                 some ^= 1 << left
         else:
@@ -88,7 +89,7 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int =
         filled[b] += size
         left -= size
         if left:
-            room[left].append(b)
+            heappush(room[left], -b)
             some |= 1 << left
     return bins, offsets, [next(x for x in lengths if x >= f) for f in filled], opened
 
