@@ -64,3 +64,20 @@ def test_open_and_small_rings_are_left_out(spark):
     df = spark.createDataFrame(rows, f"relation_id long, chain_id long, ring {rings.POINTS}")
     got = {r.relation_id: [(p.qlon, p.qlat) for p in r.ring] for r in rings.whole_rings(df, 20.0, 0.02).collect()}
     assert got == {1: square(1000)[:4]}
+
+
+def test_coasts_in_pieces_have_every_side(spark):
+    coast = [(2101800 + 37 * i % 50, 5220000 + i) for i in range(3000)]
+    parts = [coast[i : i + 41] for i in range(0, 2999, 40)]
+    chain = [(0, (k - 30) % len(parts), p[::-1] if k % 3 == 1 else p) for k, p in enumerate(parts)]
+    island = [(2100000, 5220000), (2100000, 5220060), (2100060, 5220060), (2100060, 5220000), (2100000, 5220000)]
+    small, short = [(x // 60, y // 60) for x, y in island], coast[:50]
+    chain += [(1, 0, island), (2, 0, island[:3]), (2, 1, island[2:][::-1]), (3, 0, small), (4, 0, short), (5, 0, [coast[0]]), (6, 0, [])]
+    frame = spark.createDataFrame([(r, k, [{"qlon": x, "qlat": y} for x, y in p]) for r, k, p in chain], f"relation_id long, chain_id long, ring {rings.POINTS}")
+    got = sorted(map(tuple, rings.coast_sides(frame, (90.0, 21.1), 0.001, 100).collect()))
+    sea = [*coast, (coast[-1][0], 9000000), (2110000, 9000000), (2110000, 5220000)]
+    area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(sea, sea[1:] + sea[:1]))
+    want = []
+    for ring in (sea[::-1] if area > 0 else sea, island[:-1], island[:-1]):
+        want += [(a[1] / 1e5, a[0] / 1e5, b[1] / 1e5, b[0] / 1e5) for a, b in zip(ring, ring[1:] + ring[:1])]
+    assert got == sorted(want)

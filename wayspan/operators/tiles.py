@@ -121,14 +121,18 @@ def within(rows: DataFrame, mask: DataFrame, grid: Grid) -> DataFrame:
 
 
 def fill(points: DataFrame, grid: Grid) -> DataFrame:
-    """The cells whose centre has a nonzero winding number in the rings (ring_id, idx, lat, lon).
+    """The cells whose centre has a nonzero winding number in the rings (ring_id, idx, lat, lon)."""
+    along = Window.partitionBy("ring_id").orderBy("idx")
+    after = lambda c: F.coalesce(F.lead(c).over(along), F.first(c).over(along))
+    return fill_sides(points.select(F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), after("lat").alias("lat_b"), after("lon").alias("lon_b")), grid)
+
+
+def fill_sides(sides: DataFrame, grid: Grid) -> DataFrame:
+    """The same of the rings' sides (lat_a, lon_a, lat_b, lon_b), in any order.
 
     A side goes to the rows of tiles that it crosses, most often one; there the crossings' directions are summed along each row of cells.
     """
-    along = Window.partitionBy("ring_id").orderBy("idx")
-    p = points.select("ring_id", "idx", grid.px(F.col("lon")).alias("ax"), grid.py(F.col("lat")).alias("ay"))
-    after = lambda c: F.coalesce(F.lead(c).over(along), F.first(c).over(along))
-    side = p.select("ax", "ay", after("ax").alias("bx"), after("ay").alias("by"))
+    side = sides.select(grid.px(F.col("lon_a")).alias("ax"), grid.py(F.col("lat_a")).alias("ay"), grid.px(F.col("lon_b")).alias("bx"), grid.py(F.col("lat_b")).alias("by"))
     low, high = F.least("ay", "by"), F.greatest("ay", "by")
     side = side.select("*", F.greatest(F.ceil(low - 0.5), F.lit(0)).alias("top"), F.least(F.ceil(high - 0.5) - 1, F.lit(grid.h - 1)).alias("end")).where("top <= end")
     side = side.withColumn("band", F.explode(F.sequence(F.floor(F.col("top") / SIDE), F.floor(F.col("end") / SIDE))))

@@ -229,7 +229,7 @@ def water_mask(fx):
     """Cells of water: the relations' rings of a least area, filled where they wind round a cell."""
     whole = assembled(fx, WATER_M, RING_KM2)
     grid = grid_of(fx)
-    return tiles.cells(tiles.fill(rings.points(whole), grid), grid)
+    return tiles.cells(tiles.fill_sides(rings.ring_sides(whole), grid), grid)
 
 
 # a coast from north to south, islands off it, lakes and rivers behind it
@@ -273,17 +273,16 @@ RIVER_LINE = "SELECT qlat / 1e5 AS lat_a, qlon / 1e5 AS lon_a, nlat / 1e5 AS lat
 
 def water_tiles(fx, grid) -> DataFrame:
     """Tiles of the sea without its islands, of lakes and of rivers."""
-    sea = rings.coasts(coast_ways(fx), SEA, 0.0, RING_KM2, COAST)
+    sea = rings.coast_sides(coast_ways(fx), SEA, RING_KM2, COAST)
     lakes = rings.rings(fx.sql(LAKES, supplier=fx.supplier).withColumnRenamed("id", "relation_id").withColumnRenamed("relation_id", "ring_id"))
     lakes = rings.whole_rings(lakes.select(F.col("ring_id").alias("relation_id"), F.lit(0).alias("chain_id"), "ring"), 0.0, RING_KM2)
-    lakes = lakes.select((F.col("relation_id") + 1).alias("relation_id"), "part", rings.orient(F.col("ring"), True).alias("ring"))
-    whole = sea.unionByName(lakes).select(F.struct("relation_id", "part").alias("ring_id"), "ring")
+    lakes = rings.ring_sides(lakes.select(rings.orient(F.col("ring"), True).alias("ring")))
     ways = fx.sql(RIVERS, supplier=fx.supplier)
     # a river of two ways that meet in its middle
     ways = ways.withColumn("way", F.explode(F.when(F.col("idx") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.floor(F.col("idx") / 2).cast("int")))))
     way = rings.rings(ways.select(F.struct("id", "way").alias("ring_id"), F.col("idx"), "qlon", "qlat"))
     rivers = rings.stitch(way.select(F.col("ring_id.id").alias("relation_id"), F.col("ring_id.way").alias("chain_id"), "ring"))
-    return tiles.union(tiles.fill(rings.points(whole), grid), tiles.stroke(rings.segments(rivers), grid, raster.WATER_PX, raster.WATER_M))
+    return tiles.union(tiles.fill_sides(sea.unionByName(lakes), grid), tiles.stroke(rings.segments(rivers), grid, raster.WATER_PX, raster.WATER_M))
 
 
 @query("SELECT cell FROM filled UNION SELECT cell FROM struck", {"box": BOX, "coast": COAST_POINTS, "islands": ISLANDS, "lakes": LAKES, "rivers": RIVERS, "ring": SEA_RING, "sides": SIDES, "cells": CELLS, "fs": FILL_SIDES, "filled": FILL, "line": RIVER_LINE, "seg": SEG, "struck": STRUCK})
