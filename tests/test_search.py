@@ -132,3 +132,21 @@ def test_seeds_leave_the_water(spark):
     assert at(5) == [(5, 9)] and at(6) == [(5, 9)] and at(7) == [(8, 9)] and at(9) == [(8, 9)]
     assert at(0) == [(5, 9)]  # south, as nothing lies west of it
     assert at(4) == []  # 5 is the next cell, but of the next row
+
+
+def test_served_dates_are_a_row_a_service(spark):
+    """Ranges, additions and exceptions of one service, and a service of the same name in another feed."""
+    from datetime import date, timedelta
+
+    from wayspan.plans import catalog
+
+    class Feeds:
+        fx_calendar = spark.sql("select 0 feed, 'a' service_id, date'2020-01-01' start_date, date'2020-12-31' end_date, 1 sun, 0 mon, 0 tue, 1 wed, 0 thu, 0 fri, 1 sat union all select 0, 'a', date'2020-01-04', date'2020-01-06', 1, 1, 1, 1, 1, 1, 1 union all select 0, 'b', date'2020-02-02', date'2020-02-01', 1, 1, 1, 1, 1, 1, 1")
+        fx_calendar_dates = spark.sql("select 0 feed, 'a' service_id, date'2020-01-02' date, 1 exception_type union all select 0, 'a', date'2020-01-05', 2 union all select 1, 'a', date'2020-01-05', 1 union all select 1, 'c', date'2020-01-07', 2")
+
+    first = date(2020, 1, 1)
+    weekly = {d for d in (first + timedelta(n) for n in range(120)) if d.weekday() in (2, 5, 6)}
+    added = weekly | {date(2020, 1, n) for n in (2, 4, 5, 6)}
+    got = {(r.feed, r.service_id): (r.added, r.dates) for r in catalog.service_days(Feeds).collect()}
+    assert {k: tuple(map(sorted, v)) for k, v in got.items()} == {(0, "a"): (sorted(added), sorted(added - {date(2020, 1, 5)})), (0, "b"): ([], []), (1, "a"): ([date(2020, 1, 5)],) * 2, (1, "c"): ([], [])}
+    assert {r.feed: (r.first, r.last) for r in catalog.ranges_of(catalog.service_days(Feeds), "dates").collect()} == {0: (first, max(weekly)), 1: (date(2020, 1, 5),) * 2}

@@ -11,7 +11,7 @@ from ..operators import proximity, reach
 from ..operators.numbers import numbered
 from ..operators.timetable import encoded, next_of
 from ..sources import gtfs
-from .catalog import A, CHOSEN, DAYS, GROUPS, HIST, NAMESAKES, ORACLES, P80, RND, WALK, along, chosen_days, dist, histogram, percentile, query, served, usable_dates
+from .catalog import A, CHOSEN, DAYS, GROUPS, HIST, NAMESAKES, ORACLES, P80, RND, WALK, along, chosen_days, dist, histogram, percentile, query, staged_days, usable_dates
 from .stages import stage_path, staged
 
 
@@ -108,8 +108,10 @@ MASKED = {**DAYS, "chosen": CHOSEN, "mask": MASK}
 
 
 def day_masks(fx) -> DataFrame:
-    days = chosen_days(usable_dates(fx)).select(F.posexplode(F.array("workday", "saturday", "sunday")).alias("i", "date"))
-    return served(fx).join(days, "date").groupBy("feed", "service_id").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    of = staged_days(fx)
+    chosen = chosen_days(usable_dates(of))
+    runs = [F.when(F.array_contains("dates", F.col(day)), 1 << i).otherwise(0) for i, day in enumerate(("workday", "saturday", "sunday"))]
+    return of.join(F.broadcast(chosen)).select("feed", "service_id", sum(runs).cast("long").alias("mask")).where("mask <> 0")  # one row
 
 
 @query("SELECT * FROM mask", MASKED)
