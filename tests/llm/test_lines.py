@@ -122,3 +122,15 @@ def test_odd_rows(odd, none):
     assert {r["__n_removed"] for r in got if r.doc_id == 1} == {0}
     assert {r["__n_removed"] for r in got if r.doc_id is None} == {0, 3}  # null ids come last
     assert without_repeats(none).count() == 0
+
+
+def test_grams_are_shuffled_as_hashes_once(spark, monkeypatch):
+    """Of the texts that share a fingerprint hashes alone are written, and read for first places and matches alike."""
+    from wayspan.llm import lines
+
+    kept = {}
+    monkeypatch.setattr(lines, "staged", lambda df, name: kept.setdefault(name, df.localCheckpoint()))
+    both = [(1, "a b\nc d\ne f"), (2, "x\na b\nc d\ne f\ny"), (3, "alone\nhere")]
+    got = {r.id: sorted(r.gone) for r in lines.repeated_lines(spark.createDataFrame(both, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [1, 2, 3], 3: []}
+    assert kept["lines-near"].columns == ["text", "hash", "check", "passages"] and kept["lines-near"].count() == 2

@@ -71,13 +71,15 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.struct(F.col("id").isNull().alias("n"), "id", "key")
     grams = f"if(size(hash) = 0, array(), transform(sequence(0, size(hash) - 1), i -> named_struct('pos', i, 'hash', hash[i], 'check', check[i], 'wide', {run}, 'mark', {selected(max(1, window - run + 1))})))"
     singles = "transform(passages, p -> named_struct('pos', p.pos, 'hash', p.hash, 'check', p.check, 'wide', 0, 'mark', true))"
-    every = of.select(text.alias("text"), F.expr(f"concat({grams}, {singles})").alias("grams"))
+    every = of.select(text.alias("text"), "hash", "check", "passages")
+    with_grams = lambda of: of.select("text", F.expr(f"concat({grams}, {singles})").alias("grams"))
     as_rows = lambda of, what: of.select("text", F.explode(what).alias("g")).select("g.hash", F.struct("text", "g.pos").alias("place"), "g.check", "g.wide", "g.mark")
 
-    marked = as_rows(every, F.filter("grams", lambda g: g["mark"]))
+    marked = as_rows(with_grams(every), F.filter("grams", lambda g: g["mark"]))
     shared = staged(firsts(marked).select("hash"), "lines-shared")
     touched = staged(marked.join(shared, "hash", "left_semi").select("place.text").distinct(), "lines-touched")
-    each = as_rows(every.join(touched, "text", "left_semi"), F.col("grams"))
+    near = staged(every.join(touched, "text", "left_semi"), "lines-near")  # shuffled once, as hashes alone
+    each = as_rows(with_grams(near), F.col("grams"))
     first = staged(firsts(each), "lines-first")  # written, so that the rows of a very common gram can be split
     later = each.join(first, "hash").where((F.col("place") != F.col("first.place")) & (F.col("check") == F.col("first.check")))
     later = later.select("place.text", "place.pos", "wide", "mark")
