@@ -43,3 +43,13 @@ def test_flagship_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_feed_report_shuffles_flags(spark):
+    """A run's stops become a flag a box before the run meets its feed: no coordinates are shuffled with them."""
+    from wayspan.plans import documents
+    from wayspan.sources.fixtures import Fixtures
+
+    plan = documents.kept_runs(Fixtures(spark, FOLDERS[1]))._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Aggregate [trip_id#" in line and "in_1" in line for line in plan.split("\n"))
+    assert {r.feed for r in documents.kept_runs(Fixtures(spark, FOLDERS[1])).select("feed").distinct().collect()} == {0, 1}

@@ -77,14 +77,21 @@ def timetable_totals(fx):
 FEED_RUNS = f"SELECT o_custkey % 2 AS feed, e.trip_id, bool_or(o_custkey % 2 = 0 OR (s.lat BETWEEN {GRID[0]} AND {GRID[2]} AND s.lon BETWEEN {GRID[1]} AND {GRID[3]})) AS kept FROM fx_ev e JOIN orders ON o_orderkey = e.trip_id JOIN fx_stops s ON s.stop_id = e.stop_id GROUP BY 1, 2"
 
 
+#: The boxes that the feeds' configuration names; a feed without one keeps all runs.
+BOXES = {0: None, 1: GRID}
+
+
 def kept_runs(fx) -> DataFrame:
-    """(feed, trip_id, kept): whether a run touches the box that its feed's configuration names; a feed without one keeps all."""
-    boxes = fx.spark.createDataFrame([(0, None), (1, list(GRID))], "feed int, box array<double>")
-    at = fx.fx_ev.select("trip_id", "stop_id").join(fx.fx_stops.select("stop_id", "lat", "lon"), "stop_id")
-    of = at.join(fx.orders.select(F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % 2).cast("int").alias("feed")), "trip_id").join(boxes, "feed")
-    box = F.col("box")
-    inside = box.isNull() | (F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3]))
-    return of.groupBy("feed", "trip_id").agg(F.bool_or(inside).alias("kept"))
+    """(feed, trip_id, kept): whether a run touches the box of its feed.
+
+    A stop's boxes are known before the runs are, so a run's stops are drawn together to a row of flags before it meets its feed.
+    """
+    inside = [(F.col("lat").between(b[0], b[2]) & F.col("lon").between(b[1], b[3]) if b else F.lit(True)).alias(f"in_{f}") for f, b in BOXES.items()]
+    spots = fx.fx_stops.select("stop_id", *inside)
+    flags = fx.fx_ev.select("trip_id", "stop_id").join(spots, "stop_id").groupBy("trip_id").agg(*[F.bool_or(f"in_{f}").alias(f"in_{f}") for f in BOXES])
+    of = flags.join(fx.orders.select(F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % 2).cast("int").alias("feed")), "trip_id").where(F.col("feed").isin(*BOXES))
+    own = F.element_at(F.create_map(*[c for f in BOXES for c in (F.lit(f), F.col(f"in_{f}"))]), F.col("feed"))
+    return of.groupBy("feed", "trip_id").agg(F.bool_or(own).alias("kept"))
 
 
 @query("SELECT feed, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS dropped FROM runs GROUP BY feed", {"runs": FEED_RUNS})
