@@ -3,7 +3,8 @@ import random
 import corpus_pipeline
 from conftest_docs import words_text
 
-from wayspan.llm.jaccard import near_duplicates
+from wayspan.llm import simhash
+from wayspan.llm.jaccard import fuzzy_keys, near_duplicates, shingles
 
 
 def shingle_set(text):
@@ -70,3 +71,16 @@ def test_rows_of_one_id_and_without_id(spark):
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     got = [(r.doc_id, r.text.removesuffix(" end")) for r in kept]
     assert sorted(got, key=str) == sorted([(1, a), (2, b), (2, c), (None, d)], key=str)
+
+
+def test_simhash_groups_are_keys(spark):
+    """The stage's SimHash step: texts at most 3 bits apart, or linked by such, share a key, and no others do."""
+    rng = random.Random(9)
+    texts = [words_text(rng, 900) for _ in range(6)]
+    texts += [edited(rng, t, 1) for t in texts]
+    fps = {i: simhash.majority(shingles(t)) for i, t in enumerate(texts)}
+    near = {frozenset((i, j)) for i in fps for j in fps if i < j and (fps[i] ^ fps[j]).bit_count() <= 3}
+    assert near and near <= {frozenset((i, i + 6)) for i in range(6)}
+    rows = [(i, fp - (1 << 64) if fp >> 63 else fp) for i, fp in fps.items()]
+    key = {r.node: r.key for r in fuzzy_keys(spark.createDataFrame(rows, "node long, fp long")).collect()}
+    assert {frozenset((i, j)) for i in key for j in key if i < j and key[i] == key[j]} == near

@@ -1,8 +1,10 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash keys, verified exactly.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash groups and MinHash keys, verified exactly.
 
-A text's shingles are the distinct runs of ``WIDTH`` words (a shorter text is one shingle).
-``BANDS`` keys of ``ROWS`` least hashes each are made of them. Two texts at similarity s
-share a key with probability 1 - (1 - s ** ROWS) ** BANDS, so of pairs at exactly 0.8 about
+A text's shingles are the distinct runs of ``WIDTH`` words (a shorter text is one shingle). Their SimHash
+fingerprints are linked by Golay-code fuzzy hashing (``simhash``), and each group of fingerprints is a
+key of its texts. A pair at similarity 0.8 differs in some 10 of 64 bits, which that doesn't reach, so
+``BANDS`` keys of ``ROWS`` least hashes each are added. Two texts at similarity s
+share one with probability 1 - (1 - s ** ROWS) ** BANDS, so of pairs at exactly 0.8 about
 3 in a million share none. All that share a key are candidates, and a link is a candidate
 pair whose shingle sets are at least ``LEAST`` alike.
 
@@ -16,7 +18,7 @@ than the sets in shingles, so no pair in reach is lost.
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import reduce
 from operator import add
 
 import numpy as np
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import WORD, col, components, staged, with_text_columns
 
 #: Words of a shingle, least similarity, MinHash bands and rows, the seed of XXH64.
@@ -43,10 +46,7 @@ ODDS |= np.uint64(1)
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct XXH64 of the word shingles; words as in ``simhash.fingerprint``. No word: none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    width = min(WIDTH, len(words))
-    parts = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if words else ()
-    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), parts), dtype="<u8"))
+    return np.unique(simhash.hashes(text, WIDTH))
 
 
 def keys(found: np.ndarray) -> list[int]:
@@ -69,7 +69,8 @@ def sketch(found: np.ndarray) -> list[int]:
 def _keys():
     def columns(texts: pa.Array) -> list[pa.Array]:
         found = [shingles(x.as_py()) for x in texts]
-        return [pa.array([of(x) for x in found], pa.list_(pa.int64())) for of in (keys, sketch)]
+        fp = np.array([simhash.majority(x) for x in found], dtype=np.uint64).view(np.int64)
+        return [*[pa.array([of(x) for x in found], pa.list_(pa.int64())) for of in (keys, sketch)], pa.array(fp)]
 
     return columns
 
@@ -92,6 +93,13 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(both.where(shared * 100 >= round(LEAST * 100) * (F.size("a") + F.size("b") - shared)).select("src", "dst"), "jaccard-links")
 
 
+def fuzzy_keys(of: DataFrame) -> DataFrame:
+    """(node, key): the group of SimHash fingerprints (node, fp) that a text belongs to, linked at 3 or fewer differing bits."""
+    fps = staged(of.select("fp").distinct(), "jaccard-fps")
+    near = simhash.linked(fps).withColumnRenamed("node", "fp")
+    return of.join(near, "fp", "left").select("node", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
+
+
 def _stars(members: DataFrame, rank: Column) -> DataFrame:
     """Pairs of each member with the member of its key that is least by ``rank``."""
     leaders = members.groupBy("key").agg(F.min(F.struct(rank, "node"))["node"].alias("leader"))
@@ -102,8 +110,9 @@ def _stars(members: DataFrame, rank: Column) -> DataFrame:
 def groups(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, root): the nodes (see ``node_of``) that have links, with the least node they reach."""
     texts = df.select(node_of(text_col).alias("node"), col(text_col).cast("string").alias("text")).where("node <> 0")
-    of = staged(with_text_columns(texts, "text", ["node"], [T.StructField(n, T.ArrayType(T.LongType())) for n in ("keys", "sketch")], _keys), "jaccard")
-    every = of.select("node", F.explode("keys").alias("key")).distinct()
+    of = staged(with_text_columns(texts, "text", ["node"], [*[T.StructField(n, T.ArrayType(T.LongType())) for n in ("keys", "sketch")], T.StructField("fp", T.LongType())], _keys), "jaccard")
+    fuzzy = staged(fuzzy_keys(of.select("node", "fp")), "jaccard-fuzzy")
+    every = of.select("node", F.explode("keys").alias("key")).unionByName(fuzzy).distinct()
     shared = staged(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "jaccard-shared")
     members = staged(every.join(shared, "key").select("key", "node"), "jaccard-members")
     some = texts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))

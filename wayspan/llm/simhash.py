@@ -37,20 +37,26 @@ SEGMENT = 16
 CHUNK = 65_536
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64 bits; a bit is 1 if set in over half the XXH64 of the word shingles. No word: 0."""
+def hashes(text: str | None, width: int = 3) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included. No word: none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, white space is 0x20 and 0x09-0x0D
-    if not words:
-        return 0
     width = min(width, len(words))
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    n = len(words) - width + 1
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), dtype="<u8", count=n)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if words else ()
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), dtype="<u8", count=len(words) - width + 1 if words else 0)
+
+
+def majority(found: np.ndarray) -> int:
+    """64 bits; a bit is 1 if set in over half the hashes. No hash: 0."""
     ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, CHUNK):
-        part = hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8)
+    for i in range(0, len(found), CHUNK):
+        part = found[i : i + CHUNK].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64 bits; a bit is 1 if set in over half the XXH64 of the word shingles. No word: 0."""
+    return majority(hashes(text, width))
 
 
 def _setup():
