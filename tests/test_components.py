@@ -2,7 +2,11 @@
 
 import random
 
-from wayspan.operators import reach
+import pytest
+from pyspark.sql import functions as F
+
+from wayspan.functions import expr as X
+from wayspan.operators import proximity, reach
 
 
 def label_of(spark, nodes, edges):
@@ -26,3 +30,21 @@ def test_components_in_few_rounds(spark):
     assert label_of(spark, nodes, edges) == want
     assert reach.rounds_run["components"] <= 10
     assert label_of(spark, [1, 2], []) == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("south", [-52.3, -0.01, 52.2, 89.6, 94.9])
+def test_near_stops_at_any_latitude(spark, south):
+    rng = random.Random(5)
+    at = lambda n: [(i, south + rng.random() / 100, 21 + rng.random() / 50 * (30 if 89 < abs(south) < 91 else 1)) for i in range(n)]
+    places, stops = (spark.createDataFrame(at(60), f"{k} long, lat double, lon double") for k in ("place", "stop_id"))
+    m = X.distance_m(F.col("p.lat"), F.col("p.lon"), F.col("s.lat"), F.col("s.lon"))
+    want = {(r.place, r.stop_id) for r in places.alias("p").crossJoin(stops.alias("s")).where(m <= 400).collect()}
+    got = [(r.place, r.stop_id) for r in proximity.near_stops(places, "place", stops, 400).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_far_northern_stop_widens_no_other_row(spark):
+    """The cells of places in the south stay as narrow as they need, whatever lies in the north."""
+    width = lambda lat: proximity.cell_width(F.floor(F.lit(lat) * X.M_PER_DEG / 400), 400 / X.M_PER_DEG)
+    low, high = spark.range(1).select(width(52.2), width(89.99)).first()
+    assert 0.0058 < low < 0.006 and high > 1
