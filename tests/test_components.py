@@ -48,3 +48,10 @@ def test_a_far_northern_stop_widens_no_other_row(spark):
     width = lambda lat: proximity.cell_width(F.floor(F.lit(lat) * X.M_PER_DEG / 400), 400 / X.M_PER_DEG)
     low, high = spark.range(1).select(width(52.2), width(89.99)).first()
     assert 0.0058 < low < 0.006 and high > 1
+
+
+def test_edges_of_a_round_stay_off_the_driver(spark, tmp_path):
+    spark.createDataFrame([(1, 2, 5), (1, 3, 9), (2, 3, 1)], "u long, v long, sec long").write.parquet(f"{tmp_path}/edges")
+    found = reach.along(spark.createDataFrame([(1, 0), (2, 2)], "node long, t long"), spark.read.parquet(f"{tmp_path}/edges"))
+    assert sorted(map(tuple, found.collect())) == [(2, 5), (3, 3)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -155,7 +155,7 @@ def general_journeys(ev: DataFrame, seeds: DataFrame, foot: DataFrame) -> DataFr
             break
         found = at if found is None else found.unionByName(at)
         go = at.where("from_stop is not null").select("target", (F.col("back") + 1).alias("back"), F.col("from_stop").alias("node"))
-        at = go.join(step, "node").select("target", "back", *step.columns)
+        at = go.join(step.hint("merge"), "node").select("target", "back", *step.columns)  # as in `along`
     # only whole journeys: those that come to a walk from the origin
     whole = found.where("kind = 'access'").select("target")
     legs = found.join(whole, "target", "left_semi")
