@@ -150,3 +150,54 @@ def test_served_dates_are_a_row_a_service(spark):
     got = {(r.feed, r.service_id): (r.added, r.dates) for r in catalog.service_days(Feeds).collect()}
     assert {k: tuple(map(sorted, v)) for k, v in got.items()} == {(0, "a"): (sorted(added), sorted(added - {date(2020, 1, 5)})), (0, "b"): ([], []), (1, "a"): ([date(2020, 1, 5)],) * 2, (1, "c"): ([], [])}
     assert {r.feed: (r.first, r.last) for r in catalog.ranges_of(catalog.service_days(Feeds), "dates").collect()} == {0: (first, max(weekly)), 1: (date(2020, 1, 5),) * 2}
+
+
+def test_dates_are_counted_without_expanding_services(spark):
+    """Counts by date, the days that services run on and the bounds against a row a service and date; ranges become dates once for all services that share them."""
+    import random
+    from collections import Counter
+    from datetime import date, timedelta
+
+    from pyspark.sql import functions as F
+
+    from wayspan.plans import catalog
+
+    rng = random.Random(8)
+    day = lambda n: date(2020, 1, 1) + timedelta(n)
+    some = lambda n: None if rng.random() < 0.05 else day(n)
+    calendar = [(rng.randrange(3), f"s{rng.randrange(25)}", some(a := rng.randrange(40)), some(a + rng.randrange(-3, 150)), *[rng.choice((0, 1, None)) for _ in range(7)]) for _ in range(60)]
+    changes = [(rng.randrange(3), f"s{rng.randrange(30)}", some(rng.randrange(-5, 60)), rng.randrange(1, 4)) for _ in range(200)]
+
+    class Feeds:
+        fx_calendar = spark.createDataFrame(calendar, f"feed int, service_id string, start_date date, end_date date, {', '.join(f'{d} int' for d in catalog.WEEK)}")
+        fx_calendar_dates = spark.createDataFrame(changes, "feed int, service_id string, date date, exception_type int")
+
+    rows = catalog.service_days(Feeds).collect()
+    added, left = (Counter((r.feed, d) for r in rows for d in r[c]) for c in ("added", "dates"))
+    counts = catalog.staged_counts(Feeds)
+    assert {(r.feed, r.date): (r.added, r.served) for r in counts.collect()} == {k: (n, left[k]) for k, n in added.items()}
+    of = catalog.services(Feeds)
+    for one in [*map(day, range(0, 60, 7)), None]:
+        found = {(r.feed, r.service_id) for r in of.where(catalog.runs_on(F.lit(one).cast("date"))).collect()}
+        assert found == {(r.feed, r.service_id) for r in rows if one and one in r.dates}
+    for c, column in (("added", "added"), ("dates", "served")):
+        assert sorted(map(tuple, catalog.counted_ranges(counts, column).collect())) == sorted(map(tuple, catalog.ranges_of(catalog.service_days(Feeds), c).collect()))
+
+    class Alike:
+        fx_calendar = spark.range(500).selectExpr("0 feed", "string(id) service_id", "date'2020-01-01' start_date", "date'2020-12-31' end_date", *[f"1 {d}" for d in catalog.WEEK])
+        fx_calendar_dates = Feeds.fx_calendar_dates.where("false")
+
+    few = catalog.date_counts(catalog.staged_services(Alike))
+    few.collect()
+    metric, todo = 0, [few._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Generate":
+            metric = max(metric, node.metrics().apply("numOutputRows").value())
+    assert metric == 120 and {r.served for r in few.collect()} == {500}

@@ -11,7 +11,7 @@ from ..operators import proximity, reach
 from ..operators.numbers import numbered
 from ..operators.timetable import encoded, next_of
 from ..sources import gtfs
-from .catalog import A, CHOSEN, DAYS, GROUPS, HIST, NAMESAKES, ORACLES, P80, RND, WALK, along, chosen_days, dist, histogram, percentile, query, staged_days, usable_dates
+from .catalog import A, CHOSEN, DAYS, GROUPS, HIST, NAMESAKES, ORACLES, P80, RND, WALK, along, chosen_days, date_counts, dist, histogram, percentile, query, runs_on, staged_services, usable_dates
 from .stages import stage_path, staged
 
 
@@ -108,9 +108,9 @@ MASKED = {**DAYS, "chosen": CHOSEN, "mask": MASK}
 
 
 def day_masks(fx) -> DataFrame:
-    of = staged_days(fx)
-    chosen = chosen_days(usable_dates(of))
-    runs = [F.when(F.array_contains("dates", F.col(day)), 1 << i).otherwise(0) for i, day in enumerate(("workday", "saturday", "sunday"))]
+    of = staged_services(fx)
+    chosen = chosen_days(usable_dates(staged(date_counts(of), "date-counts")))
+    runs = [F.when(runs_on(F.col(day)), 1 << i).otherwise(0) for i, day in enumerate(("workday", "saturday", "sunday"))]
     return of.join(F.broadcast(chosen)).select("feed", "service_id", sum(runs).cast("long").alias("mask")).where("mask <> 0")  # one row
 
 
