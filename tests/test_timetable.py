@@ -52,6 +52,16 @@ def test_runs_by_day_are_read_by_folder(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan
 
 
+def test_only_carried_runs_are_coded(spark):
+    """Runs that no day carries take no part in the dictionaries; positions stay those of the whole run."""
+    rows = made(2)
+    days = spark.createDataFrame([(t, d) for t in (3, 4, 8) for d in "ab"], "trip_id long, day string")
+    coded = encoded(spark.createDataFrame(rows, EV), days)
+    assert sorted(map(tuple, coded.where(F.col("day") == "a").events().select(COLS).collect())) == sorted(r for r in rows if r[0] in (3, 4, 8))
+    names = {r[0] for r in coded.patterns.select("pattern").collect()} | {r[0] for r in coded.profiles.select("profile").collect()}
+    assert names <= {3, 4, 8} and coded.size().first().runs == 6
+
+
 def test_next_of(spark):
     rng = random.Random(3)
     there = [(rng.randrange(4), rng.randrange(60), i) for i in range(80)]
