@@ -151,3 +151,18 @@ def test_blocks_settle_at_once(spark):
     one = frame([(i, 1) for i in range(n + 6)], "node long, block long")
     assert dict(map(tuple, reach.shortest(s, e, cap, blocks=one).collect())) == best and reach.rounds_run["shortest"] == 1
     assert reach.shortest(s.where("false"), e, cap, blocks=blocks).count() == 0
+
+
+def test_only_runs_asked_for_meet_their_box(spark):
+    """A feed's box is looked at for the runs that are named alone, however often they are named; without names for all."""
+    from wayspan.plans import documents
+
+    class Feeds:
+        fx_stops = spark.createDataFrame([(0, 52.205, 21.02), (1, 10.0, 10.0)], "stop_id long, lat double, lon double")
+        fx_ev = spark.createDataFrame([(t, 0 if t == 1 else 1) for t in range(1, 6)] + [(5, 0)], "trip_id long, stop_id long")
+        orders = spark.createDataFrame([(t, t % 2) for t in range(1, 6)], "o_orderkey long, o_custkey long")
+
+    all_of = {(1, 1, True), (0, 2, True), (1, 3, False), (0, 4, True), (1, 5, True)}
+    assert set(map(tuple, documents.kept_runs(Feeds).collect())) == all_of
+    among = spark.createDataFrame([(1,), (1,), (3,), (4,)], "trip_id long")
+    assert sorted(map(tuple, documents.kept_runs(Feeds, among).collect())) == sorted(r for r in all_of if r[1] in (1, 3, 4))

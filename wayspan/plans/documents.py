@@ -11,7 +11,7 @@ from ..operators.timetable import Coded, encoded
 from ..sources import streets
 from .catalog import GRID, query
 from .feeds import MASKED, day_masks
-from .stages import stage_path
+from .stages import stage_path, staged
 from .surface import AREA2, BOX, CELLS, FILL, FILL_SIDES, POINTS_TEXT, RING, RINGS, SEG, SIDES, STRUCK, as_text, grid_of, ring_points
 
 #: Least area of water, tolerances of city and water lines, points of a main coast.
@@ -69,8 +69,9 @@ def timetable_size(fx):
 @query(f"SELECT city, day, count(*) AS stops, count(DISTINCT trip_id) AS trips FROM ({RUNS}) WHERE mask & bit <> 0 GROUP BY city, day", MASKED)
 def timetable_totals(fx):
     """What the partitioned timetable holds for each city and day."""
-    runs = fx.fx_ev.groupBy("trip_id").agg(F.count("*").alias("n"))
-    return runs.join(run_days(fx), "trip_id").groupBy("city", "day").agg(F.sum("n").alias("stops"), F.count("*").alias("trips"))
+    days = staged(run_days(fx), "days")
+    runs = fx.fx_ev.join(days, "trip_id", "left_semi").groupBy("trip_id").agg(F.count("*").alias("n"))
+    return runs.join(days, "trip_id").groupBy("city", "day").agg(F.sum("n").alias("stops"), F.count("*").alias("trips"))
 
 
 #: Runs of the second feed count only if they touch its box.
@@ -81,14 +82,16 @@ FEED_RUNS = f"SELECT o_custkey % 2 AS feed, e.trip_id, bool_or(o_custkey % 2 = 0
 BOXES = {0: None, 1: GRID}
 
 
-def kept_runs(fx) -> DataFrame:
-    """(feed, trip_id, kept): whether a run touches the box of its feed.
+def kept_runs(fx, among: DataFrame | None = None) -> DataFrame:
+    """(feed, trip_id, kept): whether a run (of those ``among`` names) touches the box of its feed.
 
     A stop's boxes are known before the runs are, so a run's stops are drawn together to a row of flags before it meets its feed.
     """
     inside = [(F.col("lat").between(b[0], b[2]) & F.col("lon").between(b[1], b[3]) if b else F.lit(True)).alias(f"in_{f}") for f, b in BOXES.items()]
     spots = fx.fx_stops.select("stop_id", *inside)
-    flags = fx.fx_ev.select("trip_id", "stop_id").join(spots, "stop_id").groupBy("trip_id").agg(*[F.bool_or(f"in_{f}").alias(f"in_{f}") for f in BOXES])
+    ev = fx.fx_ev.select("trip_id", "stop_id")
+    ev = ev if among is None else ev.join(among, "trip_id", "left_semi")
+    flags = ev.join(spots, "stop_id").groupBy("trip_id").agg(*[F.bool_or(f"in_{f}").alias(f"in_{f}") for f in BOXES])
     of = flags.join(fx.orders.select(F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % 2).cast("int").alias("feed")), "trip_id").where(F.col("feed").isin(*BOXES))
     own = F.element_at(F.create_map(*[c for f in BOXES for c in (F.lit(f), F.col(f"in_{f}"))]), F.col("feed"))
     return of.groupBy("feed", "trip_id").agg(F.bool_or(own).alias("kept"))
@@ -103,10 +106,12 @@ def feed_report(fx):
 @query(f"SELECT 'city' || (o_custkey % 2) AS city, d.day, count(DISTINCT (h.route_id, h.stops, h.flagged)) AS patterns, count(DISTINCT (h.route_id, h.stops, h.flagged, h.deltas, h.dwells)) AS profiles, count(*) AS runs FROM shaped h JOIN runs k ON k.trip_id = h.trip_id AND k.kept JOIN orders ON o_orderkey = h.trip_id JOIN mask m ON m.feed = o_custkey % 2 AND m.service_id = concat(o_orderstatus, '-', CAST(o_custkey AS VARCHAR)) JOIN (VALUES ('workday', 1), ('saturday', 2), ('sunday', 4)) AS d(day, bit) ON m.mask & d.bit <> 0 WHERE len(h.stops) >= 2 GROUP BY 1, 2", {**MASKED, "shaped": SHAPED, "runs": FEED_RUNS})
 def build_report(fx):
     """What a build writes for each city and day: patterns, profiles and runs (of two stops or more, within the feed's box)."""
-    runs = run_days(fx).join(kept_runs(fx).where("kept").select("trip_id"), "trip_id", "left_semi")
+    days = staged(run_days(fx), "days")
+    runs = days.join(kept_runs(fx, days).where("kept").select("trip_id"), "trip_id", "left_semi")
     coded = encoded(fx.fx_ev, runs)
     named = coded.profiles.where(F.size("deltas") > 0).select("profile", "pattern")
-    return coded.runs.join(named, "profile").groupBy("city", "day").agg(F.countDistinct("pattern").alias("patterns"), F.countDistinct("profile").alias("profiles"), F.count("*").alias("runs"))
+    used = coded.runs.groupBy("city", "day", "profile").agg(F.count("*").alias("n"))  # a profile's runs are one row before it meets its pattern
+    return used.join(named, "profile").groupBy("city", "day").agg(F.countDistinct("pattern").alias("patterns"), F.count("*").alias("profiles"), F.sum("n").alias("runs"))
 
 
 # documents of a city
