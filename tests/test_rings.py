@@ -1,6 +1,7 @@
 """Rings: simplification against its definition, stitching, orientation."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -81,3 +82,28 @@ def test_coasts_in_pieces_have_every_side(spark):
     for ring in (sea[::-1] if area > 0 else sea, island[:-1], island[:-1]):
         want += [(a[1] / 1e5, a[0] / 1e5, b[1] / 1e5, b[0] / 1e5) for a, b in zip(ring, ring[1:] + ring[:1])]
     assert got == sorted(want)
+
+
+def test_relations_are_one_stream(spark):
+    """Many small relations, cut by batches anywhere: the lines of ``stitched``, and no relation is a group of its own."""
+    rng, want, rows = random.Random(16), {}, []
+    for r in range(200):
+        line = [(1000 * r + rng.randrange(900), rng.randrange(900)) for _ in range(rng.randrange(4, 14))]
+        line += line[:1] if r % 4 else []
+        cuts = sorted({0, len(line) - 1, *(rng.randrange(1, len(line) - 1) for _ in range(rng.randrange(5)))})
+        chains = [line[a : b + 1][:: rng.choice((1, -1))] for a, b in zip(cuts, cuts[1:])]
+        rng.shuffle(chains)
+        want |= {(r, part): ring for part, ring in enumerate(rings.stitched(chains))}
+        rows += [(r, k, [{"qlon": x, "qlat": y} for x, y in c]) for k, c in enumerate(chains)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, f"relation_id long, chain_id long, ring {rings.POINTS}")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        lines = rings.stitch(frame)
+        got = {(x.relation_id, x.part): [(p.qlon, p.qlat) for p in x.ring] for x in lines.collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert got == want
+    assert "FlatMapGroups" not in lines._jdf.queryExecution().toString()
