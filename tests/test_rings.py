@@ -107,3 +107,11 @@ def test_relations_are_one_stream(spark):
         spark.conf.set(size, before)
     assert got == want
     assert "FlatMapGroups" not in lines._jdf.queryExecution().toString()
+
+
+def test_without_a_least_area_every_ring_stays(spark):
+    """Also one beyond the pole, as the projected tables have them at many stops; with a least area it goes, as in SQL."""
+    square = [(0, 9100000), (1000, 9100000), (1000, 9101000), (0, 9101000), (0, 9100000)]
+    df = spark.createDataFrame([(1, 0, [{"qlon": x, "qlat": y} for x, y in square])], f"relation_id long, chain_id long, ring {rings.POINTS}")
+    assert [[(p.qlon, p.qlat) for p in r.ring] for r in rings.whole_rings(df, 20.0).collect()] == [square[:4]]
+    assert rings.whole_rings(df, 20.0, 0.02).isEmpty()

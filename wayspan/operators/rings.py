@@ -172,8 +172,8 @@ def stitch(chains: DataFrame) -> DataFrame:
 
 
 def minimum(ring: Column, km2: float) -> Column:
-    """Whether a ring's area is at least ``km2``."""
-    return area_m2(ring) >= F.lit(int(km2 * 1e6))
+    """Whether a ring's area is at least ``km2``; 0 asks nothing of it (beyond the pole an area's longitude scale is negative)."""
+    return area_m2(ring) >= F.lit(int(km2 * 1e6)) if km2 > 0 else F.lit(True)
 
 
 def whole_rings(chains: DataFrame, tolerance_m: float, least_km2: float = 0.0) -> DataFrame:
