@@ -94,7 +94,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Each round hooks every node to its least neighbour, jumps one pointer and renames
     the edges; nodes that hook vanish, at least half of those left, so rounds grow as
-    the logarithm of the longest path. Every step is a keyed join or a partial
+    the logarithm of the longest path. Every step is a keyed join, merged and not broadcast, or a partial
     aggregation; tables between rounds are staged, nothing is collected.
     """
     edges = staged(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct(), f"{name}-edges")
@@ -104,11 +104,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         hook = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("up"))
         hook = staged(hook, f"{name}-hook")
         top = hook.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        jump = staged(hook.join(top, "up", "left").select("node", F.coalesce("upper", "up").alias("up")), f"{name}-jump")
+        jump = staged(hook.join(top.hint("merge"), "up", "left").select("node", F.coalesce("upper", "up").alias("up")), f"{name}-jump")
         levels.append(jump)
         edges = (
-            edges.join(jump.select(F.col("node").alias("src"), F.col("up").alias("a")), "src")
-            .join(jump.select(F.col("node").alias("dst"), F.col("up").alias("b")), "dst")
+            edges.join(jump.select(F.col("node").alias("src"), F.col("up").alias("a")).hint("merge"), "src")
+            .join(jump.select(F.col("node").alias("dst"), F.col("up").alias("b")).hint("merge"), "dst")
             .where("a <> b")
             .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
             .distinct()
@@ -119,5 +119,5 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     out = levels.pop().select("node", F.col("up").alias("root"))
     while levels:
         above = out.select(F.col("node").alias("up"), "root")
-        out = levels.pop().join(above, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
+        out = levels.pop().join(above.hint("merge"), "up", "left").select("node", F.coalesce("root", "up").alias("root"))
     return out

@@ -9,7 +9,8 @@ left side carries (E, own codeword in A, each near codeword in B), a row of the
 (E, each near codeword in A, own codeword in B): a pair in reach shares a key for certain,
 and the join verifies the true distance. A word has 1 or 6 near codewords, so a
 fingerprint gets about 64 keys a side. A key has 40 bits: among 10^10 unlike fingerprints a
-fingerprint meets about 3 others by chance.
+fingerprint meets about 3 others by chance. Joins are merged: Spark sizes keys by the fingerprints that
+they are made of, some 40 times too low, and would send them whole to the driver.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def _near(fps: DataFrame, distance: int) -> DataFrame:
     if not 0 <= distance <= 3:
         raise ValueError("the keys guarantee distances of 3 bits at most")
     left, right = _side(fps, "left"), _side(fps, "right")
-    return left.join(right, (left["key"] == right["key"]) & (F.col("left") < F.col("right")) & (F.col("left_root") != F.col("right_root")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance))
+    return left.join(right.hint("merge"), (left["key"] == right["key"]) & (F.col("left") < F.col("right")) & (F.col("left_root") != F.col("right_root")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance))
 
 
 def near_pairs(fps: DataFrame, distance: int = 3) -> DataFrame:
@@ -148,7 +149,7 @@ def stars(fps: DataFrame, distance: int = 3) -> DataFrame:
     members = _side(fps, "own").select("key", F.col("own").alias("fp"))
     leaders = members.groupBy("key").agg(F.min("fp").alias("leader"), F.max("fp").alias("last")).where("leader <> last").select("key", "leader")
     leaders = staged(leaders, "simhash-leaders")  # written, so that the rows of a very common key can be split
-    near = members.join(leaders, "key").where((F.col("fp") != F.col("leader")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= distance))
+    near = members.join(leaders.hint("merge"), "key").where((F.col("fp") != F.col("leader")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= distance))
     return near.select(F.col("leader").alias("src"), F.col("fp").alias("dst")).distinct()
 
 
@@ -161,7 +162,7 @@ def linked(fps: DataFrame, distance: int = 3) -> DataFrame:
     """
     star = staged(stars(fps, distance), "simhash-stars")
     first = components(star, "simhash-stars")
-    named = fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    named = fps.join(first.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     rest = _near(staged(named, "simhash-roots"), distance).groupBy("left", "right_root").agg(F.min("right").alias("right"))
     rest = staged(rest.select(F.col("left").alias("src"), F.col("right").alias("dst")), "simhash-rest")
     return components(star.unionByName(rest), "simhash")
@@ -180,11 +181,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = staged(nodes, "simhash-nodes")
     roots = linked(nodes.select("fp"), distance)
     # `root` is the least fingerprint; a component's name is its least id
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = staged(named, "simhash-named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return of.join(by_fp, "fp").select(
+    by_fp = named.join(least.hint("merge"), "root").select("fp", "component_id")
+    return of.join(by_fp.hint("merge"), "fp").select(
         id_col,
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
