@@ -13,7 +13,8 @@ compared with one leader of the key, then with its member of most links; only pa
 key that are then still in different components are compared one by one, and of those only
 such as a parity sketch lets through: a bit for each of ``SKETCH`` x 64 classes of hashes,
 set where the class has an odd number of shingles. Two sketches never differ in more bits
-than the sets in shingles, so no pair in reach is lost.
+than the sets in shingles, so no pair in reach is lost. Joins are merged, as in ``simhash``: staged keys, sets and sketches
+of copies take far less room in their files than in memory.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def node_of(text_col: str) -> Column:
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (src, dst) whose shingle sets are at least ``LEAST`` alike."""
     pairs = staged(pairs, "jaccard-pairs")  # plain shuffles on both sides: Spark can split a leader's rows
-    both = pairs.join(sets.select(F.col("node").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("set").alias("b")), "dst")
+    both = pairs.join(sets.select(F.col("node").alias("src"), F.col("set").alias("a")).hint("merge"), "src").join(sets.select(F.col("node").alias("dst"), F.col("set").alias("b")).hint("merge"), "dst")
     shared = F.size(F.array_intersect("a", "b"))
     # in whole numbers: shared / union >= 0.8
     return staged(both.where(shared * 100 >= round(LEAST * 100) * (F.size("a") + F.size("b") - shared)).select("src", "dst"), "jaccard-links")
@@ -97,13 +98,13 @@ def fuzzy_keys(of: DataFrame) -> DataFrame:
     """(node, key): the group of SimHash fingerprints (node, fp) that a text belongs to, linked at 3 or fewer differing bits."""
     fps = staged(of.select("fp").distinct(), "jaccard-fps")
     near = simhash.linked(fps).withColumnRenamed("node", "fp")
-    return of.join(near, "fp", "left").select("node", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
+    return of.join(near.hint("merge"), "fp", "left").select("node", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
 
 
 def _stars(members: DataFrame, rank: Column) -> DataFrame:
     """Pairs of each member with the member of its key that is least by ``rank``."""
     leaders = members.groupBy("key").agg(F.min(F.struct(rank, "node"))["node"].alias("leader"))
-    pairs = members.join(staged(leaders, "jaccard-leaders"), "key").where("node <> leader")
+    pairs = members.join(staged(leaders, "jaccard-leaders").hint("merge"), "key").where("node <> leader")
     return pairs.select(F.least("node", "leader").alias("src"), F.greatest("node", "leader").alias("dst")).distinct()
 
 
@@ -114,23 +115,23 @@ def groups(df: DataFrame, text_col: str = "text") -> DataFrame:
     fuzzy = staged(fuzzy_keys(of.select("node", "fp")), "jaccard-fuzzy")
     every = of.select("node", F.explode("keys").alias("key")).unionByName(fuzzy).distinct()
     shared = staged(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "jaccard-shared")
-    members = staged(every.join(shared, "key").select("key", "node"), "jaccard-members")
-    some = texts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    members = staged(every.join(shared.hint("merge"), "key").select("key", "node"), "jaccard-members")
+    some = texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
     sets = staged(with_text_columns(some, "text", ["node"], [T.StructField("set", T.ArrayType(T.LongType()))], _shingles), "jaccard-sets")
     links = _similar(_stars(members, F.xxhash64("key", "node")), sets)
     degree = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    ranked = staged(members.join(degree, "node", "left").select("key", "node", F.coalesce(-F.col("n"), F.lit(0)).alias("rank")), "jaccard-ranked")
-    links = links.union(_similar(_stars(ranked, F.col("rank")).join(links, ["src", "dst"], "left_anti"), sets))
-    apart = members.join(components(links, "jaccard"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    ranked = staged(members.join(degree.hint("merge"), "node", "left").select("key", "node", F.coalesce(-F.col("n"), F.lit(0)).alias("rank")), "jaccard-ranked")
+    links = links.union(_similar(_stars(ranked, F.col("rank")).join(links.hint("merge"), ["src", "dst"], "left_anti"), sets))
+    apart = members.join(components(links, "jaccard").hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     # keys whose members are all of one group are done
     mixed = staged(apart.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "jaccard-mixed")
-    apart = apart.join(mixed, "key", "left_semi").join(of.select("node", "sketch").dropDuplicates(["node"]), "node")
+    apart = apart.join(mixed.hint("merge"), "key", "left_semi").join(of.select("node", "sketch").dropDuplicates(["node"]).hint("merge"), "node")
     apart = staged(apart.select("key", "node", "root", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH + 1)]), "jaccard-apart")
     other = apart.select("key", F.col("node").alias("dst"), F.col("root").alias("far"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH + 1)])
     differ = reduce(add, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(1, SKETCH + 1)])
     # at similarity s the sets differ in (1 - s) / (1 + s) of the sum of their sizes at most
     near = differ * round(100 + 100 * LEAST) <= (F.col("s0") + F.col("t0")) * round(100 - 100 * LEAST)
-    pairs = apart.join(other, (apart["key"] == other["key"]) & (F.col("node") < F.col("dst")) & (F.col("root") != F.col("far")) & near)
+    pairs = apart.join(other.hint("merge"), (apart["key"] == other["key"]) & (F.col("node") < F.col("dst")) & (F.col("root") != F.col("far")) & near)
     pairs = pairs.select(F.col("node").alias("src"), "dst").distinct()
     return components(links.union(_similar(pairs, sets)), "jaccard")
 
@@ -142,7 +143,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     group of null ids only has a null component_id.
     """
     rows = staged(df.select(node_of(text_col).alias("node"), col(id_col).alias("id")).distinct(), "jaccard-rows")
-    named = rows.join(groups(df, text_col), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    named = rows.join(groups(df, text_col).hint("merge"), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     named = staged(named, "jaccard-named")
     least = staged(named.groupBy("root").agg(F.min("id").alias("component_id")), "jaccard-least")
-    return named.join(least, "root").select("node", "id", "root", "component_id")
+    return named.join(least.hint("merge"), "root").select("node", "id", "root", "component_id")

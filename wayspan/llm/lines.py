@@ -77,11 +77,11 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     marked = as_rows(with_grams(every), F.filter("grams", lambda g: g["mark"]))
     shared = staged(firsts(marked).select("hash"), "lines-shared")
-    touched = staged(marked.join(shared, "hash", "left_semi").select("place.text").distinct(), "lines-touched")
-    near = staged(every.join(touched, "text", "left_semi"), "lines-near")  # shuffled once, as hashes alone
+    touched = staged(marked.join(shared.hint("merge"), "hash", "left_semi").select("place.text").distinct(), "lines-touched")
+    near = staged(every.join(touched.hint("merge"), "text", "left_semi"), "lines-near")  # shuffled once, as hashes alone
     each = as_rows(with_grams(near), F.col("grams"))
     first = staged(firsts(each), "lines-first")  # written, so that the rows of a very common gram can be split
-    later = each.join(first, "hash").where((F.col("place") != F.col("first.place")) & (F.col("check") == F.col("first.check")))
+    later = each.join(first.hint("merge"), "hash").where((F.col("place") != F.col("first.place")) & (F.col("check") == F.col("first.check")))
     later = later.select("place.text", "place.pos", "wide", "mark")
     # neighbours that stand before form an island: their place less their rank is one number
     along = W.partitionBy("text", "wide").orderBy("pos")
