@@ -32,16 +32,15 @@ class Grid:
 
     @staticmethod
     def over(points: DataFrame, margin: float = 0.001) -> Grid:
-        """The grid of the box round all points (lat, lon): one aggregated row goes to the driver."""
+        """The grid of the box round all points (lat, lon), of ``MIN_RES_M`` whatever the box: one aggregated row goes to the driver."""
         box = points.agg((F.min("lat") - margin).alias("s"), (F.min("lon") - margin).alias("w"), (F.max("lat") + margin).alias("n"), (F.max("lon") + margin).alias("e"))
         box = box.withColumn("deg_m", F.lit(X.M_PER_DEG) * F.cos(F.radians((F.col("s") + F.col("n")) / 2)))
         x, y = (F.col("e") - F.col("w")) * F.col("deg_m"), (F.col("n") - F.col("s")) * X.M_PER_DEG
-        res = F.greatest(F.lit(MIN_RES_M), F.ceil(F.sqrt(x * y / MAX_CELLS))).cast("int")
-        return Grid(*box.select("s", "w", "n", "e", "deg_m", res, F.ceil(x / res).cast("int"), F.ceil(y / res).cast("int")).first())
+        return Grid(*box.select("s", "w", "n", "e", "deg_m", F.lit(MIN_RES_M), F.ceil(x / MIN_RES_M).cast("int"), F.ceil(y / MIN_RES_M).cast("int")).first())
 
     @staticmethod
     def of_box(south: float, west: float, north: float, east: float) -> Grid:
-        """The grid of a city's box."""
+        """The grid of a city's box, as the reference chooses it: coarser than ``MIN_RES_M`` where that makes over ``MAX_CELLS``."""
         deg_m = X.M_PER_DEG * math.cos(math.radians((south + north) / 2))
         x, y = (east - west) * deg_m, (north - south) * X.M_PER_DEG
         res = max(MIN_RES_M, math.ceil(math.sqrt(x * y / MAX_CELLS)))

@@ -130,7 +130,8 @@ def fill(points: DataFrame, grid: Grid) -> DataFrame:
 def fill_sides(sides: DataFrame, grid: Grid) -> DataFrame:
     """The same of the rings' sides (lat_a, lon_a, lat_b, lon_b), in any order.
 
-    A side goes to the rows of tiles that it crosses, most often one; there the crossings' directions are summed along each row of cells.
+    A side goes to the rows of tiles that it crosses, most often one; there the crossings' directions are summed along each row of
+    cells, tile by tile, so that a wide grid takes no more memory than its crossings and its mask.
     """
     side = sides.select(grid.px(F.col("lon_a")).alias("ax"), grid.py(F.col("lat_a")).alias("ay"), grid.px(F.col("lon_b")).alias("bx"), grid.py(F.col("lat_b")).alias("by"))
     low, high = F.least("ay", "by"), F.greatest("ay", "by")
@@ -147,13 +148,22 @@ def fill_sides(sides: DataFrame, grid: Grid) -> DataFrame:
         y = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + top[side]
         at = ax[side] + (y + 0.5 - ay[side]) * (bx - ax)[side] / (by - ay)[side]
         x = np.maximum(np.ceil(at - 0.5), 0)
-        turn = np.zeros((SIDE, wide * SIDE), dtype=np.int32)
         inside = x < grid.w
-        np.add.at(turn, ((y - first)[inside].astype(np.int64), x[inside].astype(np.int64)), np.where(by > ay, 1, -1)[side][inside])
-        wet = np.cumsum(turn, axis=1) != 0
-        wet[:, grid.w :] = False
-        parts = [(key[0].as_py() * wide + t, wet[:, t * SIDE : (t + 1) * SIDE]) for t in range(wide)]
-        parts = [p for p in parts if p[1].any()]
+        x, y, step = x[inside].astype(np.int64), (y - first)[inside].astype(np.int64), np.where(by > ay, 1, -1)[side][inside]
+        order = np.argsort(x, kind="stable")
+        ends = np.searchsorted(x[order], np.arange(wide + 1) * SIDE)
+        parts, wind = [], np.zeros(SIDE, dtype=np.int32)  # at the left side of the tile
+        for t in range(wide):
+            own = order[ends[t] : ends[t + 1]]
+            if len(own) or wind.any():
+                turn = np.zeros((SIDE, SIDE), dtype=np.int32)
+                turn[:, 0] = wind
+                np.add.at(turn, (y[own], x[own] - t * SIDE), step[own])
+                turn = np.cumsum(turn, axis=1)
+                wind, wet = turn[:, -1], turn != 0
+                wet[:, max(0, grid.w - t * SIDE) :] = False
+                if wet.any():
+                    parts.append((key[0].as_py() * wide + t, wet))
         return masks([t for t, _ in parts], [b for _, b in parts])
 
     return side.groupBy("band").applyInArrow(work, MASK)
